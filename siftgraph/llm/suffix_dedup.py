@@ -15,11 +15,13 @@ windows can repeat at all, and these are dealt out so that equal windows meet:
     shuffle, which keeps very common passages small.) Anchors that occur over
     different bytes leave one piece for each distinct run and half of it; only
     windows of a piece can repeat in part.
-3.  The pieces' bytes are dealt out by the anchor and the HALF bytes on its left
-    or right, whichever the windows contain, so a common line with different
-    surroundings splits. Each task concatenates its pieces and builds their
-    suffix array; windows that are equal stand together there, and all but the
-    first occurrence are repeats.
+3.  The pieces' bytes are dealt out by the anchor with the bytes on its left or
+    on its right (half of what a window holds beside the anchor), whichever all
+    the windows contain, so a common line with different surroundings splits.
+    Equal pieces collapse to the first. Each task concatenates the others and
+    builds their suffix array; windows that are equal stand together there, and
+    all but the first occurrence are repeats. The bytes of the key, which all
+    windows of a piece contain, stand as one symbol in it.
 4.  The repeats' spans are joined to the documents and cut out.
 
 The suffix array is built by linear grouping: suffixes start in groups by their
@@ -121,22 +123,20 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def repeats(pieces: list[bytes], length: int) -> np.ndarray:
+def repeats(pieces: list[np.ndarray], length: int) -> np.ndarray:
     """(first, later) pairs of window starts in the joined pieces: each later window equals an earlier listed first one.
 
-    Positions count over the pieces with one separator behind each. Pieces come
-    in order of occurrence, so the first of equal windows is the smallest position.
+    Pieces are arrays of positive integers. Positions count over the pieces with
+    one separator behind each. Pieces come in order of occurrence, so the first
+    of equal windows is the smallest position.
     """
     sizes = np.array([len(p) for p in pieces])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    data = np.zeros(int((sizes + 1).sum()), np.int16)
-    for s, p in zip(starts, pieces):
-        data[s : s + len(p)] = np.frombuffer(p, np.uint8)
-        data[s : s + len(p)] += 1
+    data = np.zeros(int((sizes + 1).sum()), np.int32)
     valid = np.zeros(len(data), bool)
-    for s, k in zip(starts, sizes - length + 1):
-        if k > 0:
-            valid[s : s + k] = True
+    for s, p in zip(starts, pieces):
+        data[s : s + len(p)] = p
+        valid[s : s + max(0, len(p) - length + 1)] = True
     order = np.array(suffix_array(data.tolist()), np.int64)
     order = order[valid[order]]
     if len(order) < 2:
@@ -315,13 +315,13 @@ def _reduce_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(length: int, gram: int):
-    """Documents with their unsettled runs to pieces: key, doc, start, bytes."""
+    """Documents with their unsettled runs to pieces: key, doc, start, bytes beside the key's, and how many of them on its left."""
     half = (length - gram) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: dict = {}
         for batch in batches:
-            ids, keys, docs, starts, parts = _ids(batch), [], [], [], []
+            ids, keys, docs, starts, parts, lefts = _ids(batch), [], [], [], [], []
             for doc, text, runs in zip(ids, each_text(batch.column("text")), batch.column("runs")):
                 for x in runs.as_py():
                     s, k = x["start"], x["windows"]
@@ -334,30 +334,42 @@ def _pieces(length: int, gram: int):
                     found = np.flatnonzero(hashes.of(at, at + gram).view(np.int64) == x["h"])
                     a = int(found[found <= length - gram][-1]) if len(found) else 0
                     cut = min(max(a - half + 1, 0), k)  # windows before it contain the half on the left
-                    for lo, hi, side in ((0, cut, piece[max(a - half, 0) : a + gram]), (cut, k, piece[a : a + gram + half])):
+                    for lo, hi, left, right in ((0, cut, a - half, a + gram), (cut, k, a, a + gram + half)):
                         if hi > lo:
-                            keys.append(hashlib.blake2b(side, digest_size=8, person=b"l" if lo == 0 and cut else b"r").digest())
+                            keys.append(hashlib.blake2b(piece[left:right], digest_size=8, person=b"l" if left < a else b"r").digest())
                             docs.append(doc)
                             starts.append(s + lo)
-                            parts.append(piece[lo : hi - 1 + length])
+                            parts.append(piece[lo:left] + piece[right : hi - 1 + length])
+                            lefts.append(left - lo)
             if keys:
-                yield batch_of(key=np.frombuffer(b"".join(keys), np.int64), doc=np.array(docs, np.int64), start=np.array(starts, np.int64), piece=pa.array(parts, pa.binary()))
+                yield batch_of(key=np.frombuffer(b"".join(keys), np.int64), doc=np.array(docs, np.int64), start=np.array(starts, np.int64), left=np.array(lefts, np.int64), piece=pa.array(parts, pa.binary()))
 
     return run
 
 
-def _sorted_pieces(length: int):
-    """Pieces sorted by key, doc, start to spans of repeats: doc, start, windows."""
+def _sorted_pieces(length: int, gram: int):
+    """Pieces sorted by key, doc, start to spans of repeats: doc, start, windows.
+
+    The bytes that all pieces of a key share stand for one symbol, the key's own,
+    so the suffix array takes only what is beside them.
+    """
+    core = gram + (length - gram) // 2
+    window = length - core + 1
 
     def settle(rows: list) -> pa.RecordBatch | None:
+        names: dict = {}
         rows.sort(key=lambda x: (x[1], x[2]))
-        pieces = [x[3] for x in rows]
-        pairs = repeats(pieces, length)
+        pieces = []
+        for key, _, _, left, piece in rows:
+            piece = np.frombuffer(piece, np.uint8).astype(np.int32) + 1
+            pieces.append(np.concatenate([piece[:left], [names.setdefault(key, 257 + len(names))], piece[left:]]))
+        pairs = repeats(pieces, window)
         if not len(pairs):
             return None
         starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])[:-1]])
         docs, at = np.array([x[1] for x in rows]), np.array([x[2] for x in rows])
-        late, first = np.sort(pairs[:, 1]), pairs[np.argsort(pairs[:, 1]), 0]
+        pairs = pairs[np.argsort(pairs[:, 1])]
+        late, first = pairs[:, 1], pairs[:, 0]
         k, k0 = np.searchsorted(starts, late, "right") - 1, np.searchsorted(starts, first, "right") - 1
         where, where0 = at[k] + late - starts[k], at[k0] + first - starts[k0]
         other = (docs[k] != docs[k0]) | (where != where0)
@@ -369,20 +381,28 @@ def _sorted_pieces(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []  # of the last key
+        known: dict = {}
         ready: list = []
+        whole: list = []
         size = 0
         for batch in batches:
-            for row in zip(longs(batch, "key").tolist(), longs(batch, "doc").tolist(), longs(batch, "start").tolist(), batch.column("piece").to_pylist()):
+            for row in zip(longs(batch, "key").tolist(), longs(batch, "doc").tolist(), longs(batch, "start").tolist(), longs(batch, "left").tolist(), batch.column("piece").to_pylist()):
                 if held and held[0][0] != row[0]:
                     if len(held) > 1:
                         ready += held
-                        size += sum(len(x[3]) for x in held)
+                        size += sum(len(x[4]) + 2 for x in held)
                         if size >= PART:
                             if (out := settle(ready)) is not None:
                                 yield out
                             ready, size = [], 0
-                    held = []
-                held.append(row)
+                    held, known = [], {}
+                if (first := known.setdefault(row[3:], row)) is row:
+                    held.append(row)
+                elif first[1:3] != row[1:3]:  # the same bytes again: a repeat as a whole
+                    whole.append((row[1], row[2], len(row[4]) + 2 - window))
+            if whole:
+                yield batch_of(**dict(zip(("doc", "start", "windows"), map(np.array, zip(*whole)))))
+                whole = []
         if len(held) > 1:
             ready += held
         if ready and (out := settle(ready)) is not None:
@@ -412,7 +432,7 @@ def _cut(length: int, keep_text: bool):
                 kept = b"".join([*kept, text[end:]])
                 for x, v in zip(out, (len(text), removed, count, kept)):
                     x.append(v)
-            columns = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "spans", "doc")}
+            columns = {c[1:]: batch.column(c) for c in batch.schema.names if c[0] == "_"}
             columns |= {"n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out[3]])}
             if keep_text:
                 columns["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in out[3]], pa.string())
@@ -429,17 +449,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     if not 2 <= gram < length:
         raise ValueError("gram must be shorter than length")
     spark = session(docs)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1) - F.abs(F.xxhash64("text") % F.lit(2**40)))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1) - F.abs(F.xxhash64("text") % F.lit(2**40)), F.lit(0))  # never null, so neither join filters
     base = docs.select(doc.alias("doc"), "text")
     n = shuffle_partitions(spark)
     runs = base.mapInArrow(_map_runs(length, gram), "h long, r long, doc long, span long").repartition(n, "h").sortWithinPartitions("h", "r", "doc", "span")
     found = checkpoint(runs.mapInArrow(_reduce_runs, "doc long, start long, windows long, h long"))
-    unsettled = found.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "h")).alias("runs"))
-    pieces = base.join(unsettled.hint("shuffle_hash"), "doc").mapInArrow(_pieces(length, gram), "key long, doc long, start long, piece binary")
-    more = pieces.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sorted_pieces(length), "doc long, start long, windows long")
-    spans = checkpoint(found.where("h is null").select("doc", "start", "windows").union(more).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans")))
     kinds = dict(docs.dtypes)
     columns = ["doc_id", *others]
-    whole = docs.select(doc.alias("doc"), "text", *columns).join(spans.hint("shuffle_hash"), "doc", "left")
+    # Both joins below read one and the same exchange of the texts.
+    whole = docs.select(doc.alias("doc"), F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"_{c}") for c in columns))
+    unsettled = found.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "h")).alias("runs"))
+    pieces = whole.join(unsettled.hint("shuffle_hash"), "doc").mapInArrow(_pieces(length, gram), "key long, doc long, start long, left long, piece binary")
+    more = pieces.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sorted_pieces(length, gram), "doc long, start long, windows long")
+    spans = found.where("h is null").select("doc", "start", "windows").union(more).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    whole = whole.join(spans.hint("shuffle_hash"), "doc", "left").select(*(f"_{c}" for c in columns), "text", "spans")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return whole.select(*columns, "text", "spans").mapInArrow(_cut(length, keep_text), schema)
+    return whole.mapInArrow(_cut(length, keep_text), schema)
