@@ -5,20 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .embed_dedup import near_vectors
+from .license_scan import scan_licenses
+from .matroska import digest, media_column
+from .simhash import as_hex, near_components
 from .suffix_dedup import remove_repeats
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(media_column(_table(spark, sf_dir, "documents")))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_simhash": op2_simhash,
+    "op4_license_scan": op4_license_scan,
+    "op5_matroska": op5_matroska,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op10_embed_dedup": op10_embed_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -38,6 +38,8 @@ FIT_ROWS, LEXICON = 8000, 2000
 #: Least evidence for an entry: toxic documents with it, log-likelihood ratio, and ratio of shares.
 LEAST_DOCS, LEAST_EVIDENCE, LEAST_RATIO = 5, 30.0, 3.0
 STEM = range(3, 10)
+DENSE = 0.004
+_COUNTS = ("clean", "toxic", "clean_dense", "toxic_dense")
 WINDOW = 6
 CUT = 0.3
 _MEMO = 400_000
@@ -217,15 +219,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """Documents of either kind that hold an entry at all, and that hold it among DENSE of their tokens."""
+    counts = [Counter() for _ in range(4)]
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = set(_TOKEN.findall((text or "").lower()))
-            counts[toxic].update({f"{w}$" for w in words} | {w[:k] for w in words for k in STEM if len(w) > k})
+            words = Counter(_TOKEN.findall((text or "").lower()))
+            least = DENSE * sum(words.values())
+            held = Counter({f"{w}$": n for w, n in words.items()})
+            for w, n in words.items():
+                for k in STEM:
+                    if len(w) > k:
+                        held[w[:k]] += n
+            counts[toxic].update(held.keys())
+            counts[2 + toxic].update(x for x, n in held.items() if n >= least)
     names = list(counts[0].keys() | counts[1].keys())
     for i in range(0, len(names), 100_000):
         part = names[i : i + 100_000]
-        yield batch_of(entry=pa.array(part, pa.string()), clean=pa.array([counts[0][x] for x in part], pa.int64()), toxic=pa.array([counts[1][x] for x in part], pa.int64()))
+        yield batch_of(entry=pa.array(part, pa.string()), **{c: pa.array([x[e] for e in part], pa.int64()) for c, x in zip(_COUNTS, counts)})
 
 
 def _choose(found: list, clean: int, toxic: int) -> list[tuple[str, bool, float]]:
@@ -268,18 +278,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not clean or not toxic:
         share = toxic / max(1, clean + toxic)
         return Model(Lexicon([]), [0.0] * 6 + [math.log(max(share, 1e-15)) - math.log(max(1 - share, 1e-15))])
-    counts = sample.mapInArrow(_count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = sample.mapInArrow(_count, "entry string, " + ", ".join(f"{c} long" for c in _COUNTS)).groupBy("entry").agg(*(F.sum(c).alias(c) for c in _COUNTS))
     n = float(clean + toxic)
-    both = F.col("clean") + F.col("toxic")
 
     def part(k, of, total_of):  # k log(k / expected)
         return F.when(k > 0, k * F.log(k * n / (of * float(total_of)))).otherwise(0.0)
 
-    without_t, without_c = F.lit(toxic) - F.col("toxic"), F.lit(clean) - F.col("clean")
-    evidence = 2 * (part(F.col("toxic"), both, toxic) + part(F.col("clean"), both, clean) + part(without_t, n - both, toxic) + part(without_c, n - both, clean))
-    ratio = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
-    found = counts.where(F.col("toxic") >= LEAST_DOCS).where(ratio >= LEAST_RATIO).withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE)
-    found = found.orderBy(F.desc("evidence"), "entry").limit(20 * LEXICON).collect()
+    def evidence(t, c):
+        both, without_t, without_c = t + c, F.lit(toxic) - t, F.lit(clean) - c
+        ratio = (t / toxic) / ((c + 0.5) / clean)
+        found = 2 * (part(t, both, toxic) + part(c, both, clean) + part(without_t, n - both, toxic) + part(without_c, n - both, clean))
+        return F.when((t >= LEAST_DOCS) & (ratio >= LEAST_RATIO), found).otherwise(0.0)
+
+    counts = counts.where(F.col("toxic") >= LEAST_DOCS).withColumn("any", evidence(F.col("toxic"), F.col("clean"))).withColumn("dense", evidence(F.col("toxic_dense"), F.col("clean_dense")))
+    found = counts.withColumn("evidence", F.greatest("any", "dense")).where(F.col("evidence") >= LEAST_EVIDENCE)
+    better = [F.when(F.col("dense") > F.col("any"), F.col(f"{c}_dense")).otherwise(F.col(c)).alias(c) for c in ("clean", "toxic")]
+    found = found.select("entry", *better, "evidence").orderBy(F.desc("evidence"), "entry").limit(20 * LEXICON).collect()
     lexicon = Lexicon(_choose([(r["entry"], r["clean"], r["toxic"], r["evidence"]) for r in found], clean, toxic))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
