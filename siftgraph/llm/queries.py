@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, mixing
 from .embed_dedup import near_vectors
 from .license_scan import scan_licenses
 from .matroska import digest, media_column
@@ -40,6 +41,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations"))))
+
+
+def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(_table(spark, sf_dir, "documents"))
+
+
 def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +59,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_matroska": op5_matroska,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_chat_format": op7_chat_format,
+    "op8_poisson_mixing": op8_poisson_mixing,
     "op10_embed_dedup": op10_embed_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_format": chat.ORACLE,
+    "op8_poisson_mixing": mixing.ORACLE,
+}
