@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The folder comes from spark.checkpoint.dir; only where neither that nor the
     context names one (tests) a temporary folder is set.
     """
-    spark = df.sparkSession
+    _folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the reliable checkpoint folder and read from there."""
+    path = f"{_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

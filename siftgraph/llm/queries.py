@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing
+from . import chat, mixing, pieces
 from .embed_dedup import near_vectors
+from .langid import identify
 from .license_scan import scan_licenses
 from .matroska import digest, media_column
 from .simhash import as_hex, near_components
@@ -29,6 +30,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -49,6 +54,10 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(_table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = pieces.MODEL) -> DataFrame:
+    return pieces.digest(_table(spark, sf_dir, "documents"), pieces.Vocabulary(*pieces.read_model(model)))
+
+
 def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -56,11 +65,13 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
+    "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_matroska": op5_matroska,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_poisson_mixing": op8_poisson_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_embed_dedup": op10_embed_dedup,
 }
 
