@@ -12,9 +12,10 @@ complete path that the search takes from its queue is the n-th best.
 
 No piece spans two units (a unit begins where no piece of the vocabulary holds
 the two characters around it), so the lattice of a text is a chain of the units'
-lattices. Words and their units are searched once and kept, up to CACHE of them; the N best of a
-text follow exactly from its units' alternatives: only the N - 1 units with the
-least losses can differ from the best path.
+lattices. The forward pass gives each unit's best path and the loss of its second
+best; only the N - 1 words with the least such losses can differ from the best
+path of a text, so only these are searched backward, and the N best of the text
+follow exactly from their alternatives. Words are kept, up to CACHE of them.
 
 Ties go to the segmentation with fewer pieces, then to that found first by a
 fixed order of edges. Null and empty texts have no pieces and decode to an empty
@@ -26,6 +27,9 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import sys
+import types
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,19 +74,19 @@ class Vocabulary:
         usual = [scores[i] for i in self.ids.values() if scores[i] > -1e8]
         self.byte_score = min(usual, default=0.0) - 10.0
         self.longest = max(map(len, self.ids), default=1)
-        self.begins = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        # Pieces with id and score, and what only begins one with None.
+        self.table: dict[str, tuple[int, float, bytes] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))}
+        self.table |= {p: (i, scores[i], i.to_bytes(4, "little")) for p, i in self.ids.items()}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         split = not any(x[1] == SPACE and x[0] != SPACE for x in self.pairs)  # else a text is one word
         lines = not any("\n" in p for p in self.ids)
-        self.word = re.compile((rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if lines else rf"(?s){SPACE}*[^{SPACE}]+|{SPACE}+") if split else "(?s).+")
-        self.kept: dict[str, tuple] = {}
-        self.parts: dict[str, tuple] = {}
+        self.word = re.compile((r" *[^ \n]+| +|\n" if lines else r"(?s) *[^ ]+| +") if split else "(?s).+")
+        self.kept: dict[str, tuple[float, bytes, float]] = {}
+        self.parts: dict[str, tuple[float, bytes, float]] = {}
+        self.found: dict[str, list] = {}
 
-    def __getstate__(self):
-        return self.pieces, self.scores, self.nbest
-
-    def __setstate__(self, state):
-        self.__init__(*state)
+    def __reduce__(self):
+        return _restored, (self.pieces, self.scores, self.nbest)
 
     def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of one lattice, best first."""
@@ -93,14 +97,14 @@ class Vocabulary:
             score, count = best[i]
             known = False
             for j in range(i + 1, min(size, i + self.longest) + 1):
-                part = text[i:j]
-                if part not in self.begins:
+                entry = self.table.get(text[i:j], False)
+                if entry is False:
                     break
-                k = self.ids.get(part)
-                if k is not None:
+                if entry is not None:
+                    k, own, _ = entry
                     known |= j == i + 1
-                    into[j].append((i, self.scores[k], (k,)))
-                    if (new := (score + self.scores[k], count - 1)) > best[j]:
+                    into[j].append((i, own, (k,)))
+                    if (new := (score + own, count - 1)) > best[j]:
                         best[j] = new
             if not known:
                 raw = text[i].encode()
@@ -141,75 +145,133 @@ class Vocabulary:
             heapq.heappush(queue, (first[0] - done, first[1] + number, serial, i, 0, done, number, ids))
         return out
 
-    def _part(self, text: str) -> tuple:
-        """Score, ids, least loss, and alternatives (loss, ids) of a stretch that no piece goes beyond."""
-        found = self.parts.get(text)
-        if found is None:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            (score, ids), *more = self.search(text, self.nbest)
-            more = [(score - s, x) for s, x in more]
-            found = score, ids, more[0][0] if more else float("inf"), more
-            if len(text) <= 64:
-                self.parts[text] = found
-        return found
+    def forward(self, text: str) -> tuple[float, bytes, float]:
+        """Score and ids (four bytes each) of the best segmentation, and what the second best loses.
 
-    def _word(self, text: str) -> tuple:
-        """As _part, of the parts of a word."""
+        The second best leaves the best path, seen from its end, at one place and
+        is the best into there by another edge, so its loss is the least difference
+        between the two best edges into a place of the best path.
+        """
+        size = len(text)
+        low = -1e300
+        best, second, count = [0.0] + [low] * size, [low] * (size + 1), [0] * (size + 1)
+        back: list[tuple[int, bytes]] = [(0, b"")] * (size + 1)
+        get, longest = self.table.get, self.longest
+        for i in range(size):
+            score, number, known = best[i], count[i] + 1, False
+            for j in range(i + 1, min(size, i + longest) + 1):
+                entry = get(text[i:j], False)
+                if entry is False:
+                    break
+                if entry is None:
+                    continue
+                if j == i + 1:
+                    known = True
+                new = score + entry[1]
+                old = best[j]
+                if new > old:
+                    best[j], second[j], count[j], back[j] = new, old, number, (i, entry[2])
+                elif new > second[j]:
+                    second[j] = new
+                    if new == old and number < count[j]:
+                        count[j], back[j] = number, (i, entry[2])
+            if not known:
+                raw = text[i].encode()
+                new, j = score + self.byte_score * len(raw), i + 1
+                old = best[j]
+                if new > old:
+                    best[j], second[j], count[j], back[j] = new, old, number + len(raw) - 1, (i, b"".join([self.byte[b].to_bytes(4, "little") for b in raw]))
+                elif new > second[j]:
+                    second[j] = new
+        ids, at, loss = [], size, float("inf")
+        while at:
+            if second[at] > low:
+                loss = min(loss, best[at] - second[at])
+            at, own = back[at]
+            ids.append(own)
+        ids.reverse()
+        return best[size], b"".join(ids), loss
+
+    def _word(self, text: str) -> tuple[float, bytes, float]:
+        """As forward, of a word, by the stretches that no piece goes beyond; kept."""
         if len(self.kept) >= CACHE:
             self.kept.clear()
-        pairs = self.pairs
-        cuts = [0, *(k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs), len(text)]
-        parts = [self._part(text[a:b]) for a, b in zip(cuts, cuts[1:])]
-        if len(parts) == 1:
-            found = parts[0]
-        else:
-            ids = tuple(itertools.chain.from_iterable([p[1] for p in parts]))
-            more = []
-            for loss, changes in self._combined(parts)[1:]:
-                new = list(ids)
-                for a, b, c in reversed(changes):
-                    new[a:b] = c
-                more.append((loss, tuple(new)))
-            found = sum([p[0] for p in parts]), ids, more[0][0] if more else float("inf"), more
+        if len(self.parts) >= CACHE:
+            self.parts.clear()
+        spaced, pairs = text.replace(" ", SPACE), self.pairs
+        cuts = [0, *[k for k in range(1, len(spaced)) if spaced[k - 1 : k + 1] not in pairs], len(spaced)]
+        stretches = []
+        for a, b in zip(cuts, cuts[1:]):
+            part = spaced[a:b]
+            known = self.parts.get(part)
+            if known is None:
+                known = self.forward(part)
+                if len(part) <= 64:
+                    self.parts[part] = known
+            stretches.append(known)
+        found = stretches[0] if len(stretches) == 1 else (sum([x[0] for x in stretches]), b"".join([x[1] for x in stretches]), min([x[2] for x in stretches]))
         if len(text) <= 64:
             self.kept[text] = found
         return found
 
-    def _combined(self, units: list[tuple]) -> list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]:
-        """The N least losses over a chain of units, each with the slices (start, stop, ids) of the best ids that change."""
+    def alternatives(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
+        """(loss, ids) of the N best segmentations of a word, by the backward search."""
+        found = self.found.get(text)
+        if found is None:
+            if len(self.found) >= CACHE // 4:
+                self.found.clear()
+            paths = self.search(text.replace(" ", SPACE), self.nbest)
+            found = [(paths[0][0] - s, ids) for s, ids in paths]
+            if len(text) <= 64:
+                self.found[text] = found
+        return found
+
+    def _combined(self, words: list[str | None], units: list[tuple[float, bytes, float]]) -> list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]:
+        """The N least losses over a chain of words, each with the slices (start, stop, ids) of the best ids that change."""
         if self.nbest == 1:
             return [(0.0, [])]
         few = min(self.nbest - 1, len(units))
         losses = [u[2] for u in units]
-        # Only the units with the least losses can differ; the first of equal losses stay.
+        # Only the words with the least losses can differ; the first of equal losses stay.
         near = sorted(heapq.nsmallest(few, range(len(units)), key=losses.__getitem__)) if len(units) < 64 else _least(losses, few)
         near = [u for u in near if losses[u] < float("inf")]
-        choices = [[(0.0, None), *units[u][3]] for u in near]
-        combos = sorted(itertools.product(*choices), key=lambda c: sum([x[0] for x in c]))[: self.nbest]
-        starts = [0, *itertools.accumulate([len(u[1]) for u in units])] if near else []
-        return [(sum([x[0] for x in c]), [(starts[u], starts[u + 1], x[1]) for u, x in zip(near, c) if x[1] is not None]) for c in combos]
+        choices = [self.alternatives(words[u]) for u in near]
+        combos = sorted(itertools.product(*(range(len(c)) for c in choices)), key=lambda c: sum([x[k][0] for x, k in zip(choices, c)]))[: self.nbest]
+        starts = [0, *itertools.accumulate([len(u[1]) // 4 for u in units])] if near else []
+        return [(sum([x[k][0] for x, k in zip(choices, c)]), [(starts[u], starts[u + 1], x[k][1]) for u, x, k in zip(near, choices, c) if k]) for c in combos]
 
-    def encode(self, text: str) -> tuple[list[int], list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """The best ids, and for each of the N best its score and the slices (start, stop, ids) of the best that it replaces."""
+    def encode(self, text: str) -> tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
+        """The best ids (four bytes each), and for each of the N best its score and the slices (start, stop, ids) of the best that it replaces."""
         if not text:
-            return [], []
-        units: list[tuple] = []
+            return b"", []
+        words: list[str | None] = []
+        units: list[tuple[float, bytes, float]] = []
         known, word = self.kept.get, self._word
         for k, part in enumerate(text.split(SPACE)):
             if k:  # a U+2581 of the text itself
                 raw = SPACE.encode()
-                units.append((self.byte_score * len(raw), tuple(self.byte[b] for b in raw), float("inf"), []))
-            part = part.replace(" ", SPACE)
-            units += [known(w) or word(w) for w in self.word.findall(part if k else SPACE + part)]
+                words.append(None)
+                units.append((self.byte_score * len(raw), b"".join([self.byte[b].to_bytes(4, "little") for b in raw]), float("inf")))
+            own = self.word.findall(part if k else " " + part)
+            words += own
+            units += [known(w) or word(w) for w in own]
         score = sum([u[0] for u in units])
-        return list(itertools.chain.from_iterable([u[1] for u in units])), [(score - loss, changes) for loss, changes in self._combined(units)]
+        return b"".join([u[1] for u in units]), [(score - loss, changes) for loss, changes in self._combined(words, units)]
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
         return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
+def _restored(pieces: list[str], scores: list[float], nbest: int) -> Vocabulary:
+    """A worker process builds a vocabulary once and keeps it, with what it has searched, from task to task."""
+    holder = sys.modules.setdefault("_siftgraph_worker", types.ModuleType("_siftgraph_worker"))
+    key = nbest, zlib.crc32("\0".join(pieces).encode()), zlib.crc32(np.array(scores).tobytes())
+    if getattr(holder, "key", None) != key:
+        holder.vocabulary, holder.key = Vocabulary(pieces, scores, nbest), key
+    return holder.vocabulary
+
+
 def _least(losses: list[float], few: int) -> list[int]:
     """Places of the few least values in order, the first of equals."""
     x = np.array(losses)
@@ -227,8 +289,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [vocabulary.encode(t or "") for t in batch.column("text").to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x, _ in found])]).astype(np.int32)
-            flat = np.fromiter(itertools.chain.from_iterable(x for x, _ in found), np.int32, int(offsets[-1]))
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x, _ in found])]).astype(np.int32)
+            flat = np.frombuffer(b"".join([x for x, _ in found]), "<i4")
             nbest = [[{"score": s, "changes": [{"start": a, "stop": b, "ids": list(c)} for a, b, c in changes]} for s, changes in x] for _, x in found]
             yield batch_of(doc_id=batch.column("doc_id"), text=batch.column("text"), ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), nbest=pa.array(nbest, best))
 
