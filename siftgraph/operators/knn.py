@@ -39,6 +39,8 @@ def _packed(rows: DataFrame, prefix: str) -> DataFrame:
 def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k nearest by (distance, id), for each row of d."""
     k = min(k, d.shape[1])
+    if not k:
+        return np.zeros((len(d), 0), np.int64)
     cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
     out = np.empty((len(d), k), np.int64)
     for i in range(len(d)):
@@ -48,11 +50,12 @@ def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances by differences, in slices, so equal rows have equal distances."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, (1 << 22) // max(1, b.size))
-    for i in range(0, len(a), step):
-        out[i : i + step] = ((a[i : i + step, None, :] - b[None]) ** 2).sum(2)
+    """Squared distances, feature by feature, so equal rows have equal distances."""
+    out = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T):
+        d = x[:, None] - y[None]
+        d *= d
+        out += d
     return out
 
 
