@@ -117,7 +117,7 @@ def read_results(spark: SparkSession, root: str, kind: str) -> DataFrame:
     are united by name in the order in which columns first appear.
     """
     spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-    lines = spark.read.option("wholetext", True).text(f"{root}/dataset_*/*/run_*/{kind}.csv").select(F.input_file_name().alias("file"), F.regexp_extract("value", r"^﻿?([^\r\n]*)", 1).alias("header"))
+    lines = spark.read.text(f"{root}/dataset_*/*/run_*/{kind}.csv", wholetext=True).select(F.input_file_name().alias("file"), F.regexp_extract("value", r"^﻿?([^\r\n]*)", 1).alias("header"))
     headers = lines.where("header != ''").groupBy("header").agg(F.sort_array(F.collect_set("file")).alias("files")).orderBy(F.element_at("files", 1)).collect()
     frames = [spark.read.csv(r["files"], header=True, mode="PERMISSIVE") for r in headers]
     if not frames:
