@@ -26,16 +26,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the bytes of strings that stand earlier in the corpus; a document may be left empty."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    left = suffix_dedup.remove_repeats(docs, keep_text=True, others=others)
-    text = F.when(F.col("n_bytes") > 0, F.col("kept_text")).otherwise(F.lit(""))
-    own = {"text": text, "n_chars": F.char_length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return left.select(*(own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+    left = suffix_dedup.remove_repeats(rows, keep_text=True, others=("row",))
+    own = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return left.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, repeated at their sources' rates and shuffled."""
-    return mixing.replicate(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return mixing.mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = pieces.MODEL) -> DataFrame:

@@ -67,25 +67,37 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return counts.select("source", "documents", rate.alias("rate"))
 
 
+def _copies(docs: DataFrame, weights: dict[str, float] | None, seed: int, temperature: float) -> DataFrame:
+    """(row, n_copies, copy, shuffle_key): each row as a struct, so none of its columns can clash."""
+    limits = rates(docs.select("source"), weights, temperature).select("source", _limits(F.col("rate")).alias("limits"), "rate")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.coalesce("source", F.lit("")).alias("source"))
+    if limits.select("source").limit(BROADCAST + 1).count() <= BROADCAST:
+        joined = rows.join(F.broadcast(limits), "source")
+    else:
+        salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"])
+    u = uniform(seed, F.col("id"))
+    count = F.when(F.col("rate") > 0, _first(F.col("rate")) + F.size(F.filter("limits", lambda x: x < u))).otherwise(0).cast("long")
+    copies = joined.select("row", "id", count.alias("n_copies")).where("n_copies > 0")
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
+    key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed} order"), "id", F.col("copy").cast("string")).cast("binary")), 1, 16)
+    # A uniform key: every copy lands in a random partition and at a random place there.
+    copies = copies.select("row", "n_copies", "copy", key.alias("shuffle_key"))
+    return copies.repartition(shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+
+
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
     """The documents' columns, n_copies, copy (from 0) and shuffle_key, in the order of the key.
 
-    Columns of docs named like the three added ones are replaced by them.
+    Columns of docs named like the three added ones are left out.
     """
     docs = docs.drop("n_copies", "copy", "shuffle_key")
-    limits = rates(docs, weights, temperature).select(F.col("source").alias("__source"), _limits(F.col("rate")).alias("__limits"), F.col("rate").alias("__rate"))
-    if limits.select("__source").limit(BROADCAST + 1).count() <= BROADCAST:
-        joined = docs.join(F.broadcast(limits), F.coalesce(F.col("source"), F.lit("")) == F.col("__source"))
-    else:
-        salted = limits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.join(salted, (F.coalesce(F.col("source"), F.lit("")) == F.col("__source")) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)) == F.col("__salt"))).drop("__salt")
-    u = uniform(seed, F.col("doc_id"))
-    count = F.when(F.col("__rate") > 0, _first(F.col("__rate")) + F.size(F.filter("__limits", lambda x: x < u))).otherwise(0).cast("long")
-    copies = joined.withColumn("n_copies", count).where("n_copies > 0").drop("__source", "__limits", "__rate")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed} order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")), 1, 16)
-    # A uniform key: every copy lands in a random partition and at a random place there.
-    return copies.withColumn("shuffle_key", key).repartition(shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+    return _copies(docs, weights, seed, temperature).select("row.*", "n_copies", "copy", "shuffle_key")
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
+    """The copies with the documents' own columns only, in the order of the key."""
+    return _copies(docs, weights, seed, temperature).select("row.*")
 
 
 #: The same in DuckDB for the default weights.

@@ -221,22 +221,20 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     Repeats of that doc_id leave one row; where a component has no doc_id, one row for each of its fingerprints stays, that with the smallest text.
     """
     found = near_components(docs, shingle, radius)
-    names = found.select(F.col("doc_id").alias("__d"), "component_id").distinct()
-    kept = names.where("__d = component_id").select("__d").distinct()
-    whole = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__d")).drop("__d").dropDuplicates(["doc_id"])
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("d")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    whole = rows.where("d is not null").select("d", "row").join(kept, "d").dropDuplicates(["d"]).select("row")
     alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    nulls = docs.where("doc_id is null")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = nulls.select(F.struct(*columns).alias("__row"), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    marked = marked.mapInArrow(_with_fingerprint(shingle), marked.select("__row", F.lit(0).cast("long").alias("fp"), "text").schema)
-    rest = marked.join(alone, "fp").groupBy("fp").agg(F.min_by("__row", F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
-    return whole.select(*columns).unionByName(rest)
+    nulls = rows.where("d is null").select("row", "text")
+    marked = nulls.mapInArrow(_with_fingerprint(shingle), nulls.select("row", F.lit(0).cast("long").alias("fp"), "text").schema)
+    rest = marked.join(alone, "fp").groupBy("fp").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row")
+    return whole.union(rest).select("row.*")
 
 
 def _with_fingerprint(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.fromiter((fingerprint(x, shingle) for x in each_text(batch.column("text"))), np.uint64, batch.num_rows)
-            yield batch_of(__row=batch.column("__row"), fp=out.view(np.int64), text=batch.column("text"))
+            yield batch_of(row=batch.column("row"), fp=out.view(np.int64), text=batch.column("text"))
 
     return run

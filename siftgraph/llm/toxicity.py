@@ -304,19 +304,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(lexicon, _logistic(np.stack(fitted["x"].to_numpy()), fitted["toxic"].to_numpy(float)).tolist())
 
 
-def score(docs: DataFrame, model: Model, others: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns others, and score of each row."""
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score): each row as a struct, so none of its columns can clash."""
     session(docs)
-    columns = ("doc_id", *others)
-    kinds = dict(docs.dtypes)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [model.score(t or "") for t in batch.column("__text").to_pylist()]
-            yield batch_of(**{c: batch.column(c) for c in columns}, score=pa.array(out, pa.float64()))
+            out = [model.score(t or "") for t in batch.column("text").to_pylist()]
+            yield batch_of(row=batch.column("row"), score=pa.array(out, pa.float64()))
+
+    return rows.mapInArrow(run, rows.select("row", F.lit(0.0).alias("score")).schema)
+
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double"
-    return docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__text")).mapInArrow(rows, schema)
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of each row."""
+    return _scored(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -327,5 +330,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score stays under the cut."""
-    columns = tuple(c for c in docs.columns if c != "doc_id")
-    return score(docs, fit(docs, labels), columns).where(F.col("score") < CUT).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _scored(docs, fit(docs, labels)).where(F.col("score") < CUT).select("row.*")
