@@ -41,7 +41,7 @@ from .common import batch_of, session
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 3
-CACHE = 300_000
+CACHE = 400_000
 SPACE = "▁"
 
 
@@ -77,12 +77,12 @@ class Vocabulary:
         # Pieces with id and score, and what only begins one with None.
         self.table: dict[str, tuple[int, float, bytes] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))}
         self.table |= {p: (i, scores[i], i.to_bytes(4, "little")) for p, i in self.ids.items()}
-        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        split = not any(x[1] == SPACE and x[0] != SPACE for x in self.pairs)  # else a text is one word
+        self.ends = {p[k:]: None for p in self.ids for k in range(1, len(p))} | {p: self.table[p] for p in self.ids}
+        split = not any(b == SPACE != a for p in self.ids for a, b in zip(p, p[1:]))  # else a text is one word
         lines = not any("\n" in p for p in self.ids)
         self.word = re.compile((r" *[^ \n]+| +|\n" if lines else r"(?s) *[^ ]+| +") if split else "(?s).+")
+        self._matrices()
         self.kept: dict[str, tuple[float, bytes, float]] = {}
-        self.parts: dict[str, tuple[float, bytes, float]] = {}
         self.found: dict[str, list] = {}
 
     def __reduce__(self):
@@ -153,75 +153,173 @@ class Vocabulary:
         between the two best edges into a place of the best path.
         """
         size = len(text)
-        low = -1e300
-        best, second, count = [0.0] + [low] * size, [low] * (size + 1), [0] * (size + 1)
-        back: list[tuple[int, bytes]] = [(0, b"")] * (size + 1)
-        get, longest = self.table.get, self.longest
-        for i in range(size):
-            score, number, known = best[i], count[i] + 1, False
-            for j in range(i + 1, min(size, i + longest) + 1):
-                entry = get(text[i:j], False)
-                if entry is False:
-                    break
-                if entry is None:
-                    continue
-                if j == i + 1:
-                    known = True
-                new = score + entry[1]
-                old = best[j]
-                if new > old:
-                    best[j], second[j], count[j], back[j] = new, old, number, (i, entry[2])
-                elif new > second[j]:
-                    second[j] = new
-                    if new == old and number < count[j]:
-                        count[j], back[j] = number, (i, entry[2])
-            if not known:
-                raw = text[i].encode()
-                new, j = score + self.byte_score * len(raw), i + 1
-                old = best[j]
-                if new > old:
-                    best[j], second[j], count[j], back[j] = new, old, number + len(raw) - 1, (i, b"".join([self.byte[b].to_bytes(4, "little") for b in raw]))
-                elif new > second[j]:
-                    second[j] = new
-        ids, at, loss = [], size, float("inf")
+        best, loss, _, back = self._places(text)
+        ids, at, least = [], size, float("inf")
         while at:
-            if second[at] > low:
-                loss = min(loss, best[at] - second[at])
+            if loss[at] < least:
+                least = loss[at]
             at, own = back[at]
             ids.append(own)
         ids.reverse()
-        return best[size], b"".join(ids), loss
+        return best[size], b"".join(ids), least
+
+    def _places(self, text: str) -> tuple[list, list, list, list]:
+        """For each place the best score, the loss of the second best edge, pieces, and the best edge."""
+        best, loss, count, back = [0.0], [0.0], [0], [(0, b"")]
+        get, longest, low = self.ends.get, self.longest, -1e300
+        for j in range(1, len(text) + 1):
+            i = j - 1
+            entry = get(text[i:j], False)
+            if entry:
+                top, number, edge = best[i] + entry[1], count[i] + 1, (i, entry[2])
+            else:
+                raw = text[i].encode()
+                top, number = best[i] + self.byte_score * len(raw), count[i] + len(raw)
+                edge = i, b"".join([self.byte[b].to_bytes(4, "little") for b in raw])
+            second, stop = low, j - longest
+            while entry is not False and i > 0 and i > stop:
+                i -= 1
+                entry = get(text[i:j], False)
+                if entry:
+                    new = best[i] + entry[1]
+                    if new > top:
+                        second, top, number, edge = top, new, count[i] + 1, (i, entry[2])
+                    elif new > second:
+                        second = new
+                        if new == top and count[i] < number:
+                            number, edge = count[i] + 1, (i, entry[2])
+            best.append(top)
+            loss.append(top - second)
+            count.append(number)
+            back.append(edge)
+        return best, loss, count, back
+
+    def _matrices(self) -> None:
+        """The pieces read backwards as a trie: classes of characters, moves in a hash table, pieces of states."""
+        letters = sorted({c for p in self.ids for c in p})
+        self.classes = np.zeros(0x110000, np.int32)
+        self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        state = {"": 0} | {e: i for i, e in enumerate(sorted(self.ends, key=len), 1)}
+        self.width = len(letters) + 1
+        self.of_state = np.full(len(state), -1, np.int32)
+        self.of_state[[state[p] for p in self.ids]] = list(self.ids.values())
+        keys = np.array([state[e[1:]] * self.width + self.classes[ord(e[0])] for e in state if e], np.int64)
+        goals = np.array([i for e, i in state.items() if e], np.int32)
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.slots, self.goals = np.uint64(64 - bits), np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # all that find their slot free take it, one for each slot
+            free = self.slots[at[left]] < 0
+            _, first = np.unique(at[left[free]], return_index=True)
+            won = left[free][first]
+            self.slots[at[won]], self.goals[at[won]] = keys[won], goals[won]
+            left = np.setdiff1d(left, won)
+            at[left] = np.where(self.slots[at[left]] >= 0, at[left] + 1, at[left]) & ((1 << bits) - 1)
+        self.score_of = np.array([*self.scores, 0.0])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _moves(self, keys: np.ndarray) -> np.ndarray:
+        """The states that keys (state, class) lead to, or -1."""
+        at = self._slot(keys)
+        found = self.slots[at]
+        out = np.where(found == keys, self.goals[at], -1)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            found = self.slots[at[left]]
+            out[left] = np.where(found == keys[left], self.goals[at[left]], -1)
+            left = left[(found != keys[left]) & (found >= 0)]
+        return out
 
-    def _word(self, text: str) -> tuple[float, bytes, float]:
-        """As forward, of a word, by the stretches that no piece goes beyond; kept."""
+    def forward_many(self, words: list[str]) -> dict[str, tuple[float, bytes, float]]:
+        """As forward, of many short words at once: place by place, and for each place the pieces that end there by length."""
+        words = sorted(words, key=len, reverse=True)
+        sizes = np.array([len(w) for w in words])
+        n, width = len(words), int(sizes[0])
+        codes = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), np.uint32)
+        grid = np.zeros((width, n), np.uint32)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for j in range(width):
+            k = int(np.searchsorted(-sizes, -j, "left"))  # words longer than j come first
+            grid[j, :k] = codes[starts[:k] + j]
+        classes = self.classes[grid]
+        best, count = np.zeros((width + 1, n)), np.zeros((width + 1, n), np.int32)
+        loss, step, piece = np.full((width + 1, n), np.inf), np.zeros((width + 1, n), np.int8), np.zeros((width + 1, n), np.int64)
+        for j in range(1, width + 1):
+            k = int(np.searchsorted(-sizes, -j, "right"))
+            own = classes[j - 1, :k]
+            state = self._moves(own.astype(np.int64))
+            single = np.where(state >= 0, self.of_state[state], -1)
+            raw = grid[j - 1, :k]
+            bytes_ = 1 + (raw >= 0x80).astype(np.int32) + (raw >= 0x800) + (raw >= 0x10000)
+            plain = single >= 0
+            top = best[j - 1, :k] + np.where(plain, self.score_of[single], self.byte_score * bytes_)
+            number = count[j - 1, :k] + np.where(plain, 1, bytes_)
+            second = np.full(k, -1e300)
+            length, edge = np.ones(k, np.int8), np.where(plain, single.astype(np.int64), -1 - raw.astype(np.int64))
+            live = np.flatnonzero(state >= 0)
+            state = state[live]
+            for size in range(2, min(j, self.longest) + 1):
+                if not len(live):
+                    break
+                state = self._moves(state.astype(np.int64) * self.width + classes[j - size, live])
+                going = state >= 0
+                live, state = live[going], state[going]
+                ids = self.of_state[state]
+                hit = ids >= 0
+                at, ids = live[hit], ids[hit]
+                new, parts = best[j - size, at] + self.score_of[ids], count[j - size, at] + 1
+                old, older = top[at], second[at]
+                wins = new > old
+                ties = (new == old) & (parts <= number[at])  # the longer piece of equals
+                second[at] = np.where(wins, old, np.maximum(older, new))
+                take = wins | ties
+                at, ids = at[take], ids[take]
+                top[at], number[at], length[at], edge[at] = new[take], parts[take], size, ids
+            best[j, :k], count[j, :k], loss[j, :k], step[j, :k], piece[j, :k] = top, number, top - second, length, edge
+        columns = np.arange(n)
+        score = best[sizes, columns]
+        least, at, path = np.full(n, np.inf), sizes.copy(), []
+        while (live := at > 0).any():
+            least = np.where(live, np.minimum(least, loss[at, columns]), least)
+            path.append(np.where(live, piece[at, columns], np.iinfo(np.int64).max))
+            at = at - np.where(live, step[at, columns], 0)
+        least[least > 1e299] = np.inf
+        path = np.stack(path[::-1], 1)
+        there = path != np.iinfo(np.int64).max
+        flat, ends = path[there], np.cumsum(there.sum(1))
+        if (flat < 0).any():  # characters as bytes
+            pieces = [[i] if i >= 0 else [self.byte[b] for b in chr(-1 - i).encode()] for i in flat.tolist()]
+            longer = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+            flat, ends = np.array(list(itertools.chain.from_iterable(pieces))), longer[ends]
+        raw = flat.astype("<i4").tobytes()
+        cuts = [0, *(4 * ends).tolist()]
+        return {w: (s, raw[a:b], x) for w, s, a, b, x in zip(words, score.tolist(), cuts, cuts[1:], least.tolist())}
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Makes sure that all of words are kept; returns the new ones that are too long to stay."""
         if len(self.kept) >= CACHE:
-            self.kept.clear()
-        if len(self.parts) >= CACHE:
-            self.parts.clear()
-        spaced, pairs = text.replace(" ", SPACE), self.pairs
-        cuts = [0, *[k for k in range(1, len(spaced)) if spaced[k - 1 : k + 1] not in pairs], len(spaced)]
-        stretches = []
-        for a, b in zip(cuts, cuts[1:]):
-            part = spaced[a:b]
-            known = self.parts.get(part)
-            if known is None:
-                known = self.forward(part)
-                if len(part) <= 64:
-                    self.parts[part] = known
-            stretches.append(known)
-        found = stretches[0] if len(stretches) == 1 else (sum([x[0] for x in stretches]), b"".join([x[1] for x in stretches]), min([x[2] for x in stretches]))
-        if len(text) <= 64:
-            self.kept[text] = found
-        return found
+            self.kept = {}
+        new = words - self.kept.keys()
+        short = [w for w in new if len(w) <= 48]
+        for i in range(0, len(short), 1 << 15):
+            self.kept |= self.forward_many(short[i : i + (1 << 15)])
+        long = [w for w in new if len(w) > 48] if len(short) < len(new) else []
+        for w in long:
+            self.kept[w] = self.forward(w.replace(" ", SPACE))
+        return long
 
     def alternatives(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
-        """(loss, ids) of the N best segmentations of a word, by the backward search."""
+        """(loss, ids) of the N best segmentations of a word, by the backward search; the forward pass's best is the first."""
         found = self.found.get(text)
         if found is None:
             if len(self.found) >= CACHE // 4:
                 self.found.clear()
             paths = self.search(text.replace(" ", SPACE), self.nbest)
-            found = [(paths[0][0] - s, ids) for s, ids in paths]
+            best = tuple(np.frombuffer(self.kept[text][1], "<i4").tolist())
+            found = [(0.0, best), *[(paths[0][0] - s, ids) for s, ids in paths if ids != best]][: self.nbest]
             if len(text) <= 64:
                 self.found[text] = found
         return found
@@ -237,26 +335,32 @@ class Vocabulary:
         near = [u for u in near if losses[u] < float("inf")]
         choices = [self.alternatives(words[u]) for u in near]
         combos = sorted(itertools.product(*(range(len(c)) for c in choices)), key=lambda c: sum([x[k][0] for x, k in zip(choices, c)]))[: self.nbest]
-        starts = [0, *itertools.accumulate([len(u[1]) // 4 for u in units])] if near else []
-        return [(sum([x[k][0] for x, k in zip(choices, c)]), [(starts[u], starts[u + 1], x[k][1]) for u, x, k in zip(near, choices, c) if k]) for c in combos]
-
-    def encode(self, text: str) -> tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """The best ids (four bytes each), and for each of the N best its score and the slices (start, stop, ids) of the best that it replaces."""
-        if not text:
-            return b"", []
-        words: list[str | None] = []
-        units: list[tuple[float, bytes, float]] = []
-        known, word = self.kept.get, self._word
-        for k, part in enumerate(text.split(SPACE)):
-            if k:  # a U+2581 of the text itself
-                raw = SPACE.encode()
-                words.append(None)
-                units.append((self.byte_score * len(raw), b"".join([self.byte[b].to_bytes(4, "little") for b in raw]), float("inf")))
-            own = self.word.findall(part if k else " " + part)
-            words += own
-            units += [known(w) or word(w) for w in own]
-        score = sum([u[0] for u in units])
-        return b"".join([u[1] for u in units]), [(score - loss, changes) for loss, changes in self._combined(words, units)]
+        starts = [len(b"".join([x[1] for x in units[:u]])) // 4 for u in near]
+        return [(sum([x[k][0] for x, k in zip(choices, c)]), [(a, a + len(units[u][1]) // 4, x[k][1]) for u, a, x, k in zip(near, starts, choices, c) if k]) for c in combos]
+
+    def encode_many(self, texts: list[str]) -> list[tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
+        """For each text the best ids (four bytes each), and for each of the N best its score and the slices (start, stop, ids) of the best that it replaces."""
+        split = [[self.word.findall(part if k else " " + part) for k, part in enumerate(t.split(SPACE))] if t else [] for t in texts]
+        long = self.learn(set().union(*itertools.chain.from_iterable(split)))
+        kept, out = self.kept, []
+        mark = self.byte_score * 3, b"".join([self.byte[b].to_bytes(4, "little") for b in SPACE.encode()]), float("inf")
+        for parts in split:
+            if not parts:
+                out.append((b"", []))
+                continue
+            words: list[str | None] = parts[0]
+            units = [kept[w] for w in words]
+            for more in parts[1:]:  # behind a U+2581 of the text itself
+                words = [*words, None, *more]
+                units += [mark, *[kept[w] for w in more]]
+            score = sum([u[0] for u in units])
+            out.append((b"".join([u[1] for u in units]), [(score - loss, changes) for loss, changes in self._combined(words, units)]))
+        for w in long:
+            del kept[w]
+        return out
+
+    def encode(self, text: str) -> tuple[bytes, list]:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -288,7 +392,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vocabulary.encode(t or "") for t in batch.column("text").to_pylist()]
+            found = vocabulary.encode_many([t or "" for t in batch.column("text").to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x, _ in found])]).astype(np.int32)
             flat = np.frombuffer(b"".join([x for x, _ in found]), "<i4")
             nbest = [[{"score": s, "changes": [{"start": a, "stop": b, "ids": list(c)} for a, b, c in changes]} for s, changes in x] for _, x in found]
