@@ -72,7 +72,9 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log-probabilities of trigrams, a row for each table place."""
     session(docs)
-    sample = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id", "lang"), "doc_id").limit(TRAIN_ROWS)
+    # The sample is drawn from the narrow columns; only its own texts move.
+    chosen = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id", "lang"), "doc_id").limit(TRAIN_ROWS)
+    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # TRAIN_ROWS rows at most
     found = sample.repartition(1).mapInArrow(_learn, "lang string, rows long, counts binary").where(F.col("rows") >= LEAST_DOCUMENTS).orderBy("lang").collect()
     logs = [np.log((c + 0.5) / (c.sum() + 0.5 * TABLE)) for r in found for c in [np.frombuffer(r["counts"], np.float32).astype(np.float64)]]
     return [r["lang"] for r in found], np.stack(logs, 1) if logs else np.zeros((TABLE, 0))

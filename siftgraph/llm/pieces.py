@@ -304,8 +304,8 @@ class Vocabulary:
             self.kept = {}
         new = words - self.kept.keys()
         short = [w for w in new if len(w) <= 48]
-        for i in range(0, len(short), 1 << 15):
-            self.kept |= self.forward_many(short[i : i + (1 << 15)])
+        for i in range(0, len(short), 1 << 14):
+            self.kept |= self.forward_many(short[i : i + (1 << 14)])
         long = [w for w in new if len(w) > 48] if len(short) < len(new) else []
         for w in long:
             self.kept[w] = self.forward(w.replace(" ", SPACE))
@@ -362,6 +362,10 @@ class Vocabulary:
     def encode(self, text: str) -> tuple[bytes, list]:
         return self.encode_many([text])[0]
 
+    def forget(self) -> None:
+        """Frees what was kept of words: a worker that decodes has no need of it."""
+        self.kept, self.found = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
         return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "replace")
@@ -409,6 +413,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, others: tuple[str, ...] =
     kinds = {f.name: f.dataType.simpleString() for f in encoded.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary.forget()
         for batch in batches:
             ids = batch.column("ids")
             rows = [x.values.to_numpy().tolist() if x.is_valid else [] for x in ids]

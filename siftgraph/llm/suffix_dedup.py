@@ -18,10 +18,11 @@ windows can repeat at all, and these are dealt out so that equal windows meet:
 3.  The pieces' bytes are dealt out by the anchor with the bytes on its left or
     on its right (half of what a window holds beside the anchor), whichever all
     the windows contain, so a common line with different surroundings splits.
-    Equal pieces collapse to the first. Each task concatenates the others and
-    builds their suffix array; windows that are equal stand together there, and
-    all but the first occurrence are repeats. The bytes of the key, which all
-    windows of a piece contain, stand as one symbol in it.
+    Keys of anchors with over HOT runs take half of the bytes left beside them as
+    well, and so on, up to whole windows. Equal pieces collapse to the first. Each
+    task concatenates the others and builds their suffix array; windows that are
+    equal stand together there, and all but the first occurrence are repeats. The
+    bytes of the key, which all windows of a piece contain, are one symbol in it.
 4.  The repeats' spans are joined to the documents and cut out.
 
 The suffix array is built by linear grouping: suffixes start in groups by their
@@ -51,6 +52,8 @@ from .common import batch_of, checkpoint, each_text, longs, session, shuffle_par
 
 #: Bytes of a repeated string, of an anchor, and of an anchor's side in a key.
 LENGTH, GRAM = 100, 32
+#: Runs of an anchor over different bytes from which on its keys are made longer.
+HOT = 20_000
 #: Bytes that the anchor step and a suffix array take at once; longer texts go in overlapping slices.
 SLICE, PART = 1 << 20, 1 << 17
 _SPAN, _WHOLE = 16, 1 << 15
@@ -321,8 +324,8 @@ def _pieces(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: dict = {}
         for batch in batches:
-            ids, keys, docs, starts, parts, lefts = _ids(batch), [], [], [], [], []
-            for doc, text, runs in zip(ids, each_text(batch.column("text")), batch.column("runs")):
+            ids, rows = _ids(batch), []
+            for doc, text, runs in zip(ids.tolist(), each_text(batch.column("text")), batch.column("runs")):
                 for x in runs.as_py():
                     s, k = x["start"], x["windows"]
                     piece = text[s : s + k - 1 + length]
@@ -334,36 +337,58 @@ def _pieces(length: int, gram: int):
                     found = np.flatnonzero(hashes.of(at, at + gram).view(np.int64) == x["h"])
                     a = int(found[found <= length - gram][-1]) if len(found) else 0
                     cut = min(max(a - half + 1, 0), k)  # windows before it contain the half on the left
+                    own = []
                     for lo, hi, left, right in ((0, cut, a - half, a + gram), (cut, k, a, a + gram + half)):
                         if hi > lo:
-                            keys.append(hashlib.blake2b(piece[left:right], digest_size=8, person=b"l" if left < a else b"r").digest())
-                            docs.append(doc)
-                            starts.append(s + lo)
-                            parts.append(piece[lo:left] + piece[right : hi - 1 + length])
-                            lefts.append(left - lo)
-            if keys:
-                yield batch_of(key=np.frombuffer(b"".join(keys), np.int64), doc=np.array(docs, np.int64), start=np.array(starts, np.int64), left=np.array(lefts, np.int64), piece=pa.array(parts, pa.binary()))
+                            key = hashlib.blake2b(piece[left:right], digest_size=8, person=b"l" if left < a else b"r").digest()
+                            own.append((key, doc, s + lo, left - lo, gram + half, piece[lo:left] + piece[right : hi - 1 + length]))
+                    rows += _longer_keys(own, length, x["times"]) if x["times"] else own
+            if rows:
+                keys, docs, starts, lefts, cores, parts = zip(*rows)
+                yield batch_of(key=np.frombuffer(b"".join(keys), np.int64), doc=np.array(docs, np.int64), start=np.array(starts, np.int64), left=np.array(lefts, np.int64), core=np.array(cores, np.int64), piece=pa.array(parts, pa.binary()))
 
     return run
 
 
-def _sorted_pieces(length: int, gram: int):
+def _longer_keys(rows: list[tuple], length: int, times: int) -> list[tuple]:
+    """Pieces (key, doc, start, left, core, bytes) under keys that hold half of the bytes left beside them more, so many times.
+
+    A window holds `length - core` bytes beside the key's; it holds half of them on
+    the left, or more than the other half on the right, so it has one longer key.
+    In the end keys hold whole windows.
+    """
+    for _ in range(times):
+        out = []
+        for key, doc, start, left, core, piece in rows:
+            half, windows = (length - core + 1) // 2, len(piece) + core - length + 1
+            if core >= length:
+                out.append((key, doc, start, left, core, piece))
+                continue
+            right = length - core - half + 1  # what a window without the left half holds on the right at least
+            cut = min(max(left - half + 1, 0), windows)  # windows before it hold the half on the left
+            for lo, hi, a, b, side in ((0, cut, left - half, left, b"l"), (cut, windows, left, left + right, b"r")):
+                if hi > lo:
+                    longer = hashlib.blake2b(key + piece[a:b], digest_size=8, person=side).digest()
+                    out.append((longer, doc, start + lo, a - lo, core + b - a, piece[lo:a] + piece[b : hi - 1 + length - core]))
+        rows = out
+    return rows
+
+
+def _sorted_pieces(length: int):
     """Pieces sorted by key, doc, start to spans of repeats: doc, start, windows.
 
     The bytes that all pieces of a key share stand for one symbol, the key's own,
     so the suffix array takes only what is beside them.
     """
-    core = gram + (length - gram) // 2
-    window = length - core + 1
 
-    def settle(rows: list) -> pa.RecordBatch | None:
+    def settle(core: int, rows: list) -> pa.RecordBatch | None:
         names: dict = {}
         rows.sort(key=lambda x: (x[1], x[2]))
         pieces = []
-        for key, _, _, left, piece in rows:
+        for key, _, _, left, _, piece in rows:
             piece = np.frombuffer(piece, np.uint8).astype(np.int32) + 1
             pieces.append(np.concatenate([piece[:left], [names.setdefault(key, 257 + len(names))], piece[left:]]))
-        pairs = repeats(pieces, window)
+        pairs = repeats(pieces, length - core + 1)
         if not len(pairs):
             return None
         starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])[:-1]])
@@ -380,33 +405,37 @@ def _sorted_pieces(length: int, gram: int):
         return batch_of(doc=docs[k[new]], start=where[new], windows=np.diff(np.concatenate([new, [len(k)]])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # of the last key
+        held: list = []  # the distinct pieces of the last key
         known: dict = {}
-        ready: list = []
+        ready: dict[int, list] = {}  # by bytes of the key
+        size: dict[int, int] = {}
         whole: list = []
-        size = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                core = held[0][4]
+                ready.setdefault(core, []).extend(held)
+                size[core] = size.get(core, 0) + sum(len(x[5]) + 2 for x in held)
+                if size[core] >= PART and (out := settle(core, ready.pop(core))) is not None:
+                    yield out
+                size[core] = size[core] % PART if core in ready else 0
+
         for batch in batches:
-            for row in zip(longs(batch, "key").tolist(), longs(batch, "doc").tolist(), longs(batch, "start").tolist(), longs(batch, "left").tolist(), batch.column("piece").to_pylist()):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "start", "left", "core", "piece"))):
                 if held and held[0][0] != row[0]:
-                    if len(held) > 1:
-                        ready += held
-                        size += sum(len(x[4]) + 2 for x in held)
-                        if size >= PART:
-                            if (out := settle(ready)) is not None:
-                                yield out
-                            ready, size = [], 0
+                    yield from close()
                     held, known = [], {}
                 if (first := known.setdefault(row[3:], row)) is row:
                     held.append(row)
                 elif first[1:3] != row[1:3]:  # the same bytes again: a repeat as a whole
-                    whole.append((row[1], row[2], len(row[4]) + 2 - window))
+                    whole.append((row[1], row[2], len(row[5]) + row[4] - length + 1))
             if whole:
                 yield batch_of(**dict(zip(("doc", "start", "windows"), map(np.array, zip(*whole)))))
                 whole = []
-        if len(held) > 1:
-            ready += held
-        if ready and (out := settle(ready)) is not None:
-            yield out
+        yield from close()
+        for core, rows in ready.items():
+            if (out := settle(core, rows)) is not None:
+                yield out
 
     return run
 
@@ -441,6 +470,9 @@ def _cut(length: int, keep_text: bool):
     return run
 
 
+_PIECES = "key long, doc long, start long, left long, core long, piece binary"
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, others: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns others, n_bytes, n_removed, n_spans and kept_sha256 of each document (see the module).
 
@@ -458,9 +490,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     columns = ["doc_id", *others]
     # Both joins below read one and the same exchange of the texts.
     whole = docs.select(doc.alias("doc"), F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"_{c}") for c in columns))
-    unsettled = found.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "h")).alias("runs"))
-    pieces = whole.join(unsettled.hint("shuffle_hash"), "doc").mapInArrow(_pieces(length, gram), "key long, doc long, start long, left long, piece binary")
-    more = pieces.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sorted_pieces(length, gram), "doc long, start long, windows long")
+    runs = found.where("h is not null")
+    sizes = runs.groupBy("h").count().where(F.col("count") > HOT)  # few, and no hot anchor is gathered
+    runs = runs.join(sizes, "h", "left").withColumn("times", F.when(F.col("count") > 8 * HOT, length.bit_length()).when(F.col("count") > HOT, 3).otherwise(0))
+    unsettled = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "h", "times")).alias("runs"))
+    pieces = whole.join(unsettled.hint("shuffle_hash"), "doc").mapInArrow(_pieces(length, gram), _PIECES)
+    more = pieces.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sorted_pieces(length), "doc long, start long, windows long")
     spans = found.where("h is null").select("doc", "start", "windows").union(more).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     whole = whole.join(spans.hint("shuffle_hash"), "doc", "left").select(*(f"_{c}" for c in columns), "text", "spans")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text

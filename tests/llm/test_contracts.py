@@ -300,9 +300,10 @@ def test_suffix_dedup_against_plain(docs):
     assert got == plain_repeats(texts(docs), 100)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_suffix_dedup_of_patchworks(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 20_000), (1, 3), (2, 0), (3, 1)])
+def test_suffix_dedup_of_patchworks(spark, seed, hot, monkeypatch):
     """Short alphabets, shared passages with edits, periodic texts, texts over the slice size."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(seed)
     passages = ["".join(rng.choice("abc ") for _ in range(rng.randint(5, 90))) for _ in range(12)] + ["ab" * 40, "z" * 70]
     rows = []
