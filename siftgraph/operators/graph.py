@@ -42,6 +42,19 @@ def local_threshold_graph(sim: DataFrame, quantile: float = 0.8, k_min: int = 1)
     return symmetric(kept)
 
 
+def unordered(pairs: DataFrame) -> DataFrame:
+    """(i, j) with i < j: distinct unordered pairs (a, b) of different features."""
+    return pairs.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).where("i != j").distinct()
+
+
+def coloured(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Edges (i, j, ...) with colour, by how many of their ends are chosen: the table behind a network plot."""
+    ends = chosen.select(F.col("fid"), F.lit(1).alias("on")).distinct()
+    one, two = ends.select(F.col("fid").alias("i"), F.col("on").alias("a")), ends.select(F.col("fid").alias("j"), F.col("on").alias("b"))
+    n = F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))
+    return edges.join(one, "i", "left").join(two, "j", "left").withColumn("colour", F.when(n == 2, "both").when(n == 1, "one").otherwise("none")).drop("a", "b")
+
+
 def _half(scores: DataFrame) -> DataFrame:
     """Scores to [0, 1]; a range under 1e-12 gives 0.5."""
     ends = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))

@@ -25,13 +25,24 @@ BROADCAST = 512 << 20
 def _packed(rows: DataFrame, prefix: str) -> DataFrame:
     """Blocks (matrix, ids, labels, folds) of at most BLOCK rows, as binary columns."""
 
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(parts)
+        x = np.array(part.column("features").to_pylist(), np.float64)
+        ids, labels, folds = (part.column(c).to_numpy().astype(np.int64) for c in ("sample_id", "label", "fold"))
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, ids, labels, folds)], names=[f"{prefix}{c}" for c in ("x", "ids", "labels", "folds")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
-                x = np.array(part.column("features").to_pylist(), np.float64)
-                ids, labels, folds = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sample_id", "label", "fold"))
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, ids, labels, folds)], names=[f"{prefix}{c}" for c in ("x", "ids", "labels", "folds")])
+                if size + part.num_rows > BLOCK:
+                    yield block(held)
+                    held, size = [], 0
+                held.append(part)
+                size += part.num_rows
+        if size:
+            yield block(held)
 
     return rows.select(F.col("sample_id").cast("long").alias("sample_id"), F.col("label").cast("long").alias("label"), F.col("fold").cast("long").alias("fold"), "features").mapInArrow(run, ", ".join(f"{prefix}{c} binary" for c in ("x", "ids", "labels", "folds")))
 

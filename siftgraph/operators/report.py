@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import category, method_base
-from .pareto import front, hypervolume, igd
+from .pareto import front, hypervolume, igd, median_run
 
 
 def points(table: DataFrame) -> DataFrame:
@@ -132,3 +132,14 @@ def reference_size(baseline: DataFrame, enhanced: DataFrame) -> DataFrame:
     """(dataset_idx, run, k_ref): the enhanced size, else the baseline's, else 1; sizes of 0 count as none."""
     e = enhanced.select("dataset_idx", "run", F.col("fnum").alias("e"))
     return baseline.join(e, ["dataset_idx", "run"], "full").select("dataset_idx", "run", F.coalesce(F.nullif("e", F.lit(0)), F.nullif("fnum", F.lit(0)), F.lit(1)).alias("k_ref"))
+
+
+def median_fronts(table: DataFrame) -> DataFrame:
+    """(dataset_idx, method, run, fr, er, place): each method's front in its run of median hypervolume, and its place in a legend.
+
+    The table behind the comparison plot: enhanced methods first, then baselines, then others.
+    """
+    groups = ["dataset_idx", "method", "run"]
+    chosen = median_run(hypervolume(table, groups), ["dataset_idx", "method"]).drop("hv")
+    place = F.when(category(F.col("method")) == "enhanced", 0).when(category(F.col("method")) == "baseline", 1).otherwise(2)
+    return front(table.join(chosen, groups, "left_semi"), groups).withColumn("place", place)

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .kshell import Decoder, rc_greedy
@@ -259,6 +260,17 @@ def population_metrics(population: DataFrame) -> DataFrame:
     return population.groupBy("gen").agg(F.avg("obj1").alias("mean_obj1"), F.avg("obj2").alias("mean_obj2"), F.stddev_pop("obj1").alias("std_obj1"), F.stddev_pop("obj2").alias("std_obj2"), F.avg((F.col("rank") == 1).cast("double")).alias("prop_rank1"))
 
 
+def truncated(archive: DataFrame, groups: list[str], value: str, key: str, most: int) -> DataFrame:
+    """Of each group the rows of the `most` largest values; ties by key."""
+    rn = F.row_number().over(W.partitionBy(*groups).orderBy(F.desc(value), key))
+    return archive.withColumn("__rn", rn).where(F.col("__rn") <= most).drop("__rn")
+
+
+def generation_rows(result: Result, spark: SparkSession) -> DataFrame:
+    """(gen, obj1, obj2): the objectives of each generation's first front."""
+    return spark.createDataFrame([(x["gen"], float(a), float(b)) for x in result.log for a, b in x["rank1"]], "gen int, obj1 double, obj2 double")
+
+
 # Refinement after the search.
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embedded, graph, kshell, knn, prep, search, stats
+from ..operators.report import united
 from ..sources.tables import FRONT_SCHEMA, TEST_SCHEMA, melt, widen
 
 
@@ -243,6 +244,62 @@ def run(context: Context, algo: str) -> tuple[DataFrame, DataFrame]:
     raise ValueError(f"no algorithm {algo}")
 
 
+def sweep(context: Context, methods: list[str], k_ref: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Front and test-point tables of many algorithms; with k_ref also each score method's test point of that size, mode 'k_ref'.
+
+    A method that fails is left out and named in the exception's notes only if all fail.
+    """
+    fronts, tests, failed = [], [], []
+    for name in methods:
+        try:
+            front, test = run(context, name)
+            fronts.append(front)
+            tests.append(test)
+            if k_ref is not None and name.split(":")[0] in ("trad", "graph") and "WRAP" not in name:
+                tests.append(run(replace_config(context, fixed_fnum=k_ref), name)[1].withColumn("test_mode", F.lit("k_ref")))
+        except (ValueError, KeyError) as e:
+            failed.append(f"{name}: {e}")
+    if not fronts:
+        raise ValueError("; ".join(failed) or "no methods")
+    return united(fronts), united(tests)
+
+
+def repeated(context: Context, algo: str, runs: int) -> tuple[DataFrame, DataFrame]:
+    """The tables of runs 1 to `runs`; split, similarities and scores are computed once."""
+    parts = [run(replace_config(context, run=r), algo) for r in range(1, runs + 1)]
+    return united([p[0] for p in parts]), united([p[1] for p in parts])
+
+
+def test_front(context: Context, subsets: list[list[int]]) -> DataFrame:
+    """(fRatio, eRate_test, fset): the least test error of each distinct ratio over all subsets, by ratio."""
+    rows = [(len(ids) / context.p, 1 - context.test_accuracy(context.scaled, ids), " ".join(map(str, sorted(ids)))) for ids in subsets]
+    frame = context.spark.createDataFrame(rows, "fRatio double, eRate_test double, fset string")
+    best = F.min_by(F.struct("eRate_test", "fset"), F.struct("eRate_test", "fset"))
+    return frame.groupBy("fRatio").agg(best.alias("b")).select("fRatio", "b.*").orderBy("fRatio")
+
+
+def score_front(context: Context, scores: DataFrame) -> DataFrame:
+    """test_front of the ratio grid over ranked scores."""
+    order = [r["fid"] for r in stats.ranked(scores).orderBy("rank").select("fid").collect()]
+    return test_front(context, [order[: min(context.p, max(1, round(r * context.p)))] for r in context.config.ratios])
+
+
+def pareto_front_on_test(context: Context, initializer: str = "knn") -> DataFrame:
+    """test_front of a solved run's Pareto set."""
+    _, result, _, _ = _search(replace_config(context, post_modes=("normal",)), initializer, context.config.search)
+    return test_front(context, [[int(x) for x in result.subsets[i]] for i in result.pareto()])
+
+
+def named_holdout(context: Context, subsets: dict[str, list[int]]) -> DataFrame:
+    """(name, acc_test): hold-out accuracies of named subsets of the standardised features."""
+    return context.spark.createDataFrame([(n, float(context.test_accuracy(context.standard, ids))) for n, ids in subsets.items()], "name string, acc_test double")
+
+
+def logged(combination: tuple[str, str, str], only: tuple[str, str, str] | None) -> bool:
+    """Whether a combination (initialiser, mode, post) is logged: all are, or only the one named."""
+    return only is None or combination == only
+
+
 #: Settings of the sensitivity sweeps.
 SWEEPS = {"prob_beta": (1.4, 1.7, 2.0, 2.3), "ks_rc_tau": (0.0, 0.3, 0.6, 0.9), "buddy_lambda": (0.2, 0.5, 0.7, 1.0)}
 

@@ -633,10 +633,10 @@ def union_merge(spark, sf):
 _SIZES = "sizes AS (SELECT DISTINCT dataset_idx, run, CAST(1 + dataset_idx + run AS INT) AS target_fnum FROM front WHERE NOT (dataset_idx = 2 AND run = 4))"
 
 
-@query(f"WITH {FRONT}, {_SIZES} SELECT DISTINCT dataset_idx, run, target_fnum FROM front LEFT JOIN sizes USING (dataset_idx, run)")
+@query(f"WITH {FRONT}, {_SIZES} SELECT DISTINCT dataset_idx, run, coalesce(target_fnum, -1) AS target_fnum FROM front LEFT JOIN sizes USING (dataset_idx, run)")
 def ref_size_lookup(spark, sf):
     p = _points(spark, sf)
-    return report.with_targets(p.select("dataset_idx", "run").distinct(), tables.ref_sizes(p))
+    return report.with_targets(p.select("dataset_idx", "run").distinct(), tables.ref_sizes(p)).fillna(-1, ["target_fnum"])
 
 
 @query(f"WITH {FRONT}, {_SIZES} SELECT DISTINCT dataset_idx, run FROM front ANTI JOIN sizes USING (dataset_idx, run)")
@@ -722,6 +722,75 @@ def score_sanitise(spark, sf):
     return tables.table(spark, sf, "events").select("event_id", text.finite(bad).alias("score"))
 
 
+# Predicates, sets and tables for plots.
+
+
+@query("SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id AS VARCHAR) END AS DOUBLE) AS v FROM events")
+def numeric_coercion(spark, sf):
+    rows = tables.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, "x").otherwise(F.col("event_id").cast("string")).alias("v"))
+    return tables.numeric(rows, ["v"])
+
+
+@query("SELECT event_id, value / (value + 50.0e0) AS er FROM events WHERE event_id % 4 != 1 AND event_id % 4 != 2")
+def complement_column(spark, sf):
+    e = tables.table(spark, sf, "events")
+    rate = F.col("value") / (F.col("value") + 50.0)
+    rows = e.select("event_id", F.lit(0.5).alias("fRatio"), F.when(F.col("event_id") % 2 == 0, rate).alias("eRate_train_cv"), F.lit(None).cast("double").alias("acc_train_cv"))
+    rows = rows.union(e.where("event_id % 4 = 3").select("event_id", F.lit(0.5), rate, F.lit(None).cast("double")))
+    return report.points(rows).where("event_id % 4 != 2").select("event_id", "er")
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % 5 NOT IN (0, 1, 2)")
+def finite_filter(spark, sf):
+    k = F.col("event_id") % 5
+    bad = F.when(k == 0, float("nan")).when(k == 1, float("-inf")).when(k != 2, F.col("value"))
+    return tables.table(spark, sf, "events").select("event_id", bad.alias("value")).where(text.is_finite(F.col("value")))
+
+
+@query(f"WITH {WIDE} SELECT sample_id, array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN features[i + 1] > 0 THEN i END), ' ') AS ids FROM wide")
+def mask_to_ids(spark, sf):
+    ids = F.filter(F.transform("features", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    return _wide(spark, sf).select("sample_id", text.join_ids(ids).alias("ids"))
+
+
+@query(f"WITH {FRONT}, {TEST}, s AS (SELECT *, max(CASE WHEN test_mode = 'selected' THEN 1 ELSE 0 END) OVER (PARTITION BY dataset_idx, method, run) AS h FROM test) SELECT dataset_idx, method, run, point_id, test_mode FROM s WHERE h = 0 OR test_mode = 'selected'")
+def selected_only(spark, sf):
+    return report.selected_only(tables.test_points(spark, sf), ["dataset_idx", "method", "run"]).select("dataset_idx", "method", "run", "point_id", "test_mode")
+
+
+@query("SELECT DISTINCT least(event_id % 11, user_id % 13) AS i, greatest(event_id % 11, user_id % 13) AS j FROM events WHERE event_id % 11 != user_id % 13")
+def distinct_pairs(spark, sf):
+    return graph.unordered(tables.table(spark, sf, "events").select((F.col("event_id") % 11).alias("a"), (F.col("user_id") % 13).alias("b")))
+
+
+@query("WITH kept AS (SELECT event_id % 11 AS src, user_id % 13 AS dst, value AS sim FROM events) SELECT src, dst, max(sim) AS sim FROM (SELECT src, dst, sim FROM kept UNION ALL SELECT dst, src, sim FROM kept) GROUP BY 1, 2")
+def symmetrise(spark, sf):
+    return graph.symmetric(tables.table(spark, sf, "events").select((F.col("event_id") % 11).alias("src"), (F.col("user_id") % 13).alias("dst"), F.col("value").alias("sim")))
+
+
+@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY -ln((('0x' || substr(md5('7:' || event_id), 1, 12))::BIGINT + 0.5e0) / 281474976710656.0e0) / value, event_id) AS k FROM events) WHERE k <= 20")
+def weighted_sampling(spark, sf):
+    e = tables.table(spark, sf, "events").select("event_type", "event_id", "value")
+    return prep.weighted_sample(e, "event_type", F.col("value"), F.lit(20), 7, ["event_id"]).select("event_type", "event_id")
+
+
+@query("SELECT gen, event_id FROM (SELECT event_id % 10 AS gen, event_id, row_number() OVER (PARTITION BY event_id % 10 ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 20")
+def archive_truncation(spark, sf):
+    rows = tables.table(spark, sf, "events").select((F.col("event_id") % 10).alias("gen"), "event_id", "value")
+    return search.truncated(rows, ["gen"], "value", "event_id", 20).select("gen", "event_id")
+
+
+@query(f"WITH {_GRAPH} SELECT i, j, CASE WHEN i % 8 = 0 AND j % 8 = 0 THEN 'both' WHEN i % 8 = 0 OR j % 8 = 0 THEN 'one' ELSE 'none' END AS colour FROM sims WHERE sim > 0.05")
+def edge_colours(spark, sf):
+    chosen = spark.range(0, 64, 8).select(F.col("id").cast("int").alias("fid"))
+    return bigints(graph.coloured(_sim(spark, sf).where("sim > 0.05"), chosen).select("i", "j", "colour"), "i", "j")
+
+
+@query(f"WITH {FRONT}, {_HV}, {'m AS (SELECT dataset_idx, method, quantile_cont(hv, 0.5) AS mid FROM hv GROUP BY 1, 2), p AS (SELECT dataset_idx, method, run FROM (SELECT hv.*, row_number() OVER (PARTITION BY dataset_idx, method ORDER BY round(abs(hv - mid), 12), run) AS k FROM hv JOIN m USING (dataset_idx, method)) WHERE k = 1)'} SELECT dataset_idx, method, run, fr, er, CASE WHEN contains(method, 'enhanced') THEN 0 WHEN contains(method, 'baseline') THEN 1 ELSE 2 END AS place FROM nd JOIN p USING (dataset_idx, method, run)")
+def median_fronts(spark, sf):
+    return report.median_fronts(_points(spark, sf))
+
+
 #: The flagship query: the ten best features by Fisher score, and the hold-out accuracy on them.
 FLAGSHIP = f"WITH {LONG.replace('long AS', 'everything AS')}, {SPLIT}, {LONG.replace('long AS (SELECT', 'trains AS (SELECT').replace('FROM embeddings)', 'FROM embeddings)')}, long0 AS (SELECT * FROM trains JOIN split USING (sample_id, label) WHERE split = 'train'), {FISHER.replace('FROM long', 'FROM long0')}, top AS (SELECT fid FROM fisher ORDER BY score DESC, fid LIMIT 10), long AS (SELECT everything.* FROM everything JOIN top USING (fid)), {_knn_sql('fid >= 0')} SELECT round(avg(hit), 9) AS accuracy, count(*) AS n_test FROM hits"
 

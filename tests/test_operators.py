@@ -138,6 +138,15 @@ def test_search_runs_and_is_deterministic(spark, data):
     with pytest.raises(ValueError):
         pipeline.run(c, "enh:nothing:normal")
     assert pipeline.run(c, "trad:WRAP_RFE_SVM")[1].count() == 1
+    assert pipeline.pareto_front_on_test(c).count() >= 1
+    assert pipeline.named_holdout(c, {"a": [2], "b": []}).count() == 2
+    few = pipeline.replace_config(c, ratios=(0.2, 0.5))
+    front, test = pipeline.sweep(few, ["trad:FILTER_pearson", "trad:nothing", "all"], k_ref=2)
+    assert front.count() == 3 and {r["test_mode"] for r in test.collect()} == {"ratio", "k_ref", "all"}
+    assert pipeline.score_front(few, stats.fisher(tables.melt(wide))).count() == 2
+    assert pipeline.repeated(few, "all", 2)[1].count() == 2
+    assert search.generation_rows(one, spark).count() > 0 and search.log_frame(one, spark).count() == 3
+    assert pipeline.logged(("a", "b", "c"), None) and not pipeline.logged(("a", "b", "c"), ("a", "b", "d"))
     fixed = pipeline.Context(wide, pipeline.Config(fixed_fnum=2))
     assert pipeline.run(fixed, "graph:InfFS")[1].first()["test_mode"] == "fixed_k"
 
