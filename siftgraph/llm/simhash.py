@@ -35,8 +35,9 @@ from .common import batch_of, checkpoint, components, each_text, forest, longs,
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints that a shard should hold at home, the fewest levels of the tree and its bounded sample.
-SHARD, LEVELS, SAMPLE = 1 << 14, 6, 1 << 14
-BLOCK = 192
+SHARD, LEVELS, SAMPLE = 1 << 18, 6, 1 << 14
+#: Homes that are compared directly, and visitors that a shard takes at once.
+BLOCK, VISITORS = 192, 1 << 19
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -108,17 +109,20 @@ def _sides(d, edge, home, radius):
     return inside, outside
 
 
-def links(fp: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a home, any) at 1 to radius differing bits by a local vantage-point tree; very many are thinned to a forest."""
+def links(fp: np.ndarray, home: np.ndarray, radius: int = RADIUS, own: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a home, any) at 1 to radius differing bits by a local vantage-point tree; very many are thinned to a forest.
+
+    Without own, links between homes are left out.
+    """
     found_a, found_b = [], []
     held = 0
     stack = [(np.flatnonzero(home), np.flatnonzero(~home), 0)]
     while stack:
         h, v, depth = stack.pop()
-        if not len(h) or len(h) + len(v) < 2:
+        if not len(h) or not own and not len(v) or len(h) + len(v) < 2:
             continue
         if len(h) <= BLOCK or depth > 40:
-            other = np.concatenate([h, v])
+            other = np.concatenate([h, v]) if own else v
             for i in range(0, len(h), BLOCK):
                 block = h[i : i + BLOCK]
                 for j in range(0, len(other), 8192):
@@ -136,7 +140,7 @@ def links(fp: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> tuple[np.nd
         edge = int(np.median(dh))
         if (dh <= edge).all():
             edge = max(0, int(dh.max()) - 1)
-        near = (dh > edge) & (dh <= edge + radius)
+        near = (dh > edge) & (dh <= edge + radius) & own
         stack.append((h[dh <= edge], np.concatenate([v[dv <= edge + radius], h[near]]), depth + 1))
         stack.append((h[dh > edge], v[dv > edge - radius], depth + 1))
     if not found_a:
@@ -155,33 +159,46 @@ def _route(tree: Tree, radius: int):
 
 
 def _shards(radius: int):
-    """Rows sorted by leaf to forest edges a, b of each leaf's links."""
+    """Rows sorted by leaf, homes first, to forest edges a, b of each leaf's links. Memory holds a shard's homes and some visitors."""
 
-    def settle(rows: list) -> pa.RecordBatch | None:
-        fp, home = np.concatenate([x[0] for x in rows]).view(np.uint64), np.concatenate([x[1] for x in rows])
-        a, b = links(fp, home, radius)
-        if not len(a):
-            return None
-        a, b = forest(a.view(np.int64), b.view(np.int64))
-        return batch_of(a=a, b=b)
+    def settle(homes: np.ndarray, visitors: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
+        fp = np.concatenate([homes, visitors]).view(np.uint64)
+        a, b = links(fp, np.arange(len(fp)) < len(homes), radius, own)
+        if len(a):
+            a, b = forest(a.view(np.int64), b.view(np.int64))
+            yield batch_of(a=a, b=b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        last = None
+        homes: list[np.ndarray] = []
+        visitors: list[np.ndarray] = []
+        last, size, own = None, 0, True
+        none = np.zeros(0, np.int64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal visitors, size, own, homes
+            if homes and (own or visitors):
+                homes = [np.concatenate(homes)]
+                yield from settle(homes[0], np.concatenate([none, *visitors]), own)
+            visitors, size, own = [], 0, False
+
         for batch in batches:
-            leaf, fp, home = longs(batch, "leaf"), longs(batch, "fp"), longs(batch, "home")
+            leaf, fp, home = longs(batch, "leaf"), longs(batch, "fp"), longs(batch, "home").astype(bool)
             cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1), len(leaf)]
             for i, j in zip(cuts, cuts[1:]):
                 if j <= i:
                     continue
-                if last is not None and leaf[i] != last and held:
-                    if (out := settle(held)) is not None:
-                        yield out
-                    held = []
+                if last is not None and leaf[i] != last:
+                    yield from flush()
+                    homes, own = [], True
                 last = leaf[i]
-                held.append((fp[i:j], home[i:j].astype(bool)))
-        if held and (out := settle(held)) is not None:
-            yield out
+                if home[i:j].any():
+                    homes.append(fp[i:j][home[i:j]])
+                if not home[i:j].all():
+                    visitors.append(fp[i:j][~home[i:j]])
+                    size += len(visitors[-1])
+                    if size >= VISITORS:
+                        yield from flush()
+        yield from flush()
 
     return run
 
@@ -197,7 +214,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     sample = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = Tree(sample, levels)
     routed = distinct.select("fp").mapInArrow(_route(tree, radius), "leaf long, fp long, home boolean")
-    return routed.repartition(max(shuffle_partitions(spark), 2), "leaf").sortWithinPartitions("leaf").mapInArrow(_shards(radius), "a long, b long")
+    return routed.repartition(max(shuffle_partitions(spark), 2), "leaf").sortWithinPartitions("leaf", F.desc("home")).mapInArrow(_shards(radius), "a long, b long")
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

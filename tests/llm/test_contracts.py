@@ -153,6 +153,13 @@ def test_simhash_against_plain(docs, odd):
     assert simhash.near_components(odd.limit(0)).count() == 0
 
 
+def test_visitors_come_in_parts(spark, docs, monkeypatch):
+    whole = sorted(map(tuple, simhash.near_components(docs).collect()))
+    monkeypatch.setattr(simhash, "VISITORS", 5)
+    monkeypatch.setattr(simhash, "SHARD", 2)
+    assert sorted(map(tuple, simhash.near_components(docs).collect())) == whole
+
+
 def test_vantage_points_lose_no_link():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**64, 3000, np.uint64)
