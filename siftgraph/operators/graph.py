@@ -130,6 +130,12 @@ def neighbour_lists(edges: DataFrame, tolerance: float = 0.0) -> DataFrame:
     return edges.where(F.col("sim") > tolerance).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
+def neighbour_matrix(sim: DataFrame, k: int = 5) -> DataFrame:
+    """(src, nearest): each feature's k most similar features, the most similar first."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.negative("sim").alias("s"), "dst")))
+    return knn_graph(sim, k).groupBy("src").agg(F.transform(pairs, lambda p: p["dst"]).alias("nearest"))
+
+
 def gene_layout(edges: DataFrame) -> DataFrame:
     """(gene_pos, src, dst, sim): a bit of a genome for each edge, by src, then dst."""
     sizes = edges.groupBy("src").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("src").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -208,19 +214,18 @@ def pagerank(edges: DataFrame, p: int, damping: float = 0.85, most: int = 100, t
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(rank)], "fid int, score double")
 
 
-def ugfs(wide: DataFrame, k: int = 5, threshold: float = 2.0, ndim: int | None = None) -> DataFrame:
+def ugfs(wide: DataFrame, k: int = 5, threshold: float = 2.0, ndim: int | None = None, preprocessing: str = "cscale") -> DataFrame:
     """(fid, score) of all features by PageRank over the variance graph; ndim keeps the first ones."""
-    from ..sources.tables import melt, widen
-    from .prep import center_scale
+    from .prep import check_dimension, preprocess
     from .stats import top
 
-    scaled = widen(center_scale(melt(wide)))
+    scaled, _ = preprocess(wide, preprocessing)
     p = scaled.agg(F.max(F.size("features"))).first()[0] or 0
     edges = variance_edges(local_variance(scaled, k), threshold)
     if edges.isEmpty():
         raise ValueError("no feature varies within the threshold")
     scores = pagerank(edges, p)
-    return scores if ndim is None else top(scores, min(ndim, p))
+    return scores if ndim is None else top(scores, check_dimension(ndim, p))
 
 
 def default_ndim(p: int) -> int:

@@ -142,3 +142,38 @@ def check_finite(long: DataFrame) -> DataFrame:
     """long; reading it fails where x is null, NaN or infinite."""
     ok = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))
     return long.withColumn("x", F.when(F.assert_true(ok, "a value is not finite").isNull(), F.col("x")))
+
+
+def project(wide: DataFrame, ids: list[int]) -> DataFrame:
+    """Wide rows with the features ids, in that order."""
+    return wide.select("sample_id", "label", F.transform(F.array(*(F.lit(int(i)) for i in ids)), lambda i: F.get("features", i)).alias("features"))
+
+
+def check_dimension(ndim: int, p: int) -> int:
+    if not 1 <= ndim <= p:
+        raise ValueError(f"the dimension must be within 1 and {p}")
+    return ndim
+
+
+def _long(function):
+    from ..sources.tables import melt, widen
+
+    return lambda wide: widen(function(melt(wide)))
+
+
+#: Preprocessing of wide datasets by name.
+PREPROCESS = {
+    "null": lambda wide: wide,
+    "center": _long(center),
+    "scale": _long(scale),
+    "cscale": _long(center_scale),
+    "decorrelate": decorrelate,
+    "whiten": lambda wide: decorrelate(wide, whiten=True),
+}
+
+
+def preprocess(wide: DataFrame, name: str = "null") -> tuple[DataFrame, dict]:
+    """The preprocessed dataset, and what was done."""
+    if name not in PREPROCESS:
+        raise ValueError(f"no preprocessing {name}")
+    return PREPROCESS[name](wide), {"type": name}

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import numeric, text
 from ..operators import embedded, graph, knn, kshell, pareto, prep, report, search, stats
 from ..sources import tables
 from . import pipeline
@@ -722,6 +722,30 @@ def score_sanitise(spark, sf):
     return tables.table(spark, sf, "events").select("event_id", text.finite(bad).alias("score"))
 
 
+@query("SELECT event_type, round(avg(value), 8) AS mean, round(quantile_cont(value, 0.5), 8) AS median, arg_min(event_id, struct_pack(v := value, e := event_id)) AS best FROM events WHERE event_id % 3 != 0 GROUP BY 1")
+def missing_values(spark, sf):
+    x = F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("value"))
+    rows = tables.table(spark, sf, "events").select("event_type", "event_id", x.alias("x"))
+    return rows.groupBy("event_type").agg(F.round(numeric.nan_mean(F.col("x")), 8).alias("mean"), F.round(numeric.nan_median(F.col("x")), 8).alias("median"), numeric.nan_argmin(F.col("event_id"), F.col("x")).alias("best"))
+
+
+@query("SELECT event_id, greatest(0.5e0, least(2.5e0, value / 100)) AS clamped, round_even(event_id / 2.0e0, 0) AS rounded, round(sqrt(value * value + 9), 8) AS norm FROM events")
+def numeric_functions(spark, sf):
+    v = F.col("value")
+    return tables.table(spark, sf, "events").select("event_id", numeric.clamp(v / 100, 0.5, 2.5).alias("clamped"), numeric.half_even(F.col("event_id") / 2.0).alias("rounded"), F.round(numeric.norm(F.array(v, F.lit(3.0))), 8).alias("norm"))
+
+
+@query(f"WITH {_GRAPH} SELECT src, string_agg(dst::VARCHAR, ' ' ORDER BY sim DESC, dst) AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS k FROM edges) WHERE k <= 5 GROUP BY 1")
+def neighbor_matrix(spark, sf):
+    return bigints(graph.neighbour_matrix(_sim(spark, sf)).select("src", text.join_ids(F.col("nearest")).alias("nearest")), "src")
+
+
+@query(f"WITH {WIDE} SELECT sample_id, features[4] + 2 * features[1] AS mixed FROM wide")
+def indicator_projection(spark, sf):
+    rows = prep.project(_wide(spark, sf), [3, 0])
+    return rows.select("sample_id", (F.get("features", F.lit(0)) + 2 * F.get("features", F.lit(1))).alias("mixed"))
+
+
 # Predicates, sets and tables for plots.
 
 

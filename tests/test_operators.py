@@ -335,3 +335,28 @@ def test_text_functions(spark):
         text.float_tag(F.lit(-1.5)).alias("a"), text.parse_ids(F.lit(" 3 x 4")).alias("b"), text.parse_ratios(F.lit("0.1, 0.2")).alias("c"), text.mean_std(F.lit(1.0), F.lit(0.25)).alias("d"), text.lp_distance([(F.lit(0.0), F.lit(3.0)), (F.lit(0.0), F.lit(4.0))]).alias("e")
     ).first()
     assert tuple(row) == ("m1p5", [3, 4], [0.1, 0.2], "1.000±0.250", 5.0)
+
+
+def test_command_line(spark, sf, tmp_path):
+    from siftgraph.__main__ import main
+
+    for n in (1, 2):
+        main(["run", "--data", sf, "--algo", "trad:FILTER_pearson", "--ratios", "0.1,0.2", "--run", str(n), "--out", str(tmp_path / "runs")])
+    main(["merge", "--root", str(tmp_path / "runs"), "--out", str(tmp_path / "merged")])
+    main(["analyze", "--front", str(tmp_path / "merged/front"), "--test", str(tmp_path / "merged/test"), "--out", str(tmp_path / "tables")])
+    summary = spark.read.csv(str(tmp_path / "tables/train_summary"), header=True).first()
+    assert summary["method"] == "FILTER_pearson" and summary["runs"] == "2"
+    assert spark.read.csv(str(tmp_path / "tables/test_summary"), header=True).count() == 1
+    (tmp_path / "sizes.csv").write_text("dataset_idx,run,target_fnum\n1,1,3\n")
+    main(["run", "--data", sf, "--algo", "all", "--run", "9", "--ref_sizes", str(tmp_path / "sizes.csv"), "--out", str(tmp_path / "skip")])
+    assert "run 9" in spark.read.text(str(tmp_path / "skip/error")).first()[0]
+
+
+def test_preprocessing(spark, data):
+    wide = wide_of(spark, *data)
+    for name in prep.PREPROCESS:
+        assert prep.preprocess(wide, name)[0].count() == 60
+    with pytest.raises(ValueError):
+        prep.preprocess(wide, "other")
+    with pytest.raises(ValueError):
+        prep.check_dimension(0, 3)
