@@ -82,8 +82,8 @@ class Vocabulary:
         lines = not any("\n" in p for p in self.ids)
         self.word = re.compile((r" *[^ \n]+| +|\n" if lines else r"(?s) *[^ ]+| +") if split else "(?s).+")
         self._matrices()
-        self.kept: dict[str, tuple[float, bytes, float]] = {}
         self.found: dict[str, list] = {}
+        self.forget()
 
     def __reduce__(self):
         return _restored, (self.pieces, self.scores, self.nbest)
@@ -233,9 +233,11 @@ class Vocabulary:
             left = left[(found != keys[left]) & (found >= 0)]
         return out
 
-    def forward_many(self, words: list[str]) -> dict[str, tuple[float, bytes, float]]:
-        """As forward, of many short words at once: place by place, and for each place the pieces that end there by length."""
-        words = sorted(words, key=len, reverse=True)
+    def forward_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As forward, of short words, the longest first, at once: scores, losses, numbers of ids, all ids.
+
+        It goes place by place, and for each place over the pieces that end there by length.
+        """
         sizes = np.array([len(w) for w in words])
         n, width = len(words), int(sizes[0])
         codes = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), np.uint32)
@@ -294,21 +296,34 @@ class Vocabulary:
             pieces = [[i] if i >= 0 else [self.byte[b] for b in chr(-1 - i).encode()] for i in flat.tolist()]
             longer = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
             flat, ends = np.array(list(itertools.chain.from_iterable(pieces))), longer[ends]
-        raw = flat.astype("<i4").tobytes()
-        cuts = [0, *(4 * ends).tolist()]
-        return {w: (s, raw[a:b], x) for w, s, a, b, x in zip(words, score.tolist(), cuts, cuts[1:], least.tolist())}
+        return score, least, np.diff(ends, prepend=0), flat.astype(np.int32)
 
-    def learn(self, words: set[str]) -> list[str]:
+    def forget(self) -> None:
+        """Frees what was kept of words; a worker that decodes has no need of it."""
+        mark = [self.byte[b] for b in SPACE.encode()]
+        self.index: dict[str | None, int] = {None: 0}  # None stands for a U+2581 of a text itself
+        self.best, self.loss = np.array([self.byte_score * len(mark)]), np.array([np.inf])
+        self.size, self.start, self.pool = np.array([len(mark)]), np.array([0]), np.array(mark, np.int32)
+        self.found = {}
+
+    def learn(self, words: set[str | None]) -> list[str]:
         """Makes sure that all of words are kept; returns the new ones that are too long to stay."""
-        if len(self.kept) >= CACHE:
-            self.kept = {}
-        new = words - self.kept.keys()
-        short = [w for w in new if len(w) <= 48]
-        for i in range(0, len(short), 1 << 14):
-            self.kept |= self.forward_many(short[i : i + (1 << 14)])
+        if len(self.index) >= CACHE or len(self.pool) >= 16 * CACHE:
+            self.forget()
+        new = words.difference(self.index)
+        if not new:
+            return []
+        short = sorted([w for w in new if len(w) <= 48], key=len, reverse=True)
         long = [w for w in new if len(w) > 48] if len(short) < len(new) else []
+        parts = [self.forward_many(short[i : i + (1 << 14)]) for i in range(0, len(short), 1 << 14)]
         for w in long:
-            self.kept[w] = self.forward(w.replace(" ", SPACE))
+            score, ids, loss = self.forward(w.replace(" ", SPACE))
+            parts.append((np.array([score]), np.array([loss]), np.array([len(ids) // 4]), np.frombuffer(ids, "<i4")))
+        self.index |= zip(short + long, range(len(self.best), len(self.best) + len(new)))
+        best, loss, size, pool = (np.concatenate(x) for x in zip(*parts))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+        self.best, self.loss = np.concatenate([self.best, best]), np.concatenate([self.loss, loss])
+        self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, pool])
         return long
 
     def alternatives(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
@@ -318,53 +333,54 @@ class Vocabulary:
             if len(self.found) >= CACHE // 4:
                 self.found.clear()
             paths = self.search(text.replace(" ", SPACE), self.nbest)
-            best = tuple(np.frombuffer(self.kept[text][1], "<i4").tolist())
+            k = self.index[text]
+            best = tuple(self.pool[self.start[k] : self.start[k] + self.size[k]].tolist())
             found = [(0.0, best), *[(paths[0][0] - s, ids) for s, ids in paths if ids != best]][: self.nbest]
             if len(text) <= 64:
                 self.found[text] = found
         return found
 
-    def _combined(self, words: list[str | None], units: list[tuple[float, bytes, float]]) -> list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]:
+    def _combined(self, words: list[str | None], losses: np.ndarray, sizes: np.ndarray) -> list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]:
         """The N least losses over a chain of words, each with the slices (start, stop, ids) of the best ids that change."""
-        if self.nbest == 1:
+        few = min(self.nbest - 1, len(words))
+        if not few:
             return [(0.0, [])]
-        few = min(self.nbest - 1, len(units))
-        losses = [u[2] for u in units]
         # Only the words with the least losses can differ; the first of equal losses stay.
-        near = sorted(heapq.nsmallest(few, range(len(units)), key=losses.__getitem__)) if len(units) < 64 else _least(losses, few)
-        near = [u for u in near if losses[u] < float("inf")]
+        near = np.flatnonzero(losses <= np.partition(losses, few - 1)[few - 1])
+        near = sorted(near[np.argsort(losses[near], kind="stable")][:few].tolist())
+        near = [u for u in near if losses[u] < np.inf]
         choices = [self.alternatives(words[u]) for u in near]
         combos = sorted(itertools.product(*(range(len(c)) for c in choices)), key=lambda c: sum([x[k][0] for x, k in zip(choices, c)]))[: self.nbest]
-        starts = [len(b"".join([x[1] for x in units[:u]])) // 4 for u in near]
-        return [(sum([x[k][0] for x, k in zip(choices, c)]), [(a, a + len(units[u][1]) // 4, x[k][1]) for u, a, x, k in zip(near, starts, choices, c) if k]) for c in combos]
-
-    def encode_many(self, texts: list[str]) -> list[tuple[bytes, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
-        """For each text the best ids (four bytes each), and for each of the N best its score and the slices (start, stop, ids) of the best that it replaces."""
-        split = [[self.word.findall(part if k else " " + part) for k, part in enumerate(t.split(SPACE))] if t else [] for t in texts]
-        long = self.learn(set().union(*itertools.chain.from_iterable(split)))
-        kept, out = self.kept, []
-        mark = self.byte_score * 3, b"".join([self.byte[b].to_bytes(4, "little") for b in SPACE.encode()]), float("inf")
-        for parts in split:
-            if not parts:
-                out.append((b"", []))
-                continue
-            words: list[str | None] = parts[0]
-            units = [kept[w] for w in words]
-            for more in parts[1:]:  # behind a U+2581 of the text itself
-                words = [*words, None, *more]
-                units += [mark, *[kept[w] for w in more]]
-            score = sum([u[0] for u in units])
-            out.append((b"".join([u[1] for u in units]), [(score - loss, changes) for loss, changes in self._combined(words, units)]))
+        spans = [(a, a + int(sizes[u])) for u in near for a in [int(sizes[:u].sum())]]
+        return [(sum([x[k][0] for x, k in zip(choices, c)]), [(*ab, x[k][1]) for ab, x, k in zip(spans, choices, c) if k]) for c in combos]
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
+        """Offsets and ids of the texts' best segmentations, and for each text's N best the score and the slices (start, stop, ids) of the best that it replaces."""
+        chains: list[list[str | None]] = []
+        for t in texts:
+            first, *more = t.split(SPACE)
+            words = self.word.findall(" " + first) if t else []
+            for part in more:
+                words += [None, *self.word.findall(part)]
+            chains.append(words)
+        long = self.learn(set().union(*chains))
+        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(chains)), np.int64)
+        sizes, starts, losses = self.size[at], self.start[at], self.loss[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], np.cumsum([len(c) for c in chains])])
+        nbest = []
+        for words, a, b in zip(chains, cuts.tolist(), cuts[1:].tolist()):
+            score = float(self.best[at[a:b]].sum())
+            nbest.append([(score - loss, changes) for loss, changes in self._combined(words, losses[a:b], sizes[a:b])] if words else [])
         for w in long:
-            del kept[w]
-        return out
+            del self.index[w]
+        return ends[cuts], ids, nbest
 
-    def encode(self, text: str) -> tuple[bytes, list]:
-        return self.encode_many([text])[0]
-
-    def forget(self) -> None:
-        """Frees what was kept of words: a worker that decodes has no need of it."""
-        self.kept, self.found = {}, {}
+    def encode(self, text: str) -> tuple[list[int], list]:
+        """The best ids and the N best of one text."""
+        _, ids, nbest = self.encode_many([text])
+        return ids.tolist(), nbest[0]
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -380,14 +396,6 @@ def _restored(pieces: list[str], scores: list[float], nbest: int) -> Vocabulary:
     return holder.vocabulary
 
 
-def _least(losses: list[float], few: int) -> list[int]:
-    """Places of the few least values in order, the first of equals."""
-    x = np.array(losses)
-    cut = np.partition(x, few - 1)[few - 1]
-    near = np.flatnonzero(x <= cut)
-    return sorted(near[np.argsort(x[near], kind="stable")][:few].tolist())
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, text, ids and nbest (score, and the slices of ids that it replaces) of each row."""
     session(docs)
@@ -396,11 +404,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = vocabulary.encode_many([t or "" for t in batch.column("text").to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x, _ in found])]).astype(np.int32)
-            flat = np.frombuffer(b"".join([x for x, _ in found]), "<i4")
-            nbest = [[{"score": s, "changes": [{"start": a, "stop": b, "ids": list(c)} for a, b, c in changes]} for s, changes in x] for _, x in found]
-            yield batch_of(doc_id=batch.column("doc_id"), text=batch.column("text"), ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), nbest=pa.array(nbest, best))
+            offsets, flat, found = vocabulary.encode_many([t or "" for t in batch.column("text").to_pylist()])
+            nbest = [[{"score": s, "changes": [{"start": a, "stop": b, "ids": list(c)} for a, b, c in changes]} for s, changes in x] for x in found]
+            yield batch_of(doc_id=batch.column("doc_id"), text=batch.column("text"), ids=pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), nbest=pa.array(nbest, best))
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, ids array<int>, nbest array<struct<score: double, changes: array<struct<start: int, stop: int, ids: array<int>>>>>")
