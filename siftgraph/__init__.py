@@ -1,0 +1 @@
+"""Feature selection on labelled tables, and operators for training corpora."""

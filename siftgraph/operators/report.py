@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import category, method_base
@@ -20,8 +19,9 @@ def points(table: DataFrame) -> DataFrame:
 
 def best_per_size(table: DataFrame, groups: list[str]) -> DataFrame:
     """Of each subset size the row with the least error, the first point of ties."""
-    w = W.partitionBy(*groups, "fnum").orderBy("er", "point_id")
-    return table.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    rest = [c for c in table.columns if c not in (*groups, "fnum")]
+    best = F.min_by(F.struct(*rest), F.struct("er", "point_id"))
+    return table.groupBy(*groups, "fnum").agg(best.alias("__b")).select(*groups, "fnum", *(F.col(f"__b.{c}").alias(c) for c in rest))
 
 
 def reference_front(table: DataFrame) -> DataFrame:

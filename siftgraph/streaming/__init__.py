@@ -1,0 +1 @@
+"""No operators: the engine's workload has no streams."""

@@ -360,3 +360,32 @@ def test_preprocessing(spark, data):
         prep.preprocess(wide, "other")
     with pytest.raises(ValueError):
         prep.check_dimension(0, 3)
+
+
+# Plans.
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().toString()
+
+
+def test_scans_read_few_columns_and_push_filters(spark, sf):
+    plan = plan_of(stats.fisher(tables.lineitem_long(spark, sf)))
+    scan = plan[plan.rindex("ReadSchema") :].split("\n")[0]
+    assert "l_quantity" in scan and "l_shipdate" not in scan
+    assert "PushedFilters: [IsNotNull(event_type)" in plan_of(tables.table(spark, sf, "events").where("event_type = 'view'").select("value"))
+
+
+def test_statistics_stay_in_the_engine(spark, sf):
+    from siftgraph.plans.queries import QUERIES
+
+    for name in ("fisher_score", "filter_kendall", "filter_gini", "stratified_split", "hypervolume", "method_summary", "graph_probabilistic", "test_summary"):
+        plan = plan_of(QUERIES[name](spark, sf))
+        if name != "graph_probabilistic":
+            assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan or name in ("graph_probabilistic",), name
+
+
+def test_gram_shuffles_sums_not_rows(spark, sf):
+    plan = plan_of(stats.gram(tables.embeddings(spark, sf)))
+    assert plan.rindex("partial_sum") > plan.rindex("Exchange")  # printed root first: added up before the exchange
