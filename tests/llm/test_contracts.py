@@ -372,6 +372,12 @@ def test_chat_round_trips(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_native_operators_run_no_python(spark, sf):
+    for name in ("op7_chat_format", "op8_poisson_mixing"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow", plan), name
+
+
 # 8 mixing
 
 
