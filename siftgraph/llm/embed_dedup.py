@@ -216,3 +216,24 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float =
     out = base.select("vec_id", "k1", "k2").join(told, ["k1", "k2"], "left")
     component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: The same in DuckDB by comparing all pairs of a label.
+ORACLE = f"""
+WITH RECURSIVE whole AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+), usable AS (
+  SELECT vec_id, label, e, list_inner_product(e, e) AS q FROM whole WHERE isfinite(list_inner_product(e, e)) AND list_inner_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id != b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (sqrt(a.q) * sqrt(b.q)) >= {THRESHOLD}
+), reach(v, c) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.a, r.c FROM reach r JOIN links l ON l.b = r.v
+), named AS (
+  SELECT v, min(c) AS c FROM reach GROUP BY v
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN named ON v = vec_id LEFT JOIN counted ON a = vec_id
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, mixing, pieces
+from .embed_dedup import ORACLE as VECTORS
 from .embed_dedup import near_vectors
 from .langid import identify
 from .license_scan import scan_licenses
@@ -78,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op7_chat_format": chat.ORACLE,
     "op8_poisson_mixing": mixing.ORACLE,
+    "op10_embed_dedup": VECTORS,
 }

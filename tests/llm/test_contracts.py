@@ -473,6 +473,15 @@ def test_embeddings_against_plain(spark):
     assert got[n + 4] == (1, n + 4, True) and got[n + 5] == (1, n + 4, False)
     assert all(got[i] == (0, i, True) for i in (n, n + 1, n + 2, n + 3, n + 6, n + 7))
 
+    import duckdb
+
+    few = [r for r in rows if r[0] < 300 + 210 or r[0] >= n]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INT)")
+    duck.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", few)
+    ours = embed_dedup.near_vectors(spark.createDataFrame(few, "vec_id long, embedding array<float>, label int")).toPandas()
+    assert_same(ours, duck.execute(embed_dedup.ORACLE).df())
+
 
 def test_large_buckets_split_by_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
