@@ -54,6 +54,8 @@ from .common import batch_of, checkpoint, each_text, longs, session, shuffle_par
 LENGTH, GRAM = 100, 32
 #: Runs of an anchor over different bytes from which on its keys are made longer.
 HOT = 20_000
+#: Hot anchors up to which their sizes are broadcast (some MB); beyond, they are joined.
+FEW = 100_000
 #: Bytes that the anchor step and a suffix array take at once; longer texts go in overlapping slices.
 SLICE, PART = 1 << 20, 1 << 17
 _SPAN, _WHOLE = 16, 1 << 15
@@ -491,7 +493,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     # Both joins below read one and the same exchange of the texts.
     whole = docs.select(doc.alias("doc"), F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"_{c}") for c in columns))
     runs = found.where("h is not null")
-    sizes = runs.groupBy("h").count().where(F.col("count") > HOT)  # few, and no hot anchor is gathered
+    sizes = checkpoint(runs.groupBy("h").count().where(F.col("count") > HOT))
+    if sizes.limit(FEW + 1).count() <= FEW:  # so a hot anchor's runs stay where they are
+        sizes = F.broadcast(sizes)
     runs = runs.join(sizes, "h", "left").withColumn("times", F.when(F.col("count") > 8 * HOT, length.bit_length()).when(F.col("count") > HOT, 3).otherwise(0))
     unsettled = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "h", "times")).alias("runs"))
     pieces = whole.join(unsettled.hint("shuffle_hash"), "doc").mapInArrow(_pieces(length, gram), _PIECES)
