@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,7 +84,7 @@ def similarity(wide: DataFrame) -> DataFrame:
     diagonal = g.where("i = j").select("i", F.col("s").alias("q"), F.col("t").alias("u"))
     pairs = g.where("i < j").select("i", "j", "s", "n").join(diagonal, "i").join(diagonal.select(F.col("i").alias("j"), F.col("q").alias("q2"), F.col("u").alias("u2")), "j")
     a, b = F.col("q") - F.col("u") * F.col("u") / F.col("n"), F.col("q2") - F.col("u2") * F.col("u2") / F.col("n")
-    r = (F.col("s") - F.col("u") * F.col("u2") / F.col("n")) / F.sqrt(a * b)
+    r = F.try_divide(F.col("s") - F.col("u") * F.col("u2") / F.col("n"), F.sqrt(a * b))
     tiny = (a <= 1e-12 * F.col("q")) | (b <= 1e-12 * F.col("q2"))
     return pairs.select("i", "j", F.when(tiny, 0.0).otherwise(F.least(F.lit(1.0), F.abs(finite(r)))).alias("sim"))
 
@@ -129,8 +129,13 @@ def redundancy_abscorr(sim: DataFrame, ids: list[int] | None = None) -> DataFram
 # Filter scores.
 
 
+def _corr(x: Column, y: Column) -> Column:
+    """Pearson correlation, 0 where it is not defined; corr() fails on constants under ANSI arithmetic."""
+    return finite(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def pearson(long: DataFrame) -> DataFrame:
-    return long.groupBy("fid").agg(finite(F.corr("x", F.col("label").cast("double"))).alias("score"))
+    return long.groupBy("fid").agg(_corr(F.col("x"), F.col("label").cast("double")).alias("score"))
 
 
 def kendall(long: DataFrame) -> DataFrame:
@@ -233,7 +238,7 @@ def spearman_score(long: DataFrame) -> DataFrame:
     """Spearman correlation of x with the label."""
     labels = long.select("fid", "sample_id", F.col("label").cast("double").alias("x"), F.lit(0).alias("label"))
     a, b = ranks(long), ranks(labels)
-    return a.join(b.select("fid", "sample_id", F.col("x").alias("y")), ["fid", "sample_id"]).groupBy("fid").agg(finite(F.corr("x", "y")).alias("score"))
+    return a.join(b.select("fid", "sample_id", F.col("x").alias("y")), ["fid", "sample_id"]).groupBy("fid").agg(_corr(F.col("x"), F.col("y")).alias("score"))
 
 
 #: Filters of the benchmark, and those that it leaves out.

@@ -253,6 +253,8 @@ def test_constant_features(spark, data):
     assert {r["x"] for r in prep.minmax(long).collect()} == {0.0}
     assert {r["x"] for r in prep.zscore(long).collect()} == {0.0}
     assert stats.fisher(long).first()["score"] == 0.0
+    for name in stats.FILTERS | stats.MORE_FILTERS:
+        assert abs(stats.filter_scores(long, [name]).first()["score"]) < 1e-9, name
 
 
 def test_perfectly_separated_feature_has_score_100(spark):
