@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgraph.llm import mixing, pieces, simhash, suffix_dedup, toxicity
+from siftgraph.llm import mixing, near_copies, pieces, suffix_dedup, toxicity
 from siftgraph.llm.common import written
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more), that with the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
