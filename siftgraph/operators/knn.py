@@ -136,6 +136,7 @@ class Matrix:
             raise ValueError(f"a matrix of {x.nbytes} bytes is over {BROADCAST}; use cv_accuracy for each subset")
         self.x, self.y, self.folds = x, y.astype(np.int64), folds.astype(np.int64)
         self.ids = np.arange(len(y)) if ids is None else ids
+        self.p = self.x.shape[1] if self.x.ndim == 2 else 0
 
     @classmethod
     def of(cls, wide: DataFrame, folds: DataFrame) -> Matrix:
@@ -190,14 +191,14 @@ def subset_accuracies(subsets: DataFrame, matrix: Matrix, k: int = 5, apparent:
 
 def single_accuracies(matrix: Matrix, spark, k: int = 5, apparent: bool = False) -> DataFrame:
     """(fid, accuracy) of every single feature."""
-    p = matrix.x.shape[1]
+    p = matrix.p
     subsets = spark.range(p).select(F.col("id").cast("int").alias("key"), F.array(F.col("id").cast("int")).alias("ids")).repartition(min(p, 32))
     return subset_accuracies(subsets, matrix, k, apparent).select(F.col("key").alias("fid"), "accuracy")
 
 
 def complementarity(pairs: DataFrame, singles: DataFrame, matrix: Matrix, k: int = 5) -> DataFrame:
     """(i, j, comp) for i < j: what the pair's accuracy exceeds the better single's by, or 0; pairs (a, b) count once."""
-    p = matrix.x.shape[1]
+    p = matrix.p
     pairs = pairs.select(F.least("a", "b").cast("int").alias("i"), F.greatest("a", "b").cast("int").alias("j")).where(f"i != j and i >= 0 and j < {p}").distinct()
     subsets = pairs.select(F.struct("i", "j").alias("key"), F.array("i", "j").alias("ids")).repartition(32)
     both = subset_accuracies(subsets, matrix, k).select("key.i", "key.j", "accuracy")

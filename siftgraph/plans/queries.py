@@ -301,6 +301,16 @@ def complementarity(spark, sf):
     return bigints(found.select("i", "j", F.round("comp", 9).alias("comp")), "i", "j")
 
 
+@query()
+def complementarity_all(spark, sf):
+    """Complementarity of every pair of features; complementarity is its part that SQL can follow."""
+    matrix = _matrix(spark, sf)
+    every = spark.range(matrix.p).select(F.col("id").cast("int").alias("a"))
+    pairs = every.join(every.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+    found = knn.complementarity(pairs, knn.single_accuracies(matrix, spark), matrix)
+    return bigints(found.select("i", "j", F.round("comp", 9).alias("comp")), "i", "j")
+
+
 # Graphs.
 
 
