@@ -449,12 +449,12 @@ def separation_weight(spark, sf):
 
 @query()
 def l1_logreg_importance(spark, sf):
-    return embedded.l1_importance(_wide(spark, sf), 50)
+    return embedded.l1_importance(_wide(spark, sf))
 
 
 @query()
 def rf_importance(spark, sf):
-    return embedded.forest_importance(_wide(spark, sf), 40)
+    return embedded.forest_importance(_wide(spark, sf))
 
 
 @query()
@@ -468,8 +468,7 @@ def sfs_forward(spark, sf):
 
 
 def _context(spark, sf, **changes):
-    settings = search.Settings(population=10, generations=3)
-    return pipeline.Context(_wide(spark, sf), pipeline.Config(search=settings, **changes))
+    return pipeline.Context(_wide(spark, sf), pipeline.Config(**changes))
 
 
 @query()
@@ -500,7 +499,7 @@ def buddy_refine(spark, sf):
 
 @query()
 def run_filter_pearson(spark, sf):
-    return pipeline.run(_context(spark, sf, ratios=(0.1, 0.3)), "trad:FILTER_pearson")[1].drop("time_total")
+    return pipeline.run(_context(spark, sf), "trad:FILTER_pearson")[1].drop("time_total")
 
 
 @query()

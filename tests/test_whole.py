@@ -15,3 +15,16 @@ def test_complementarity_of_all_pairs(spark, sf):
         queries._matrix = queries_matrix
     one = [matrix.accuracy([f]) for f in range(9)]
     assert found == {(i, j): round(max(0.0, matrix.accuracy([i, j]) - max(one[i], one[j])), 9) for j in range(9) for i in range(j)}
+
+
+def test_queries_keep_the_operators_settings(spark, sf, monkeypatch):
+    c = queries._context(spark, sf).config
+    assert c.search == queries.search.Settings() and c.ratios == queries.stats.RATIOS
+    seen = []
+    monkeypatch.setattr(queries.embedded, "forest_importance", lambda *a: seen.append(len(a)))
+    monkeypatch.setattr(queries.embedded, "l1_importance", lambda *a: seen.append(len(a)))
+    queries.QUERIES["rf_importance"](spark, sf), queries.QUERIES["l1_logreg_importance"](spark, sf)
+    assert seen == [1, 1]  # the table alone, nothing smaller than the defaults
+    monkeypatch.setattr(queries.pipeline, "run", lambda context, name: (context, seen.append(context.config.ratios)) and (None, spark.range(1).withColumn("time_total", queries.F.lit(0))))
+    queries.QUERIES["run_filter_pearson"](spark, sf)
+    assert seen[-1] == queries.stats.RATIOS
