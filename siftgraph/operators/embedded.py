@@ -119,6 +119,8 @@ def _local_svm(x: np.ndarray, y: np.ndarray, classes: np.ndarray, most: int = 8)
 
 def sfs_svm(matrix: Matrix, spark, k: int) -> list[int]:
     """k features by greedy forward selection on the cross-validated accuracy of linear SVMs; each step's candidates run in parallel."""
+    if not isinstance(matrix, Matrix):
+        raise ValueError("sfs_svm has no path for rows over the broadcast bound")
     shared = spark.sparkContext.broadcast(matrix)
     chosen: list[int] = []
     p = matrix.x.shape[1]

@@ -139,11 +139,12 @@ class Matrix:
         self.p = self.x.shape[1] if self.x.ndim == 2 else 0
 
     @classmethod
-    def of(cls, wide: DataFrame, folds: DataFrame) -> Matrix:
+    def of(cls, wide: DataFrame, folds: DataFrame) -> Matrix | Rows:
+        """The matrix, or the rows as they are where it is over BROADCAST."""
         rows = wide.join(folds.select("sample_id", "fold"), "sample_id")
         size = rows.agg(F.sum(8 * F.size("features"))).first()[0] or 0
         if size > BROADCAST:
-            raise ValueError(f"a matrix of {size} bytes is over {BROADCAST}; use cv_accuracy for each subset")
+            return Rows(rows.select("sample_id", "label", "fold", "features"))
         pdf = rows.select("sample_id", "label", "fold", "features").orderBy("sample_id").toPandas()
         return cls(np.array(pdf["features"].tolist(), np.float64), pdf["label"].to_numpy(), pdf["fold"].to_numpy(), pdf["sample_id"].to_numpy())
 
@@ -168,6 +169,31 @@ class Matrix:
         return float(np.mean(vote(x, self.y, self.ids, x, k) == self.y))
 
 
+class Rows:
+    """Training rows over BROADCAST: a subset's accuracy comes from the block search, and nothing is collected."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.cache()
+        self.p = rows.agg(F.max(F.size("features"))).first()[0] or 0
+
+    def _part(self, subset) -> DataFrame:
+        ids = F.array(*(F.lit(int(i)) for i in subset))
+        return self.rows.withColumn("features", F.transform(ids, lambda i: F.get("features", i)))
+
+    def accuracy(self, subset, k: int = 5) -> float:
+        """Mean over folds; an empty subset has 0."""
+        subset = list(subset)
+        return cv_accuracy(self._part(subset).drop("fold"), self.rows, k).first()["accuracy"] if subset else 0.0
+
+    def apparent(self, subset, k: int = 5) -> float:
+        """Accuracy on the rows that vote themselves."""
+        subset = list(subset)
+        if not subset:
+            return 0.0
+        part = self._part(subset)
+        return votes(neighbours(part, part, k)).agg(F.avg((F.col("predicted") == F.col("query_label")).cast("double"))).first()[0] or 0.0
+
+
 def vote(train: np.ndarray, labels: np.ndarray, ids: np.ndarray, test: np.ndarray, k: int) -> np.ndarray:
     near = _nearest(distances(test, train), ids, k)
     names, coded = np.unique(labels, return_inverse=True)
@@ -176,8 +202,11 @@ def vote(train: np.ndarray, labels: np.ndarray, ids: np.ndarray, test: np.ndarra
     return names[counts.argmax(1)]
 
 
-def subset_accuracies(subsets: DataFrame, matrix: Matrix, k: int = 5, apparent: bool = False) -> DataFrame:
-    """subsets (key, ids) with accuracy; each subset is one row of work."""
+def subset_accuracies(subsets: DataFrame, matrix: Matrix | Rows, k: int = 5, apparent: bool = False) -> DataFrame:
+    """subsets (key, ids) with accuracy; each subset is one row of work, or one block search after another over Rows."""
+    if isinstance(matrix, Rows):
+        found = [(r["key"], r["ids"], float((matrix.apparent if apparent else matrix.accuracy)(r["ids"], k))) for r in subsets.select("key", "ids").collect()]
+        return subsets.sparkSession.createDataFrame(found, f"key {dict(subsets.dtypes)['key']}, ids array<int>, accuracy double")
     shared = subsets.sparkSession.sparkContext.broadcast(matrix)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

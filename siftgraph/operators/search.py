@@ -118,6 +118,8 @@ def separation(matrix: Matrix, subsets: list[np.ndarray]) -> np.ndarray:
 
     Ratios that are not finite count as missing.
     """
+    if not isinstance(matrix, Matrix):
+        raise ValueError("separation has no path for rows over the broadcast bound")
     out = []
     same = matrix.y[:, None] == matrix.y[None]
     for s in subsets:

@@ -8,6 +8,7 @@ so they are computed once for a dataset (Context) and shared by its runs.
 from __future__ import annotations
 
 import time
+import warnings
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -247,7 +248,7 @@ def run(context: Context, algo: str) -> tuple[DataFrame, DataFrame]:
 def sweep(context: Context, methods: list[str], k_ref: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Front and test-point tables of many algorithms; with k_ref also each score method's test point of that size, mode 'k_ref'.
 
-    A method that fails is left out and named in the exception's notes only if all fail.
+    A method that fails is left out with a warning that names it; if all fail, the exception names them.
     """
     fronts, tests, failed = [], [], []
     for name in methods:
@@ -259,6 +260,7 @@ def sweep(context: Context, methods: list[str], k_ref: int | None = None) -> tup
                 tests.append(run(replace_config(context, fixed_fnum=k_ref), name)[1].withColumn("test_mode", F.lit("k_ref")))
         except (ValueError, KeyError) as e:
             failed.append(f"{name}: {e}")
+            warnings.warn(f"left out of the sweep: {failed[-1]}", stacklevel=2)
     if not fronts:
         raise ValueError("; ".join(failed) or "no methods")
     return united(fronts), united(tests)

@@ -28,3 +28,16 @@ def test_queries_keep_the_operators_settings(spark, sf, monkeypatch):
     monkeypatch.setattr(queries.pipeline, "run", lambda context, name: (context, seen.append(context.config.ratios)) and (None, spark.range(1).withColumn("time_total", queries.F.lit(0))))
     queries.QUERIES["run_filter_pearson"](spark, sf)
     assert seen[-1] == queries.stats.RATIOS
+
+
+def test_rows_over_the_bound_are_searched_by_blocks(spark, sf, monkeypatch):
+    knn = queries.knn
+    few = tables.embeddings(spark, sf).where("sample_id < 60").selectExpr("sample_id", "label", "slice(features, 1, 2) AS features").cache()
+    folds = queries.prep.stratified_folds(few).cache()
+    matrix = knn.Matrix.of(few, folds)
+    monkeypatch.setattr(knn, "BROADCAST", 100)
+    rows = knn.Matrix.of(few, folds)
+    assert isinstance(rows, knn.Rows) and rows.p == 2
+    found = {r["fid"]: r["accuracy"] for r in knn.single_accuracies(rows, spark).collect()}
+    assert all(abs(found[f] - matrix.accuracy([f])) < 1e-9 for f in range(2))
+    assert abs(rows.apparent([0, 1]) - matrix.apparent([0, 1])) < 1e-9
