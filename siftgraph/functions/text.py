@@ -13,25 +13,43 @@ def category(method: Column) -> Column:
 
 
 def method_base(method: Column) -> Column:
-    """The name before its last '__post'."""
-    return F.coalesce(F.nullif(F.regexp_extract(method, r"(?i)^(.*)__post", 1), F.lit("")), method)
+    """The name before its last '__post', whatever its case."""
+    return F.when(method.rlike(r"(?i)__post"), F.regexp_extract(method, r"(?is)^(.*)__post", 1)).otherwise(method)
 
 
-def post_tag(method: Column) -> Column:
-    """What follows the last '__post' and one underscore, else an empty string."""
-    return F.regexp_extract(method, r"(?i)^.*__post_?(.*)$", 1)
+def has_post(post_mode: Column) -> Column:
+    """Whether a post mode is given: not null, blank or 'nan'."""
+    return F.coalesce(~F.lower(F.trim(post_mode)).isin("", "nan"), F.lit(False))
+
+
+def post_tag(method: Column, post_mode: Column | None = None) -> Column:
+    """'post' and the post mode where one is given, else the name in lower case from its last 'post' after '__', else 'nopost'."""
+    name = F.lower(method)
+    own = F.when(F.coalesce(name.contains("__post"), F.lit(False)), F.concat(F.lit("post"), F.regexp_extract(name, r"(?s)^.*__post(.*)$", 1))).otherwise("nopost")
+    return own if post_mode is None else F.when(has_post(post_mode), F.concat(F.lit("post"), F.lower(post_mode))).otherwise(own)
+
+
+def method_test(method: Column, post_mode: Column) -> Column:
+    """The name with '__post' and the post mode in lower case, where one is given."""
+    return F.when(has_post(post_mode), F.concat(method, F.lit("__post"), F.lower(post_mode))).otherwise(method)
 
 
 def safe_tag(name: Column) -> Column:
-    """A name for folders."""
-    for a, b in ((":", "_"), ("/", "_"), ("\\", "_"), (" ", "_")):
+    """A name for folders; ':' becomes '__', so parts of a name stay apart."""
+    for a, b in ((":", "__"), ("/", "_"), ("\\", "_"), (" ", "_")):
         name = F.replace(name, F.lit(a), F.lit(b))
     return name
 
 
 def float_tag(value: Column) -> Column:
-    """0.5 as 0p5, 2.0 as 2, -1.5 as m1p5."""
-    text = F.regexp_replace(value.cast("string"), r"\.0$", "")
+    """0.5 as 0p5, 2.0 as 2, -1.5 as m1p5: six significant digits, an exponent below 1e-4 and from 1e6 on."""
+    value = value.cast("double")
+    text = F.format_string("%.5e", value)
+    exponent = F.regexp_extract(text, r"e([+-]\d+)$", 1).try_cast("int")
+    trimmed = lambda x: F.regexp_replace(x, r"\.?0+$", "")
+    fixed = F.when(exponent < 0, trimmed(text.try_cast("decimal(38,12)").cast("string"))).otherwise(trimmed(text.try_cast("decimal(38,6)").cast("string")))
+    short = F.concat(trimmed(F.regexp_extract(text, r"^(.*)e", 1)), F.regexp_extract(text, r"(e[+-]\d+)$", 1))
+    text = F.when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).when((exponent >= -4) & (exponent < 6), fixed).otherwise(short)
     return F.replace(F.replace(text, F.lit("-"), F.lit("m")), F.lit("."), F.lit("p"))
 
 

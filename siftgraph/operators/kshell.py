@@ -28,10 +28,10 @@ def degrees(adjacency: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def peel(adjacency: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Shells in order: the nodes of least weighted degree go, and again while any has exactly that degree; then the next shell.
 
-    Only nodes with an edge in either direction take part.
+    Every node takes part: those without edges have degree 0 and go with the first shell.
     """
     a = adjacency.copy()
-    left = np.flatnonzero((a > 0).any(1) | (a > 0).any(0))
+    left = np.arange(len(a))
     shells = []
     while len(left):
         d = degrees(a, weight)
@@ -112,7 +112,9 @@ class Decoder:
         return a
 
     def core(self, genes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        return representatives(peel(self.adjacency(genes), weight), weight)
+        """The genome's subset; without edges it has none."""
+        a = self.adjacency(genes)
+        return representatives(peel(a, weight), weight) if a.any() else np.zeros(0, np.int64)
 
 
 def decode_population(population: DataFrame, decoder: Decoder, weight: np.ndarray) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import category, method_base
+from ..functions.text import category, is_finite, method_base, method_test, post_tag
 from .pareto import front, hypervolume, igd, median_run
 
 
@@ -45,42 +45,50 @@ def method_summary(table: DataFrame) -> DataFrame:
     )
 
 
-#: Modes of a test point by preference; others come last.
-MODES = ("selected", "fixed_k", "k_ref", "ratio")
-
-
 def test_pick(table: DataFrame, groups: list[str]) -> DataFrame:
-    """Of each group the row of the most preferred mode there, of these that of the best test accuracy, the first point of ties."""
-    preference = F.lit(len(MODES))
-    for k, m in reversed(list(enumerate(MODES))):
-        preference = F.when(F.col("test_mode") == m, k).otherwise(preference)
-    rows = table.withColumn("__p", preference)
+    """Of each group the row of the best test accuracy, the first point of ties, among the preferred modes there.
+
+    Graph methods prefer 'selected'; others 'k_ref', then 'ratio'. Rows without an accuracy are left out.
+    """
+    mode = F.lower(F.coalesce("test_mode", F.lit("")))
+    graph = category(F.col("method")) != "other"
+    preference = F.when(graph, (mode != "selected").cast("int")).when(mode == "k_ref", 0).when(mode == "ratio", 1).otherwise(2)
+    rows = table.where(is_finite(F.col("acc_test"))).withColumn("__p", preference)
     best = F.min_by(F.struct(*(c for c in table.columns if c not in groups)), F.struct("__p", (-F.col("acc_test")).alias("a"), F.col("point_id").alias("i")))
     return rows.groupBy(*groups).agg(best.alias("b")).select(*groups, "b.*")
 
 
 def selected_only(table: DataFrame, groups: list[str]) -> DataFrame:
     """Rows of mode 'selected' where the group has any, else all its rows."""
-    has = table.groupBy(*groups).agg(F.max((F.col("test_mode") == "selected").cast("int")).alias("__has"))
-    return table.join(has, groups).where("__has = 0 or test_mode = 'selected'").drop("__has")
+    selected = F.coalesce(F.lower("test_mode") == "selected", F.lit(False))
+    has = table.groupBy(*groups).agg(F.max(selected.cast("int")).alias("__has"))
+    return table.join(has, groups).where((F.col("__has") == 0) | selected).drop("__has")
 
 
 def test_summary(table: DataFrame) -> DataFrame:
-    """Means and sample deviations of each run's picked test point, by method and post tag."""
-    picked = test_pick(table, ["dataset_idx", "method", "post_mode", "run"])
-    return picked.groupBy("dataset_idx", "method", F.col("post_mode").alias("post_tag")).agg(
+    """Means and sample deviations of each run's picked test point, by method with its post mode, method_base and post_tag."""
+    rows = table.withColumn("method", method_test(F.col("method"), F.col("post_mode")))
+    picked = test_pick(rows, ["dataset_idx", "method", "run"])
+    return picked.groupBy("dataset_idx", "method").agg(
+        F.first(method_base(F.col("method"))).alias("method_base"),
+        F.min_by(post_tag(F.col("method"), F.col("post_mode")), "run").alias("post_tag"),
         F.countDistinct("run").alias("runs"),
         *(f(c).alias(f"{o}_{n}") for c, o in (("acc_test", "acc_test"), ("fnum", "fnum_test"), ("red", "red_test"), ("time_total", "time_total")) for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))),
     )
 
 
 def ablation(table: DataFrame) -> DataFrame:
-    """Means and sample deviations by initialiser, k-shell and post mode of the enhanced methods; missing modes are a group."""
-    rows = selected_only(table.where(category(F.col("method")) == "enhanced"), ["method", "post_mode", "run"])
-    init = F.nullif(F.regexp_extract("method", "__init_(.*?)(?:__|$)", 1), F.lit(""))
-    ks = F.nullif(F.regexp_extract("method", "__ks_(.*?)(?:__|$)", 1), F.lit(""))
-    rows = rows.withColumn("init_mode", F.coalesce(init, F.lit("nan"))).withColumn("ks_mode", F.coalesce(ks, F.lit("nan")))
-    return rows.groupBy("init_mode", "ks_mode", "post_mode").agg(
+    """Means and sample deviations of a dataset's enhanced methods by initialiser, k-shell and post mode; missing modes are a group.
+
+    Where a dataset has points of mode 'selected', only these count. Without
+    columns init_mode and ks_mode both are read from the name.
+    """
+    rows = selected_only(table.where(category(F.col("method")) == "enhanced"), ["dataset_idx"])
+    for name, part in (("init_mode", "__init_(.*?)(?:__|$)"), ("ks_mode", "__ks_(.*?)(?:__|$)")):
+        known = F.col(name).cast("string") if name in table.columns else F.nullif(F.regexp_extract("method", part, 1), F.lit(""))
+        rows = rows.withColumn(name, F.coalesce(known, F.lit("nan")))
+    rows = rows.withColumn("post_mode", F.coalesce("post_mode", F.lit("nan")))
+    return rows.groupBy("dataset_idx", "init_mode", "ks_mode", "post_mode").agg(
         F.countDistinct("run").alias("runs"),
         *(f(c).alias(f"{o}_{n}") for c, o in (("acc_test", "acc"), ("fnum", "fnum"), ("red", "red"), ("time_total", "time_total")) for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))),
     )
@@ -89,17 +97,16 @@ def ablation(table: DataFrame) -> DataFrame:
 def join_exact(train: DataFrame, test: DataFrame) -> DataFrame:
     """Train summaries with the test summaries of the same method; columns of both get _test on the right."""
     keys = ["dataset_idx", "method"]
+    test = test.drop("method_base", "post_tag")
     right = test.select(*(F.col(c) if c in keys else F.col(c).alias(f"{c}_test" if c in train.columns else c) for c in test.columns))
     return train.join(right, keys, "left")
 
 
 def join_by_base(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Train summaries with all test summaries of the same method before its post tag."""
-    left = train.withColumn("method_base", method_base(F.col("method")))
-    right = test.withColumn("method_base", method_base(F.col("method")))
-    keys = ["dataset_idx", "method_base"]
-    right = right.select(*(F.col(c) if c in keys else F.col(c).alias(f"{c}_test" if c in left.columns else c) for c in right.columns))
-    return left.join(right, keys, "left")
+    """Train summaries (method_train) with all test summaries (method_test) of the same method before its post mode."""
+    left = train.withColumn("method_base", method_base(F.col("method"))).withColumnRenamed("method", "method_train")
+    right = test.withColumnsRenamed({"method": "method_test", "runs": "runs_test"})
+    return left.join(right, ["dataset_idx", "method_base"], "left")
 
 
 def united(frames: list[DataFrame]) -> DataFrame:

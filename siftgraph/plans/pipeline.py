@@ -168,7 +168,7 @@ def run_enhanced(context: Context, initializer: str, mode: str) -> tuple[DataFra
         ids = search.refine(post, core, comp, context.sim_matrix, accuracies, c.buddy_lambda, c.max_per_core)
         points.append((post, ids, context.test_accuracy(context.scaled, ids), time.perf_counter() - began))
     front = _front_rows(context, method, fronts)
-    test = _test_rows(context, method, points).withColumn("post_mode", F.col("test_mode")).withColumn("method", F.concat("method", F.lit("__post_"), "post_mode")).withColumn("test_mode", F.lit("selected"))
+    test = _test_rows(context, method, points).withColumn("post_mode", F.col("test_mode")).withColumn("test_mode", F.lit("selected"))
     return front, test
 
 

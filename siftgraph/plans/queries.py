@@ -188,9 +188,9 @@ def redundancy_cos2(spark, sf):
     return stats.redundancy_cos2(_wide(spark, sf)).select(F.round("red_cos2", 9).alias("red_cos2"))
 
 
-@query(f"WITH {LONG}, {SIM} SELECT round(avg(sim), 9) AS red_abscorr FROM sims WHERE i IN (0, 2, 4, 8, 16, 32) AND j IN (0, 2, 4, 8, 16, 32)")
+@query(f"WITH {LONG}, {SIM} SELECT round(avg(sim), 9) AS red_abscorr FROM sims")
 def redundancy_abscorr(spark, sf):
-    return stats.redundancy_abscorr(stats.similarity(_wide(spark, sf)), [0, 2, 4, 8, 16, 32]).select(F.round("red_abscorr", 9).alias("red_abscorr"))
+    return stats.redundancy_abscorr(stats.similarity(_wide(spark, sf))).select(F.round("red_abscorr", 9).alias("red_abscorr"))
 
 
 def _scores(function, spark, sf):
@@ -283,27 +283,9 @@ def single_feature_accuracy(spark, sf):
     return bigints(knn.single_accuracies(_matrix(spark, sf), spark).select("fid", F.round("accuracy", 9).alias("accuracy")), "fid")
 
 
-@query(
-    f"WITH {LONG}, {FOLDS}, {_SINGLE.format(n=6)}"
-    """, pf AS (SELECT a AS i, b AS j FROM range(0, 6) s(a), range(0, 6) t(b) WHERE a < b),
-d2 AS (SELECT i, j, f.fold, q.sample_id AS qid, any_value(q.label) AS ql, r.sample_id AS rid, any_value(r.label) AS rl, sum((q.x - r.x) * (q.x - r.x)) AS d
-FROM pf JOIN long q ON q.fid IN (i, j) JOIN long r ON r.fid = q.fid JOIN folds f ON f.sample_id = q.sample_id JOIN folds g ON g.sample_id = r.sample_id WHERE f.fold != g.fold GROUP BY i, j, f.fold, q.sample_id, r.sample_id),
-n2 AS (SELECT *, row_number() OVER (PARTITION BY i, j, qid ORDER BY d, rid) AS k FROM d2), v2 AS (SELECT i, j, fold, qid, ql, rl, count(*) AS c FROM n2 WHERE k <= 5 GROUP BY ALL),
-w2 AS (SELECT *, row_number() OVER (PARTITION BY i, j, qid ORDER BY c DESC, rl) AS k FROM v2),
-pair AS (SELECT i, j, avg(a) AS acc FROM (SELECT i, j, fold, avg(CASE WHEN ql = rl THEN 1.0e0 ELSE 0.0e0 END) AS a FROM w2 WHERE k = 1 GROUP BY 1, 2, 3) GROUP BY 1, 2)
-SELECT i, j, round(greatest(0, acc - greatest(a.accuracy, b.accuracy)), 9) AS comp FROM pair JOIN single a ON a.fid = i JOIN single b ON b.fid = j"""
-)
-def complementarity(spark, sf):
-    matrix = _matrix(spark, sf)
-    few = spark.range(6).select(F.col("id").cast("int").alias("a"))
-    pairs = few.join(few.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
-    found = knn.complementarity(pairs, knn.single_accuracies(matrix, spark), matrix)
-    return bigints(found.select("i", "j", F.round("comp", 9).alias("comp")), "i", "j")
-
-
 @query()
-def complementarity_all(spark, sf):
-    """Complementarity of every pair of features; complementarity is its part that SQL can follow."""
+def complementarity(spark, sf):
+    """Complementarity of every pair of features; all pairs are too many for SQL, so tests hold it against brute force."""
     matrix = _matrix(spark, sf)
     every = spark.range(matrix.p).select(F.col("id").cast("int").alias("a"))
     pairs = every.join(every.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
@@ -521,23 +503,29 @@ def dominance_front(spark, sf):
     return pareto.dominance_front(_points(spark, sf), groups).select(*groups, "point_id")
 
 
-@query()
+# A point's front is the length of the longest chain of points that each dominate the next one.
+_RANK = """dom AS (SELECT a.point_id AS p, b.point_id AS q FROM front a JOIN front b USING (dataset_idx, method, run) WHERE a.fr <= b.fr AND a.er <= b.er AND (a.fr < b.fr OR a.er < b.er)),
+chain(q, d) AS (SELECT point_id, 1 FROM front UNION SELECT dom.q, d + 1 FROM chain JOIN dom ON dom.p = chain.q),
+ranks AS (SELECT q AS point_id, CAST(max(d) AS INT) AS rank FROM chain GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {FRONT}, {_RANK} SELECT dataset_idx, method, run, point_id, fr, er, rank FROM front JOIN ranks USING (point_id)")
 def nondominated_rank(spark, sf):
     return pareto.ranks(_points(spark, sf), ["dataset_idx", "method", "run"], "point_id")
 
 
 @query(
-    f"""WITH {FRONT}, r AS (SELECT *, 1 AS rank FROM front), w AS (SELECT dataset_idx, method, run, point_id,
+    f"""WITH RECURSIVE {FRONT}, {_RANK}, r AS (SELECT * FROM front JOIN ranks USING (point_id)), w AS (SELECT dataset_idx, method, run, point_id, rank,
   max(fr) OVER g - min(fr) OVER g AS s1, max(er) OVER g - min(er) OVER g AS s2, lead(fr) OVER a - lag(fr) OVER a AS g1, lead(er) OVER b - lag(er) OVER b AS g2
-  FROM r WINDOW g AS (PARTITION BY dataset_idx, method, run), a AS (PARTITION BY dataset_idx, method, run ORDER BY fr, point_id), b AS (PARTITION BY dataset_idx, method, run ORDER BY er, point_id))
-SELECT dataset_idx, method, run, point_id, round(CASE WHEN s1 > 0 AND g1 IS NOT NULL THEN g1 / s1 ELSE 1e9 END + CASE WHEN s2 > 0 AND g2 IS NOT NULL THEN g2 / s2 ELSE 1e9 END, 6) AS crowd FROM w"""
+  FROM r WINDOW g AS (PARTITION BY dataset_idx, method, run, rank), a AS (PARTITION BY dataset_idx, method, run, rank ORDER BY fr, point_id), b AS (PARTITION BY dataset_idx, method, run, rank ORDER BY er, point_id))
+SELECT dataset_idx, method, run, point_id, rank, round(CASE WHEN s1 > 0 AND g1 IS NOT NULL THEN g1 / s1 ELSE 1e9 END + CASE WHEN s2 > 0 AND g2 IS NOT NULL THEN g2 / s2 ELSE 1e9 END, 6) AS crowd FROM w"""
 )
 def crowding_distance(spark, sf):
     # Infinite distances show as sums of 1e9 here, so both sides compare.
     groups = ["dataset_idx", "method", "run"]
-    rows = _points(spark, sf).withColumn("rank", F.lit(1))
-    one = [pareto.crowding(rows, groups, "point_id", (f,)).select(*groups, "point_id", F.when(F.col("crowd") == float("inf"), 1e9).otherwise(F.col("crowd")).alias(f)) for f in ("fr", "er")]
-    return one[0].join(one[1], [*groups, "point_id"]).select(*groups, "point_id", F.round(F.col("fr") + F.col("er"), 6).alias("crowd"))
+    rows = pareto.ranks(_points(spark, sf), groups, "point_id")
+    one = [pareto.crowding(rows, groups, "point_id", (f,)).select(*groups, "point_id", "rank", F.when(F.col("crowd") == float("inf"), 1e9).otherwise(F.col("crowd")).alias(f)) for f in ("fr", "er")]
+    return one[0].join(one[1].drop("rank"), [*groups, "point_id"]).select(*groups, "point_id", "rank", F.round(F.col("fr") + F.col("er"), 6).alias("crowd"))
 
 
 _HV = f"{nd('dataset_idx, method, run')}, hvs AS (SELECT dataset_idx, method, run, sum((1 - fr) * (coalesce(prev, 1) - er)) AS hv FROM (SELECT *, lag(er) OVER (PARTITION BY dataset_idx, method, run ORDER BY fr) AS prev FROM nd WHERE fr < 1 AND er < 1) GROUP BY 1, 2, 3), hv AS (SELECT dataset_idx, method, run, coalesce(hv, 0) AS hv FROM (SELECT DISTINCT dataset_idx, method, run FROM front) LEFT JOIN hvs USING (dataset_idx, method, run))"
@@ -591,46 +579,43 @@ def method_summary(spark, sf):
     return _rounded(report.method_summary(_points(spark, sf)), ["dataset_idx"])
 
 
-_PICK = "picks AS (SELECT * EXCLUDE (k, p) FROM (SELECT *, row_number() OVER (PARTITION BY dataset_idx, method, post_mode, run ORDER BY p, acc_test DESC, point_id) AS k FROM (SELECT *, CASE test_mode WHEN 'selected' THEN 0 WHEN 'fixed_k' THEN 1 WHEN 'k_ref' THEN 2 WHEN 'ratio' THEN 3 ELSE 4 END AS p FROM test)) WHERE k = 1)"
+_PICK = "named AS (SELECT * REPLACE (method || CASE WHEN post_mode = '' THEN '' ELSE '__post' || post_mode END AS method), CASE WHEN contains(method, 'graph_') THEN CASE test_mode WHEN 'selected' THEN 0 ELSE 1 END ELSE CASE test_mode WHEN 'k_ref' THEN 0 WHEN 'ratio' THEN 1 ELSE 2 END END AS p, method AS method_base, CASE WHEN post_mode = '' THEN 'nopost' ELSE 'post' || post_mode END AS post_tag FROM test), picks AS (SELECT * EXCLUDE (k, p) FROM (SELECT *, row_number() OVER (PARTITION BY dataset_idx, method, run ORDER BY p, acc_test DESC, point_id) AS k FROM named) WHERE k = 1)"
 
 
-@query(f"WITH {FRONT}, {TEST}, {_PICK} SELECT dataset_idx, method, post_mode, run, point_id, test_mode, acc_test FROM picks")
+@query(f"WITH {FRONT}, {TEST}, {_PICK} SELECT dataset_idx, method_base AS method, post_mode, run, point_id, test_mode, acc_test FROM picks")
 def test_pick(spark, sf):
     return report.test_pick(tables.test_points(spark, sf), ["dataset_idx", "method", "post_mode", "run"]).select("dataset_idx", "method", "post_mode", "run", "point_id", "test_mode", "acc_test")
 
 
-_TSUM = "tsum AS (SELECT dataset_idx, method, post_mode AS post_tag, count(DISTINCT run) AS runs, avg(acc_test) AS acc_test_mean, stddev_samp(acc_test) AS acc_test_std, avg(fnum) AS fnum_test_mean, stddev_samp(fnum) AS fnum_test_std, avg(red) AS red_test_mean, stddev_samp(red) AS red_test_std, avg(time_total) AS time_total_mean, stddev_samp(time_total) AS time_total_std FROM picks GROUP BY 1, 2, 3)"
+_TSUM = "tsum AS (SELECT dataset_idx, method, method_base, post_tag, count(DISTINCT run) AS runs, avg(acc_test) AS acc_test_mean, stddev_samp(acc_test) AS acc_test_std, avg(fnum) AS fnum_test_mean, stddev_samp(fnum) AS fnum_test_std, avg(red) AS red_test_mean, stddev_samp(red) AS red_test_std, avg(time_total) AS time_total_mean, stddev_samp(time_total) AS time_total_std FROM picks GROUP BY 1, 2, 3, 4)"
 _TCOLS = ("acc_test_mean", "acc_test_std", "fnum_test_mean", "fnum_test_std", "red_test_mean", "red_test_std", "time_total_mean", "time_total_std")
 _TROUND = ", ".join(f"round({c}, 8) AS {c}" for c in _TCOLS)
 
 
-@query(f"WITH {FRONT}, {TEST}, {_PICK}, {_TSUM} SELECT dataset_idx, method, post_tag, runs, {_TROUND} FROM tsum")
+@query(f"WITH {FRONT}, {TEST}, {_PICK}, {_TSUM} SELECT dataset_idx, method, method_base, post_tag, runs, {_TROUND} FROM tsum")
 def test_summary(spark, sf):
     return _rounded(report.test_summary(tables.test_points(spark, sf)), ["dataset_idx"])
 
 
 @query(
     f"WITH {FRONT}, {TEST}"
-    ", s AS (SELECT *, max(CASE WHEN test_mode = 'selected' THEN 1 ELSE 0 END) OVER (PARTITION BY method, post_mode, run) AS h FROM test WHERE contains(lower(method), 'graph_enhanced')) "
-    "SELECT CASE WHEN contains(method, '_knn_') THEN 'knn' ELSE 'probabilistic' END AS init_mode, CASE WHEN contains(method, 'ks_normal') THEN 'normal' ELSE 'rc_greedy' END AS ks_mode, post_mode, count(DISTINCT run) AS runs, "
+    ", s AS (SELECT *, max(CASE WHEN test_mode = 'selected' THEN 1 ELSE 0 END) OVER (PARTITION BY dataset_idx) AS h FROM test WHERE contains(lower(method), 'graph_enhanced')) "
+    "SELECT dataset_idx, CASE WHEN contains(method, '_knn_') THEN 'knn' ELSE 'probabilistic' END AS init_mode, CASE WHEN contains(method, 'ks_normal') THEN 'normal' ELSE 'rc_greedy' END AS ks_mode, post_mode, count(DISTINCT run) AS runs, "
     + ", ".join(f"round({f}({c}), 8) AS {o}_{n}" for c, o in (("acc_test", "acc"), ("fnum", "fnum"), ("red", "red"), ("time_total", "time_total")) for f, n in (("avg", "mean"), ("stddev_samp", "std")))
-    + " FROM s WHERE h = 0 OR test_mode = 'selected' GROUP BY 1, 2, 3"
+    + " FROM s WHERE h = 0 OR test_mode = 'selected' GROUP BY 1, 2, 3, 4"
 )
 def ablation_summary(spark, sf):
-    return _rounded(report.ablation(tables.test_points(spark, sf)), [])
+    return _rounded(report.ablation(tables.test_points(spark, sf)), ["dataset_idx"])
 
 
-@query(f"WITH {FRONT}, {TEST}, {_TRAIN}, {_PICK}, {_TSUM} SELECT a.dataset_idx, a.method, {_SUMMARY_ROUNDED}, a.runs, post_tag, b.runs AS runs_test, {_TROUND} FROM summary a LEFT JOIN tsum b USING (dataset_idx, method)")
+@query(f"WITH {FRONT}, {TEST}, {_TRAIN}, {_PICK}, {_TSUM} SELECT a.dataset_idx, a.method, {_SUMMARY_ROUNDED}, a.runs, b.runs AS runs_test, {_TROUND} FROM summary a LEFT JOIN tsum b USING (dataset_idx, method)")
 def join_exact(spark, sf):
     return _rounded(report.join_exact(report.method_summary(_points(spark, sf)), report.test_summary(tables.test_points(spark, sf))), ["dataset_idx"])
 
 
-@query(f"WITH {FRONT}, {TEST}, {_TRAIN}, {_PICK}, {_TSUM} SELECT a.dataset_idx, a.method AS method_base, a.method, round(hv_mean, 8) AS hv_mean, b.method || CASE WHEN post_tag = '' THEN '' ELSE '__post_' || post_tag END AS method_test, round(acc_test_mean, 8) AS acc_test_mean FROM summary a LEFT JOIN tsum b USING (dataset_idx, method)")
+@query(f"WITH {FRONT}, {TEST}, {_TRAIN}, {_PICK}, {_TSUM} SELECT a.dataset_idx, a.method AS method_base, a.method AS method_train, {_SUMMARY_ROUNDED}, a.runs, b.method AS method_test, post_tag, b.runs AS runs_test, {_TROUND} FROM summary a LEFT JOIN tsum b ON b.dataset_idx = a.dataset_idx AND b.method_base = a.method")
 def join_by_base(spark, sf):
-    test = report.test_summary(tables.test_points(spark, sf))
-    test = test.withColumn("method", F.concat("method", F.when(F.col("post_tag") == "", "").otherwise(F.concat(F.lit("__post_"), "post_tag"))))
-    out = report.join_by_base(report.method_summary(_points(spark, sf)), test)
-    return _rounded(out.select("dataset_idx", "method_base", "method", "hv_mean", "method_test", "acc_test_mean"), ["dataset_idx"])
+    return _rounded(report.join_by_base(report.method_summary(_points(spark, sf)), report.test_summary(tables.test_points(spark, sf))), ["dataset_idx"])
 
 
 @query(f"WITH {FRONT}, {TEST} SELECT dataset_idx, method, run, point_id, er, NULL::VARCHAR AS test_mode, NULL::DOUBLE AS acc_test FROM front UNION ALL SELECT dataset_idx, method, run, point_id, NULL, test_mode, acc_test FROM test")
@@ -682,34 +667,40 @@ def method_category(spark, sf):
     return _points(spark, sf).select("point_id", text.category(F.col("method")).alias("category"))
 
 
-_TAGGED = "tagged AS (SELECT event_id, event_type || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '__post_buddy' ELSE '__POST_a__post_normal' END AS method FROM events)"
+# The tags' SQL lists the values that names must give, one by one.
+_TAGGED = "tagged AS (SELECT event_id, event_type, event_id % 4 AS kind, event_type || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '__postBuddy' WHEN 2 THEN '__POST_a__postnormal' ELSE '' END AS method FROM events)"
 
 
 def _tagged(spark, sf):
-    tag = F.element_at(F.array(F.lit(""), F.lit("__post_buddy"), F.lit("__POST_a__post_normal")), (F.col("event_id") % 3 + 1).cast("int"))
-    return tables.table(spark, sf, "events").select("event_id", F.concat("event_type", tag).alias("method"))
+    tag = F.element_at(F.array(F.lit(""), F.lit("__postBuddy"), F.lit("__POST_a__postnormal"), F.lit("")), (F.col("event_id") % 4 + 1).cast("int"))
+    return tables.table(spark, sf, "events").select("event_id", F.concat("event_type", tag).alias("method"), F.when(F.col("event_id") % 4 == 3, "Buddy").when(F.col("event_id") % 4 == 0, "nan").alias("post_mode"))
 
 
-@query(f"WITH {_TAGGED} SELECT event_id, coalesce(nullif(regexp_extract(method, '(?i)^(.*)__post', 1), ''), method) AS base FROM tagged")
+@query(f"WITH {_TAGGED} SELECT event_id, event_type || CASE kind WHEN 2 THEN '__POST_a' ELSE '' END AS base, event_type || CASE kind WHEN 0 THEN '' WHEN 1 THEN '__postBuddy' WHEN 2 THEN '__POST_a__postnormal' ELSE '__postbuddy' END AS test FROM tagged")
 def method_base(spark, sf):
-    return _tagged(spark, sf).select("event_id", text.method_base(F.col("method")).alias("base"))
+    method = F.col("method")
+    return _tagged(spark, sf).select("event_id", text.method_base(method).alias("base"), text.method_test(method, F.col("post_mode")).alias("test"))
 
 
-@query(f"WITH {_TAGGED} SELECT event_id, regexp_extract(method, '(?i)^.*__post_?(.*)$', 1) AS tag FROM tagged")
+@query(f"WITH {_TAGGED} SELECT event_id, CASE kind WHEN 0 THEN 'nopost' WHEN 1 THEN 'postbuddy' WHEN 2 THEN 'postnormal' ELSE 'nopost' END AS by_name, CASE kind WHEN 0 THEN 'nopost' WHEN 1 THEN 'postbuddy' WHEN 2 THEN 'postnormal' ELSE 'postbuddy' END AS tag FROM tagged")
 def post_tag(spark, sf):
-    return _tagged(spark, sf).select("event_id", text.post_tag(F.col("method")).alias("tag"))
+    method = F.col("method")
+    return _tagged(spark, sf).select("event_id", text.post_tag(method).alias("by_name"), text.post_tag(method, F.col("post_mode")).alias("tag"))
 
 
-@query("SELECT event_id, 'enh' AS family, event_type AS first, 'k:' || event_id % 4 AS second, 'enh_' || event_type || '_k_' || event_id % 4 AS safe FROM events")
+@query("SELECT event_id, 'enh' AS family, event_type AS first, 'k:' || event_id % 4 AS second, 'enh__' || event_type || '__k__' || event_id % 4 AS safe FROM events")
 def algo_tag(spark, sf):
     algo = F.concat_ws(":", F.lit("enh"), "event_type", F.lit("k"), (F.col("event_id") % 4).cast("string"))
     family, first, second = text.algo_parts(algo)
     return tables.table(spark, sf, "events").select("event_id", family.alias("family"), first.alias("first"), second.alias("second"), text.safe_tag(algo).alias("safe"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'm' END || CASE WHEN event_id % 2 = 0 THEN '2' ELSE '0p5' END AS tag FROM events")
+_FLOATS = [(0.5, "0p5"), (2.0, "2"), (0.25, "0p25"), (-1.5, "m1p5"), (0.0, "0"), (100.0, "100"), (1 / 3, "0p333333"), (123456.0, "123456"), (1234567.0, "1p23457e+06"), (0.0001, "0p0001"), (0.00002, "2em05")]
+
+
+@query("SELECT event_id, CASE event_id % " + str(len(_FLOATS)) + "".join(f" WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(_FLOATS)) + " END AS tag FROM events")
 def float_tag(spark, sf):
-    value = F.when(F.col("event_id") % 2 == 0, 2.0).otherwise(0.5) * F.when(F.col("event_id") % 5 == 0, 1.0).otherwise(-1.0)
+    value = F.element_at(F.array(*(F.lit(float(x)) for x, _ in _FLOATS)), (F.col("event_id") % len(_FLOATS) + 1).cast("int"))
     return tables.table(spark, sf, "events").select("event_id", text.float_tag(value).alias("tag"))
 
 

@@ -42,7 +42,7 @@ def test_peel_removes_only_equal_degrees():
 
 
 def plain_peel(a, w):
-    a, left, shells = a.copy(), {i for i in range(len(a)) if (a[i] > 0).any() or (a[:, i] > 0).any()}, []
+    a, left, shells = a.copy(), set(range(len(a))), []
     degree = lambda i: round(math.sqrt((a[i] > 0).sum() * a[i].sum() * w[i]))
     while left:
         m, shell = min(map(degree, left)), []
@@ -66,6 +66,15 @@ def test_peel_against_plain(seed):
     assert len(set(itertools.chain(*shells))) == sum(map(len, shells))
 
 
+def test_peel_takes_nodes_without_edges_first():
+    a = np.zeros((5, 5))
+    for i, j in [(0, 1), (1, 2), (2, 0), (1, 0), (2, 1), (0, 2)]:
+        a[i, j] = 1.0
+    w = np.array([1, 1, 1, 1, 1.5])
+    assert [sorted(s.tolist()) for s in kshell.peel(a, w)] == [[3, 4], [0, 1, 2]]
+    assert kshell.representatives(kshell.peel(a, w), w).tolist() == [0, 1, 2, 4]
+
+
 def test_genome_without_edges_has_an_empty_core():
     d = kshell.Decoder(3, np.array([0, 1]), np.array([1, 2]), np.array([0.5, 0.5]))
     assert len(d.core(np.array([0, 0]), np.ones(3))) == 0

@@ -10,7 +10,7 @@ def test_complementarity_of_all_pairs(spark, sf):
     matrix = queries.knn.Matrix.of(few, queries.prep.stratified_folds(few))
     queries_matrix, queries._matrix = queries._matrix, lambda *_: matrix
     try:
-        found = {(r["i"], r["j"]): r["comp"] for r in queries.QUERIES["complementarity_all"](spark, sf).collect()}
+        found = {(r["i"], r["j"]): r["comp"] for r in queries.QUERIES["complementarity"](spark, sf).collect()}
     finally:
         queries._matrix = queries_matrix
     one = [matrix.accuracy([f]) for f in range(9)]
