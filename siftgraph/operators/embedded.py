@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import finite
-from .knn import Matrix
+from .knn import Matrix, Rows
 
 
 def _vectors(wide: DataFrame) -> DataFrame:
@@ -66,9 +66,9 @@ def _parts(weights: np.ndarray, classes: np.ndarray, ids: np.ndarray):
     return run
 
 
-def linear_svm(wide: DataFrame, ids: list[int], c: float = 1.0, most: int = 12) -> np.ndarray:
-    """Coefficients (classes x features) by Newton steps; each step adds up the tasks' sums, whose size does not depend on the rows."""
-    classes = np.array(sorted(r[0] for r in wide.select("label").distinct().collect()))
+def linear_svm(wide: DataFrame, ids: list[int], c: float = 1.0, most: int = 12, classes: np.ndarray | None = None, constant: bool = False) -> np.ndarray:
+    """Coefficients (classes x features, with constant one more) by Newton steps; each step adds up the tasks' sums, whose size does not depend on the rows."""
+    classes = np.array(sorted(r[0] for r in wide.select("label").distinct().collect())) if classes is None else classes
     at = np.array(ids)
     p = len(at) + 1
     weights = np.zeros((len(classes), p))
@@ -82,7 +82,7 @@ def linear_svm(wide: DataFrame, ids: list[int], c: float = 1.0, most: int = 12)
         weights = weights - step
         if np.abs(step).max() < 1e-6:
             break
-    return weights[:, :-1]
+    return weights if constant else weights[:, :-1]
 
 
 def rfe_svm(wide: DataFrame, k: int, drop: float = 0.1) -> list[int]:
@@ -117,10 +117,38 @@ def _local_svm(x: np.ndarray, y: np.ndarray, classes: np.ndarray, most: int = 8)
     return weights
 
 
-def sfs_svm(matrix: Matrix, spark, k: int) -> list[int]:
-    """k features by greedy forward selection on the cross-validated accuracy of linear SVMs; each step's candidates run in parallel."""
-    if not isinstance(matrix, Matrix):
-        raise ValueError("sfs_svm has no path for rows over the broadcast bound")
+def _guesses(weights: np.ndarray, classes: np.ndarray, at: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("features").to_pylist(), np.float64).reshape(batch.num_rows, -1)[:, at]
+            guess = classes[(np.column_stack([x, np.ones(len(x))]) @ weights.T).argmax(1)]
+            yield pa.RecordBatch.from_arrays([pa.array((guess == batch.column("label").to_numpy()).astype(np.float64))], names=["hit"])
+
+    return run
+
+
+def svm_accuracy(rows: Rows, ids: list[int]) -> float:
+    """Cross-validated accuracy of linear SVMs on rows that stay in the tasks: only sums reach the driver."""
+    classes = np.array(sorted(r[0] for r in rows.rows.select("label").distinct().collect()))
+    hits = []
+    for fold in sorted(r[0] for r in rows.rows.select("fold").distinct().collect()):
+        weights = linear_svm(rows.rows.where(F.col("fold") != fold), ids, most=8, classes=classes, constant=True)
+        test = rows.rows.where(F.col("fold") == fold).select("label", "features")
+        hits.append(test.mapInArrow(_guesses(weights, classes, np.array(ids)), "hit double").agg(F.avg("hit")).first()[0])
+    return float(np.mean(hits))
+
+
+def sfs_svm(matrix: Matrix | Rows, spark, k: int) -> list[int]:
+    """k features by greedy forward selection on the cross-validated accuracy of linear SVMs; each step's candidates run in parallel.
+
+    Over the broadcast bound candidates follow one another, each with its rows in parallel.
+    """
+    if isinstance(matrix, Rows):
+        picks: list[int] = []
+        while len(picks) < min(k, matrix.p):
+            scores = {f: svm_accuracy(matrix, [*picks, f]) for f in range(matrix.p) if f not in picks}
+            picks.append(min(scores, key=lambda f: (-round(scores[f], 12), f)))
+        return picks
     shared = spark.sparkContext.broadcast(matrix)
     chosen: list[int] = []
     p = matrix.x.shape[1]
@@ -152,7 +180,7 @@ def sfs_svm(matrix: Matrix, spark, k: int) -> list[int]:
 
 #: Registries, open to more: score methods fn(wide) -> (fid, score) and subset methods fn(wide, matrix, k) -> ids.
 EMBEDDED: dict[str, Callable[[DataFrame], DataFrame]] = {"EMB_L1_LogReg": l1_importance, "EMB_RF_importance": forest_importance}
-WRAPPERS: dict[str, Callable[[DataFrame, Matrix, int], list[int]]] = {
+WRAPPERS: dict[str, Callable[[DataFrame, Matrix | Rows, int], list[int]]] = {
     "WRAP_RFE_SVM": lambda wide, matrix, k: rfe_svm(wide, k),
     "WRAP_SFS_SVM": lambda wide, matrix, k: sfs_svm(matrix, wide.sparkSession, k),
 }

@@ -6,9 +6,10 @@ largest group has as many rows as there are features.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -149,17 +150,17 @@ def decode(layout: DataFrame, genomes: DataFrame) -> DataFrame:
     return bits.join(layout, "gene_pos").select("ind_id", "src", "dst", "sim")
 
 
-#: Graph initialisers by name: fn(sim, fisher, k) -> edges; (src, dst, sim).
-INITIALIZERS: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
-    "knn": lambda sim, fisher, k: knn_graph(sim, k),
-    "local_thresh": lambda sim, fisher, k: local_threshold_graph(sim),
-    "fisher_red": lambda sim, fisher, k: fisher_redundancy_graph(sim, fisher, 1, 3 * k),
-    "mst_local": lambda sim, fisher, k: mst_local_graph(sim),
-    "probabilistic": lambda sim, fisher, k: probabilistic_graph(sim, fisher, 1, 3 * k),
+#: Graph initialisers by name: fn(sim, fisher, k, beta) -> edges; (src, dst, sim). beta sharpens the probabilistic one.
+INITIALIZERS: dict[str, Callable[[DataFrame, DataFrame, int, float], DataFrame]] = {
+    "knn": lambda sim, fisher, k, beta=2.0: knn_graph(sim, k),
+    "local_thresh": lambda sim, fisher, k, beta=2.0: local_threshold_graph(sim),
+    "fisher_red": lambda sim, fisher, k, beta=2.0: fisher_redundancy_graph(sim, fisher, 1, 3 * k),
+    "mst_local": lambda sim, fisher, k, beta=2.0: mst_local_graph(sim),
+    "probabilistic": lambda sim, fisher, k, beta=2.0: probabilistic_graph(sim, fisher, 1, 3 * k, beta),
 }
 
 
-def register_initializer(name: str, function: Callable[[DataFrame, DataFrame, int], DataFrame]) -> None:
+def register_initializer(name: str, function: Callable[[DataFrame, DataFrame, int, float], DataFrame]) -> None:
     INITIALIZERS[name] = function
 
 
@@ -184,10 +185,28 @@ def local_variance(wide: DataFrame, k: int = 5) -> DataFrame:
     return rows.select("sample_id", "fid", (F.col("m2") - 2 * F.col("x") * F.col("m1") + F.col("x") * F.col("x")).alias("var"))
 
 
-def variance_edges(variance: DataFrame, threshold: float = 2.0) -> DataFrame:
-    """(src, dst) in both directions: features whose variance stays within the threshold in one sample."""
-    rows = variance.where(F.col("var") <= threshold).select("sample_id", "fid")
-    return rows.select("sample_id", F.col("fid").alias("src")).join(rows.select("sample_id", F.col("fid").alias("dst")), "sample_id").where("src != dst").select("src", "dst").distinct()
+def variance_edges(wide: DataFrame, k: int = 5, threshold: float = 2.0) -> DataFrame:
+    """(src, dst) in both directions: features whose variance stays within the threshold in one sample.
+
+    Each task joins its samples' features into one p x p matrix of bits; only edges
+    that a task has seen are shuffled, however many samples show them.
+    """
+    moments = pool_moments(wide, k).orderBy("fid").collect()  # a row for each feature
+    m1, m2 = (np.array([r[c] for r in moments], np.float64) for c in ("m1", "m2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((len(m1), len(m1)), bool)
+        for batch in batches:
+            x = np.array(batch.column("features").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            near = (m2 - 2 * x * m1 + x * x <= threshold).astype(np.float32)
+            for a in range(0, len(near), 4096):
+                seen |= near[a : a + 4096].T @ near[a : a + 4096] > 0
+        np.fill_diagonal(seen, False)
+        for a in range(0, len(seen), 256):  # so many lines of the matrix at once
+            src, dst = np.nonzero(seen[a : a + 256])
+            yield pa.RecordBatch.from_arrays([pa.array((src + a).astype(np.int32)), pa.array(dst.astype(np.int32))], names=["src", "dst"])
+
+    return wide.select("features").mapInArrow(run, "src int, dst int").distinct()
 
 
 def pagerank(edges: DataFrame, p: int, damping: float = 0.85, most: int = 100, tolerance: float = 1e-3, least: int = 5) -> DataFrame:
@@ -221,7 +240,7 @@ def ugfs(wide: DataFrame, k: int = 5, threshold: float = 2.0, ndim: int | None =
 
     scaled, _ = preprocess(wide, preprocessing)
     p = scaled.agg(F.max(F.size("features"))).first()[0] or 0
-    edges = variance_edges(local_variance(scaled, k), threshold)
+    edges = variance_edges(scaled, k, threshold)
     if edges.isEmpty():
         raise ValueError("no feature varies within the threshold")
     scores = pagerank(edges, p)

@@ -1,14 +1,18 @@
 """Nearest neighbours and accuracies.
 
-Queries meet all rows in blocks: rows are packed into matrices of BLOCK rows,
-each pair of a query block and a row block is one task's matrix work and leaves
-only the k nearest of each query, and these merge by query. Distances are
+All pairs of rows meet in a grid of cells: rows are packed into blocks of BLOCK
+rows, query blocks are dealt to G columns and row blocks to G lines, and each cell
+takes the blocks of its column and line. So a block is sent G times, about the
+root of the number of tasks, not once for every other block. A cell holds its row
+blocks (CELL bytes at most), passes its query blocks by them one after another
+and leaves the k nearest of each query; these merge by query. Distances are
 Euclidean; ties go to the smaller row id, tied votes to the smaller label.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,18 +22,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Bytes of row blocks that a cell holds.
+CELL = 128 << 20
 #: Bytes of a training matrix up to which subset evaluation broadcasts it.
-BROADCAST = 512 << 20
+BROADCAST = 64 << 20
 
 
-def _packed(rows: DataFrame, prefix: str) -> DataFrame:
-    """Blocks (matrix, ids, labels, folds) of at most BLOCK rows, as binary columns."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """Blocks (x, ids, labels, folds) of at most BLOCK rows, as binary columns."""
 
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         part = pa.Table.from_batches(parts)
         x = np.array(part.column("features").to_pylist(), np.float64)
         ids, labels, folds = (part.column(c).to_numpy().astype(np.int64) for c in ("sample_id", "label", "fold"))
-        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, ids, labels, folds)], names=[f"{prefix}{c}" for c in ("x", "ids", "labels", "folds")])
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, ids, labels, folds)], names=["x", "ids", "labels", "folds"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -44,65 +50,138 @@ def _packed(rows: DataFrame, prefix: str) -> DataFrame:
         if size:
             yield block(held)
 
-    return rows.select(F.col("sample_id").cast("long").alias("sample_id"), F.col("label").cast("long").alias("label"), F.col("fold").cast("long").alias("fold"), "features").mapInArrow(run, ", ".join(f"{prefix}{c} binary" for c in ("x", "ids", "labels", "folds")))
+    fold = F.col("fold").cast("long") if "fold" in rows.columns else F.lit(0).cast("long")
+    return rows.select(F.col("sample_id").cast("long").alias("sample_id"), F.col("label").cast("long").alias("label"), fold.alias("fold"), "features").mapInArrow(run, "x binary, ids binary, labels binary, folds binary")
 
 
-def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k nearest by (distance, id), for each row of d."""
-    k = min(k, d.shape[1])
-    if not k:
-        return np.zeros((len(d), 0), np.int64)
-    cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    out = np.empty((len(d), k), np.int64)
-    for i in range(len(d)):
-        near = np.flatnonzero(d[i] <= cut[i])
-        out[i] = near[np.lexsort((ids[near], d[i, near]))[:k]]
-    return out
+class Block:
+    """Rows of a block: features, ids, labels and folds."""
 
+    def __init__(self, x: np.ndarray, ids: np.ndarray, labels: np.ndarray, folds: np.ndarray):
+        self.x, self.ids, self.labels, self.folds = x, ids, labels, folds
+        self.squares = (x * x).sum(1)
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances, feature by feature, so equal rows have equal distances."""
-    out = np.zeros((len(a), len(b)))
-    for x, y in zip(a.T, b.T):
-        d = x[:, None] - y[None]
-        d *= d
-        out += d
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        ids, labels, folds = (np.frombuffer(row[c], np.int64) for c in ("ids", "labels", "folds"))
+        return cls(np.frombuffer(row["x"]).reshape(len(ids), -1), ids, labels, folds)
+
+    def part(self, at: slice) -> Block:
+        return Block(self.x[at], self.ids[at], self.labels[at], self.folds[at])
+
+
+def _barred(q: Block, r: Block, other_fold: bool, not_self: bool) -> np.ndarray | None:
+    """Pairs that do not count."""
+    out = None
+    if other_fold:
+        out = q.folds[:, None] == r.folds[None]
+    if not_self:
+        own = q.ids[:, None] == r.ids[None]
+        out = own if out is None else out | own
     return out
 
 
+def _close(q: Block, r: Block, k: int, barred: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in q, place in r, squared distance) of pairs that hold the k nearest rows of each query, and ties.
+
+    Products of the blocks tell which pairs can be among them, within rounding;
+    these pairs' distances are added up feature by feature, so equal rows have
+    equal distances.
+    """
+    rough = q.squares[:, None] + r.squares[None] - 2 * (q.x @ r.x.T)
+    if barred is not None:
+        rough[barred] = np.inf
+    slack = 1e-11 * (q.squares.max(initial=0) + r.squares.max(initial=0))
+    k = min(k, len(r.ids))
+    cut = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + slack
+    at, near = np.nonzero((rough <= cut) & np.isfinite(rough))
+    d = np.zeros(len(at))
+    for x, y in zip(q.x.T, r.x.T):
+        step = x[at] - y[near]
+        d += step * step
+    return at, near, d
+
+
+def nearest(q: Block, rows: list[Block], k: int, other_fold: bool = False, not_self: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in q, row id, row label, squared distance) of the k nearest rows of each query, by query, distance and id."""
+    held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float64))
+    for r in rows:
+        if not len(q.ids) or not len(r.ids) or not k:
+            continue
+        at, near, d = _close(q, r, k, _barred(q, r, other_fold, not_self))
+        at, ids, labels, d = (np.concatenate(x) for x in zip(held, (at, r.ids[near], r.labels[near], d)))
+        order = np.lexsort((ids, d, at))
+        first = np.searchsorted(at[order], np.arange(len(q.ids)))
+        keep = order[np.arange(len(order)) - first[at[order]] < k]
+        held = at[keep], ids[keep], labels[keep], d[keep]
+    return held
+
+
+def grid(queries: DataFrame, rows: DataFrame, work: Callable[[Block, list[Block]], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """What work yields of each query block and the row blocks of each line of the grid."""
+    spark = queries.sparkSession
+    parallel = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(8 * F.size("features") + 24)).first()[0] or 0
+    g = max(math.ceil(math.sqrt(parallel)), math.ceil(2 * size / CELL))
+    own = F.pmod(F.xxhash64("ids"), F.lit(g))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long")))
+    left = _packed(queries).withColumn("line", every).withColumn("column", own).withColumn("query", F.lit(1))
+    right = _packed(rows).withColumn("column", every).withColumn("line", own).withColumn("query", F.lit(0))
+    cells = left.unionByName(right).repartition(min(g * g, 4 * parallel), "line", "column").sortWithinPartitions("line", "column", "query")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if (row["line"], row["column"]) != cell:
+                    cell, held = (row["line"], row["column"]), []
+                block = Block.of(row)
+                if not row["query"]:
+                    held.append(block)
+                elif held and (out := work(block, held)) is not None:
+                    yield out
+
+    return cells.mapInArrow(run, schema)
+
+
 def neighbours(queries: DataFrame, rows: DataFrame, k: int = 5, other_fold: bool = False, not_self: bool = False) -> DataFrame:
     """(query_id, query_label, query_fold, row_id, row_label, distance, rank): the k nearest rows of each query.
 
     With other_fold only rows of another fold count, with not_self a row is not its own neighbour.
     """
-    fold = lambda f: f if "fold" in f.columns else f.withColumn("fold", F.lit(0))
-    left, right = _packed(fold(queries), "q"), _packed(fold(rows), "r")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                qi, ql, qf, ri, rl, rf = (np.frombuffer(row[c], np.int64) for c in ("qids", "qlabels", "qfolds", "rids", "rlabels", "rfolds"))
-                q, r = np.frombuffer(row["qx"]).reshape(len(qi), -1), np.frombuffer(row["rx"]).reshape(len(ri), -1)
-                d = distances(q, r)
-                if other_fold:
-                    d[qf[:, None] == rf[None]] = np.inf
-                if not_self:
-                    d[qi[:, None] == ri[None]] = np.inf
-                near = _nearest(d, ri, k)
-                at = np.repeat(np.arange(len(qi)), near.shape[1])
-                flat = near.ravel()
-                dist = d[at, flat]
-                ok = np.isfinite(dist)
-                at, flat, dist = at[ok], flat[ok], dist[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (qi[at], ql[at], qf[at], ri[flat], rl[flat], np.sqrt(dist))], names=["query_id", "query_label", "query_fold", "row_id", "row_label", "distance"])
-
-    # Each block pair is one row of work; the blocks, not the rows, are paired.
-    pairs = left.join(right).repartition(max(8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    found = pairs.mapInArrow(run, "query_id long, query_label long, query_fold long, row_id long, row_label long, distance double")
+    def work(q: Block, held: list[Block]) -> pa.RecordBatch:
+        at, ids, labels, d = nearest(q, held, k, other_fold, not_self)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (q.ids[at], q.labels[at], q.folds[at], ids, labels, np.sqrt(d))], names=["query_id", "query_label", "query_fold", "row_id", "row_label", "distance"])
+
+    found = grid(queries, rows, work, "query_id long, query_label long, query_fold long, row_id long, row_label long, distance double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "row_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def extremes(rows: DataFrame) -> DataFrame:
+    """(query_id, far, near) of each row: the farthest row of its class, itself included, and the nearest of another (infinite without one)."""
+
+    def work(q: Block, held: list[Block]) -> pa.RecordBatch:
+        far, near = far_and_near(q, held)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (q.ids, far, near)], names=["query_id", "far", "near"])
+
+    found = grid(rows, rows, work, "query_id long, far double, near double")
+    return found.groupBy("query_id").agg(F.max("far").alias("far"), F.min("near").alias("near"))
+
+
+def far_and_near(q: Block, rows: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    far, near = np.zeros(len(q.ids)), np.full(len(q.ids), np.inf)
+    for r in rows:
+        d = np.sqrt(np.maximum(q.squares[:, None] + r.squares[None] - 2 * q.x @ r.x.T, 0))
+        same = q.labels[:, None] == r.labels[None]
+        d[same & (q.ids[:, None] == r.ids[None])] = 0
+        far = np.maximum(far, np.where(same, d, 0).max(1, initial=0))
+        near = np.minimum(near, np.where(same, np.inf, d).min(1, initial=np.inf))
+    return far, near
+
+
 def votes(near: DataFrame) -> DataFrame:
     """(query_id, query_label, query_fold, predicted) by uniform votes."""
     counts = near.groupBy("query_id", "query_label", "query_fold", "row_label").agg(F.count("*").alias("c"))
@@ -133,7 +212,7 @@ class Matrix:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, folds: np.ndarray, ids: np.ndarray | None = None):
         if x.nbytes > BROADCAST:
-            raise ValueError(f"a matrix of {x.nbytes} bytes is over {BROADCAST}; use cv_accuracy for each subset")
+            raise ValueError(f"a matrix of {x.nbytes} bytes is over {BROADCAST}; Matrix.of takes such rows as they are")
         self.x, self.y, self.folds = x, y.astype(np.int64), folds.astype(np.int64)
         self.ids = np.arange(len(y)) if ids is None else ids
         self.p = self.x.shape[1] if self.x.ndim == 2 else 0
@@ -145,28 +224,45 @@ class Matrix:
         size = rows.agg(F.sum(8 * F.size("features"))).first()[0] or 0
         if size > BROADCAST:
             return Rows(rows.select("sample_id", "label", "fold", "features"))
-        pdf = rows.select("sample_id", "label", "fold", "features").orderBy("sample_id").toPandas()
-        return cls(np.array(pdf["features"].tolist(), np.float64), pdf["label"].to_numpy(), pdf["fold"].to_numpy(), pdf["sample_id"].to_numpy())
+        found = rows.select("sample_id", "label", "fold", "features").orderBy("sample_id").toArrow()
+        ids, labels, folds_ = (found.column(c).to_numpy() for c in ("sample_id", "label", "fold"))
+        flat = found.column("features").combine_chunks()
+        x = np.asarray(flat.flatten(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+        return cls(x, labels, folds_, ids)
+
+    def block(self, subset, at=slice(None)) -> Block:
+        return Block(np.ascontiguousarray(self.x[at][:, list(subset)]), self.ids[at], self.y[at], self.folds[at])
 
     def accuracy(self, subset, k: int = 5) -> float:
         """Mean over folds; an empty subset has 0."""
         subset = list(subset)
-        if not subset:
+        if not subset or not len(self.y):
             return 0.0
-        x = self.x[:, subset]
-        scores = []
-        for f in np.unique(self.folds):
-            test, train = np.flatnonzero(self.folds == f), np.flatnonzero(self.folds != f)
-            scores.append(float(np.mean(vote(x[train], self.y[train], self.ids[train], x[test], k) == self.y[test])) if len(train) else 0.0)
-        return float(np.mean(scores)) if scores else 0.0
+        hit = _hits(self.block(subset), k, other_fold=True)
+        return float(np.mean([hit[self.folds == f].mean() if (self.folds != f).any() else 0.0 for f in np.unique(self.folds)]))
 
     def apparent(self, subset, k: int = 5) -> float:
         """Accuracy on the rows that vote themselves."""
         subset = list(subset)
-        if not subset:
-            return 0.0
-        x = self.x[:, subset]
-        return float(np.mean(vote(x, self.y, self.ids, x, k) == self.y))
+        return float(_hits(self.block(subset), k).mean()) if subset and len(self.y) else 0.0
+
+
+def _hits(rows: Block, k: int, other_fold: bool = False) -> np.ndarray:
+    """Whether each row's vote among the others is its label, block by block."""
+    places = [slice(a, a + BLOCK) for a in range(0, len(rows.ids), BLOCK)]
+    blocks = [rows.part(at) for at in places]
+    return np.concatenate([_voted(q, nearest(q, blocks, k, other_fold)) == q.labels for q in blocks])
+
+
+def _voted(q: Block, found: tuple) -> np.ndarray:
+    """The label with the most votes of each query, the smaller of ties; queries without neighbours get none (the least long)."""
+    at, _, labels, _ = found
+    names, coded = np.unique(labels, return_inverse=True)
+    if not len(names):
+        return np.full(len(q.ids), np.iinfo(np.int64).min)
+    counts = np.zeros((len(q.ids), len(names)), np.int64)
+    np.add.at(counts, (at, coded), 1)
+    return np.where(counts.any(1), names[counts.argmax(1)], np.iinfo(np.int64).min)
 
 
 class Rows:
@@ -176,30 +272,29 @@ class Rows:
         self.rows = rows.cache()
         self.p = rows.agg(F.max(F.size("features"))).first()[0] or 0
 
-    def _part(self, subset) -> DataFrame:
+    def part(self, subset) -> DataFrame:
         ids = F.array(*(F.lit(int(i)) for i in subset))
         return self.rows.withColumn("features", F.transform(ids, lambda i: F.get("features", i)))
 
     def accuracy(self, subset, k: int = 5) -> float:
         """Mean over folds; an empty subset has 0."""
         subset = list(subset)
-        return cv_accuracy(self._part(subset).drop("fold"), self.rows, k).first()["accuracy"] if subset else 0.0
+        return cv_accuracy(self.part(subset).drop("fold"), self.rows, k).first()["accuracy"] if subset else 0.0
 
     def apparent(self, subset, k: int = 5) -> float:
         """Accuracy on the rows that vote themselves."""
         subset = list(subset)
         if not subset:
             return 0.0
-        part = self._part(subset)
+        part = self.part(subset)
         return votes(neighbours(part, part, k)).agg(F.avg((F.col("predicted") == F.col("query_label")).cast("double"))).first()[0] or 0.0
 
 
 def vote(train: np.ndarray, labels: np.ndarray, ids: np.ndarray, test: np.ndarray, k: int) -> np.ndarray:
-    near = _nearest(distances(test, train), ids, k)
-    names, coded = np.unique(labels, return_inverse=True)
-    counts = np.zeros((len(test), len(names)), np.int64)
-    np.add.at(counts, (np.repeat(np.arange(len(test)), near.shape[1]), coded[near].ravel()), 1)
-    return names[counts.argmax(1)]
+    none = np.zeros(len(test), np.int64)
+    q = Block(test, np.arange(len(test)), none, none)
+    rows = Block(train, ids, labels, np.zeros(len(train), np.int64))
+    return _voted(q, nearest(q, [rows.part(slice(a, a + BLOCK)) for a in range(0, len(train), BLOCK)], k))
 
 
 def subset_accuracies(subsets: DataFrame, matrix: Matrix | Rows, k: int = 5, apparent: bool = False) -> DataFrame:

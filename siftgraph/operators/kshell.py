@@ -6,7 +6,7 @@ kernel; populations are frames with one genome a row, decoded in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,8 +85,12 @@ def rc_greedy(core: np.ndarray, comp: np.ndarray, sim: np.ndarray, tau: float =
     return np.sort(np.array(chosen, np.int64))
 
 
-#: Extension modes of a decoded core.
-MODES = ("none", "normal", "rc_greedy")
+#: Extension modes of a decoded core, open to more: fn(core, comp, sim, tau, most) -> ids.
+MODES: dict[str, Callable[..., np.ndarray]] = {"none": lambda core, *_: core, "normal": lambda core, *_: core, "rc_greedy": rc_greedy}
+
+
+def register_mode(name: str, function: Callable[..., np.ndarray]) -> None:
+    MODES[name] = function
 
 
 class Decoder:

@@ -29,17 +29,17 @@ def reference_front(table: DataFrame) -> DataFrame:
     return front(table, ["dataset_idx"])
 
 
-def run_metrics(table: DataFrame) -> DataFrame:
-    """(dataset_idx, method, run, hv, igd, best_acc, best_fnum) of each run; igd is null without a front."""
+def run_metrics(table: DataFrame, reference: tuple[float, float] = (1.0, 1.0), p: float = 2.0) -> DataFrame:
+    """(dataset_idx, method, run, hv, igd, best_acc, best_fnum) of each run, hv within the reference point and igd by the p-norm; igd is null without a front."""
     groups = ["dataset_idx", "method", "run"]
     best = table.groupBy(*groups).agg(F.min_by(F.struct("er", "fnum"), F.struct("er", "point_id")).alias("b"))
     best = best.select(*groups, (1 - F.col("b.er")).alias("best_acc"), F.col("b.fnum").alias("best_fnum"))
-    return hypervolume(table, groups).join(igd(table, groups, reference_front(table), ["dataset_idx"]), groups, "left").join(best, groups)
+    return hypervolume(table, groups, reference).join(igd(table, groups, reference_front(table), ["dataset_idx"], p), groups, "left").join(best, groups)
 
 
-def method_summary(table: DataFrame) -> DataFrame:
+def method_summary(table: DataFrame, reference: tuple[float, float] = (1.0, 1.0), p: float = 2.0) -> DataFrame:
     """Means and sample deviations over a method's runs."""
-    return run_metrics(table).groupBy("dataset_idx", "method").agg(
+    return run_metrics(table, reference, p).groupBy("dataset_idx", "method").agg(
         *(f(c).alias(f"{c}_{n}") for c in ("hv", "igd", "best_acc", "best_fnum") for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))),
         F.countDistinct("run").alias("runs"),
     )
@@ -141,12 +141,12 @@ def reference_size(baseline: DataFrame, enhanced: DataFrame) -> DataFrame:
     return baseline.join(e, ["dataset_idx", "run"], "full").select("dataset_idx", "run", F.coalesce(F.nullif("e", F.lit(0)), F.nullif("fnum", F.lit(0)), F.lit(1)).alias("k_ref"))
 
 
-def median_fronts(table: DataFrame) -> DataFrame:
+def median_fronts(table: DataFrame, reference: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(dataset_idx, method, run, fr, er, place): each method's front in its run of median hypervolume, and its place in a legend.
 
     The table behind the comparison plot: enhanced methods first, then baselines, then others.
     """
     groups = ["dataset_idx", "method", "run"]
-    chosen = median_run(hypervolume(table, groups), ["dataset_idx", "method"]).drop("hv")
+    chosen = median_run(hypervolume(table, groups, reference), ["dataset_idx", "method"]).drop("hv")
     place = F.when(category(F.col("method")) == "enhanced", 0).when(category(F.col("method")) == "baseline", 1).otherwise(2)
     return front(table.join(chosen, groups, "left_semi"), groups).withColumn("place", place)

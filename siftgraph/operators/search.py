@@ -8,16 +8,17 @@ that decode genes change during the search.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .kshell import Decoder, rc_greedy
-from .knn import Matrix, subset_accuracies
+from .kshell import MODES, Decoder
+from .knn import BLOCK, Matrix, Rows, extremes, far_and_near, subset_accuracies
 
 
 @dataclass(frozen=True)
@@ -113,32 +114,54 @@ def survivors(rank: np.ndarray, crowd: np.ndarray, n: int) -> np.ndarray:
     return order[:n]
 
 
-def separation(matrix: Matrix, subsets: list[np.ndarray]) -> np.ndarray:
+def _mean_ratio(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ratio): mean of near over far, both scaled over a key's rows; ratios that are not finite are missing."""
+    inf = float("inf")
+    ends = frame.groupBy(*keys).agg(F.least(F.min("far"), F.min("near")).alias("lo"), F.greatest(F.max("far"), F.max(F.when(F.col("near") < inf, F.col("near")))).alias("hi"))
+    rows = frame.join(F.broadcast(ends), keys) if keys else frame.join(F.broadcast(ends))  # a row for each subset
+    span = F.col("hi") - F.col("lo")
+    scaled = lambda c: F.when(span > 0, (F.col(c) - F.col("lo")) / span).otherwise(0.5)
+    ratio = F.when((F.col("near") < inf) & (scaled("far") > 0), scaled("near") / scaled("far"))
+    return rows.groupBy(*keys).agg(F.coalesce(F.avg(ratio), F.lit(0.0)).alias("ratio"))
+
+
+def separation(matrix: Matrix | Rows, subsets: list[np.ndarray], spark: SparkSession | None = None) -> np.ndarray:
     """Mean over samples of nearest other-class over farthest same-class distance, each scaled over both; 0 for empty subsets.
 
-    Ratios that are not finite count as missing.
+    Ratios that are not finite count as missing. A matrix of one block is settled
+    here; of a larger one each task takes a block of samples of a subset, and rows
+    over the broadcast bound go through the grid, so no task holds all distances.
     """
-    if not isinstance(matrix, Matrix):
-        raise ValueError("separation has no path for rows over the broadcast bound")
-    out = []
-    same = matrix.y[:, None] == matrix.y[None]
-    for s in subsets:
-        if not len(s):
-            out.append(0.0)
-            continue
-        x = matrix.x[:, s]
-        q = (x**2).sum(1)
-        d = np.sqrt(np.maximum(q[:, None] + q[None] - 2 * x @ x.T, 0))
-        far = np.where(same, d, 0).max(1)
-        near = np.where(same, np.inf, d).min(1)
-        both = np.concatenate([far, near[np.isfinite(near)]])
-        lo, span = both.min(), both.max() - both.min()
-        scaled = lambda v: (v - lo) / span if span > 0 else np.full(len(v), 0.5)  # noqa: B023, E731
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = scaled(near) / scaled(far)
-        ratio = ratio[np.isfinite(ratio)]
-        out.append(float(ratio.mean()) if len(ratio) else 0.0)
-    return np.array(out)
+    if isinstance(matrix, Rows):
+        return np.array([_mean_ratio(extremes(matrix.part(s)), []).first()[0] if len(s) else 0.0 for s in subsets])
+    if len(matrix.y) <= BLOCK:
+        return np.array([_ratio(*far_and_near(b, [b])) if len(s) else 0.0 for s in subsets for b in [matrix.block(s)]])
+    shared = spark.sparkContext.broadcast(matrix)
+    places = range(0, len(matrix.y), BLOCK)
+    jobs = spark.createDataFrame([(i, a, [int(f) for f in s]) for i, s in enumerate(subsets) if len(s) for a in places] or [], "subset int, start long, ids array<int>")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for f in frames:
+            for i, a, ids in zip(f["subset"], f["start"], f["ids"]):
+                q = m.block(ids, slice(a, a + BLOCK))
+                far, near = far_and_near(q, [m.block(ids, slice(b, b + BLOCK)) for b in places])
+                yield pd.DataFrame({"subset": i, "far": far, "near": near})
+
+    found = jobs.repartition(max(1, len(places))).mapInPandas(run, "subset int, far double, near double")
+    out = np.zeros(len(subsets))
+    for r in _mean_ratio(found, ["subset"]).collect():
+        out[r["subset"]] = r["ratio"]
+    return out
+
+
+def _ratio(far: np.ndarray, near: np.ndarray) -> float:
+    both = np.concatenate([far, near[np.isfinite(near)]])
+    lo, span = both.min(), both.max() - both.min()
+    scaled = lambda v: (v - lo) / span if span > 0 else np.full(len(v), 0.5)
+    near, far = scaled(near[np.isfinite(near)]), scaled(far[np.isfinite(near)])
+    ok = far > 0
+    return float((near[ok] / far[ok]).mean()) if ok.any() else 0.0
 
 
 @dataclass
@@ -165,7 +188,9 @@ class Result:
 class Search:
     """The generation loop. comp and sim are needed for the mode rc_greedy only."""
 
-    def __init__(self, spark: SparkSession, decoder: Decoder, matrix: Matrix, weight: np.ndarray, settings: Settings = Settings(), comp: np.ndarray | None = None, sim: np.ndarray | None = None):
+    def __init__(self, spark: SparkSession, decoder: Decoder, matrix: Matrix | Rows, weight: np.ndarray, settings: Settings = Settings(), comp: np.ndarray | None = None, sim: np.ndarray | None = None):
+        if settings.mode not in MODES:
+            raise ValueError(f"no k-shell mode {settings.mode}")
         if settings.mode == "rc_greedy" and (comp is None or sim is None):
             raise ValueError("rc_greedy needs complementarity and similarity")
         self.spark, self.decoder, self.matrix, self.weight, self.settings = spark, decoder, matrix, weight.copy(), settings
@@ -186,7 +211,7 @@ class Search:
         """Subsets and objectives of genomes; a genome without edges has infinite ones and all features."""
         p, s = len(self.weight), self.settings
         cores = [self.decoder.core(g, self.weight) for g in population]
-        longer = [rc_greedy(c, self.comp, self.sim, s.tau, s.most_added) if s.mode == "rc_greedy" and len(c) else c for c in cores]
+        longer = [MODES[s.mode](c, self.comp, self.sim, s.tau, s.most_added) if len(c) else c for c in cores]
         key = lambda x: tuple(int(i) for i in x)
         self.accuracies([key(x) for x in (*cores, *longer) if len(x)])
         subsets, objectives = [], []
@@ -228,7 +253,7 @@ class Search:
                 archive[tuple(int(x) for x in subsets[i])] = 0.0
             if s.weight_sharing and generation % s.gap == 0 and archive:
                 members = [np.array(x) for x in archive]
-                values = separation(self.matrix, members)
+                values = separation(self.matrix, members, self.spark)
                 keep = np.argsort(-values, kind="stable")[: s.population]
                 for i in keep:
                     self.weight[members[i]] += values[i]
@@ -301,15 +326,21 @@ def buddy(core: list[int], comp: np.ndarray, sim: np.ndarray, accuracy: Callable
     return sorted(chosen)
 
 
-#: Ways to refine a subset after the search.
-POST_MODES = ("normal", "none", "buddy")
+def _by_buddies(core, comp, sim, accuracy, lam, per_core):
+    if comp is None or sim is None or accuracy is None:
+        raise ValueError("buddy needs complementarity, similarity and accuracies")
+    return buddy(core, comp, sim, accuracy, lam, per_core)
+
+
+#: Ways to refine a subset after the search, open to more: fn(core, comp, sim, accuracy, lam, per_core) -> ids.
+POST_MODES: dict[str, Callable[..., list[int]]] = {"normal": lambda core, *_: sorted(core), "none": lambda core, *_: sorted(core), "buddy": _by_buddies}
+
+
+def register_post_mode(name: str, function: Callable[..., list[int]]) -> None:
+    POST_MODES[name] = function
 
 
 def refine(mode: str, core: list[int], comp=None, sim=None, accuracy=None, lam: float = 0.5, per_core: int = 1) -> list[int]:
     if mode not in POST_MODES:
         raise ValueError(f"no post mode {mode}")
-    if mode != "buddy":
-        return sorted(core)
-    if comp is None or sim is None or accuracy is None:
-        raise ValueError("buddy needs complementarity, similarity and accuracies")
-    return buddy(core, comp, sim, accuracy, lam, per_core)
+    return POST_MODES[mode](core, comp, sim, accuracy, lam, per_core)

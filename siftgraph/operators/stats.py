@@ -89,11 +89,43 @@ def similarity(wide: DataFrame) -> DataFrame:
     return pairs.select("i", "j", F.when(tiny, 0.0).otherwise(F.least(F.lit(1.0), F.abs(finite(r)))).alias("sim"))
 
 
+#: Buckets that a feature's values are cut into for running sums.
+CUTS = 128
+
+
+def bucketed(counts: DataFrame) -> DataFrame:
+    """counts (fid, x, ...) with bucket: values in order, cut at CUTS quantiles of a sketch.
+
+    A running sum over a feature's values then runs in each bucket by itself, on
+    top of the sums of the buckets before; values of one bucket are never all of
+    a feature's, unless it has few.
+    """
+    cuts = counts.groupBy("fid").agg(F.percentile_approx("x", [k / CUTS for k in range(1, CUTS)], 10_000).alias("cuts"))
+    return counts.join(cuts, "fid").withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+
+
+def running(rows: DataFrame, value: str, name: str, by: list[str], own: bool = True) -> DataFrame:
+    """rows (by, bucket, x, value) with the sum of value over smaller x, with own also of x itself, within by."""
+    sums = rows.groupBy(*by, "bucket").agg(F.sum(value).alias("__s"))
+    before = F.coalesce(F.sum("__s").over(W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "bucket", before.alias("__before"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(*by, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, 0 if own else -1)), F.lit(0))
+    return rows.withColumn("__inside", inside).join(sums, [*by, "bucket"]).withColumn(name, F.col("__inside") + F.col("__before")).drop("__inside", "__before")
+
+
+def grid(long: DataFrame) -> DataFrame:
+    """(fid, x, bucket, label, c): the rows of each distinct value and label, 0 where there are none; labels are classes and few."""
+    cells = long.groupBy("fid", "x", "label").agg(F.count("*").alias("c"))
+    labels = cells.select("fid", "label").distinct()
+    values = bucketed(cells.select("fid", "x").distinct())
+    return values.join(labels, "fid").join(cells, ["fid", "x", "label"], "left").fillna(0, ["c"])
+
+
 def ranks(long: DataFrame) -> DataFrame:
     """x replaced by its average rank within its feature."""
-    counts = long.groupBy("fid", "x").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(W.partitionBy("fid").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.select("fid", "x", (before - (F.col("c") - 1) / 2.0).alias("r"))
+    counts = bucketed(long.groupBy("fid", "x").agg(F.count("*").alias("c")))
+    upto = running(counts, "c", "upto", ["fid"])
+    ranked = upto.select("fid", "x", (F.col("upto") - (F.col("c") - 1) / 2.0).alias("r"))
     return long.join(ranked, ["fid", "x"]).select("sample_id", "label", "fid", F.col("r").alias("x"))
 
 
@@ -141,28 +173,17 @@ def pearson(long: DataFrame) -> DataFrame:
 def kendall(long: DataFrame) -> DataFrame:
     """Kendall's tau-a with the label: concordant minus discordant pairs over all pairs.
 
-    Pairs are counted, not made: values are cut into buckets of the feature's
-    order, whole pairs of buckets count by their label sums, and only pairs within
-    a bucket meet, by a join on it.
+    No pair is made: of each value and label, the rows of smaller values are known
+    by label from running sums, and those with a smaller label count for it, those
+    with a larger one against it.
     """
-    counts = long.groupBy("fid", "x", "label").agg(F.count("*").alias("c"))
-    before = W.partitionBy("fid").orderBy("x")
-    by_x = counts.groupBy("fid", "x").agg(F.sum("c").alias("n"))
-    sized = by_x.withColumn("before", F.sum("n").over(before.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).withColumn("all", F.sum("n").over(W.partitionBy("fid")))
-    bucketed = counts.join(sized.select("fid", "x", F.floor(F.col("before") * 256.0 / F.col("all")).alias("b")), ["fid", "x"])
-    sums = bucketed.groupBy("fid", "b", "label").agg(F.sum("c").alias("c"))
-    # Between buckets: for each label, rows of earlier buckets with it, against later rows by label.
-    labels = bucketed.select("fid", "label").distinct()
-    grid = sums.select("fid", "b").distinct().join(labels, "fid").join(sums, ["fid", "b", "label"], "left").fillna(0, ["c"])
-    grid = grid.withColumn("earlier", F.sum("c").over(W.partitionBy("fid", "label").orderBy("b").rowsBetween(W.unboundedPreceding, -1)))
-    other = grid.select("fid", "b", F.col("label").alias("label2"), F.col("c").alias("c2"))
-    between = grid.where("earlier > 0").join(other.where("c2 > 0"), ["fid", "b"]).select("fid", (F.col("earlier") * F.col("c2") * F.signum(F.col("label2").cast("double") - F.col("label").cast("double"))).alias("s"))
-    right = bucketed.select("fid", "b", F.col("x").alias("x2"), F.col("label").alias("label2"), F.col("c").alias("c2"))
-    within = bucketed.join(right, ["fid", "b"]).where("x2 > x").select("fid", (F.col("c") * F.col("c2") * F.signum(F.col("label2").cast("double") - F.col("label").cast("double"))).alias("s"))
-    total = between.union(within).groupBy("fid").agg(F.sum("s").alias("s"))
-    n = long.groupBy("fid").agg(F.count("*").cast("double").alias("n"))
+    cells = running(grid(long), "c", "earlier", ["fid", "label"], own=False)
+    w = W.partitionBy("fid", "x").orderBy("label")
+    less = F.coalesce(F.sum("earlier").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    more = F.coalesce(F.sum("earlier").over(w.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    total = cells.withColumn("s", F.col("c") * (less - more)).groupBy("fid").agg(F.sum("s").alias("s"), F.sum("c").cast("double").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    return n.join(total, "fid", "left").select("fid", F.when(pairs > 0, F.coalesce("s", F.lit(0.0)) / pairs).otherwise(0.0).alias("score"))
+    return total.select("fid", F.when(pairs > 0, F.col("s") / pairs).otherwise(0.0).alias("score"))
 
 
 def chi2(long: DataFrame) -> DataFrame:
@@ -205,12 +226,10 @@ def symmetric_uncertainty(long: DataFrame) -> DataFrame:
 
 def gini(long: DataFrame) -> DataFrame:
     """Least weighted Gini impurity of a cut x <= t, as its gain over no cut."""
-    cells = long.groupBy("fid", "x", "label").agg(F.count("*").alias("c"))
-    labels = cells.select("fid", "label").distinct()
-    grid = cells.select("fid", "x").distinct().join(labels, "fid").join(cells, ["fid", "x", "label"], "left").fillna(0, ["c"])
-    upto = W.partitionBy("fid", "label").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    grid = grid.withColumn("l", F.sum("c").over(upto)).withColumn("t", F.sum("c").over(W.partitionBy("fid", "label")))
-    cut = grid.groupBy("fid", "x").agg(F.sum("l").alias("nl"), F.sum("t").alias("n"), F.sum(F.pow(F.col("l").cast("double"), F.lit(2.0))).alias("ql"), F.sum(F.pow((F.col("t") - F.col("l")).cast("double"), F.lit(2.0))).alias("qr"), F.sum(F.pow(F.col("t").cast("double"), F.lit(2.0))).alias("q"))
+    cells = running(grid(long), "c", "l", ["fid", "label"])
+    totals = cells.groupBy("fid", "label").agg(F.sum("c").alias("t"))
+    cells = cells.join(totals, ["fid", "label"])
+    cut = cells.groupBy("fid", "x").agg(F.sum("l").alias("nl"), F.sum("t").alias("n"), F.sum(F.pow(F.col("l").cast("double"), F.lit(2.0))).alias("ql"), F.sum(F.pow((F.col("t") - F.col("l")).cast("double"), F.lit(2.0))).alias("qr"), F.sum(F.pow(F.col("t").cast("double"), F.lit(2.0))).alias("q"))
     nr = F.col("n") - F.col("nl")
     split = 1 - (F.when(F.col("nl") > 0, F.col("ql") / F.col("nl")).otherwise(0.0) + F.when(nr > 0, F.col("qr") / nr).otherwise(0.0)) / F.col("n")
     whole = 1 - F.col("q") / F.pow(F.col("n").cast("double"), F.lit(2.0))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embedded, graph, kshell, knn, prep, search, stats
 from ..operators.report import united
+from ..sources import tables
 from ..sources.tables import FRONT_SCHEMA, TEST_SCHEMA, melt, widen
 
 
@@ -33,6 +34,7 @@ class Config:
     fixed_fnum: int | None = None
     ratios: tuple[float, ...] = stats.RATIOS
     k_neighbours: int = 5
+    prob_beta: float = 2.0  # how much the probabilistic graph prefers similar features
     post_modes: tuple[str, ...] = ("normal", "buddy")
     buddy_lambda: float = 0.5
     max_per_core: int = 1
@@ -141,21 +143,37 @@ def _test_rows(context: Context, method: str, points: list[tuple[str, list[int],
     return context.spark.createDataFrame(rows, TEST_SCHEMA)
 
 
-def _search(context: Context, initializer: str, settings: search.Settings):
-    edges = graph.INITIALIZERS[initializer](context.sim, context.fisher, context.config.k_neighbours).cache()
+@dataclass
+class Solved:
+    """A search, its result, the graph's edges, complementarities (where needed), and seconds."""
+
+    solver: search.Search
+    result: search.Result
+    edges: DataFrame
+    comp: np.ndarray | None
+    began: float
+    took: float
+
+
+def _search(context: Context, initializer: str, settings: search.Settings) -> Solved:
+    c = context.config
+    edges = graph.INITIALIZERS[initializer](context.sim, context.fisher, c.k_neighbours, c.prob_beta).cache()
     decoder = kshell.Decoder.of(graph.gene_layout(edges), context.p)
-    comp = context.comp_matrix(edges) if settings.mode == "rc_greedy" or "buddy" in context.config.post_modes else None
+    comp = context.comp_matrix(edges) if settings.mode not in ("none", "normal") or set(c.post_modes) - {"none", "normal"} else None
     began = time.perf_counter()
     found = search.Search(context.spark, decoder, context.matrix, context.node_weights(), settings, comp, context.sim_matrix)
-    return found, found.run(context.config.seed), comp, began
+    result = found.run(c.seed)
+    return Solved(found, result, edges, comp, began, time.perf_counter() - began)
 
 
-def run_enhanced(context: Context, initializer: str, mode: str) -> tuple[DataFrame, DataFrame]:
+def run_enhanced(context: Context, initializer: str, mode: str, keep: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Front and test points of a search; keep, if given, takes its Solved as 'solved' and the refined subsets by mode as 'posts'."""
     c = context.config
     if initializer not in graph.INITIALIZERS:
         raise ValueError(f"no initialiser {initializer}")
     mode = mode if mode in kshell.MODES else "normal"
-    solver, result, comp, began = _search(context, initializer, replace(c.search, mode=mode))
+    solved = _search(context, initializer, replace(c.search, mode=mode))
+    solver, result = solved.solver, solved.result
     method = f"graph_enhanced__init_{initializer}__ks_{mode}"
 
     def accuracies(subsets):
@@ -165,18 +183,24 @@ def run_enhanced(context: Context, initializer: str, mode: str) -> tuple[DataFra
     core = [int(x) for x in result.subsets[result.best()]]
     points, fronts = [], [([int(x) for x in result.subsets[i]], 1 - float(result.objectives[i, 0])) for i in result.pareto()]
     for post in c.post_modes:
-        ids = search.refine(post, core, comp, context.sim_matrix, accuracies, c.buddy_lambda, c.max_per_core)
-        points.append((post, ids, context.test_accuracy(context.scaled, ids), time.perf_counter() - began))
+        ids = search.refine(post, core, solved.comp, context.sim_matrix, accuracies, c.buddy_lambda, c.max_per_core)
+        points.append((post, ids, context.test_accuracy(context.scaled, ids), time.perf_counter() - solved.began))
+    if keep is not None:
+        keep |= {"solved": solved, "posts": points}
     front = _front_rows(context, method, fronts)
     test = _test_rows(context, method, points).withColumn("post_mode", F.col("test_mode")).withColumn("test_mode", F.lit("selected"))
-    return front, test
+    return front, test.withColumn("init_mode", F.lit(initializer)).withColumn("ks_mode", F.lit(mode))
 
 
-def run_baseline(context: Context) -> tuple[DataFrame, DataFrame]:
-    solver, result, _, began = _search(replace_config(context, post_modes=("normal",)), "knn", replace(context.config.search, baseline=True))
+def run_baseline(context: Context, keep: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    solved = _search(replace_config(context, post_modes=("normal",)), "knn", replace(context.config.search, baseline=True))
+    result = solved.result
     fronts = [([int(x) for x in result.subsets[i]], -float(result.objectives[i, 0])) for i in result.pareto()]
     ids = [int(x) for x in result.subsets[result.best()]]
-    return _front_rows(context, "graph_baseline", fronts), _test_rows(context, "graph_baseline", [("selected", ids, context.test_accuracy(context.scaled, ids), time.perf_counter() - began)])
+    point = ("selected", ids, context.test_accuracy(context.scaled, ids), time.perf_counter() - solved.began)
+    if keep is not None:
+        keep |= {"solved": solved, "posts": [point]}
+    return _front_rows(context, "graph_baseline", fronts), _test_rows(context, "graph_baseline", [point])
 
 
 def replace_config(context: Context, **changes) -> Context:
@@ -214,17 +238,17 @@ def run_all_features(context: Context) -> tuple[DataFrame, DataFrame]:
     return _front_rows(context, "all_features", [(ids, acc)]), _test_rows(context, "all_features", [("all", ids, context.test_accuracy(context.standard, ids), time.perf_counter() - began)])
 
 
-def run(context: Context, algo: str) -> tuple[DataFrame, DataFrame]:
-    """Front and test-point tables of one run."""
+def run(context: Context, algo: str, keep: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Front and test-point tables of one run; keep, if given, takes what a search leaves (run_enhanced)."""
     family, *rest = algo.split(":", 2)
     began = time.perf_counter()
     train = context.part(context.standard)
     if family == "all":
         return run_all_features(context)
     if family == "baseline":
-        return run_baseline(context)
+        return run_baseline(context, keep)
     if family == "enh" and rest:
-        return run_enhanced(context, rest[0], rest[1] if len(rest) > 1 else "normal")
+        return run_enhanced(context, rest[0], rest[1] if len(rest) > 1 else "normal", keep)
     name = rest[0] if rest else ""
     if family == "trad" and name in stats.FILTERS | stats.MORE_FILTERS:
         return run_scores(context, name, stats.filter_scores(melt(train), [name]).drop("method"), began)
@@ -245,6 +269,22 @@ def run(context: Context, algo: str) -> tuple[DataFrame, DataFrame]:
     raise ValueError(f"no algorithm {algo}")
 
 
+def export(context: Context, kept: dict, folder: str) -> None:
+    """What a search leaves, as files: its settings and seconds, each refined subset, its generations, the graph's neighbour lists and the Pareto set."""
+    solved, spark = kept["solved"], context.spark
+    result, c = solved.result, context.config
+    core = [int(x) for x in result.subsets[result.best()]]
+    tables.write_info(spark, {"run": c.run, "solver_time": solved.took, "fnum_S0": len(core), "S0": core}, f"{folder}/solver_meta.json")
+    for mode, ids, acc, took in kept["posts"]:
+        own = {"run": c.run, "post_mode": mode, "acc_test": acc, "red": context.redundancy(ids), "fnum": len(ids), "time_total": took, "time_solver": solved.took, "time_post_extra": took - solved.took}
+        tables.write_info(spark, own, f"{folder}/post_{mode}/post_metrics.json")
+        tables.write_ids(spark.createDataFrame([([int(i) for i in ids],)], "ids array<int>"), "ids", f"{folder}/post_{mode}/selected.txt")
+    tables.write_csv(search.log_frame(result, spark), f"{folder}/pop_metrics.csv")
+    tables.write_csv(search.generation_rows(result, spark), f"{folder}/generations.csv")
+    tables.write_json(graph.neighbour_lists(solved.edges), f"{folder}/neighbours.json")
+    tables.write_arrays(search.fronts_frame(result, spark), f"{folder}/pareto")
+
+
 def sweep(context: Context, methods: list[str], k_ref: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Front and test-point tables of many algorithms; with k_ref also each score method's test point of that size, mode 'k_ref'.
 
@@ -288,7 +328,7 @@ def score_front(context: Context, scores: DataFrame) -> DataFrame:
 
 def pareto_front_on_test(context: Context, initializer: str = "knn") -> DataFrame:
     """test_front of a solved run's Pareto set."""
-    _, result, _, _ = _search(replace_config(context, post_modes=("normal",)), initializer, context.config.search)
+    result = _search(replace_config(context, post_modes=("normal",)), initializer, context.config.search).result
     return test_front(context, [[int(x) for x in result.subsets[i]] for i in result.pareto()])
 
 
@@ -306,5 +346,14 @@ def logged(combination: tuple[str, str, str], only: tuple[str, str, str] | None)
 SWEEPS = {"prob_beta": (1.4, 1.7, 2.0, 2.3), "ks_rc_tau": (0.0, 0.3, 0.6, 0.9), "buddy_lambda": (0.2, 0.5, 0.7, 1.0)}
 
 
+def swept(config: Config) -> list[Config]:
+    """The configurations of the sensitivity sweeps: one setting at a time, the others as they are."""
+    out = []
+    for name, values in SWEEPS.items():
+        for v in values:
+            out.append(replace(config, search=replace(config.search, tau=v)) if name == "ks_rc_tau" else replace(config, **{name: v}))
+    return out
+
+
 def ablation_grid(initializers: tuple[str, ...] = ("knn", "probabilistic"), modes: tuple[str, ...] = ("normal", "rc_greedy"), posts: tuple[str, ...] = ("normal", "buddy")) -> list[tuple[str, str, str]]:
     return [(i, m, p) for i in initializers for m in modes for p in posts]

@@ -406,7 +406,7 @@ def ugfs_variance(spark, sf):
 
 @query(f"WITH {_CSCALED}, {_POOL}, b AS (SELECT sample_id, fid FROM vars WHERE var <= 1.001) SELECT DISTINCT x.fid AS src, y.fid AS dst FROM b x JOIN b y ON x.sample_id = y.sample_id AND x.fid != y.fid")
 def ugfs_edges(spark, sf):
-    return bigints(graph.variance_edges(graph.local_variance(_cscaled(spark, sf)), 1.001), "src", "dst")
+    return bigints(graph.variance_edges(_cscaled(spark, sf), threshold=1.001), "src", "dst")
 
 
 @query()
@@ -423,7 +423,7 @@ def inffs_score(spark, sf):
 def separation_weight(spark, sf):
     matrix = _matrix(spark, sf)
     subsets = [np.arange(0, 8), np.arange(8, 16), np.arange(64), np.zeros(0, int)]
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(search.separation(matrix, subsets))], "subset int, weight double")
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(search.separation(matrix, subsets, spark))], "subset int, weight double")
 
 
 # Embedded and wrapper methods, and searches.

@@ -8,6 +8,7 @@ filters on fid, which reach the plan before any shuffle.
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,17 +112,23 @@ def ref_sizes(front: DataFrame) -> DataFrame:
 
 
 def read_results(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """All result files root/dataset_*/*/run_*/<kind>.csv with the union of their columns; unreadable files are passed over.
+    """All result files root/dataset_*/*/run_*/<kind>.csv with the union of their columns.
 
-    The header of each file counts: files are grouped by header, and the groups
-    are united by name in the order in which columns first appear.
+    The header of each file counts, and only its first line is read for that:
+    files are grouped by header, and the groups are united by name in the order in
+    which columns first appear. Files that cannot be read are named in a warning.
     """
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-    lines = spark.read.text(f"{root}/dataset_*/*/run_*/{kind}.csv", wholetext=True).select(F.input_file_name().alias("file"), F.regexp_extract("value", r"^﻿?([^\r\n]*)", 1).alias("header"))
-    headers = lines.where("header != ''").groupBy("header").agg(F.sort_array(F.collect_set("file")).alias("files")).orderBy(F.element_at("files", 1)).collect()
-    frames = [spark.read.csv(r["files"], header=True, mode="PERMISSIVE") for r in headers]
-    if not frames:
+    lines = spark.read.option("ignoreCorruptFiles", "true").text(f"{root}/dataset_*/*/run_*/{kind}.csv").select(F.input_file_name().alias("file"), F.regexp_replace("value", r"^\ufeff|\r$", "").alias("header"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("header", "line").alias("header"))
+    headers = first.where("header != ''").groupBy("header").agg(F.sort_array(F.collect_set("file")).alias("files")).orderBy(F.element_at("files", 1)).collect()
+    if not headers:
         raise FileNotFoundError(f"no {kind}.csv under {root}")
+    listed = spark.read.format("binaryFile").load(f"{root}/dataset_*/*/run_*/{kind}.csv").where("length > 0").select("path")
+    read = {f.split(":", 1)[-1].replace("///", "/") for r in headers for f in r["files"]}
+    lost = [r["path"] for r in listed.collect() if r["path"].split(":", 1)[-1].replace("///", "/") not in read]
+    if lost:
+        warnings.warn(f"not readable: {', '.join(sorted(lost))}", stacklevel=2)
+    frames = [spark.read.option("ignoreCorruptFiles", "true").csv(r["files"], header=True, mode="PERMISSIVE") for r in headers]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -177,3 +184,8 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
 def run_info(spark: SparkSession, info: dict) -> DataFrame:
     """One row of JSON with the settings of a run."""
     return spark.createDataFrame([(json.dumps(info, sort_keys=True),)], T.StructType([T.StructField("info", T.StringType())]))
+
+
+def write_info(spark: SparkSession, info: dict, path: str) -> None:
+    """info as one line of JSON."""
+    run_info(spark, info).write.mode("overwrite").text(path)

@@ -135,11 +135,92 @@ def test_separation_against_plain(data):
     assert search.separation(m, [np.array([], int)])[0] == 0
 
 
+def test_separation_in_tasks(spark, data, monkeypatch):
+    x, y = data
+    wide = wide_of(spark, x, y)
+    folds = prep.stratified_folds(wide)
+    subsets = [np.array([0, 1]), np.array([], int), np.arange(6), np.array([4])]
+    m = knn.Matrix.of(wide, folds)
+    here = search.separation(m, subsets)
+    monkeypatch.setattr(search, "BLOCK", 17)
+    assert np.allclose(search.separation(m, subsets, spark), here)
+    monkeypatch.setattr(knn, "BROADCAST", 10)
+    rows = knn.Matrix.of(wide, folds)
+    assert isinstance(rows, knn.Rows) and np.allclose(search.separation(rows, subsets, spark), here)
+
+
+@pytest.mark.parametrize("cell", [knn.CELL, 3000])
+def test_neighbours_against_plain(spark, monkeypatch, cell):
+    """Ties, repeated rows, folds; blocks of 7 rows and cells of a few of them."""
+    monkeypatch.setattr(knn, "CELL", cell)
+    monkeypatch.setattr(knn, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 4, (90, 3)).astype(float)
+    fold = rng.integers(0, 3, 90)
+    wide = wide_of(spark, x, rng.integers(0, 3, 90)).join(spark.createDataFrame([(i, int(f)) for i, f in enumerate(fold)], "sample_id long, fold int"), "sample_id").repartition(4)
+    for other, own in ((False, False), (True, False), (False, True)):
+        got = {}
+        for r in knn.neighbours(wide, wide, 4, other_fold=other, not_self=own).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["row_id"], r["distance"]))
+        for i in range(90):
+            d = np.sqrt(((x - x[i]) ** 2).sum(1))
+            ok = [j for j in range(90) if not (other and fold[j] == fold[i]) and not (own and j == i)]
+            want = sorted(ok, key=lambda j: (d[j], j))[:4]
+            assert [j for _, j, _ in sorted(got[i])] == want
+            assert np.allclose([v for _, _, v in sorted(got[i])], d[want])
+
+
+def test_blocks_are_sent_a_root_of_times(spark):
+    """100 times the rows: what is shuffled grows with the rows, not with pairs of blocks."""
+    rng = np.random.default_rng(0)
+    sent = []
+    for n in (300, 3000):
+        wide = wide_of(spark, rng.standard_normal((n, 4)), [0] * n).repartition(4).cache()
+        out = []
+        found = knn.grid(wide, wide, lambda q, held: out.append(len(held)), "a int")  # noqa: B023
+        plan = plan_of(found)
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        blocks = knn._packed(wide).agg(F.sum(F.length("x"))).first()[0]
+        sent.append(blocks)
+    assert sent[1] == 10 * sent[0]
+
+
+@pytest.mark.parametrize("cuts", [128, 3])
+def test_running_sums_by_buckets(spark, monkeypatch, cuts):
+    monkeypatch.setattr(stats, "CUTS", cuts)
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 9, 70), rng.standard_normal(70), np.exp(5 * rng.standard_normal(70)), np.ones(70)]).astype(float)
+    y = rng.integers(0, 4, 70)
+    long = tables.melt(wide_of(spark, x, y))
+    tau = {r["fid"]: r["score"] for r in stats.kendall(long).collect()}
+    rank = {(r["sample_id"], r["fid"]): r["x"] for r in stats.ranks(long).collect()}
+    for f in range(4):
+        pairs = [(i, j) for i in range(70) for j in range(i)]
+        assert math.isclose(tau[f], sum(np.sign(x[i, f] - x[j, f]) * np.sign(y[i] - y[j]) for i, j in pairs) / len(pairs), abs_tol=1e-12)
+        assert all(rank[i, f] == (x[:, f] < x[i, f]).sum() + ((x[:, f] == x[i, f]).sum() + 1) / 2 for i in range(70))
+
+
+def test_edges_by_bits(spark, data):
+    wide = wide_of(spark, *data)
+    var = graph.local_variance(wide).where("var <= 1.2")
+    want = {(a["fid"], b["fid"]) for rows in [var.collect()] for a in rows for b in rows if a["sample_id"] == b["sample_id"] and a["fid"] != b["fid"]}
+    assert {tuple(r) for r in graph.variance_edges(wide, threshold=1.2).collect()} == want and want
+
+
+def test_forward_selection_over_the_bound(spark, data, monkeypatch):
+    x, y = data
+    wide = wide_of(spark, x[:, :3], y)
+    folds = prep.stratified_folds(wide, 2)
+    here = embedded.sfs_svm(knn.Matrix.of(wide, folds), spark, 1)
+    monkeypatch.setattr(knn, "BROADCAST", 10)
+    assert embedded.sfs_svm(knn.Matrix.of(wide, folds), spark, 1) == here == [2]
+
+
 def test_search_runs_and_is_deterministic(spark, data):
     x, y = data
     wide = wide_of(spark, x, y)
     c = pipeline.Context(wide, pipeline.Config(search=search.Settings(population=6, generations=2, gap=1)))
-    one, two = (pipeline._search(c, "knn", c.config.search)[1] for _ in range(2))
+    one, two = (pipeline._search(c, "knn", c.config.search).result for _ in range(2))
     assert (one.objectives == two.objectives).all() and (one.weight >= 1).all()
     assert 2 in one.subsets[one.best()]
     front, test = pipeline.run(c, "enh:knn:rc_greedy")
@@ -355,12 +436,29 @@ def test_command_line(spark, sf, tmp_path):
         main(["run", "--data", sf, "--algo", "trad:FILTER_pearson", "--ratios", "0.1,0.2", "--run", str(n), "--out", str(tmp_path / "runs")])
     main(["merge", "--root", str(tmp_path / "runs"), "--out", str(tmp_path / "merged")])
     main(["analyze", "--front", str(tmp_path / "merged/front"), "--test", str(tmp_path / "merged/test"), "--out", str(tmp_path / "tables")])
+    assert (tmp_path / "runs/dataset_01/trad__FILTER_pearson/run_02/test_points.csv").exists()
     summary = spark.read.csv(str(tmp_path / "tables/train_summary"), header=True).first()
     assert summary["method"] == "FILTER_pearson" and summary["runs"] == "2"
     assert spark.read.csv(str(tmp_path / "tables/test_summary"), header=True).count() == 1
     (tmp_path / "sizes.csv").write_text("dataset_idx,run,target_fnum\n1,1,3\n")
-    main(["run", "--data", sf, "--algo", "all", "--run", "9", "--ref_sizes", str(tmp_path / "sizes.csv"), "--out", str(tmp_path / "skip")])
-    assert "run 9" in spark.read.text(str(tmp_path / "skip/error")).first()[0]
+    main(["run", "--data", sf, "--algo", "graph:UGFS", "--run", "9", "--ref_sizes", str(tmp_path / "sizes.csv"), "--out", str(tmp_path / "skip")])
+    assert "run 9" in spark.read.text(str(tmp_path / "skip/dataset_01/graph__UGFS/run_09/error")).first()[0]
+
+
+def test_swept_settings_have_folders_of_their_own(spark, sf, tmp_path):
+    from siftgraph.__main__ import main
+
+    some = ["--data", sf, "--algo", "enh:probabilistic:normal", "--population", "4", "--generations", "1", "--out", str(tmp_path)]
+    for beta in ("1.4", "2"):
+        main(["run", *some, "--prob_beta", beta])
+    folders = sorted(p.name for p in (tmp_path / "dataset_01").iterdir())
+    assert folders == ["enh__probabilistic__normal__beta_1p4__tau_0p3__lam_0p5", "enh__probabilistic__normal__beta_2__tau_0p3__lam_0p5"]
+    made = tmp_path / "dataset_01" / folders[0] / "run_01"
+    assert {p.name for p in made.iterdir()} >= {"front_train_cv.csv", "test_points.csv", "run_info.json", "solver_meta.json", "post_normal", "post_buddy", "pop_metrics.csv", "generations.csv", "neighbours.json", "pareto"}
+    assert spark.read.json(str(made / "post_buddy/post_metrics.json")).first()["post_mode"] == "buddy"
+    one, two = (spark.read.json(str(tmp_path / "dataset_01" / f / "run_01/neighbours.json")).collect() for f in folders)
+    assert sorted(map(str, one)) != sorted(map(str, two))
+    assert len(pipeline.swept(pipeline.Config())) == 12
 
 
 def test_preprocessing(spark, data):
