@@ -15,9 +15,11 @@ task and none is capped. Blocks emit spanning forests of their links;
 components follow by star rounds (common.components).
 
 Defined results: words are as in simhash; a text of SHINGLE words or fewer is
-one shingle; null and empty texts have the empty set and are one class; a
-null doc_id takes part but is never the one kept unless its group has no other,
-then the row with the smallest text stays; repeats of a kept doc_id leave one row.
+one shingle; null and empty texts have the empty set and are one class; very
+long texts count whole, one set of hashes at a time; a null doc_id takes part but
+is never the one kept unless its group has no other; rows that share a doc_id but
+not a shingle set are documents of their own; of rows alike in both, that of the
+smallest text stays.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, components, each_text, forest, longs, session, shuffle_partitions
+from .common import batch_of, checkpoint, components, each_text, forest, kept_rows, longs, session, shuffle_partitions
 from .simhash import _LOWER, SEED
 
 SHINGLE, THRESHOLD, MISS = 5, 0.8, 1e-6
@@ -91,11 +93,11 @@ def _sets(shingle: int):
     return run
 
 
-def _nulls(shingle: int):
+def _keyed(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = np.array([_node(shingle_set(x, shingle)) for x in each_text(batch.column("text"))], np.uint64).view(np.int64)
-            yield batch_of(row=batch.column("row"), node=node, text=batch.column("text"))
+            key = np.array([_node(shingle_set(x, shingle)) for x in each_text(batch.column("text"))], np.uint64).view(np.int64)
+            yield batch_of(d=batch.column("d"), text=batch.column("text"), row=batch.column("row"), key=key)
 
     return run
 
@@ -156,7 +158,7 @@ def _links(threshold: float):
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of each row, node naming its shingle set; and (node, set, component_id) of each node, the group and its smallest doc_id."""
+    """(doc_id, node) of each row, node naming its shingle set; and (node, set, least) of each node, its group and smallest doc_id."""
     spark = session(docs)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     signed = checkpoint(base.mapInArrow(_signed(shingle), "doc_id long, node long, bands array<long>"))
@@ -168,7 +170,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
     members = checkpoint(entries.join(chosen, "key").withColumn("blocks", F.ceil(F.col("n") / BUCKET)))
     # The sets are made again for the members only, from a row that has the class's smallest doc_id.
     some = members.select(F.col("least").alias("doc_id")).distinct()
-    rows = base.join(some.where("doc_id is not null"), "doc_id", "left_semi").union(base.where("doc_id is null").join(F.broadcast(some.where("doc_id is null").limit(1).select(F.lit(1).alias("any"))), how="cross").select("doc_id", "text"))
+    rows = base.join(some.where("doc_id is not null"), "doc_id", "left_semi")
+    if not some.where("doc_id is null").isEmpty():
+        rows = rows.union(base.where("doc_id is null"))
     sets = rows.mapInArrow(_sets(shingle), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     # Each member of a large bucket goes to the pairs of its block with every block; side 0 marks a block met with itself.
     dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -177,18 +181,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
     dealt = dealt.repartition(max(shuffle_partitions(spark), 2), "key", "one", "two").sortWithinPartitions("key", "one", "two")
     named = components(dealt.mapInArrow(_links(threshold), "a long, b long"))
     told = classes.select("node", "least").join(named, "node", "left").select("node", "least", F.coalesce("component", "node").alias("set"))
-    least = told.groupBy("set").agg(F.min("least").alias("component_id"))
-    return signed.select("doc_id", "node"), told.join(least, "set").select("node", "set", "component_id")
+    return signed.select("doc_id", "node"), told
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents' rows, one for each group: that with the group's smallest doc_id."""
-    signed, groups = near_groups(docs, shingle, threshold)
-    groups = checkpoint(groups)
-    kept = groups.where("component_id is not null").select(F.col("component_id").alias("d")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    whole = rows.where("d is not null").select("d", "row").join(kept, "d").dropDuplicates(["d"]).select("row")
-    nulls = rows.where("d is null").select("row", "text")
-    marked = nulls.mapInArrow(_nulls(shingle), nulls.select("row", F.lit(0).cast("long").alias("node"), "text").schema)
-    rest = marked.join(groups.where("component_id is null"), "node").groupBy("set").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row")
-    return whole.union(rest).select("row.*")
+    """The documents' rows, one for each group: that with the group's smallest doc_id; other texts under that doc_id stay if their own groups keep them."""
+    signed, told = near_groups(docs, shingle, threshold)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("node").alias("key"))).alias("first")
+    kept = checkpoint(told.groupBy("set").agg(first).select("first.doc_id", "first.key"))
+    return kept_rows(docs, signed.select("doc_id", F.col("node").alias("key")), kept, _keyed(shingle))

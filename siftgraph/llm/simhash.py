@@ -17,8 +17,10 @@ of its local component), never all pairs; the forests' components follow by
 star rounds (common.components).
 
 Defined results: null and empty texts have no words and fingerprint zero, which
-links like any other; a null doc_id takes part but is never a component's name
-unless a component has no other (then null); repeated rows each get a row.
+links like any other; very long texts are hashed whole, their bits counted in
+parts; a null doc_id takes part but is never a component's name unless a component
+has no other (then null); repeated rows each get a row; of tied bits (set in half
+of the hashes) none is set.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, components, each_text, forest, longs, session, shuffle_partitions
+from .common import batch_of, checkpoint, components, each_text, forest, kept_rows, longs, session, shuffle_partitions, split_join
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints that a shard should hold at home, the fewest levels of the tree and its bounded sample.
@@ -217,14 +219,21 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return routed.repartition(max(shuffle_partitions(spark), 2), "leaf").sortWithinPartitions("leaf", F.desc("home")).mapInArrow(_shards(radius), "a long, b long")
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable by links) of each row."""
+def _groups(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row; and (fp, least, n, component) of each fingerprint: its smallest doc_id, its rows and its component's smallest fingerprint."""
     fps = checkpoint(fingerprints(docs, shingle))
-    classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     named = components(near_links(classes.select("fp"), radius))
-    classes = classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(classes.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps, classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable by links) of each row."""
+    fps, classes = _groups(docs, shingle, radius)
+    classes = checkpoint(classes)
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    told = split_join(classes, least, "component", "m", classes.count()).select("fp", "component_id", "n")
+    return split_join(fps, told, "fp", "n", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def as_hex(fp) -> F.Column:
@@ -235,23 +244,19 @@ def as_hex(fp) -> F.Column:
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents' rows, one for each component: that with the component's smallest doc_id.
 
-    Repeats of that doc_id leave one row; where a component has no doc_id, one row for each of its fingerprints stays, that with the smallest text.
+    Rows that share a doc_id but not a fingerprint are documents of their own; of
+    rows alike in both, that of the smallest text stays.
     """
-    found = near_components(docs, shingle, radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("d")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    whole = rows.where("d is not null").select("d", "row").join(kept, "d").dropDuplicates(["d"]).select("row")
-    alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    nulls = rows.where("d is null").select("row", "text")
-    marked = nulls.mapInArrow(_with_fingerprint(shingle), nulls.select("row", F.lit(0).cast("long").alias("fp"), "text").schema)
-    rest = marked.join(alone, "fp").groupBy("fp").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row")
-    return whole.union(rest).select("row.*")
-
-
-def _with_fingerprint(shingle: int):
+    fps, classes = _groups(docs, shingle, radius)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("fp").alias("key"))).alias("first")
+    kept = checkpoint(classes.groupBy("component").agg(first).select("first.doc_id", "first.key"))
+    return kept_rows(docs, fps.select("doc_id", F.col("fp").alias("key")), kept, _keyed(shingle))
+
+
+def _keyed(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.fromiter((fingerprint(x, shingle) for x in each_text(batch.column("text"))), np.uint64, batch.num_rows)
-            yield batch_of(row=batch.column("row"), fp=out.view(np.int64), text=batch.column("text"))
+            yield batch_of(d=batch.column("d"), text=batch.column("text"), row=batch.column("row"), key=out.view(np.int64))
 
     return run
