@@ -4,10 +4,12 @@ Only DataFrame functions run here. A template names the marks around a turn, the
 roles whose texts count for the loss, and the machine's moves; texts are escaped
 so that no control string can stand in them:
 
-    \\ becomes \\b, < becomes \\l and > becomes \\g
+    \\ becomes \\b, < becomes \\l and > becomes \\g, in roles a newline becomes \\n
 
-Every mark holds < or >, so an escaped text holds none, and unescaping (\\g, \\l,
-then \\b) gives the text back.
+So an escaped text holds no < or >, and unescaping (\\g, \\l, \\n, then \\b) gives it
+back. Marks are literal. A template is taken only if its output can be read back
+in one way: the mark after the role holds <, > or a newline, that after the text
+begins with <, and no < in a mark could be mistaken for that beginning.
 
 A conversation's turns are ordered by (turn, role, text), nulls first. Rows are
 formatted one by one and gathered in two steps, first CHUNK turn numbers at a
@@ -15,8 +17,9 @@ time, so a very long conversation's rows meet as a few long strings.
 
 Defined results: a null text or role is empty; rows with a null conversation
 number are one conversation; a turn out of order leaves `valid` false and is
-formatted as it stands; repeated rows are turns of their own; other columns are
-passed over.
+formatted as it stands; repeated rows are turns of their own, turns that tie in
+number, role and text are alike; very long texts are whole, a conversation's
+formatted string may have 2 GB; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -48,16 +51,32 @@ class Template:
     )
     final: tuple[str, ...] = ("answered", "asked")
 
+    def __post_init__(self) -> None:
+        if not any(c in self.head for c in "<>\n"):
+            raise ValueError("the mark after a role must hold <, > or a newline")
+        if not self.end.startswith("<"):
+            raise ValueError("the mark after a text must begin with <")
+        for mark, first in ((self.begin, 0), (self.head, 0), (self.end, 1)):
+            for i in range(first, len(mark)):
+                rest = mark[i:]
+                if rest[0] == "<" and (rest.startswith(self.end) or self.end.startswith(rest)):
+                    raise ValueError(f"{rest!r} in a mark can be mistaken for {self.end!r}")
+
 
 DEFAULT = Template()
 
 
-def escape(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l")), F.lit(">"), F.lit("\\g"))
+def escape(text: Column, role: bool = False) -> Column:
+    marks = [("\\", "\\b"), ("<", "\\l"), (">", "\\g"), *([("\n", "\\n")] if role else [])]
+    for a, b in marks:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("\\g"), F.lit(">")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+    for a, b in (("\\g", ">"), ("\\l", "<"), ("\\n", "\n"), ("\\b", "\\")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
 
 
 def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
@@ -68,7 +87,7 @@ def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> Data
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
-    one = F.struct(order.alias("order"), escape(role).alias("role"), escape(text).alias("body"))
+    one = F.struct(order.alias("order"), escape(role, role=True).alias("role"), escape(text).alias("body"))
     chunk = F.floor(F.col("turn").cast("double") / CHUNK).cast("long")
     rows = turns.select(F.col("conv_id"), chunk.alias("chunk"), one.alias("one"))
     chunks = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("one")).alias("ones"))
@@ -94,10 +113,12 @@ def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> Data
 
 def read_turns(formatted: Column, template: Template = DEFAULT) -> Column:
     """The turns (role, text) of a formatted string."""
-    parts = F.filter(F.split(formatted, template.end), lambda x: x != "")
+    literal = "\\Q" + template.end.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    parts = F.split(formatted, literal)
+    parts = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))  # nothing stands behind the last mark
 
     def turn(x: Column) -> Column:
-        at = F.instr(x, template.head)
+        at = F.locate(template.head, x, len(template.begin) + 1)
         role = F.substring(x, F.lit(len(template.begin) + 1), at - len(template.begin) - 1)
         return F.struct(unescape(role).alias("role"), unescape(F.substring(x, at + len(template.head), F.length(x))).alias("text"))
 
@@ -143,7 +164,7 @@ SELECT conv_id,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(text) + length(role) + 15 + 2 * length(text) + 2 * length(role) - length(replace(replace(replace(text, '\', ''), '<', ''), '>', '')) * 2 - length(replace(replace(replace(role, '\', ''), '<', ''), '>', '')) * 2
-    - (length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '>', ''))) - (length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), '>', ''))))::BIGINT AS formatted_chars,
+    + length(role) - length(replace(role, chr(10), '')) - (length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '>', ''))) - (length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), '>', ''))))::BIGINT AS formatted_chars,
   bool_and(CASE
     WHEN k = 1 THEN role IN ('system', 'user')
     WHEN role = 'user' THEN before = 'assistant' OR (before = 'system' AND k = 2)
