@@ -2,16 +2,20 @@
 
 A source's mean repetition rate is target weight * documents / its documents. A
 document's number of copies is the inverse of the Poisson distribution with that
-mean at a uniform number hashed from seed and doc_id, so it does not depend on
-partitions or retries. Each document is exploded by its count and the copies are
-put in the order of another hash over all of them.
+mean at a uniform number hashed from seed, doc_id, text and, where rows are alike
+in both, the row's number among them; so every row has a draw of its own, which
+does not depend on partitions or retries. Each document is exploded by its count and
+the copies are put in the order of another hash over all of them.
 
 By default the target weight of a source is proportional to the number of its
 documents to the power TEMPERATURE; other weights are given by source.
 
-Defined results: a null source is a source of its own; a null doc_id is hashed
-as the empty string; repeated rows get the same count; sources without a weight
-get none; an empty table gives an empty one.
+Defined results: a null source is a source of its own, apart from the empty name;
+null doc_ids and texts are hashed as empty strings; very long texts are hashed
+whole; repeated rows have draws of their own (which of two alike rows gets which
+draw does not matter), and so no shuffle key is tied by a shared id; sources
+without a weight get none (null sources are weighed under None); an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,13 +23,16 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import checkpoint, shuffle_partitions, split_join
 
 SEED, TEMPERATURE = 17, 0.5
-#: Sources up to which their rates are broadcast (some MB); beyond, they are joined with salted rows.
-BROADCAST, SALTS = 50_000, 32
+#: Bytes of the sources' tables up to which they are broadcast; beyond, they are joined, hot sources split.
+BROADCAST = 32 << 20
+#: Alike rows up to whose number of kinds a list of them is broadcast (24 MB).
+FEW, BUCKETS = 1_000_000, 256
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -53,31 +60,71 @@ def _limits(rate: Column) -> Column:
     return F.aggregate(more, F.struct(F.array(mass).alias("c"), mass.alias("p")), step)["c"]
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """source (null as empty), documents and the mean repetition rate of each source."""
-    counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("documents"))
+def _source(source: Column) -> Column:
+    """A name of the source that tells null from the empty name."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """source, documents and the mean repetition rate of each source."""
+    counts = docs.groupBy("source").agg(F.count("*").alias("documents"))
     if weights is None:
         weight = F.pow(F.col("documents").cast("double"), F.lit(float(temperature)))
     else:
-        known = F.create_map(*(F.lit(x) for s, w in weights.items() for x in (s, float(w)))) if weights else F.create_map().cast("map<string,double>")
-        weight = F.coalesce(F.try_element_at(known, F.col("source")), F.lit(0.0))
+        known = F.create_map(*(F.lit(x) for s, w in weights.items() for x in ("" if s is None else f"={s}", float(w)))) if weights else F.create_map().cast("map<string,double>")
+        weight = F.coalesce(F.try_element_at(known, _source(F.col("source"))), F.lit(0.0))
     counts = counts.withColumn("weight", weight)
     weights_sum, documents = counts.agg(F.sum("weight"), F.sum("documents").cast("double")).first()
     rate = F.col("weight") / F.lit(weights_sum) * F.lit(documents) / F.col("documents") if weights_sum else F.lit(0.0)
     return counts.select("source", "documents", rate.alias("rate"))
 
 
-def _copies(docs: DataFrame, weights: dict[str, float] | None, seed: int, temperature: float) -> DataFrame:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) with number: 0, or from 0 on among rows alike in doc_id and text.
+
+    Only hashes are counted to find alike rows. Where there are none, no text moves.
+    Alike rows are counted by BUCKETS first, so none of their kinds meets in one task.
+    """
+    kind = [F.xxhash64("id", "text"), F.xxhash64("text", "id", F.lit(1))]
+    alike = rows.select(kind[0].alias("k1"), kind[1].alias("k2")).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    alike = checkpoint(alike)
+    kinds = alike.count()
+    if not kinds:
+        return rows.withColumn("number", F.lit(0).cast("long"))
+    alike = alike.withColumn("again", F.lit(True))
+    found = rows.withColumn("k1", kind[0]).withColumn("k2", kind[1]).join(F.broadcast(alike) if kinds <= FEW else alike, ["k1", "k2"], "left")
+    once = found.where("again is null").drop("k1", "k2", "again").withColumn("number", F.lit(0).cast("long"))
+    again = checkpoint(found.where("again").drop("again").withColumn("bucket", F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS))))
+    sizes = again.groupBy("k1", "k2", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("k1", "k2").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("k1", "k2", "bucket", before.alias("before"))
+    place = F.row_number().over(W.partitionBy("k1", "k2", "bucket").orderBy(F.lit(0))) - 1
+    numbered = again.withColumn("place", place).join(sizes, ["k1", "k2", "bucket"])
+    return once.union(numbered.withColumn("number", (F.col("place") + F.col("before")).cast("long")).select(*once.columns))
+
+
+def _copies(docs: DataFrame, weights: dict[str | None, float] | None, seed: int, temperature: float) -> DataFrame:
     """(row, n_copies, copy, shuffle_key): each row as a struct, so none of its columns can clash."""
-    limits = rates(docs.select("source"), weights, temperature).select("source", _limits(F.col("rate")).alias("limits"), "rate")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.coalesce("source", F.lit("")).alias("source"))
-    if limits.select("source").limit(BROADCAST + 1).count() <= BROADCAST:
-        joined = rows.join(F.broadcast(limits), "source")
+    own = F.col("rate")
+    found = rates(docs.select("source"), weights, temperature)
+    cells = F.sum(F.when(own > 500, 24 * F.sqrt(own) + 41).otherwise(own + 12 * F.sqrt(own) + 41))
+    size, total = found.agg(8 * cells, F.sum("documents")).first()
+    limits = found.select(_source(F.col("source")).alias("__source"), "documents", _limits(own).alias("limits"), "rate")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        _source(F.col("source")).alias("__source"),
+    )
+    rows = _numbered(rows)
+    # From here on a row goes by what its draw is hashed from.
+    rows = rows.select("row", "__source", F.concat_ws(":", "id", F.md5(F.col("text").cast("binary")), F.col("number").cast("string")).alias("id"))
+    if (size or 0) <= BROADCAST:
+        joined = rows.join(F.broadcast(limits.drop("documents")), "__source")  # checked: BROADCAST bytes at most
     else:
-        salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"])
+        joined = split_join(rows, limits, "__source", "documents", int(total or 0), salt=F.xxhash64("id"))
     u = uniform(seed, F.col("id"))
-    count = F.when(F.col("rate") > 0, _first(F.col("rate")) + F.size(F.filter("limits", lambda x: x < u))).otherwise(0).cast("long")
+    count = F.when(own > 0, _first(own) + F.size(F.filter("limits", lambda x: x < u))).otherwise(0).cast("long")
     copies = joined.select("row", "id", count.alias("n_copies")).where("n_copies > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed} order"), "id", F.col("copy").cast("string")).cast("binary")), 1, 16)
@@ -103,20 +150,22 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: int =
 #: The same in DuckDB for the default weights.
 ORACLE = f"""
 WITH counts AS (
-  SELECT coalesce(source, '') AS s, count(*) AS documents, pow(count(*)::DOUBLE, {TEMPERATURE}) AS weight FROM documents GROUP BY 1
+  SELECT source AS s, count(*) AS documents, pow(count(*)::DOUBLE, {TEMPERATURE}) AS weight FROM documents GROUP BY 1
 ), rated AS (
   SELECT s, weight / (SELECT sum(weight) FROM counts) * (SELECT sum(documents) FROM counts)::DOUBLE / documents AS rate FROM counts
+), places AS (
+  SELECT s, rate, unnest(range(0, CAST(rate + 12 * sqrt(rate) + 41 AS BIGINT))) AS k FROM rated
 ), masses AS (
-  SELECT s, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1.0)) AS p FROM rated, range(0, 400) t(k)
-  WHERE k <= rate + 12 * sqrt(rate) + 40
+  SELECT s, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1.0)) AS p FROM places
 ), limits AS (
   SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM masses
+), named AS (
+  SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || (row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1) AS draw FROM documents
 ), hashed AS (
-  SELECT *, coalesce(source, '') AS s, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM documents
+  SELECT *, (('0x' || substr(md5('{SEED}:' || draw), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM named
 ), counted AS (
-  SELECT h.* EXCLUDE (s, u), (SELECT count(*) FROM limits l WHERE l.s = h.s AND l.c < h.u)::BIGINT AS n_copies FROM hashed h
+  SELECT h.* EXCLUDE (u), (SELECT count(*) FROM limits l WHERE l.s IS NOT DISTINCT FROM h.source AND l.c < h.u)::BIGINT AS n_copies FROM hashed h
 )
-SELECT *, substr(md5('{SEED} order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR), 1, 16) AS shuffle_key
+SELECT * EXCLUDE (draw), substr(md5('{SEED} order:' || draw || ':' || copy::VARCHAR), 1, 16) AS shuffle_key
 FROM (SELECT *, unnest(range(0, n_copies)) AS copy FROM counted WHERE n_copies > 0)
 """
