@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siftgraph.llm import chat, embed_dedup, langid, license_scan, matroska, mixing, pieces, queries, simhash, suffix_dedup, toxicity
+from siftgraph.llm import chat, common, embed_dedup, langid, license_scan, matroska, mixing, near_copies, pieces, queries, simhash, suffix_dedup, toxicity
 from tests.compare import assert_same, connect
 
 #: Odd rows: nulls in every column, empty and long texts, repeated rows, columns whose names clash with inner ones.
@@ -61,41 +61,100 @@ def roots(n, links):
 # 1 toxicity
 
 
-def test_edits_are_those_of_levenshtein():
-    lexicon = toxicity.Lexicon([("idiot", False, 2.0), ("worthless", False, 1.0), ("disgusting", False, 1.0), ("bad", False, 1.0), ("stem", True, 3.0)])
+def distance(a, b):
+    """Levenshtein distances of a from every beginning of b; the last is that from b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(out[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = out
+    return row
+
+
+def plain_match(token, entries):
+    """(entry, edits) by comparing the token with every entry."""
+    found = []
+    for k, (text, stem, weight, fuzzy) in enumerate(entries):
+        row = distance(text, token)
+        d = min(row) if stem else row[-1]
+        if d <= toxicity.edits_of(len(text)):
+            found.append((d, -(fuzzy / d if d else weight), k))
+    return (min(found)[2], min(found)[0]) if found else None
+
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row = [i, *itertools.accumulate(zip(row, row[1:], b), lambda left, t: min(left + 1, t[1] + 1, t[0] + (x != t[2])), initial=i)][1:]
-        return row[-1]
+ENTRIES = [("idiot", False, 2.0, 1.5), ("worthless", False, 1.0, 0.5), ("disgusting", False, 1.0, 0.0), ("bad", False, 1.0, 0.0), ("stemma", True, 3.0, 1.0), ("sto", True, 0.5, 0.0)]
 
-    def plain(a, b):
-        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
-        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
-            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-        return d[len(a), len(b)]
 
+def test_edits_are_those_of_levenshtein():
+    lexicon = toxicity.Lexicon(ENTRIES)
     rng = random.Random(0)
     for _ in range(3000):
-        w = list(rng.choice([e[0] for e in lexicon.entries]))
+        w = list(rng.choice([e[0] for e in ENTRIES]) + rng.choice(["", "", "xyz", "s"]))
         for _ in range(rng.randint(0, 3)):
             k = rng.randrange(len(w) + 1)
             op = rng.randrange(3)
             w = w[:k] + [rng.choice("aiost")] + w[k:] if op == 0 else w[:k] + w[k + 1 :] if op == 1 else w[:k] + [rng.choice("dle")] + w[k + 1 :]
         w = "".join(w)
-        found = {(k, d) for k, (e, stem, _) in enumerate(lexicon.entries) for d in [plain(w, e)] if not stem and d <= toxicity.edits_of(len(e))}
-        found |= {(k, 0) for k, (e, stem, _) in enumerate(lexicon.entries) if stem and w.startswith(e)}
-        got = lexicon.match(w)
-        assert (got is None) == (not found), w
-        assert got is None or got in found and got[1] == min(d for _, d in found), w
+        assert lexicon.match(w) == plain_match(w, ENTRIES), w
+
+
+def plain_features(text, entries):
+    """Each hit found by comparing tokens with all entries, its quotation by reading back and forth from it."""
+    marked = re.findall(r"[^\W_]+|[\"“”„«»‹›]", text.lower())
+    sums, hits, tokens = {"exact": 0.0, "fuzzy": 0.0, "quoted": 0.0}, [], 0
+    for i, t in enumerate(marked):
+        if not t[0].isalnum():
+            continue
+        tokens += 1
+        m = plain_match(t, entries)
+        weight = 0.0 if m is None else entries[m[0]][3] / m[1] if m[1] else entries[m[0]][2]
+        if weight <= 0:
+            continue
+        before = [(j, x) for j, x in enumerate(marked[:i]) if not x[0].isalnum()]
+        inside = False
+        for _, x in before:
+            inside = not inside if x == '"' else x in "“„«‹"
+        near = bool(before) and i - before[-1][0] <= toxicity.WINDOW
+        closes = any(x in '"”»›' for x in marked[i + 1 : i + 1 + toxicity.WINDOW])
+        if inside and (near or closes) or set(marked[max(0, i - 3) : i]) & toxicity.REPORTS:
+            sums["quoted"] += weight
+            continue
+        if set(marked[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1]) & toxicity.PERSONS:
+            weight *= 1.25
+        sums["fuzzy" if m[1] else "exact"] += weight
+        hits.append((i, weight))
+    dense = max((sum(w for j, w in hits if i - toxicity.WINDOW <= j <= i) for i, _ in hits), default=0.0)
+    log = np.log1p
+    return [log(sums["exact"]), log(sums["fuzzy"]), max((w for _, w in hits), default=0.0), dense, log(100 * (sums["exact"] + sums["fuzzy"]) / max(20, tokens)), log(sums["quoted"])]
+
+
+def test_features_against_plain():
+    lexicon, rng = toxicity.Lexicon(ENTRIES), random.Random(4)
+    words = ["idiot", "idiott", "worthles", "wortless", "stemmaxx", "stema", "bad", "stop", "you", "said", "he", '"', "“", "”", "«", "»", "plain", "words", "here", "disgustin", "Idiot,"]
+    for n in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+        assert np.allclose(toxicity.features(text, lexicon), plain_features(text, ENTRIES)), text
 
 
 def test_quotation_weighs_less():
-    lexicon = toxicity.Lexicon([("idiot", False, 4.0)])
+    lexicon = toxicity.Lexicon([("idiot", False, 4.0, 2.0)])
     abuse, quoted = (toxicity.features(t, lexicon) for t in ("you are an idiot really", 'they printed "idiot" on a sign'))
-    assert abuse[0] > 0 and abuse[1] == 0 and quoted[0] == 0 and quoted[1] > 0
-    assert toxicity.features("an idiott", lexicon)[2] > 0
+    assert abuse[0] > 0 and abuse[5] == 0 and quoted[0] == 0 and quoted[5] > 0
+    assert toxicity.features("an idiott", lexicon)[1] > 0
+    assert [y for _, y in toxicity.variants("what an idiot", lexicon)] == [0, 1] and toxicity.variants("what an idiott", lexicon) == []
+
+
+def test_misspellings_and_quotations_are_told_apart(spark):
+    """Sentences that no row of the tables holds: 1 or 2 edits by hand, quotations by marks and by words of speech."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert min(model.weights[:5]) >= 0 and model.weights[1] > 0
+    for text in ("you are an idiott", "such a stupd thing", "you worthles thing", "this is disgustting", "a patthetic man", "you utter looser", "a clwn and a trassh"):
+        assert model.score(text) >= toxicity.CUT, text
+        assert model.score(f"{text} {text}") >= toxicity.CUT
+    for text in ('they printed "idiot" on a sign', "the sign said moron in red", 'on it stood “stupid” and “worthless” in chalk', "he wrote pathetic twice", "and «trash» on the wall", "a plain sentence about the weather"):
+        assert model.score(text) < toxicity.CUT, text
 
 
 def test_toxicity_learns_from_allowed_rows_only(spark):
@@ -186,6 +245,30 @@ def test_keep_one(odd, docs):
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == found
 
 
+#: Rows that share ids or have none: unrelated texts, a copy under another id, a repeat.
+SHARED = [(1, "one two three four five six"), (1, "quite another text is here too"), (1, "quite another text is here too"), (2, "one two three four five six"), (2, "and a third of them stands alone"), (None, "one two three four five six"), (None, "nothing like the others at all"), (None, "nothing like the others at all")]
+SHARED_KEPT = [(1, SHARED[0][1]), (1, SHARED[1][1]), (2, SHARED[4][1]), (None, SHARED[6][1])]
+
+
+@pytest.mark.parametrize("operator", [simhash, near_copies])
+def test_no_text_is_lost_under_a_reused_id(spark, operator):
+    frame = spark.createDataFrame(SHARED, "doc_id long, text string").repartition(3)
+    assert sorted(map(str, map(tuple, operator.keep_one(frame).collect()))) == sorted(map(str, SHARED_KEPT))
+
+
+@pytest.mark.parametrize("hot", [1, 7])
+def test_components_and_hot_joins(spark, docs, monkeypatch, hot):
+    whole = sorted(map(tuple, simhash.near_components(docs).collect()))
+    rng = random.Random(1)
+    links = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(500, i) for i in range(400, 440)]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    label = roots(501, links)
+    want = {(i, label[i]) for i in {x for a, b in links if a != b for x in (a, b)}}
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    assert {tuple(r) for r in common.components(frame).collect()} == want
+    assert sorted(map(tuple, simhash.near_components(docs).collect())) == whole
+
+
 # 3 languages
 
 
@@ -197,12 +280,66 @@ def test_languages(spark, sf):
     assert all(abs(sum(r["posteriors"]) - 1) < 1e-6 for r in rows)
 
 
+def plain_identify(pages, model):
+    """Posteriors of every page from counts over all other pages, one page at a time."""
+    rows = []
+    for _, url, html in pages:
+        html = html or ""
+        found = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", html, re.I)
+        host = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+        host = host[1].lower() if host else ""
+        grams = langid.trigrams(langid.page_text(html)).tolist()
+        logs = np.array([model.table[g].astype(float) for g in grams]).sum(0) / max(1, len(grams)) * model.scale * len(grams) ** model.power if grams else np.zeros(len(model.langs))
+        p = np.exp(logs - logs.max())
+        rows.append((found[1].lower() if found else "", host, ".".join(host.split(".")[-2:]), host.split(".")[-1], p / p.sum()))
+    c, out = 5.0, []
+    for i, (declared, *places, p) in enumerate(rows):
+        others = rows[:i] + rows[i + 1 :]
+        total = sum((r[4] for r in others), np.zeros(len(p)))
+        prior = (total + c / len(p)) / (len(others) + c)
+        for level in (3, 2, 1):
+            same = [r[4] for r in others if r[level] == places[level - 1]]
+            prior = (sum(same, np.zeros(len(p))) + c * prior) / (len(same) + c)
+        share = (sum((r[4] for r in others if r[0] == declared), np.zeros(len(p))) + c / len(p)) / (total + p + c)
+        e = np.log(np.maximum(p, 1e-30)) + np.log(share) + np.log(prior)
+        e = np.exp(e - e.max())
+        out.append(e / e.sum())
+    return out
+
+
+@pytest.mark.parametrize("hot", [None, 1])
+def test_fusion_against_plain(spark, sf, docs, monkeypatch, hot):
+    """All pages; with hot = 1 almost every host, domain and suffix is split."""
+    if hot:
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    pages += [(10_000 + i, f"https://h{i}.same.org/x", f"<html lang='{x}'><p>le de la") for i, x in enumerate(["fr", "fr", "de", ""] * 3)] + [(20_000, None, None), (20_001, "", "<p></p>")]
+    model = langid.learn(docs)
+    assert model.langs == sorted(r[0] for r in docs.select("lang").distinct().collect() if r[0]) and 0 < model.power <= 1
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r for r in langid.identify(frame, docs).collect()}
+    for page, want in zip(pages, plain_identify(pages, model)):
+        assert np.allclose(got[page[0]]["posteriors"], want, atol=1e-6), page[0]
+        assert got[page[0]]["lang"] == model.langs[int(np.argmax(got[page[0]]["posteriors"]))]
+
+
+def test_samples_take_every_language(spark):
+    rows = [(i, f"text number {i} of many", "aa") for i in range(3000)] + [(4000 + i, f"other words {i}", "bb") for i in range(4)] + [(5000, "alone", "cc")] + [(6000 + i, "copies of one text", "aa") for i in range(3000)]
+    langs, sample = langid.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = sample.collect()
+    assert langs == ["aa", "bb"]
+    assert sum(r["lang"] == "aa" for r in found) == langid.PER_LANGUAGE and sum(r["lang"] == "bb" for r in found) == 4
+    assert len({r["text"] for r in found}) == len(found)
+
+
 def test_priors_decide_pages_without_text(spark, docs):
     words = docs.where("lang = 'fr'").select("text").limit(6).collect()
     pages = [(i, f"http://a.b.fr/{i}", f"<p>{r[0]}</p>") for i, r in enumerate(words)] + [(10, "http://a.b.fr/x", ""), (11, None, None), (11, None, None), (None, "//A.B.FR:80/y", "<html lang='fr'>")]
     out = {r["page_id"]: r for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit(1)), docs).collect()}
     assert out[10]["lang"] == "fr" and out[10]["text_lang"] is None and out[None]["lang"] == "fr" and out[None]["host"] == "a.b.fr"
     assert out[11]["host"] == ""
+    long = spark.createDataFrame([(1, "//x.fr/", "<p>" + (words[0][0] + " ") * 3000)], "page_id long, url string, html string")
+    assert langid.identify(long, docs).first()["lang"] == "fr"
     assert langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs.limit(0)).where("lang is null").count() == len(pages)
     assert langid.identify(spark.createDataFrame([], "page_id long, url string, html string"), docs).count() == 0
 
@@ -372,6 +509,35 @@ def test_chat_round_trips(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+TEMPLATES = [
+    chat.DEFAULT,
+    chat.Template("<|im_start|>", "\n", "<|im_end|>\n"),
+    chat.Template("<|start_header_id|>", "<|end_header_id|>\n\n", "<|eot_id|>"),
+    chat.Template("[", ">.*", "<+\\E$>"),
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_templates_round_trip(spark, template):
+    rng = random.Random(2)
+    parts = ["<", ">", "\\", "\n", "|", "im_end", "turn", "b", "l", "E", "x", template.begin, template.head, template.end, ""]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))
+    rows = [(c, t, rng.choice(["user", "assistant", word()]), word()) for c in range(40) for t in range(rng.randint(1, 5))]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template)
+    digest = {r["conv_id"]: r for r in chat.digest(made, template).collect()}
+    for r in made.select("conv_id", "formatted", "segments", chat.read_turns(F.col("formatted"), template).alias("turns")).collect():
+        own = [(x[2], x[3]) for x in rows if x[0] == r["conv_id"]]
+        assert [tuple(t) for t in r["turns"]] == own
+        assert digest[r["conv_id"]]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+        assert digest[r["conv_id"]]["loss_sha256"] == hashlib.sha256("".join(b for a, b in own if a == "assistant").encode()).hexdigest()
+
+
+def test_templates_that_cannot_be_read_back_are_refused():
+    for marks in (("<", ":", "</x>"), ("<t ", ">", "end"), ("<", ">", "</x>"), ("<t ", ">", "<t "), ("<a>", "<", "<b>")):
+        with pytest.raises(ValueError):
+            chat.Template(*marks)
+
+
 def test_native_operators_run_no_python(spark, sf):
     for name in ("op7_chat_format", "op8_poisson_mixing"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
@@ -397,6 +563,29 @@ def test_mixing_of_odd_rows(odd):
     assert mixing.replicate(odd.limit(0)).count() == 0 and mixing.replicate(odd, {}).count() == 0
 
 
+@pytest.mark.parametrize("few", [mixing.FEW, 0])
+def test_rows_without_ids_draw_one_by_one(spark, monkeypatch, few):
+    """Null ids, one id for all, texts alike or not: numbers of copies are those of so many draws, wherever the rows lie."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    n = 6000
+    rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), "id")).alias("text"), F.when(F.col("id") % 5 == 0, "").alias("source"))
+    one, two = (mixing.replicate(rows.repartition(k)).groupBy("doc_id", "text", "source", "n_copies", "copy", "shuffle_key").count().collect() for k in (2, 7))
+    copies = sum(r["count"] for r in one)
+    assert abs(copies - n) < 5 * n**0.5 and len({r["shuffle_key"] for r in one}) == copies
+    draws = lambda found: sorted((str(r["doc_id"]), r["text"], str(r["source"]), r["shuffle_key"]) for r in found if r["text"] != "same")
+    assert draws(one) == draws(two)
+    zero = 1 - sum(r["count"] for r in one if r["copy"] == 0 and r["text"] == "same" and r["source"] is None and r["doc_id"] is None) / (n / 2 / 3 * 0.8)
+    rate = {r["source"]: r["rate"] for r in mixing.rates(rows).collect()}
+    assert set(rate) == {"", None} and abs(zero - np.exp(-rate[None])) < 0.06
+
+
+def test_large_rate_tables_are_joined(spark, monkeypatch, docs):
+    whole = sorted(map(str, mixing.replicate(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert sorted(map(str, mixing.replicate(docs).collect())) == whole
+
+
 # 9 pieces
 
 
