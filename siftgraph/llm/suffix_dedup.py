@@ -9,20 +9,25 @@ windows can repeat at all, and these are dealt out so that equal windows meet:
     windows own equal anchors, so a window whose anchor is unique in the corpus
     repeats nowhere. Consecutive windows with one anchor are a run; a row for
     each run (anchor hash, hash of the bytes under the run, document, start) is
-    dealt out by the anchor.
+    dealt out by the anchor; anchors that a sample shows in very many documents
+    are dealt out by the bytes' hash as well.
 2.  Runs over equal bytes collapse to their first occurrence: later ones are
-    repeats as a whole. (Equal runs within an Arrow batch collapse before the
-    shuffle, which keeps very common passages small.) Anchors that occur over
+    repeats as a whole. Their hashes only propose that. Runs of one Arrow batch are
+    compared by their bytes before the shuffle, which keeps very common passages
+    small; every other one names the run before it among its equals, neighbouring runs
+    are joined to passages, and the bytes of the passage named are sent to the
+    document and compared there. Anchors that occur over
     different bytes leave one piece for each distinct run and half of it; only
     windows of a piece can repeat in part.
 3.  The pieces' bytes are dealt out by the anchor with the bytes on its left or
     on its right (half of what a window holds beside the anchor), whichever all
     the windows contain, so a common line with different surroundings splits.
     Keys of anchors with over HOT runs take half of the bytes left beside them as
-    well, and so on, up to whole windows. Equal pieces collapse to the first. Each
-    task concatenates the others and builds their suffix array; windows that are
-    equal stand together there, and all but the first occurrence are repeats. The
-    bytes of the key, which all windows of a piece contain, are one symbol in it.
+    well, and so on, up to whole windows, so the pieces that share a key stay few. Equal
+    pieces collapse to the first, by their bytes. Each task concatenates the others
+    and builds their suffix array; windows that are equal stand together there, and
+    all but the first occurrence are repeats. The bytes of the key, which all windows
+    of a piece contain, are one symbol in it.
 4.  The repeats' spans are joined to the documents and cut out.
 
 The suffix array is built by linear grouping: suffixes start in groups by their
@@ -33,9 +38,11 @@ the groups hold suffixes of equal Lyndon prefix, and one pass from the smallest
 suffix emits every group's order. No names are given anew and no recursion runs.
 
 Defined results: null texts are empty; a null doc_id orders after all others by
-a hash of its text; rows with one doc_id are one document (repeats of a row do
-not count against each other, and each gets the same result); texts shorter
-than L bytes keep everything; other columns are passed over.
+a hash of its text; rows alike in doc_id and text are one document (repeats of a
+row do not count against each other, and each gets the same result); texts under a
+reused doc_id are documents of their own, ordered by a hash; texts shorter than L
+bytes keep everything; very long texts go in overlapping slices; other columns are
+passed over.
 """
 
 from __future__ import annotations
@@ -45,20 +52,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, checkpoint, each_text, longs, session, shuffle_partitions, text_bytes
 
 #: Bytes of a repeated string, of an anchor, and of an anchor's side in a key.
 LENGTH, GRAM = 100, 32
-#: Runs of an anchor over different bytes from which on its keys are made longer.
-HOT = 20_000
+#: Runs of an anchor over different bytes from which on its keys are made longer. It bounds the suffix array of a key.
+HOT = 1000
+#: Documents that are sampled for anchors of very many documents, and how many of them make an anchor common.
+SAMPLE, COMMON = 4096, 20
 #: Hot anchors up to which their sizes are broadcast (some MB); beyond, they are joined.
 FEW = 100_000
 #: Bytes that the anchor step and a suffix array take at once; longer texts go in overlapping slices.
 SLICE, PART = 1 << 20, 1 << 17
-_SPAN, _WHOLE = 16, 1 << 15
+_SPAN, _WHOLE, _DEALT = 16, 1 << 15, 1 << 14
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -206,10 +215,10 @@ def _owners(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, off: np.ndarray, ids: np.ndarray, powers: dict, length: int, gram: int) -> np.ndarray:
-    """Rows h, r, doc, span of the runs of a buffer of documents; span is start << 16 | windows."""
+    """Rows h, r, doc, span, place of the runs of a buffer of documents; span is start << 16 | windows."""
     width = length - gram + 1
     if len(data) < length:
-        return np.zeros((0, 4), np.int64)
+        return np.zeros((0, 5), np.int64)
     one, two = _Hashes(data, 0, powers), _Hashes(data, 1, powers)
     at = np.arange(len(data) - gram + 1)
     grams = one.of(at, at + gram)
@@ -219,16 +228,17 @@ def _runs(data: np.ndarray, off: np.ndarray, ids: np.ndarray, powers: dict, leng
     skip = np.cumsum(np.maximum(0, sizes - length + 1)) - np.maximum(0, sizes - length + 1)
     start = np.arange(len(doc)) - skip[doc] + off[doc]  # all windows within one document
     if not len(start):
-        return np.zeros((0, 4), np.int64)
+        return np.zeros((0, 5), np.int64)
     own = owner[start]
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])]))
     windows = np.diff(np.concatenate([new, [len(start)]]))
     s, d, o = start[new], doc[new], own[new]
-    out = np.empty((len(new), 4), np.int64)
+    out = np.empty((len(new), 5), np.int64)
     out[:, 0] = grams[o].view(np.int64)
     out[:, 1] = _mixed(two.of(s, s + windows - 1 + length) + (o - s).astype(np.uint64)).view(np.int64)
     out[:, 2] = ids[d]
     out[:, 3] = ((s - off[d]) << _SPAN) | windows
+    out[:, 4] = s
     return out
 
 
@@ -236,28 +246,57 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _map_runs(length: int, gram: int):
+def _batch_runs(batch: pa.RecordBatch, powers: dict, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the runs of a batch's texts, places counted in the batch's bytes, and these bytes."""
+    ids = _ids(batch)
+    data, off = text_bytes(batch.column("text"))
+    rows, i, n = [], 0, len(ids)
+    while i < n:
+        if off[i + 1] - off[i] > SLICE:  # one long text, by slices that share length - 1 bytes
+            for a in range(int(off[i]), int(off[i + 1]) - length + 1, SLICE):
+                part = _runs(data[a : min(a + SLICE + length - 1, off[i + 1])], np.array([0, min(SLICE + length - 1, off[i + 1] - a)]), ids[i : i + 1], powers, length, gram)
+                part[:, 3] += (a - int(off[i])) << _SPAN
+                part[:, 4] += a
+                rows.append(part)
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
+        j = min(j, n)
+        part = _runs(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], powers, length, gram)
+        part[:, 4] += off[i]
+        rows.append(part)
+        i = j
+    return np.concatenate(rows) if rows else np.zeros((0, 5), np.int64), data
+
+
+def _map_runs(length: int, gram: int, common: np.ndarray):
+    """common: sorted anchors that are dealt out by the bytes' hash too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: dict = {}
         for batch in batches:
-            ids = _ids(batch)
-            data, off = text_bytes(batch.column("text"))
-            rows, i, n = [], 0, len(ids)
-            while i < n:
-                if off[i + 1] - off[i] > SLICE:  # one long text, by slices that share length - 1 bytes
-                    for a in range(int(off[i]), int(off[i + 1]) - length + 1, SLICE):
-                        part = _runs(data[a : min(a + SLICE + length - 1, off[i + 1])], np.array([0, min(SLICE + length - 1, off[i + 1] - a)]), ids[i : i + 1], powers, length, gram)
-                        part[:, 3] += (a - int(off[i])) << _SPAN
-                        rows.append(part)
-                    i += 1
-                    continue
-                j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
-                j = min(j, n)
-                rows.append(_runs(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], powers, length, gram))
-                i = j
-            rows = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
-            if len(rows):
-                yield _columns(_collapsed(rows))
+            rows, data = _batch_runs(batch, powers, length, gram)
+            if not len(rows):
+                continue
+            rows = _collapsed(rows, data, length)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, rows[:, 0]), len(common) - 1)
+                at = (common[at] == rows[:, 0]) & ((rows[:, 3] & _WHOLE) == 0)
+                rows[at, 0] ^= _mixed(rows[at, 1].view(np.uint64)).view(np.int64)
+                rows[at, 3] |= _DEALT
+            yield _columns(rows)
+
+    return run
+
+
+def _anchors(length: int, gram: int):
+    """The distinct anchors of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers: dict = {}
+        for batch in batches:
+            rows, _ = _batch_runs(batch, powers, length, gram)
+            yield batch_of(h=np.unique(rows[:, [2, 0]], axis=0)[:, 1].copy())
 
     return run
 
@@ -266,28 +305,50 @@ def _columns(rows: np.ndarray) -> pa.RecordBatch:
     return batch_of(h=rows[:, 0].copy(), r=rows[:, 1].copy(), doc=rows[:, 2].copy(), span=rows[:, 3].copy())
 
 
-def _collapsed(rows: np.ndarray) -> np.ndarray:
-    """Marks all but the first of equal runs as whole repeats, spread over the tasks by document."""
+def _equal(data: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether so many bytes at two places are the same."""
+    out = np.zeros(len(one), bool)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        step = np.arange(size)
+        for i in range(0, len(at), 8192):
+            k = at[i : i + 8192]
+            out[k] = (data[one[k, None] + step] == data[two[k, None] + step]).all(1)
+    return out
+
+
+def _collapsed(rows: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """Marks all but the first of equal runs as whole repeats, spread over the tasks by document; their bytes are compared."""
     rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
     same = (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1])
     first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(rows)), 0))
     again = (rows[:, 2] == rows[first, 2]) & (rows[:, 3] == rows[first, 3])  # a row of documents that repeats
-    late = ~again
-    out = rows[late | (first == np.arange(len(rows)))].copy()
-    late = late[late | (first == np.arange(len(rows)))]
+    late = np.flatnonzero(~again)
+    differ = late[~_equal(data, rows[late, 4], rows[first[late], 4], (rows[late, 3] & (_WHOLE - 1)) - 1 + length)]
+    rows[differ, 1] = _mixed(rows[differ, 4].view(np.uint64)).view(np.int64)  # a collision: a run of its own
+    late = np.zeros(len(rows), bool)
+    late[~again] = True
+    late[differ] = False
+    keep = late | (first == np.arange(len(rows)))
+    keep[differ] = True
+    out, late = rows[keep].copy(), late[keep]
     out[late, 0] = _mixed(out[late, 2].view(np.uint64) + out[late, 3].view(np.uint64)).view(np.int64)
     out[late, 3] |= _WHOLE
     return out
 
 
+_FOUND = "doc long, start long, windows long, h long, other long, at long"
+
+
 def _reduce_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, r, doc, span to (doc, start, windows, h, part): h is null for whole repeats."""
-    held = None  # of the last anchor: h, r, first doc and span of that run, and whether its first run was told
+    """Rows sorted by h, r, doc, span to those of _FOUND: h is null for whole repeats, which name the run before them (other, at) unless their bytes are known."""
+    held = None  # of the last anchor: its last row, and whether its first run was told
     for batch in batches:
         rows = np.stack([longs(batch, c) for c in ("h", "r", "doc", "span")], 1)
         whole = (rows[:, 3] & _WHOLE) != 0
         spans, rows = rows[whole], rows[~whole]
-        told = np.zeros((0, 4), np.int64)
+        told = named = np.zeros((0, 4), np.int64)
+        before = np.zeros((0, 4), np.int64)
         if len(rows):
             lead = 0
             if held is not None:
@@ -295,30 +356,67 @@ def _reduce_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lead = 1
             new_h = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
             new_r = new_h | np.concatenate([[True], rows[1:, 1] != rows[:-1, 1]])
-            first = np.maximum.accumulate(np.where(new_r, np.arange(len(rows)), 0))
-            late = ~new_r & ((rows[:, 2] != rows[first, 2]) | (rows[:, 3] != rows[first, 3]))
-            spans = np.concatenate([spans, rows[late]])
+            again = np.concatenate([[False], (rows[1:, 2] == rows[:-1, 2]) & (rows[1:, 3] == rows[:-1, 3])])
+            late = np.flatnonzero(~new_r & ~again)
+            named, before = rows[late], rows[late - 1]
             head = np.flatnonzero(new_h)
             of = np.cumsum(new_h) - 1
             many = (np.add.reduceat(new_r.astype(np.int64), head) > 1)[of]
             if lead and held[1]:  # the held anchor had many runs already
                 many = many | (of == 0)
-            tell = new_r & many
+            dealt = (rows[:, 3] & _DEALT) != 0  # a part of an anchor's runs: each is told
+            tell = new_r & (many | dealt)
             if lead and held[1]:
                 tell[0] = False
-            told = rows[tell]
-            held = (rows[first[-1]], bool(many[-1]))
-        n, m = len(spans), len(told)
-        if n + m:
-            all_rows = np.concatenate([spans, told])
+            told = rows[tell].copy()
+            mixed = (told[:, 3] & _DEALT) != 0
+            told[mixed, 0] ^= _mixed(told[mixed, 1].view(np.uint64)).view(np.int64)
+            held = (rows[-1], bool(many[-1] or dealt[-1]))
+        k, n, m = len(spans), len(named), len(told)
+        if k + n + m:
+            all_rows = np.concatenate([spans, named, told])
+            place = np.arange(k + n + m)
+            asked = (place >= k) & (place < k + n)
+            other, at = np.zeros(k + n + m, np.int64), np.zeros(k + n + m, np.int64)
+            other[asked], at[asked] = before[:, 2], before[:, 3] >> _SPAN
             yield batch_of(
                 doc=all_rows[:, 2].copy(),
                 start=all_rows[:, 3] >> _SPAN,
-                windows=all_rows[:, 3] & (_WHOLE - 1),
-                h=pa.array(np.where(np.arange(n + m) < n, 0, all_rows[:, 0]), mask=np.arange(n + m) < n),
+                windows=all_rows[:, 3] & (_DEALT - 1),
+                h=pa.array(np.where(place < k + n, 0, all_rows[:, 0]), mask=place < k + n),
+                other=pa.array(other, mask=~asked),
+                at=pa.array(at, mask=~asked),
             )
 
 
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, start, windows, other, at) sorted by doc, start: those that go on in both documents are joined."""
+    for batch in batches:
+        rows = np.stack([longs(batch, c) for c in ("doc", "start", "windows", "other", "at")], 1)
+        if not len(rows):
+            continue
+        a, b = rows[:-1], rows[1:]
+        on = (a[:, 0] == b[:, 0]) & (a[:, 3] == b[:, 3]) & (a[:, 1] + a[:, 2] == b[:, 1]) & (a[:, 4] + a[:, 2] == b[:, 4])
+        head = np.flatnonzero(np.concatenate([[True], ~on]))
+        out = rows[head]
+        yield batch_of(doc=out[:, 0].copy(), start=out[:, 1].copy(), windows=np.add.reduceat(rows[:, 2], head), other=out[:, 3].copy(), at=out[:, 4].copy())
+
+
+def _sent(length: int):
+    """Documents and the passages asked of them to the passages' bytes, for the documents that asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, asked in zip(each_text(batch.column("text")), batch.column("asked")):
+                rows += [(x["doc"], x["start"], x["windows"], text[x["at"] : x["at"] + x["windows"] - 1 + length]) for x in asked.as_py()]
+            if rows:
+                doc, start, windows, piece = zip(*rows)
+                yield batch_of(doc=np.array(doc, np.int64), start=np.array(start, np.int64), windows=np.array(windows, np.int64), piece=pa.array(piece, pa.binary()))
+
+    return run
+
+
 def _pieces(length: int, gram: int):
     """Documents with their unsettled runs to pieces: key, doc, start, bytes beside the key's, and how many of them on its left."""
     half = (length - gram) // 2
@@ -448,6 +546,9 @@ def _cut(length: int, keep_text: bool):
             out: list = [[] for _ in range(4)]
             for text, spans in zip(each_text(batch.column("text")), batch.column("spans")):
                 spans = spans.as_py() or []
+                for x in spans:
+                    if x["piece"] is not None and x["piece"] != text[x["start"] : x["start"] + x["windows"] - 1 + length]:
+                        raise RuntimeError("two runs of different bytes have the same hashes: run again with another gram")
                 kept, end, count, removed = [], 0, 0, 0
                 for s, k in sorted((x["start"], x["windows"]) for x in spans):
                     e = min(s + k - 1 + length, len(text))
@@ -483,14 +584,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     if not 2 <= gram < length:
         raise ValueError("gram must be shorter than length")
     spark = session(docs)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1) - F.abs(F.xxhash64("text") % F.lit(2**40)), F.lit(0))  # never null, so neither join filters
+    docs, doc = _ordered(docs)
     base = docs.select(doc.alias("doc"), "text")
     n = shuffle_partitions(spark)
-    runs = base.mapInArrow(_map_runs(length, gram), "h long, r long, doc long, span long").repartition(n, "h").sortWithinPartitions("h", "r", "doc", "span")
-    found = checkpoint(runs.mapInArrow(_reduce_runs, "doc long, start long, windows long, h long"))
+    # A bounded sample, by a hash, only finds anchors of very many documents; results do not depend on it.
+    few = base.select("doc", "text", F.xxhash64("doc", F.lit(3)).alias("u"))
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    few = few.where(F.pmod(F.col("u"), F.lit(1 << 40)) < int(share * (1 << 40))).select("doc", "text")
+    often = few.mapInArrow(_anchors(length, gram), "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    common = np.array(sorted(r["h"] for r in often.orderBy(F.desc("n"), "h").limit(FEW).select("h").collect()), np.int64)
+    runs = base.mapInArrow(_map_runs(length, gram, common), "h long, r long, doc long, span long").repartition(n, "h").sortWithinPartitions("h", "r", "doc", "span")
+    found = checkpoint(runs.mapInArrow(_reduce_runs, _FOUND))
     kinds = dict(docs.dtypes)
     columns = ["doc_id", *others]
-    # Both joins below read one and the same exchange of the texts.
+    # The joins below read one and the same exchange of the texts.
     whole = docs.select(doc.alias("doc"), F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"_{c}") for c in columns))
     runs = found.where("h is not null")
     sizes = checkpoint(runs.groupBy("h").count().where(F.col("count") > HOT))
@@ -500,7 +607,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     unsettled = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "h", "times")).alias("runs"))
     pieces = whole.join(unsettled.hint("shuffle_hash"), "doc").mapInArrow(_pieces(length, gram), _PIECES)
     more = pieces.repartition(n, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sorted_pieces(length), "doc long, start long, windows long")
-    spans = found.where("h is null").select("doc", "start", "windows").union(more).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    asked = found.where("other is not null").select("doc", "start", "windows", "other", "at").repartition(n, "doc").sortWithinPartitions("doc", "start")
+    asked = asked.mapInArrow(_passages, "doc long, start long, windows long, other long, at long")
+    asked = asked.groupBy(F.col("other").alias("doc")).agg(F.collect_list(F.struct("doc", "start", "windows", "at")).alias("asked"))
+    sent = whole.select("doc", "text").join(asked.hint("shuffle_hash"), "doc").mapInArrow(_sent(length), "doc long, start long, windows long, piece binary")
+    none = F.lit(None).cast("binary").alias("piece")
+    spans = found.where("h is null and other is null").select("doc", "start", "windows", none).union(more.select("doc", "start", "windows", none)).union(sent)
+    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "piece")).alias("spans"))
     whole = whole.join(spans.hint("shuffle_hash"), "doc", "left").select(*(f"_{c}" for c in columns), "text", "spans")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
     return whole.mapInArrow(_cut(length, keep_text), schema)
+
+
+def _ordered(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """docs and a number that orders its documents; never null, so no join filters.
+
+    That is the doc_id. Only where texts differ under one doc_id, documents are
+    numbered by doc_id and a hash of the text, in the order of a range partitioning.
+    """
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1) - F.pmod(own, F.lit(2**61)))
+    reused = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo != hi")
+    if reused.isEmpty():
+        return docs, least
+    keys = docs.select(least.alias("__d"), own.alias("__h")).distinct()
+    keys = keys.repartitionByRange(shuffle_partitions(docs.sparkSession), "__d", "__h").sortWithinPartitions("__d", "__h")
+    keys = checkpoint(keys.select("__d", "__h", F.monotonically_increasing_id().alias("__doc")))
+    rows = docs.withColumn("__d", least).withColumn("__h", own).join(keys, ["__d", "__h"])
+    return checkpoint(rows.drop("__d", "__h")), F.col("__doc")
