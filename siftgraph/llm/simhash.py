@@ -2,15 +2,23 @@
 
 A fingerprint has a bit set where over half of a text's word shingles' hashes
 have it. Fingerprints link at RADIUS or fewer differing bits. Distinct
-fingerprints are dealt to the leaves of a vantage-point tree: at a node a
+fingerprints are dealt to the leaves of vantage-point trees: at a node a
 fingerprint lies inside if its Hamming distance to the node's vantage point is
 at most the node's threshold. By the triangle inequality two linked
-fingerprints' distances to any point differ by RADIUS at most, so a pair that a
-node separates lies within RADIUS of its threshold: fingerprints just outside
-visit the inside shard too, and from there on follow every branch that a linked
-fingerprint could have taken. Each linked pair thus meets in the home shard of
-one of its members, and no pair is lost. Inside a shard the same tree goes on
-locally down to small blocks that are compared directly.
+fingerprints' distances to any point differ by their own distance at most, so a
+pair that a node separates lies as near to its threshold: fingerprints just
+outside visit the inside shard too, and from there on follow every branch that a
+linked fingerprint could have taken. Each linked pair thus meets in the home
+shard of one of its members, and no pair is lost.
+
+Over all 64 bits a radius of 2 is a good part of the spread of distances, and
+every level of a tree would add a third to the copies. So there is a tree for each of PARTS
+parts of the bits, whose distances count that part only. Two fingerprints within
+RADIUS bits are within RADIUS // PARTS bits in one part at least; that is the
+radius of the trees' overlaps, 0 by default, so that each fingerprint is sent
+PARTS times however many leaves there are. Inside a shard a vantage-point tree over
+all bits goes on locally, with overlaps of RADIUS, down to small blocks that are
+compared directly.
 
 A shard emits a spanning forest of its links (each fingerprint with the smallest
 of its local component), never all pairs; the forests' components follow by
@@ -36,6 +44,8 @@ from pyspark.sql import functions as F
 from .common import batch_of, checkpoint, components, each_text, forest, kept_rows, longs, session, shuffle_partitions, split_join
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: Parts of the bits, each with a tree of its own.
+PARTS = 3
 #: Fingerprints that a shard should hold at home, the fewest levels of the tree and its bounded sample.
 SHARD, LEVELS, SAMPLE = 1 << 18, 6, 1 << 14
 #: Homes that are compared directly, and visitors that a shard takes at once.
@@ -76,34 +86,50 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 class Tree:
-    """A complete vantage-point tree as arrays: node i has the children 2i+1 (inside) and 2i+2."""
+    """A complete vantage-point tree over the bits of a mask, as arrays: node i has the children 2i+1 (inside) and 2i+2."""
 
-    def __init__(self, sample: np.ndarray, levels: int):
-        self.levels = levels
-        self.point = np.random.default_rng(7).integers(0, 2**64, 2**levels - 1, np.uint64)
-        self.edge = np.full(2**levels - 1, 31, np.int64)  # half of all bit strings lie within 31 or so
+    def __init__(self, sample: np.ndarray, levels: int, mask: int = 2**64 - 1, seed: int = 7):
+        self.levels, self.mask = levels, np.uint64(mask)
+        self.point = np.random.default_rng(seed).integers(0, 2**64, 2**levels - 1, np.uint64)
+        self.edge = np.full(2**levels - 1, (mask.bit_count() - 1) // 2, np.int64)  # half of all bit strings lie within it or so
         parts = {0: sample}
         for i in range(2**levels - 1):
             part = parts.pop(i, sample[:0])
             if len(part) >= 8:
                 self.point[i] = part[len(part) // 2]
-                d = np.bitwise_count(part ^ self.point[i])
+                d = self.distance(part, self.point[i])
                 self.edge[i] = int(np.median(d))
                 if (d <= self.edge[i]).all():
                     self.edge[i] = max(0, int(d.max()) - 1)
                 parts[2 * i + 1], parts[2 * i + 2] = part[d <= self.edge[i]], part[d > self.edge[i]]
 
+    def distance(self, fp: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((fp ^ point) & self.mask).astype(np.int64)
+
     def route(self, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in fp, leaves and whether at home there."""
         at, node, home = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
         for _ in range(self.levels):
-            d = np.bitwise_count(fp[at] ^ self.point[node]).astype(np.int64)
+            d = self.distance(fp[at], self.point[node])
             inside, outside = _sides(d, self.edge[node], home, radius)
             own_in, own_out = home & (d <= self.edge[node]), home & (d > self.edge[node])
             at, home, node = np.concatenate([at[inside], at[outside]]), np.concatenate([own_in[inside], own_out[outside]]), np.concatenate([2 * node[inside] + 1, 2 * node[outside] + 2])
         return at, node - (2**self.levels - 1), home
 
 
+class Trees:
+    """A tree for each part of the bits; leaves are numbered through."""
+
+    def __init__(self, sample: np.ndarray, levels: int, parts: int = PARTS):
+        cuts = [64 * k // parts for k in range(parts + 1)]
+        self.trees = [Tree(sample, levels, (1 << b) - (1 << a), 7 + k) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+    def route(self, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [t.route(fp, radius // len(self.trees)) for t in self.trees]
+        leaves = [leaf + (k << t.levels) for k, (t, (_, leaf, _)) in enumerate(zip(self.trees, found))]
+        return np.concatenate([f[0] for f in found]), np.concatenate(leaves), np.concatenate([f[2] for f in found])
+
+
 def _sides(d, edge, home, radius):
     """Who goes inside and outside: a home to its own side and, from just outside, also in; a visitor wherever a linked home may be."""
     inside = np.where(home, d <= edge + radius, d <= edge + radius)
@@ -150,7 +176,7 @@ def links(fp: np.ndarray, home: np.ndarray, radius: int = RADIUS, own: bool = Tr
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def _route(tree: Tree, radius: int):
+def _route(tree: Trees, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = longs(batch, "fp").view(np.uint64)
@@ -212,9 +238,9 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     levels = LEVELS
     while n >> levels > SHARD:
         levels += 1
-    # A bounded sample, in the order of a hash, only shapes the tree; every fingerprint is routed.
+    # A bounded sample, in the order of a hash, only shapes the trees; every fingerprint is routed.
     sample = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = Tree(sample, levels)
+    tree = Trees(sample, levels)
     routed = distinct.select("fp").mapInArrow(_route(tree, radius), "leaf long, fp long, home boolean")
     return routed.repartition(max(shuffle_partitions(spark), 2), "leaf").sortWithinPartitions("leaf", F.desc("home")).mapInArrow(_shards(radius), "a long, b long")
 
