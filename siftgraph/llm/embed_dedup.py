@@ -2,8 +2,8 @@
 
 Vectors are scaled to length one and turned by fixed random rotations. The signs
 of the turned components are a vector's binary code; with the code a correction
-factor is kept, the inner product of the code (scaled to length one) and the
-vector. For a code o and a vector q,
+factor is stored, the inner product of the code's first part (scaled to length one)
+and the vector. For a code o and a vector q,
 
     <code of o, q> / correction of o
 
@@ -18,14 +18,20 @@ with probability p = angle / pi. Code bits are cut into tables of bands so that
 linked vectors share no band with a probability of MISS at most (smaller for
 closer vectors); the bands lengthen with the logarithm of the number of vectors,
 so buckets stay small. Equal vectors collapse to one class before, with their
-number; a pair counts in the first table where its bands agree. A bucket of more
-than BUCKET classes is dealt out by pairs of its blocks, so none is gathered in
-one task and none is capped.
+number; a pair counts in the first table where its bands agree.
+
+What moves: codes and factors are made once and stored. Buckets gather codes
+only, and leave the members of pairs whose codes differ in no more bits than linked
+vectors' codes do (with a probability of MISS at most they differ in more). Only
+these members' vectors are fetched, to the same buckets, for estimates and exact
+cosines. A bucket of more than BUCKET classes is dealt out by pairs of its blocks,
+so none is gathered in one task and none is capped.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows whose label is null, link with nothing and name their own
-component; vectors of different lengths do not link; copies of a row count as
-other vectors; classes whose smallest vec_id agrees are one node.
+component; vectors of different lengths do not link; very long vectors are coded
+by batches of few; copies of a row count as other vectors; a cosine that ties with
+the threshold links; classes whose smallest vec_id agrees are one node.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, components, forest, longs, session, shuffle_partitions
+from .common import batch_of, checkpoint, components, forest, session, shuffle_partitions, split_join
 
 THRESHOLD, MISS, EPSILON = 0.98, 1e-6, 4.5
 BUCKET, AIM = 4096, 96
@@ -51,26 +57,55 @@ def rotation(dimension: int, which: int) -> np.ndarray:
 
 
 class Coder:
-    """Turned vectors, correction factors and bands of vectors of one length."""
+    """Codes of vectors of one length: bits by rotation, as many as the tables' bands need and one rotation at least."""
 
     def __init__(self, dimension: int, bits: int, tables: int):
         self.dimension, self.bits, self.tables = dimension, bits, tables
         self.turns = np.concatenate([rotation(dimension, k) for k in range(-(-bits * tables // dimension))])
+        self.words = -(-len(self.turns) // 64)
 
     def code(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each code, correction factors, and bands."""
         turned = unit @ self.turns.T
         signs = turned > 0
         weights = np.int64(1) << np.arange(self.bits, dtype=np.int64)
         bands = signs[:, : self.bits * self.tables].reshape(len(unit), self.tables, self.bits) @ weights
-        first = turned[:, : self.dimension]
-        return first, np.abs(first).sum(1) / math.sqrt(self.dimension), bands
-
-    def upper(self, turned: np.ndarray, correction: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """Upper confidence bounds of the inner products of coded vectors (rows) with other turned vectors (columns)."""
-        estimate = (np.where(turned > 0, 1.0, -1.0) / math.sqrt(self.dimension)) @ others.T / correction[:, None]
+        packed = np.zeros((len(unit), self.words * 8), np.uint8)
+        flat = np.packbits(signs, axis=1, bitorder="little")
+        packed[:, : flat.shape[1]] = flat
+        return packed.view("<u8"), np.abs(turned[:, : self.dimension]).sum(1) / math.sqrt(self.dimension), bands
+
+    def signs(self, words: np.ndarray) -> np.ndarray:
+        """The first part of codes as vectors of length one."""
+        bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, : self.dimension]
+        return (2.0 * bits - 1) / math.sqrt(self.dimension)
+
+    def upper(self, words: np.ndarray, correction: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Upper confidence bounds of the inner products of coded vectors (rows) with other vectors of length one (columns)."""
+        estimate = self.signs(words) @ (others @ self.turns[: self.dimension].T).T / correction[:, None]
         width = EPSILON * np.sqrt(np.maximum(0, 1 / correction**2 - 1) / max(1, self.dimension - 1))
         return estimate + width[:, None]
 
+    def masks(self) -> np.ndarray:
+        """For each table the words with its band's bits set."""
+        out = np.zeros((self.tables, self.words * 64), np.uint8)
+        for t in range(self.tables):
+            out[t, t * self.bits : (t + 1) * self.bits] = 1
+        return np.packbits(out, axis=1, bitorder="little").view("<u8")
+
+    def most(self, threshold: float, miss: float) -> int:
+        """Differing bits that linked vectors' codes exceed with a probability of miss at most."""
+        n, p = len(self.turns), math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+        if not 0 < p < 1:
+            return 0 if p <= 0 else n
+        log = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(n + 1)]
+        tail = 0.0
+        for k in range(n, -1, -1):
+            tail += math.exp(log[k])
+            if tail > miss:
+                return k
+        return 0
+
 
 def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """Bits of a band and number of tables for at most n classes of one label."""
@@ -83,101 +118,165 @@ def _matrix(column: pa.Array) -> list[np.ndarray]:
     return [np.array(x.as_py(), np.float64) for x in column]
 
 
-def _entries(bits: int, tables: int, with_vectors: bool):
+def _coded(bits: int, tables: int):
+    """Classes with d (the length), code (words as bytes), factor and bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders: dict[int, Coder] = {}
         for batch in batches:
             rows = _matrix(batch.column("v"))
             sizes = np.array([len(x) for x in rows])
+            codes, factors, bands = [b""] * len(rows), np.zeros(len(rows)), [None] * len(rows)
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
                 x = np.stack([rows[i] for i in at])
                 coder = coders.setdefault(int(d), Coder(int(d), bits, tables))
-                bands = coder.code(x / np.linalg.norm(x, axis=1)[:, None])[2]
-                t = np.tile(np.arange(tables), len(at))
-                again = np.repeat(at, tables)
-                label, node, size = (batch.column(c).take(pa.array(again)) for c in ("label", "node", "size"))
-                columns = {"t": t, "band": bands.reshape(-1), "label": label, "d": np.full(len(again), d, np.int64), "node": node}
-                if with_vectors:
-                    columns |= {"size": size, "v": batch.column("v").take(pa.array(again))}
-                yield batch_of(**columns)
+                words, factors[at], own = coder.code(x / np.linalg.norm(x, axis=1)[:, None])
+                for i, w, b in zip(at, words, own):
+                    codes[i], bands[i] = w.tobytes(), b
+            yield batch_of(node=batch.column("node"), label=batch.column("label"), size=batch.column("size"), d=sizes, code=pa.array(codes, pa.binary()), factor=factors, bands=pa.array(bands, pa.list_(pa.int64())))
 
     return run
 
 
-class _Bucket:
-    def __init__(self, table: int, node, size, side, x: np.ndarray, coder: Coder):
-        self.table, self.node, self.size, self.side, self.x = table, np.array(node), np.array(size), np.array(side), x
-        self.unit = x / np.linalg.norm(x, axis=1)[:, None]
-        self.turned, self.correction, self.bands = coder.code(self.unit)
-        self.coder = coder
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Members of either block, and whether pairs are across them."""
+    return np.flatnonzero(side != 2), np.flatnonzero(side != 1), bool((side != 0).any())
 
-    def found(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs i < j of members that link and meet in this table first; with sides, pairs across them only."""
-        one, two = np.flatnonzero(self.side != 2), np.flatnonzero(self.side != 1)
-        across = (self.side != 0).any()
-        left, right = [], []
-        for a in range(0, len(one), 1024):
-            for b in range(0, len(two), 1024):
-                i, j = one[a : a + 1024], two[b : b + 1024]
+
+def _first(coder: Coder, masks: np.ndarray, table: int, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether so many pairs' bands agree in no table before this one."""
+    out = np.ones(len(i), bool)
+    differ = words[i] ^ words[j]
+    for t in range(table):
+        out &= (differ & masks[t]).any(1)
+    return out
+
+
+def _alike(bits: int, tables: int, threshold: float, miss: float):
+    """Rows of a bucket (and pair of blocks) to the members of pairs that their codes leave."""
+
+    def settle(key, node, side, codes, coders) -> pa.RecordBatch | None:
+        if len(node) < 2:
+            return None
+        coder, masks, most = coders.setdefault(key[3], _tools(key[3], bits, tables, threshold, miss))
+        words = np.frombuffer(b"".join(codes), "<u8").reshape(len(node), -1)
+        one, two, across = _sides(np.array(side))
+        found = np.zeros(len(node), bool)
+        for a in range(0, len(one), 512):
+            i = one[a : a + 512]
+            for b in range(0, len(two), 4096):
+                j = two[b : b + 4096]
                 if not across and i[0] > j[-1]:
                     continue
-                bound = np.minimum(self.coder.upper(self.turned[i], self.correction[i], self.turned[j]), self.coder.upper(self.turned[j], self.correction[j], self.turned[i]).T)
-                x, y = np.nonzero(bound >= threshold)
+                differ = np.zeros((len(i), len(j)), np.uint16)
+                for w in range(words.shape[1]):
+                    differ += np.bitwise_count(words[i, w][:, None] ^ words[j, w][None])
+                x, y = np.nonzero(differ <= most)
                 x, y = i[x], j[y]
                 if not across:
                     x, y = x[x < y], y[x < y]
-                left.append(x)
-                right.append(y)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        exact = np.concatenate([np.einsum("ij,ij->i", self.unit[i[k : k + 65536]], self.unit[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
-        keep = (exact >= threshold) & ~(self.bands[i, : self.table] == self.bands[j, : self.table]).any(1)
-        return i[keep], j[keep]
+                for c in range(0, len(x), 1 << 18):
+                    p, q = x[c : c + (1 << 18)], y[c : c + (1 << 18)]
+                    new = _first(coder, masks, key[0], words, p, q)
+                    found[p[new]] = found[q[new]] = True
+        at = np.flatnonzero(found)
+        if not len(at):
+            return None
+        n = len(at)
+        return batch_of(t=np.full(n, key[0], np.int64), band=np.full(n, key[1], np.int64), label=pa.array([key[2]] * n, pa.string()), d=np.full(n, key[3], np.int64), node=np.array(node, np.int64)[at])
 
+    return _by_key(("node", "side", "code"), settle)
 
-def _buckets(bits: int, tables: int, threshold: float):
-    """Rows sorted by bucket (and block) to node, links and root of the members that link in it."""
 
-    def settle(key, node, size, side, vectors, coders) -> pa.RecordBatch | None:
-        if len(node) < 2:
-            return None
-        coder = coders.setdefault(key[3], Coder(key[3], bits, tables))
-        bucket = _Bucket(key[0], node, size, side, np.stack(vectors), coder)
-        i, j = bucket.found(threshold)
-        if not len(i):
-            return None
-        count = np.zeros(len(node), np.int64)
-        np.add.at(count, i, bucket.size[j])
-        np.add.at(count, j, bucket.size[i])
-        member, root = forest(bucket.node[i], bucket.node[j])
-        roots = dict(zip(member.tolist(), root.tolist()))
-        some = np.flatnonzero(count)
-        return batch_of(node=bucket.node[some], links=count[some], root=np.array([roots.get(x, x) for x in bucket.node[some].tolist()], np.int64))
+def _tools(d: int, bits: int, tables: int, threshold: float, miss: float) -> tuple[Coder, np.ndarray, int]:
+    coder = Coder(d, bits, tables)
+    return coder, coder.masks(), coder.most(threshold, miss)
+
+
+def _by_key(columns: tuple[str, ...], settle):
+    """Rows sorted by bucket (and blocks), handed to settle key by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders: dict[int, Coder] = {}
-        key, held = None, ([], [], [], [])
+        tools: dict = {}
+        key, held = None, tuple([] for _ in columns)
         for batch in batches:
-            names = ("t", "band", "label", "d", "one", "two")
-            keys = list(zip(*(batch.column(c).to_pylist() for c in names)))
-            rows = zip(keys, longs(batch, "node").tolist(), longs(batch, "size").tolist(), longs(batch, "side").tolist(), _matrix(batch.column("v")))
-            for k, *row in rows:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("t", "band", "label", "d", "one", "two")))
+            rows = zip(*(_matrix(batch.column(c)) if c == "v" else batch.column(c).to_pylist() for c in columns))
+            for k, row in zip(keys, rows):
                 if k != key:
-                    if key is not None and (out := settle(key, *held, coders)) is not None:
+                    if key is not None and (out := settle(key, *held, tools)) is not None:
                         yield out
-                    key, held = k, ([], [], [], [])
+                    key, held = k, tuple([] for _ in columns)
                 for x, v in zip(held, row):
                     x.append(v)
-        if key is not None and (out := settle(key, *held, coders)) is not None:
+        if key is not None and (out := settle(key, *held, tools)) is not None:
             yield out
 
     return run
 
 
+def _linked(bits: int, tables: int, threshold: float, miss: float):
+    """Rows of a bucket (and pair of blocks) to node, links and root of the members that link in it."""
+
+    def settle(key, node, size, side, codes, factors, vectors, coders) -> pa.RecordBatch | None:
+        if len(node) < 2:
+            return None
+        coder, masks, _ = coders.setdefault(key[3], _tools(key[3], bits, tables, threshold, miss))
+        node, size, factor = np.array(node), np.array(size), np.array(factors)
+        words = np.frombuffer(b"".join(codes), "<u8").reshape(len(node), -1)
+        unit = np.stack(vectors)
+        unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+        one, two, across = _sides(np.array(side))
+        count = np.zeros(len(node), np.int64)
+        member, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a in range(0, len(one), 1024):
+            for b in range(0, len(two), 1024):
+                i, j = one[a : a + 1024], two[b : b + 1024]
+                if not across and i[0] > j[-1]:
+                    continue
+                bound = np.minimum(coder.upper(words[i], factor[i], unit[j]), coder.upper(words[j], factor[j], unit[i]).T)
+                x, y = np.nonzero(bound >= threshold)
+                x, y = i[x], j[y]
+                if not across:
+                    x, y = x[x < y], y[x < y]
+                for c in range(0, len(x), 1 << 16):
+                    p, q = x[c : c + (1 << 16)], y[c : c + (1 << 16)]
+                    keep = np.einsum("ij,ij->i", unit[p], unit[q]) >= threshold
+                    p, q = p[keep], q[keep]
+                    keep = _first(coder, masks, key[0], words, p, q)
+                    p, q = p[keep], q[keep]
+                    np.add.at(count, p, size[q])
+                    np.add.at(count, q, size[p])
+                    member, root = forest(np.concatenate([member, node[p]]), np.concatenate([root, node[q]]))  # only components matter
+        some = np.flatnonzero(count)
+        if not len(some):
+            return None
+        roots = dict(zip(member.tolist(), root.tolist()))
+        return batch_of(node=node[some], links=count[some], root=np.array([roots.get(x, x) for x in node[some].tolist()], np.int64))
+
+    return _by_key(("node", "size", "side", "code", "factor", "v"), settle)
+
+
+_BUCKET = ["t", "band", "label", "d"]
+
+
+def _dealt(entries: DataFrame, n: int) -> DataFrame:
+    """entries (bucket, node, ...) by bucket, and those of large buckets by the pairs of their blocks, with one, two and side."""
+    large = entries.groupBy(*_BUCKET).count().where(F.col("count") > BUCKET).withColumn("blocks", F.ceil(F.col("count") / BUCKET)).drop("count")
+    entries = entries.join(large, _BUCKET, "left")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    # Each member of a large bucket goes to the pairs of its block with every block; side 0 marks a block met with itself.
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    entries = entries.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
+    entries = entries.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
+    entries = entries.withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("long"))
+    return entries.drop("own", "other", "blocks").repartition(n, *_BUCKET, "one", "two").sortWithinPartitions(*_BUCKET, "one", "two")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row (see the module)."""
     spark = session(vectors)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     valid = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     base = vectors.select(
@@ -192,28 +291,21 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, miss: float =
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(most, threshold, miss)
     n = shuffle_partitions(spark)
-    bucket = ["t", "band", "label", "d"]
-    schema = "t long, band long, label string, d long, node long"
-    columns = classes.select("label", "node", "size", "v")
-    keys = columns.mapInArrow(_entries(bits, tables, False), schema)
-    large = keys.groupBy(*bucket).count().where(F.col("count") > BUCKET).withColumn("blocks", F.ceil(F.col("count") / BUCKET)).drop("count")
-    element = dict(classes.dtypes)["v"]
-    entries = columns.mapInArrow(_entries(bits, tables, True), f"{schema}, size long, v {element}")
-    entries = entries.join(large, bucket, "left")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    # Each member of a large bucket goes to the pairs of its block with every block; side 0 marks a block met with itself.
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    entries = entries.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
-    entries = entries.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
-    entries = entries.withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("long"))
-    dealt = entries.repartition(n, *bucket, "one", "two").sortWithinPartitions(*bucket, "one", "two")
-    found = checkpoint(dealt.mapInArrow(_buckets(bits, tables, threshold), "node long, links long, root long"))
+    columns = classes.select("node", "label", "size", "v")
+    stored = checkpoint(columns.mapInArrow(_coded(bits, tables), "node long, label string, size long, d long, code binary, factor double, bands array<long>"))
+    entries = stored.select(F.posexplode("bands").alias("t", "band"), "label", "d", "node", "code").withColumn("t", F.col("t").cast("long"))
+    alike = checkpoint(_dealt(entries, n).mapInArrow(_alike(bits, tables, threshold, miss), "t long, band long, label string, d long, node long").distinct())
+    # Only members of pairs that the codes leave fetch their vectors.
+    fetched = alike.join(stored.select("node", "size", "code", "factor"), "node").join(classes.select("node", "v"), "node")
+    found = checkpoint(_dealt(fetched, n).mapInArrow(_linked(bits, tables, threshold, miss), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     told = classes.select("k1", "k2", "node", "least", "size").join(links, "node", "left").join(named, "node", "left")
-    told = told.select("k1", "k2", "least", F.coalesce("component", "node").alias("set"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    told = told.join(told.groupBy("set").agg(F.min("least").alias("component")), "set").select("k1", "k2", "n_links", "component")
-    out = base.select("vec_id", "k1", "k2").join(told, ["k1", "k2"], "left")
+    told = checkpoint(told.select("k1", "k2", "least", "size", F.coalesce("component", "node").alias("set"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
+    least = told.groupBy("set").agg(F.min("least").alias("component"), F.count("*").alias("m"))
+    told = split_join(told, least, "set", "m", told.count()).withColumn("key", F.struct("k1", "k2")).select("key", "n_links", "component", "size")
+    rows = base.select("vec_id", "k1", F.when(F.col("k1").isNotNull(), F.struct("k1", "k2")).alias("key"))
+    out = split_join(rows, told, "key", "size", rows.count(), "left", salt=F.xxhash64("vec_id"))
     component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

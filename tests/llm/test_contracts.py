@@ -225,14 +225,14 @@ def test_vantage_points_lose_no_link():
     near = base[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
     fp = np.unique(np.concatenate([base, near]))
     want = {(int(min(a, b)), int(max(a, b))) for i in range(0, len(fp), 500) for x, y in [np.nonzero((np.bitwise_count(fp[i : i + 500, None] ^ fp[None]) <= 2) & (fp[i : i + 500, None] != fp[None]))] for a, b in zip(fp[i : i + 500][x], fp[y])}
-    tree = simhash.Tree(fp[::2], 6)
-    at, leaf, home = tree.route(fp, 2)
-    assert home.sum() == len(fp)
-    got = set()
-    for k in np.unique(leaf):
-        a, b = simhash.links(fp[at[leaf == k]], home[leaf == k])
-        got |= {(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b)}
-    assert got == want
+    for tree, copies in ((simhash.Trees(fp[::2], 6), 3.0), (simhash.Trees(fp[::2], 12), 3.0), (simhash.Trees(fp[::2], 5, 2), 12.0), (simhash.Tree(fp[::2], 6), 12.0)):
+        at, leaf, home = tree.route(fp, 2)
+        assert home.sum() == len(fp) * len(getattr(tree, "trees", [tree])) and len(at) <= copies * len(fp)
+        got = set()
+        for k in np.unique(leaf):
+            a, b = simhash.links(fp[at[leaf == k]], home[leaf == k])
+            got |= {(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b)}
+        assert got == want
 
 
 def test_keep_one(odd, docs):
@@ -717,10 +717,28 @@ def test_estimates_are_unbiased_and_bounded():
     x = rng.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     coder = embed_dedup.Coder(64, 8, 8)
-    turned, correction, _ = coder.code(x)
+    words, correction, bands = coder.code(x)
     true = x @ x.T
-    upper = coder.upper(turned, correction, turned)
+    upper = coder.upper(words, correction, x)
     width = embed_dedup.EPSILON * np.sqrt(1 / correction**2 - 1) / np.sqrt(63)
     off = ~np.eye(400, dtype=bool)
     assert (upper[off] >= true[off]).mean() > 0.9999
     assert abs(np.mean((upper - width[:, None] - true)[off])) < 0.01
+    masks = coder.masks()
+    for t in range(8):
+        assert ((bands[:, t][:, None] == bands[:, t][None]) == ~((words[:, None] ^ words[None]) & masks[t]).any(2)).all()
+
+
+def test_codes_leave_linked_pairs():
+    """Pairs at the threshold differ in more bits than allowed about as seldom as stated."""
+    rng = np.random.default_rng(5)
+    coder = embed_dedup.Coder(64, 10, 13)
+    a = rng.standard_normal((20_000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal((20_000, 64))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * b
+    differ = np.bitwise_count(coder.code(a)[0] ^ coder.code(b)[0]).sum(1)
+    most = coder.most(0.98, 1e-6)
+    assert differ.max() <= most < 64 and differ.mean() < 20
