@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch. Whole texts travel in batches, so bytes bound
 #: them; a longer text is a batch of its own. All operators set the same bounds, so
 #: frames that are built before others run as they would alone.
-BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
 #: Rows of one key that a task takes without more ado; beyond, hot keys are split.
 HOT_ROWS = 65_536
 #: Ids up to which a list of them is broadcast (8 MB).

@@ -37,13 +37,13 @@ BASE = {
 TEMPLATES = {
     "MIT": ["[[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software [[and to permit persons to whom the software is furnished to do so subject to the following conditions]]"],
     "Apache-2.0": ["licensed under the apache license version 2 0 [[the license]] [[you may not use this file except in compliance with the license]]"],
-    "GPL-2.0": ["[[this {{work:3}} is]] licensed under the gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[of the license]]"],
-    "GPL-3.0": ["[[this {{work:3}} is]] licensed under the gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[of the license]]"],
-    "CC-BY": ["[[this {{work:3}} is]] licensed under [[a]] cc by {{version:1:[1-4]}} {{minor:1:[05]}}"],
-    "CC-BY-NC": ["[[this {{work:3}} is]] licensed under [[a]] cc by nc {{version:1:[1-4]}} {{minor:1:[05]}}"],
-    "CC-BY-SA": ["[[this {{work:3}} is]] licensed under [[a]] cc by sa {{version:1:[1-4]}} {{minor:1:[05]}}"],
+    "GPL-2.0": ["[[this {{work:8}} is]] licensed under the gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[of the license]]"],
+    "GPL-3.0": ["[[this {{work:8}} is]] licensed under the gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[of the license]]"],
+    "CC-BY": ["[[this {{work:8}} is]] licensed under [[a]] cc by {{version:1:[1-4]}} {{minor:1:[05]}}"],
+    "CC-BY-NC": ["[[this {{work:8}} is]] licensed under [[a]] cc by nc {{version:1:[1-4]}} {{minor:1:[05]}}"],
+    "CC-BY-SA": ["[[this {{work:8}} is]] licensed under [[a]] cc by sa {{version:1:[1-4]}} {{minor:1:[05]}}"],
     "BSD": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "copyright-notice": ["copyright [[c]] {{year:2:(19|20)[0-9][0-9]}} {{holder:6}} all rights reserved"],
+    "copyright-notice": ["copyright [[c]] {{year:2:(19|20)[0-9][0-9]}} {{holder:16}} all rights reserved"],
 }
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -59,7 +59,7 @@ class Automaton:
     def __init__(self, template: str):
         self.moves: list[list[tuple[bytes | None, re.Pattern | None, int]]] = [[]]
         self.free: list[list[int]] = [[]]
-        at, self.mandatory, optional = 0, 0, []
+        at, optional = 0, []
         for token in re.findall(r"\[\[|\]\]|\{\{.*?\}\}|[^\s\[\]{}]+", template):
             if token == "[[":
                 optional.append(at)
@@ -75,7 +75,6 @@ class Automaton:
                 for x in places[pattern is not None : -1]:
                     self.free[x].append(at)
             else:
-                self.mandatory += not optional
                 at = self._step(token.encode(), None, at)
         self.final = at
         self.first = {w for s in self._closed({0}) for w, _, _ in self.moves[s] if w is not None}

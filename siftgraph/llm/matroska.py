@@ -10,7 +10,8 @@ track whose frames of FRAME samples are laced into blocks, blocks into clusters,
 and a cue for each cluster. A text's bytes are padded with 255, which UTF-8 never
 holds, to a positive multiple of FRAME.
 
-Null and empty texts make one frame of padding. Broken or foreign bytes raise
+Null and empty texts make one frame of padding; very long texts make a file of as
+many clusters as they need, one file at a time. Broken or foreign bytes raise
 ValueError in parse(); in packets() they make no rows. Equal texts make equal
 files; repeated rows each get their row; other columns are passed over.
 """

@@ -10,8 +10,9 @@ Forward Viterbi scores give each place the best score of a path from the start.
 They are the exact heuristic of a backward A* search from the end: the n-th
 complete path that the search takes from its queue is the n-th best.
 
-No piece spans two units (a unit begins where no piece of the vocabulary holds
-the two characters around it), so the lattice of a text is a chain of the units'
+No piece spans two units: texts are cut at spaces and lines where the vocabulary
+allows it, and words of over LONG characters wherever no piece holds the two
+characters around a place. So the lattice of a text is a chain of the units'
 lattices. The forward pass gives each unit's best path and the loss of its second
 best; only the N - 1 words with the least such losses can differ from the best
 path of a text, so only these are searched backward, and the N best of the text
@@ -19,7 +20,9 @@ follow exactly from their alternatives. Words are kept, up to CACHE of them.
 
 Ties go to the segmentation with fewer pieces, then to that found first by a
 fixed order of edges. Null and empty texts have no pieces and decode to an empty
-text; repeated rows each get their result; other columns are passed over.
+text; very long texts go whole, unit by unit, and memory is bounded by the longest
+unit (some 300 bytes a character; only a run of letters that pieces join everywhere
+is one); repeated rows each get their result; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ from .common import batch_of, session
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 3
 CACHE = 400_000
+#: Characters of a word from which on it is cut into units.
+LONG = 48
 SPACE = "▁"
 
 
@@ -81,6 +86,7 @@ class Vocabulary:
         split = not any(b == SPACE != a for p in self.ids for a, b in zip(p, p[1:]))  # else a text is one word
         lines = not any("\n" in p for p in self.ids)
         self.word = re.compile((r" *[^ \n]+| +|\n" if lines else r"(?s) *[^ ]+| +") if split else "(?s).+")
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self._matrices()
         self.found: dict[str, list] = {}
         self.forget()
@@ -313,8 +319,8 @@ class Vocabulary:
         new = words.difference(self.index)
         if not new:
             return []
-        short = sorted([w for w in new if len(w) <= 48], key=len, reverse=True)
-        long = [w for w in new if len(w) > 48] if len(short) < len(new) else []
+        short = sorted([w for w in new if len(w) <= LONG], key=len, reverse=True)
+        long = [w for w in new if len(w) > LONG] if len(short) < len(new) else []
         parts = [self.forward_many(short[i : i + (1 << 14)]) for i in range(0, len(short), 1 << 14)]
         for w in long:
             score, ids, loss = self.forward(w.replace(" ", SPACE))
@@ -354,14 +360,32 @@ class Vocabulary:
         spans = [(a, a + int(sizes[u])) for u in near for a in [int(sizes[:u].sum())]]
         return [(sum([x[k][0] for x, k in zip(choices, c)]), [(*ab, x[k][1]) for ab, x, k in zip(spans, choices, c) if k]) for c in combos]
 
+    def units(self, text: str) -> list[str]:
+        """The units of a text without U+2581."""
+        words = self.word.findall(text)
+        if not words or max(map(len, words)) <= LONG:
+            return words
+        out = []
+        for w in words:
+            if len(w) <= LONG:
+                out.append(w)
+                continue
+            marked, start = w.replace(" ", SPACE), 0
+            for i in range(1, len(w)):
+                if marked[i - 1 : i + 1] not in self.pairs:
+                    out.append(w[start:i])
+                    start = i
+            out.append(w[start:])
+        return out
+
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
         """Offsets and ids of the texts' best segmentations, and for each text's N best the score and the slices (start, stop, ids) of the best that it replaces."""
         chains: list[list[str | None]] = []
         for t in texts:
             first, *more = t.split(SPACE)
-            words = self.word.findall(" " + first) if t else []
+            words = self.units(" " + first) if t else []
             for part in more:
-                words += [None, *self.word.findall(part)]
+                words += [None, *self.units(part)]
             chains.append(words)
         long = self.learn(set().union(*chains))
         at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(chains)), np.int64)

@@ -372,9 +372,64 @@ def test_templates():
     assert [s[0] for s in scan["spans"]] == ["Apache-2.0"] and scan["base"] == [(7, "apache")]
 
 
+def plain_template(template):
+    """The template as a regular expression over words that each end in a space."""
+    out = ""
+    for token in re.findall(r"\[\[|\]\]|\{\{.*?\}\}|[^\s\[\]{}]+", template):
+        if token.startswith("{{"):
+            _, most, *pattern = token[2:-2].split(":", 2)
+            out += f"(?:{pattern[0]} ){{1,{most}}}" if pattern else f"(?:[^ ]+ ){{0,{most}}}"
+        else:
+            out += {"[[": "(?:", "]]": ")?"}.get(token, re.escape(token) + " ")
+    return re.compile(out.encode())
+
+
+def test_template_labels_against_plain(spark, docs):
+    """Labels, spans' starts and scores on whole tables and on texts made from the templates, words dropped and added."""
+    rng = random.Random(3)
+    made = []
+    for i in range(300):
+        label = rng.choice(list(license_scan.TEMPLATES))
+        text = re.sub(r"\{\{(\w+)[^}]*\}\}", lambda m: {"year": "1999 2004", "version": "4", "minor": "0"}.get(m[1], " ".join(rng.choice(["Some", "long", "Holder"]) for _ in range(rng.randint(0, 9)))), rng.choice(license_scan.TEMPLATES[label]))
+        tokens = text.replace("[[", "").replace("]]", "").split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            k = rng.randrange(len(tokens))
+            tokens = tokens[:k] + rng.choice([[], ["extra", tokens[k]]]) + tokens[k + 1 :]
+        made.append((100_000 + i, "Words before. " + ", ".join(tokens).upper() + " and after", "", "", 1))
+    frame = docs.unionByName(spark.createDataFrame(made, docs.schema))
+    compiled = [(label, plain_template(t)) for label, ts in license_scan.TEMPLATES.items() for t in ts]
+    some = 0
+    by = {r["doc_id"]: r for r in license_scan.scan_licenses(frame).collect()}
+    for d, t in texts(frame):
+        found = license_scan.words(t.encode())
+        starts = list(itertools.accumulate((len(w) + 1 for w in found), initial=0))
+        line = b"".join(w + b" " for w in found)
+        want = {(label, i) for label, p in compiled for i in range(len(found)) if p.match(line, starts[i])}
+        base = [b for b in plain_licenses(t)[-1].split(",") if b]
+        assert {(s["label"], s["first"]) for s in by[d]["spans"]} == want, t
+        assert by[d]["labels"] == ",".join(sorted({*base, *(x for x, _ in want)}))
+        assert by[d]["score"] == (1.0 if want else 0.5 if base else 0.0)
+        some += bool(want)
+    assert some > 150
+
+
 # 5 media
 
 
+def test_packets_hold_the_payload(docs, odd):
+    """The packet table's byte ranges, joined in order, are the padded text; times rise by a frame's length."""
+    for frame in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        media = matroska.media_column(frame)
+        files = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
+        found = {}
+        for r in matroska.packets(media).collect():
+            found.setdefault(r["doc_id"], []).append(r)
+        for d, t in texts(frame):
+            rows = sorted(found[d], key=lambda r: r["packet"])
+            assert b"".join(files[d][r["byte_start"] : r["byte_start"] + r["byte_length"]] for r in rows) == matroska.padded(t.encode())
+            assert [r["timestamp_ms"] for r in rows] == [i * matroska.FRAME * 1000 // matroska.RATE for i in range(len(rows))] and {r["track"] for r in rows} == {1}
+
+
 def test_media_against_plain(docs, odd):
     for frame in (docs, odd):
         got = sorted(tuple(map(str, r[:5])) for r in matroska.digest(matroska.media_column(frame)).collect())
@@ -658,6 +713,18 @@ def test_nbest_against_all_segmentations(vocabulary):
             assert np.allclose([s for s, _ in best], [s for s, _ in all_segmentations(v, "▁" + t.replace(" ", "▁"))[: v.nbest]])
 
 
+def test_long_words_are_cut_without_loss(vocabulary):
+    """Texts without spaces: the units' N best are those of the one whole lattice."""
+    rng, v = random.Random(1), vocabulary
+    for letters in ("abcé中文字", "中文字符統計", "xyz<>{}=/", "thequickbrown", "ab"):
+        t = "".join(rng.choice(letters) for _ in range(300))
+        assert "".join(v.units(t)) == t
+        ids, best = v.encode(t)
+        assert v.decode(ids) == t
+        assert np.allclose([s for s, _ in best], [s for s, _ in v.search("▁" + t, v.nbest)])
+    assert max(map(len, v.units("中文字符統計" * 5000))) <= 30_000 // 100
+
+
 def test_pieces_round_trip(spark, docs, odd, vocabulary):
     for frame in (docs, odd):
         rows = pieces.digest(frame, vocabulary).collect()

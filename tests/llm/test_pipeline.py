@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftgraph.llm import pieces, suffix_dedup, toxicity
-from tests.llm.test_contracts import ODD, check_simhash, odd, plain_fingerprint, plain_repeats, roots, texts  # noqa: F401
+from tests.llm.test_contracts import ODD, odd, plain_repeats, texts  # noqa: F401
+from tests.llm.test_near_copies import plain_kept
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -19,10 +20,7 @@ def test_stages_on_whole_tables(spark, sf):
     assert {r["doc_id"] for r in one.collect()} == {d for d, s in scores.items() if s < toxicity.CUT}
 
     two = STAGES["simhash near-dedup"](spark, one, sf).cache()
-    rows = sorted(texts(one))
-    fps = [plain_fingerprint(t) for _, t in rows]
-    label = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
-    assert {r["doc_id"] for r in two.collect()} == {rows[i][0] for i in set(label)}
+    assert {r["doc_id"] for r in two.collect()} == plain_kept(texts(one))
 
     three = STAGES["suffix-array dedup"](spark, two, sf).cache()
     plain = plain_repeats(texts(two), suffix_dedup.LENGTH)
