@@ -230,9 +230,16 @@ def filter_symmetric_uncertainty(spark, sf):
     return bigints(stats.symmetric_uncertainty(_binned(spark, sf)).select("fid", F.round("score", 8).alias("score")), "fid")
 
 
-@query()
+@query(
+    f"""WITH {LONG.replace('long AS', 'raw AS')}, long AS (SELECT sample_id, label, fid, (x - min(x) OVER w) / CASE WHEN max(x) OVER w > min(x) OVER w THEN max(x) OVER w - min(x) OVER w ELSE 1 END AS x FROM raw WINDOW w AS (PARTITION BY fid)),
+shares AS (SELECT label, count(*) / (SELECT count(*) FROM embeddings)::DOUBLE AS share FROM embeddings GROUP BY 1),
+d AS (SELECT q.sample_id AS qid, q.label AS ql, r.sample_id AS rid, r.label AS rl, sum((q.x - r.x) * (q.x - r.x)) AS d FROM long q JOIN long r ON q.fid = r.fid AND q.sample_id != r.sample_id GROUP BY ALL),
+near AS (SELECT *, count(*) OVER (PARTITION BY qid, rl) AS m FROM (SELECT *, row_number() OVER (PARTITION BY qid, rl ORDER BY d, rid) AS k FROM d) WHERE k <= 10),
+w AS (SELECT qid, rid, CASE WHEN ql = rl THEN -1.0e0 ELSE b.share / (1 - a.share) END / m / (SELECT count(*) FROM embeddings) AS w FROM near JOIN shares a ON a.label = ql JOIN shares b ON b.label = rl)
+SELECT q.fid, round(sum(w * abs(q.x - r.x)), 8) AS score FROM w JOIN long q ON q.sample_id = qid JOIN long r ON r.sample_id = rid AND r.fid = q.fid GROUP BY 1"""
+)
 def filter_relieff(spark, sf):
-    return graph.relieff(_wide(spark, sf))
+    return bigints(graph.relieff(_wide(spark, sf)).select("fid", F.round("score", 8).alias("score")), "fid")
 
 
 @query(f"WITH {LONG}, s AS (SELECT 'FILTER_pearson' AS method, fid, corr(x, label) AS score FROM long GROUP BY 2 UNION ALL SELECT 'FILTER_fechner', fid, sum(sign(x - mx) * sign(label - my)) / count(*) FROM long JOIN (SELECT fid, avg(x) AS mx, avg(label) AS my FROM long GROUP BY 1) USING (fid) GROUP BY 2) SELECT method, fid, rank FROM (SELECT method, fid, row_number() OVER (PARTITION BY method ORDER BY round(abs(score), 9) DESC, fid) AS rank FROM s) WHERE rank <= 10")
@@ -419,11 +426,16 @@ def inffs_score(spark, sf):
     return graph.inffs(_wide(spark, sf))
 
 
-@query()
+@query(
+    f"""WITH {LONG}, sets(subset, a, b) AS (VALUES (0, 0, 8), (1, 8, 16), (2, 0, 64)),
+d AS (SELECT subset, q.sample_id AS i, q.label = r.label AS same, r.sample_id AS j, sqrt(sum((q.x - r.x) * (q.x - r.x))) AS d FROM sets JOIN long q ON q.fid >= a AND q.fid < b JOIN long r ON q.fid = r.fid GROUP BY ALL),
+e AS (SELECT subset, i, max(d) FILTER (same) AS far, min(d) FILTER (NOT same) AS near FROM d GROUP BY 1, 2), lows AS (SELECT subset, least(min(far), min(near)) AS lo FROM e GROUP BY 1)
+SELECT subset, round(avg(CASE WHEN far > lo THEN (near - lo) / (far - lo) END), 6) AS weight FROM e JOIN lows USING (subset) GROUP BY 1 UNION ALL SELECT 3, 0.0e0"""
+)
 def separation_weight(spark, sf):
     matrix = _matrix(spark, sf)
     subsets = [np.arange(0, 8), np.arange(8, 16), np.arange(64), np.zeros(0, int)]
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(search.separation(matrix, subsets, spark))], "subset int, weight double")
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(search.separation(matrix, subsets, spark))], "subset int, weight double")
 
 
 # Embedded and wrapper methods, and searches.
@@ -479,14 +491,33 @@ def buddy_refine(spark, sf):
     return spark.createDataFrame([(int(f),) for f in found], "fid int")
 
 
-@query()
+# Hold-out accuracies of the first k features by a rank, on features standardised by the train rows.
+_RUN = f"""{LONG.replace('long AS', 'raw AS')}, {SPLIT}, fit AS (SELECT fid, avg(x) AS m, stddev_pop(x) AS s FROM raw JOIN split USING (sample_id) WHERE split = 'train' GROUP BY 1),
+long AS (SELECT sample_id, label, fid, (x - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS x FROM raw JOIN fit USING (fid)),
+train AS (SELECT long.* FROM long JOIN split USING (sample_id) WHERE split = 'train'),
+sims AS (SELECT a.fid AS i, b.fid AS j, coalesce(abs(corr(a.x, b.x)), 0) AS sim FROM train a JOIN train b ON a.sample_id = b.sample_id AND a.fid < b.fid GROUP BY 1, 2)"""
+_RUN_TEST = """pairs AS (SELECT k, q.sample_id AS qid, q.label AS ql, r.sample_id AS rid, r.label AS rl, sum((q.x - r.x) * (q.x - r.x)) AS d FROM sizes JOIN ranked ON rank <= k JOIN long q ON q.fid = ranked.fid JOIN split f ON f.sample_id = q.sample_id AND f.split = 'test' JOIN train r ON r.fid = q.fid GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY k, qid ORDER BY d, rid) AS n FROM pairs), votes AS (SELECT k, qid, ql, rl, count(*) AS c FROM near WHERE n <= 5 GROUP BY ALL),
+picks AS (SELECT *, row_number() OVER (PARTITION BY k, qid ORDER BY c DESC, rl) AS n FROM votes), accuracy AS (SELECT k, avg(CASE WHEN ql = rl THEN 1.0e0 ELSE 0.0e0 END) AS acc FROM picks WHERE n = 1 GROUP BY 1),
+reds AS (SELECT k, avg(sim) AS red FROM sizes JOIN ranked a ON a.rank <= k JOIN ranked b ON b.rank <= k JOIN sims ON i = a.fid AND j = b.fid GROUP BY 1), sets AS (SELECT k, string_agg(fid::VARCHAR, ' ' ORDER BY fid) AS fset FROM sizes JOIN ranked ON rank <= k GROUP BY 1)"""
+
+
+def _run_select(method: str, mode: str) -> str:
+    return f"SELECT 1 AS dataset_idx, 'embeddings' AS dataset, '{method}' AS method, 1 AS run, '{mode}' AS test_mode, round(acc, 9) AS acc_test, round(1 - acc, 9) AS eRate_test, CAST(k AS INT) AS fnum, k / 64.0e0 AS fRatio, round(red, 8) AS red, fset FROM accuracy JOIN reds USING (k) JOIN sets USING (k)"
+
+
+def _run_rows(frame: DataFrame) -> DataFrame:
+    return frame.drop("time_total").withColumns({"acc_test": F.round("acc_test", 9), "eRate_test": F.round("eRate_test", 9), "red": F.round("red", 8)})
+
+
+@query(f"WITH {_RUN}, ranked AS (SELECT fid, row_number() OVER (ORDER BY abs(score) DESC, fid) AS rank FROM (SELECT fid, corr(x, label) AS score FROM train GROUP BY 1)), sizes AS (SELECT greatest(1, least(64, round_even(t.r / 10.0e0 * 64, 0))) AS k FROM range(1, 10) t(r)), {_RUN_TEST} {_run_select('FILTER_pearson', 'ratio')}")
 def run_filter_pearson(spark, sf):
-    return pipeline.run(_context(spark, sf), "trad:FILTER_pearson")[1].drop("time_total")
+    return _run_rows(pipeline.run(_context(spark, sf), "trad:FILTER_pearson")[1])
 
 
-@query()
+@query(f"WITH {_RUN}, ranked AS (SELECT DISTINCT fid, 1 AS rank FROM fit), sizes AS (SELECT 64 AS k), {_RUN_TEST} {_run_select('all_features', 'all')}")
 def run_all_features(spark, sf):
-    return pipeline.run(_context(spark, sf), "all")[1].drop("time_total")
+    return _run_rows(pipeline.run(_context(spark, sf), "all")[1])
 
 
 # Fronts and reports.

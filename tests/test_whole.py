@@ -25,7 +25,7 @@ def test_queries_keep_the_operators_settings(spark, sf, monkeypatch):
     monkeypatch.setattr(queries.embedded, "l1_importance", lambda *a: seen.append(len(a)))
     queries.QUERIES["rf_importance"](spark, sf), queries.QUERIES["l1_logreg_importance"](spark, sf)
     assert seen == [1, 1]  # the table alone, nothing smaller than the defaults
-    monkeypatch.setattr(queries.pipeline, "run", lambda context, name: (context, seen.append(context.config.ratios)) and (None, spark.range(1).withColumn("time_total", queries.F.lit(0))))
+    monkeypatch.setattr(queries.pipeline, "run", lambda context, name: (context, seen.append(context.config.ratios)) and (None, spark.range(1).selectExpr("0 AS time_total", "0.5 AS acc_test", "0.5 AS eRate_test", "0.1 AS red")))
     queries.QUERIES["run_filter_pearson"](spark, sf)
     assert seen[-1] == queries.stats.RATIOS
 
