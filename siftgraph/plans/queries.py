@@ -380,11 +380,29 @@ def weighted_degree(spark, sf):
     return bigints(kshell.weighted_degree_frame(graph.knn_graph(_sim(spark, sf)), stats.node_weight(_long(spark, sf))), "fid")
 
 
-@query()
+# The peel as a recursion: each round takes the nodes of the shell's degree, or, if there are none left, begins a shell with the least.
+_PEEL = f"""{_GRAPH}, {FISHER}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS k FROM edges) WHERE k <= 5),
+w AS (SELECT fid, 1 + (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS w FROM fisher),
+l AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS g, src, dst, sim FROM kept), inds AS (SELECT CAST(range AS INT) AS ind_id FROM range(0, 4)),
+own AS (SELECT ind_id, src, dst, sim FROM l, inds WHERE g % 3 != 0 AND (g + ind_id) % 4 != 0),
+peel(ind_id, fid, shell, m, gone) AS (
+  SELECT ind_id, fid, 0, -1.0e0, false FROM w, inds
+  UNION ALL
+  SELECT ind_id, fid, shell, m, degree = m FROM (
+    SELECT ind_id, fid, degree, CASE WHEN bool_or(degree = m) OVER p THEN m ELSE min(degree) OVER p END AS m, CASE WHEN bool_or(degree = m) OVER p THEN shell ELSE shell + 1 END AS shell FROM (
+      SELECT s.ind_id, s.fid, s.shell, s.m, round_even(sqrt(count(t.fid) * coalesce(sum(CASE WHEN t.fid IS NOT NULL THEN o.sim END), 0) * any_value(w.w)), 0) AS degree
+      FROM peel s JOIN w ON w.fid = s.fid LEFT JOIN own o ON o.ind_id = s.ind_id AND o.src = s.fid LEFT JOIN (SELECT * FROM peel WHERE NOT gone) t ON t.ind_id = s.ind_id AND t.fid = o.dst
+      WHERE NOT s.gone GROUP BY s.ind_id, s.fid, s.shell, s.m)
+    WINDOW p AS (PARTITION BY ind_id))
+)"""
+
+
+@query(f"WITH RECURSIVE {_PEEL} SELECT ind_id, string_agg(fid::VARCHAR, ' ' ORDER BY fid) AS subset FROM (SELECT ind_id, fid, shell, row_number() OVER (PARTITION BY ind_id, shell ORDER BY w DESC, fid) AS k, max(shell) OVER (PARTITION BY ind_id) AS last FROM peel JOIN w USING (fid) WHERE gone) WHERE k = 1 OR shell = last GROUP BY 1")
 def kshell_core(spark, sf):
     layout = graph.gene_layout(graph.knn_graph(_sim(spark, sf))).cache()
     weight = stats.node_weight(_long(spark, sf)).orderBy("fid").toPandas()["weight"].to_numpy()
-    return kshell.decode_population(_genomes(spark, layout), kshell.Decoder.of(layout, len(weight)), weight)
+    found = kshell.decode_population(_genomes(spark, layout), kshell.Decoder.of(layout, len(weight)), weight)
+    return found.select("ind_id", text.join_ids(F.col("subset")).alias("subset"))
 
 
 _SHELLS = "shells AS (SELECT event_id % 7 AS graph_id, event_id AS fid, CAST(user_id % 4 AS INT) AS shell, event_id AS pos, value AS weight FROM events)"
