@@ -114,24 +114,28 @@ def hot_share(spark: SparkSession, total: int) -> int:
     return max(HOT_ROWS, total // max(1, shuffle_partitions(spark)))
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner", salt: Column | None = None) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner", salt: Column | None = None, counts: DataFrame | None = None) -> DataFrame:
     """left joined with right, which has one row for each key and, as `rows`, the number of left's rows with it.
 
     The rows of a hot key are dealt out over so many salts that each has an even
-    share, and right's row for it is repeated for each salt. The column `rows` goes.
+    share, and right's row for it is repeated for each salt. The column `rows` goes;
+    it may also come from counts (key, rows), where right is dear to make.
     salt is a number that spreads the rows of a key. By default they are counted;
     then left must be read from files or a checkpoint, where a partition read again
     has the same rows in the same order.
     """
     share = hot_share(left.sparkSession, total)
+    own = right.drop(rows) if counts is None else right
     if total <= share:
-        return left.join(right.drop(rows), key, how)
-    salts = F.greatest(F.lit(1), F.ceil(F.col(rows) / share)).cast("long")
-    hot = right.where(F.col(rows) > share).select(key, salts.alias("__salts"))
-    left = left.withColumn("__row", F.monotonically_increasing_id() if salt is None else salt).join(F.broadcast(hot), key, "left")  # under `partitions` rows
+        return left.join(own, key, how)
+    counts = right if counts is None else counts
+    hot = checkpoint(counts.where(F.col(rows) > share).select(key, F.ceil(F.col(rows) / share).cast("long").alias("__salts")))  # under `partitions` rows
+    if hot.isEmpty():
+        return left.join(own, key, how)
+    left = left.withColumn("__row", F.monotonically_increasing_id() if salt is None else salt).join(F.broadcast(hot), key, "left")
     left = left.withColumn("__salt", F.coalesce(F.pmod("__row", "__salts"), F.lit(0))).drop("__row", "__salts")
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop(rows)
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    own = own.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return left.join(own, [key, "__salt"], how).drop("__salt")
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:

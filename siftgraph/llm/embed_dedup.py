@@ -48,6 +48,8 @@ from .common import batch_of, checkpoint, components, forest, session, shuffle_p
 
 THRESHOLD, MISS, EPSILON = 0.98, 1e-6, 4.5
 BUCKET, AIM = 4096, 96
+#: Large buckets up to whose number a list of them is broadcast (some MB).
+FEW_BUCKETS = 100_000
 
 
 def rotation(dimension: int, which: int) -> np.ndarray:
@@ -264,7 +266,13 @@ _BUCKET = ["t", "band", "label", "d"]
 def _dealt(entries: DataFrame, n: int) -> DataFrame:
     """entries (bucket, node, ...) by bucket, and those of large buckets by the pairs of their blocks, with one, two and side."""
     large = entries.groupBy(*_BUCKET).count().where(F.col("count") > BUCKET).withColumn("blocks", F.ceil(F.col("count") / BUCKET)).drop("count")
-    entries = entries.join(large, _BUCKET, "left")
+    large = checkpoint(large)
+    many = large.count()
+    if not many:  # so entries move once
+        zero = F.lit(0).cast("long")
+        entries = entries.withColumns({"one": zero, "two": zero, "side": zero})
+        return entries.repartition(n, *_BUCKET, "one", "two").sortWithinPartitions(*_BUCKET, "one", "two")
+    entries = entries.join(F.broadcast(large) if many <= FEW_BUCKETS else large, _BUCKET, "left")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     # Each member of a large bucket goes to the pairs of its block with every block; side 0 marks a block met with itself.
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

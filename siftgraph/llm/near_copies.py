@@ -1,12 +1,16 @@
 """Near copies by the Jaccard similarity of their word shingles, one document kept for each group.
 
 Two documents link when the sets of their SHINGLE-word shingles have a Jaccard
-similarity of THRESHOLD or more; groups are the components of these links. Radii
-of 64-bit SimHash fingerprints that reach such pairs are too wide for the
-triangle inequality to part anything, so candidates come from MinHash bands:
-ROWS minima of a set, BANDS times, where two sets at the threshold share no band
-with a probability of MISS at most (closer ones less). Every candidate pair is
-then compared by its whole shingle sets, so no link is a guess.
+similarity of THRESHOLD or more; groups are the components of these links. Pairs
+are proposed in two ways, and every proposed pair is compared by its whole shingle
+sets, so no link is a guess:
+
+*   by simhash: links of its fingerprints over the same shingles, found through its
+    vantage-point trees at its radius. These are the closest pairs only. At a
+    similarity of 0.8 fingerprints differ in 10 of 64 bits or so, and at a radius that
+    reaches such pairs the triangle inequality parts nothing;
+*   by MinHash bands: ROWS minima of a set, BANDS times, where two sets at the
+    threshold share no band with a probability of MISS at most (closer ones less).
 
 Equal sets collapse to one class before. Buckets with the same members, which a
 group makes in most of its bands, are compared once. A bucket of more than
@@ -33,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, checkpoint, components, each_text, forest, kept_rows, longs, session, shuffle_partitions
-from .simhash import _LOWER, SEED
+from .common import batch_of, checkpoint, components, each_text, forest, kept_rows, longs, session, shuffle_partitions, split_join
+from .simhash import hashes, near_links, of_hashes
 
 SHINGLE, THRESHOLD, MISS = 5, 0.8, 1e-6
 ROWS = 4
@@ -47,13 +51,7 @@ _TURNS = np.random.default_rng(11).integers(0, 2**64, (ROWS * BANDS + ROWS + BAN
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of UTF-8 bytes' shingles."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(b" ".join(words), SEED)], np.uint64)
-    return np.unique(np.fromiter((digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)))), np.uint64, len(words) - shingle + 1))
+    return np.unique(hashes(text, shingle))
 
 
 def bands(set_: np.ndarray) -> np.ndarray:
@@ -76,9 +74,12 @@ def _node(set_: np.ndarray) -> int:
 def _signed(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x, shingle) for x in each_text(batch.column("text"))]
-            node = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
-            yield batch_of(doc_id=batch.column("doc_id"), node=node, bands=pa.array([bands(s) for s in sets], pa.list_(pa.int64())))
+            node, fp, keys = (np.zeros(batch.num_rows, t) for t in (np.uint64, np.uint64, object))
+            for i, x in enumerate(each_text(batch.column("text"))):
+                found = hashes(x, shingle)
+                set_ = np.unique(found)
+                node[i], fp[i], keys[i] = _node(set_), of_hashes(found), bands(set_)
+            yield batch_of(doc_id=batch.column("doc_id"), node=node.view(np.int64), fp=fp.view(np.int64), bands=pa.array(list(keys), pa.list_(pa.int64())))
 
     return run
 
@@ -157,17 +158,33 @@ def _links(threshold: float):
     return run
 
 
+def _proposed(classes: DataFrame) -> DataFrame:
+    """(node, least, key, blocks): buckets of two, the pairs whose fingerprints agree or are linked by simhash.
+
+    Nodes with one fingerprint are proposed with the smallest of them, and that with those of linked fingerprints.
+    """
+    named = checkpoint(classes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    links = near_links(named.select("fp"))
+    one, two = (named.select(F.col("fp").alias(c), F.col("first").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    pairs = links.join(one, "a").join(two, "b").select("x", "y")
+    same = split_join(classes.select("node", "fp"), named.where("n > 1"), "fp", "n", classes.count())
+    pairs = pairs.union(same.where("node != first").select("first", "node"))
+    pairs = pairs.select(F.xxhash64("x", "y").alias("key"), F.explode(F.array("x", "y")).alias("node"))
+    return pairs.join(classes.select("node", "least"), "node").select("node", "least", "key", F.lit(1).cast("long").alias("blocks"))
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each row, node naming its shingle set; and (node, set, least) of each node, its group and smallest doc_id."""
     spark = session(docs)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    signed = checkpoint(base.mapInArrow(_signed(shingle), "doc_id long, node long, bands array<long>"))
-    classes = checkpoint(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    signed = checkpoint(base.mapInArrow(_signed(shingle), "doc_id long, node long, fp long, bands array<long>"))
+    classes = checkpoint(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     entries = classes.select("node", "least", F.explode("bands").alias("key"))
     # Buckets of the same members differ in their keys only; one of them is compared.
     alike = entries.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     chosen = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    members = checkpoint(entries.join(chosen, "key").withColumn("blocks", F.ceil(F.col("n") / BUCKET)))
+    members = entries.join(chosen, "key").withColumn("blocks", F.ceil(F.col("n") / BUCKET)).select("node", "least", "key", "blocks")
+    members = checkpoint(members.union(_proposed(classes)))
     # The sets are made again for the members only, from a row that has the class's smallest doc_id.
     some = members.select(F.col("least").alias("doc_id")).distinct()
     rows = base.join(some.where("doc_id is not null"), "doc_id", "left_semi")
@@ -177,7 +194,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
     # Each member of a large bucket goes to the pairs of its block with every block; side 0 marks a block met with itself.
     dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("long")
-    dealt = dealt.select("key", "node", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), side.alias("side")).join(sets, "node")
+    dealt = dealt.select("key", "node", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), side.alias("side"))
+    total = int(members.agg(F.sum("blocks")).first()[0] or 0)
+    per = dealt.groupBy("node").agg(F.count("*").alias("m"))
+    dealt = split_join(dealt, sets, "node", "m", total, salt=F.xxhash64("key", "one", "two"), counts=per)
     dealt = dealt.repartition(max(shuffle_partitions(spark), 2), "key", "one", "two").sortWithinPartitions("key", "one", "two")
     named = components(dealt.mapInArrow(_links(threshold), "a long, b long"))
     told = classes.select("node", "least").join(named, "node", "left").select("node", "least", F.coalesce("component", "node").alias("set"))

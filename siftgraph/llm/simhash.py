@@ -54,20 +54,29 @@ BLOCK, VISITORS = 192, 1 << 19
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of UTF-8 bytes; 0 without words."""
+def hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of UTF-8 bytes' shingles, repeats included: of the whole sequence of fewer words, none without words."""
     words = text.translate(_LOWER).split()  # bytes split at 09-0D and 20
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
+        return np.array([digest(b" ".join(words), SEED)], "<u8")
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.array([digest(x, SEED) for x in shingles], "<u8")
+    return np.array([digest(x, SEED) for x in shingles], "<u8")
+
+
+def of_hashes(found: np.ndarray) -> int:
+    """The 64-bit fingerprint of shingles' hashes; 0 without any."""
     set_ = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        set_ += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return int(np.packbits(set_ * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    for i in range(0, len(found), 1 << 14):
+        set_ += np.unpackbits(found[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return int(np.packbits(set_ * 2 > len(found), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of UTF-8 bytes; 0 without words."""
+    return of_hashes(hashes(text, shingle))
 
 
 def _fingerprints(shingle: int):
