@@ -251,23 +251,30 @@ def default_ndim(p: int) -> int:
     return min(20, max(1, p // 2))
 
 
-def inffs(wide: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """(fid, score): Infinite Feature Selection, by the published unsupervised formula.
-
-    A = alpha * max(sd_i, sd_j) + (1 - alpha) * (1 - |spearman|), deviations scaled
-    to [0, 1]; scores are the row sums of (I - r A)^-1 - I with r = 0.9 / the
-    spectral radius. The matrix is p x p on the driver, for some thousand features.
+def inffs(wide: DataFrame, alpha: float = 0.5, supervised: bool = True) -> DataFrame:
+    """(fid, score): Infinite Feature Selection, by the published formula.
+
+    A = alpha * max(sd_i, sd_j) + (1 - alpha) * c, deviations scaled to [0, 1].
+    Supervised, c is the product of both features' Fisher scores, scaled to [0, 1]
+    over all pairs; else it is 1 - |spearman|. Scores are the row sums of
+    (I - r A)^-1 - I with r = 0.9 / the spectral radius. The matrix is p x p on the
+    driver, for some thousand features.
     """
     from ..sources.tables import melt
-    from .stats import spearman
+    from .stats import fisher, spearman
 
     long = melt(wide)
     sd = unit_scores(long.groupBy("fid").agg(F.stddev_samp("x").alias("score"))).orderBy("fid").toPandas()["score"].to_numpy()
     p = len(sd)
-    corr = np.eye(p)
-    rows = spearman(long).toPandas()
-    corr[rows["i"], rows["j"]] = corr[rows["j"], rows["i"]] = rows["sim"]
-    a = alpha * np.maximum.outer(sd, sd) + (1 - alpha) * (1 - corr)
+    if supervised:
+        own = fisher(long).orderBy("fid").toPandas()["score"].to_numpy()
+        c = np.outer(own, own)
+        c = (c - c.min()) / np.ptp(c) if p and np.ptp(c) > 0 else np.zeros((p, p))
+    else:
+        c = np.zeros((p, p))
+        rows = spearman(long).toPandas()
+        c[rows["i"], rows["j"]] = c[rows["j"], rows["i"]] = 1 - rows["sim"]
+    a = alpha * np.maximum.outer(sd, sd) + (1 - alpha) * c
     radius = float(np.abs(np.linalg.eigvalsh(a)).max()) or 1.0
     scores = (np.linalg.inv(np.eye(p) - 0.9 / radius * a) - np.eye(p)).sum(1)
     return wide.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "fid int, score double")

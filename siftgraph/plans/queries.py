@@ -444,6 +444,11 @@ def inffs_score(spark, sf):
     return graph.inffs(_wide(spark, sf))
 
 
+@query()
+def inffs_unsupervised(spark, sf):
+    return graph.inffs(_wide(spark, sf), supervised=False)
+
+
 @query(
     f"""WITH {LONG}, sets(subset, a, b) AS (VALUES (0, 0, 8), (1, 8, 16), (2, 0, 64)),
 d AS (SELECT subset, q.sample_id AS i, q.label = r.label AS same, r.sample_id AS j, sqrt(sum((q.x - r.x) * (q.x - r.x))) AS d FROM sets JOIN long q ON q.fid >= a AND q.fid < b JOIN long r ON q.fid = r.fid GROUP BY ALL),

@@ -322,6 +322,29 @@ def test_relieff_prefers_the_informative_feature(spark, data):
     assert max(scores, key=scores.get) == 2 and scores[4] == 0
 
 
+def test_infinite_selection_against_paths(spark, data):
+    """Scores are the weights of all walks from a feature, summed up to a length where they vanish."""
+    x, y = data
+    wide = wide_of(spark, x, y)
+    sd = x.std(0, ddof=1)
+    sd = (sd - sd.min()) / np.ptp(sd)
+    own = np.array([r["score"] for r in stats.fisher(tables.melt(wide)).orderBy("fid").collect()])
+    c = np.outer(own, own)
+    for supervised in (True, False):
+        sims = {(r["i"], r["j"]): r["sim"] for r in stats.spearman(tables.melt(wide)).collect()}
+        rest = np.array([[0.0 if i == j else 1 - sims[min(i, j), max(i, j)] for j in range(6)] for i in range(6)])
+        a = 0.5 * np.maximum.outer(sd, sd) + 0.5 * ((c - c.min()) / np.ptp(c) if supervised else rest)
+        a *= 0.9 / np.abs(np.linalg.eigvalsh(a)).max()
+        walks, total = np.ones(6), np.zeros(6)
+        for _ in range(600):
+            walks = a @ walks
+            total += walks
+        got = {r["fid"]: r["score"] for r in graph.inffs(wide, supervised=supervised).collect()}
+        assert np.allclose([got[i] for i in range(6)], total)
+    got = {r["fid"]: r["score"] for r in graph.inffs(wide).collect()}
+    assert max(got, key=got.get) == 2
+
+
 # Embedded and wrapper methods.
 
 
