@@ -189,11 +189,11 @@ def kept_rows(docs: DataFrame, seen: DataFrame, kept: DataFrame, keyed) -> DataF
     n = mixed.count()
     listed = F.broadcast(mixed) if n <= FEW_IDS else mixed
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    least = F.min_by("row", F.struct(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64("row").alias("h"))).alias("row")
+    least = F.min_by("row", F.struct(F.coalesce(F.col("row.text"), F.lit("")).alias("t"), F.xxhash64("row").alias("h"))).alias("row")
     named = kept.select(F.col("doc_id").alias("d"), "key")
     plain = named.where("d is not null").select("d").distinct()
     plain = plain.join(listed, "d", "left_anti") if n else plain
-    whole = rows.where("d is not null").join(plain, "d").groupBy("d").agg(least).select("row")
+    whole = rows.where("d is not null").select("d", "row").join(plain, "d").groupBy("d").agg(least).select("row")
     odd = rows.where("d is null")
     odd = odd.union(rows.join(listed, "d", "left_semi").select("d", "text", "row")) if n else odd
     marked = odd.mapInArrow(keyed, odd.select("d", "text", "row", F.lit(0).cast("long").alias("key")).schema)

@@ -610,7 +610,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     asked = found.where("other is not null").select("doc", "start", "windows", "other", "at").repartition(n, "doc").sortWithinPartitions("doc", "start")
     asked = asked.mapInArrow(_passages, "doc long, start long, windows long, other long, at long")
     asked = asked.groupBy(F.col("other").alias("doc")).agg(F.collect_list(F.struct("doc", "start", "windows", "at")).alias("asked"))
-    sent = whole.select("doc", "text").join(asked.hint("shuffle_hash"), "doc").mapInArrow(_sent(length), "doc long, start long, windows long, piece binary")
+    sent = whole.join(asked.hint("shuffle_hash"), "doc").mapInArrow(_sent(length), "doc long, start long, windows long, piece binary")
     none = F.lit(None).cast("binary").alias("piece")
     spans = found.where("h is null and other is null").select("doc", "start", "windows", none).union(more.select("doc", "start", "windows", none)).union(sent)
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "piece")).alias("spans"))
@@ -626,7 +626,7 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, Column]:
     numbered by doc_id and a hash of the text, in the order of a range partitioning.
     """
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1) - F.pmod(own, F.lit(2**61)))
+    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1) - F.pmod(own, F.lit(2**61)), F.lit(0))
     reused = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo != hi")
     if reused.isEmpty():
         return docs, least
@@ -634,4 +634,4 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, Column]:
     keys = keys.repartitionByRange(shuffle_partitions(docs.sparkSession), "__d", "__h").sortWithinPartitions("__d", "__h")
     keys = checkpoint(keys.select("__d", "__h", F.monotonically_increasing_id().alias("__doc")))
     rows = docs.withColumn("__d", least).withColumn("__h", own).join(keys, ["__d", "__h"])
-    return checkpoint(rows.drop("__d", "__h")), F.col("__doc")
+    return checkpoint(rows.drop("__d", "__h")), F.coalesce("__doc", F.lit(0))
