@@ -23,8 +23,8 @@ windows can repeat at all, and these are dealt out so that equal windows meet:
     on its right (half of what a window holds beside the anchor), whichever all
     the windows contain, so a common line with different surroundings splits.
     Keys of anchors with over HOT runs take half of the bytes left beside them as
-    well, and so on, up to whole windows, so the pieces that share a key stay few. Equal
-    pieces collapse to the first, by their bytes. Each task concatenates the others
+    well, and so on, up to whole windows; a task does the same by itself where the
+    pieces of a key are over MOST symbols, which bounds its suffix arrays. Equal pieces collapse to the first, by their bytes. Each task concatenates the others
     and builds their suffix array; windows that are equal stand together there, and
     all but the first occurrence are repeats. The bytes of the key, which all windows
     of a piece contain, are one symbol in it.
@@ -48,6 +48,7 @@ passed over.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,14 +60,16 @@ from .common import batch_of, checkpoint, each_text, longs, session, shuffle_par
 
 #: Bytes of a repeated string, of an anchor, and of an anchor's side in a key.
 LENGTH, GRAM = 100, 32
-#: Runs of an anchor over different bytes from which on its keys are made longer. It bounds the suffix array of a key.
-HOT = 1000
+#: Runs of an anchor over different bytes from which on its keys are made longer before they are dealt out.
+HOT = 8000
 #: Documents that are sampled for anchors of very many documents, and how many of them make an anchor common.
 SAMPLE, COMMON = 4096, 20
 #: Hot anchors up to which their sizes are broadcast (some MB); beyond, they are joined.
 FEW = 100_000
 #: Bytes that the anchor step and a suffix array take at once; longer texts go in overlapping slices.
 SLICE, PART = 1 << 20, 1 << 17
+#: Symbols that the suffix array of one key takes at most; a task makes the keys of more of them longer by itself.
+MOST = 1 << 18
 _SPAN, _WHOLE, _DEALT = 16, 1 << 15, 1 << 14
 
 
@@ -418,7 +421,7 @@ def _sent(length: int):
 
 
 def _pieces(length: int, gram: int):
-    """Documents with their unsettled runs to pieces: key, doc, start, bytes beside the key's, and how many of them on its left."""
+    """Documents with their unsettled runs to pieces: key, doc, start, how many bytes lie left of the key's, these, and those beside them."""
     half = (length - gram) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,54 +443,61 @@ def _pieces(length: int, gram: int):
                     own = []
                     for lo, hi, left, right in ((0, cut, a - half, a + gram), (cut, k, a, a + gram + half)):
                         if hi > lo:
-                            key = hashlib.blake2b(piece[left:right], digest_size=8, person=b"l" if left < a else b"r").digest()
-                            own.append((key, doc, s + lo, left - lo, gram + half, piece[lo:left] + piece[right : hi - 1 + length]))
+                            key = _key(piece[left:right])
+                            own.append((key, doc, s + lo, left - lo, piece[left:right], piece[lo:left] + piece[right : hi - 1 + length]))
                     rows += _longer_keys(own, length, x["times"]) if x["times"] else own
             if rows:
-                keys, docs, starts, lefts, cores, parts = zip(*rows)
-                yield batch_of(key=np.frombuffer(b"".join(keys), np.int64), doc=np.array(docs, np.int64), start=np.array(starts, np.int64), left=np.array(lefts, np.int64), core=np.array(cores, np.int64), piece=pa.array(parts, pa.binary()))
+                keys, docs, starts, lefts, centers, parts = zip(*rows)
+                yield batch_of(key=np.frombuffer(b"".join(keys), np.int64), doc=np.array(docs, np.int64), start=np.array(starts, np.int64), left=np.array(lefts, np.int64), center=pa.array(centers, pa.binary()), piece=pa.array(parts, pa.binary()))
 
     return run
 
 
 def _longer_keys(rows: list[tuple], length: int, times: int) -> list[tuple]:
-    """Pieces (key, doc, start, left, core, bytes) under keys that hold half of the bytes left beside them more, so many times.
+    """Pieces (key, doc, start, left, center, bytes beside) under keys that hold half of the bytes left beside them more, so many times.
 
-    A window holds `length - core` bytes beside the key's; it holds half of them on
-    the left, or more than the other half on the right, so it has one longer key.
-    In the end keys hold whole windows.
+    The center is the key's bytes. A window holds `length - len(center)` bytes beside
+    it; it holds half of them on the left, or more than the other half on the right,
+    so it has one longer key. In the end keys hold whole windows.
     """
     for _ in range(times):
         out = []
-        for key, doc, start, left, core, piece in rows:
+        for key, doc, start, left, center, piece in rows:
+            core = len(center)
             half, windows = (length - core + 1) // 2, len(piece) + core - length + 1
             if core >= length:
-                out.append((key, doc, start, left, core, piece))
+                out.append((key, doc, start, left, center, piece))
                 continue
             right = length - core - half + 1  # what a window without the left half holds on the right at least
             cut = min(max(left - half + 1, 0), windows)  # windows before it hold the half on the left
-            for lo, hi, a, b, side in ((0, cut, left - half, left, b"l"), (cut, windows, left, left + right, b"r")):
-                if hi > lo:
-                    longer = hashlib.blake2b(key + piece[a:b], digest_size=8, person=side).digest()
-                    out.append((longer, doc, start + lo, a - lo, core + b - a, piece[lo:a] + piece[b : hi - 1 + length - core]))
+            if cut > 0:
+                longer = piece[left - half : left] + center
+                out.append((_key(longer), doc, start, left - half, longer, piece[: left - half] + piece[left : cut - 1 + length - core]))
+            if windows > cut:
+                longer = center + piece[left : left + right]
+                out.append((_key(longer), doc, start + cut, left - cut, longer, piece[cut:left] + piece[left + right : windows - 1 + length - core]))
         rows = out
     return rows
 
 
+def _key(center: bytes) -> bytes:
+    return hashlib.blake2b(center, digest_size=8).digest()
+
+
 def _sorted_pieces(length: int):
     """Pieces sorted by key, doc, start to spans of repeats: doc, start, windows.
 
-    The bytes that all pieces of a key share stand for one symbol, the key's own,
-    so the suffix array takes only what is beside them.
+    The center, which all windows of a piece hold, stands for one symbol, its own,
+    so the suffix array takes only what is beside it.
     """
 
     def settle(core: int, rows: list) -> pa.RecordBatch | None:
         names: dict = {}
         rows.sort(key=lambda x: (x[1], x[2]))
         pieces = []
-        for key, _, _, left, _, piece in rows:
+        for _, _, _, left, center, piece in rows:
             piece = np.frombuffer(piece, np.uint8).astype(np.int32) + 1
-            pieces.append(np.concatenate([piece[:left], [names.setdefault(key, 257 + len(names))], piece[left:]]))
+            pieces.append(np.concatenate([piece[:left], [names.setdefault(center, 257 + len(names))], piece[left:]]))
         pairs = repeats(pieces, length - core + 1)
         if not len(pairs):
             return None
@@ -511,28 +521,47 @@ def _sorted_pieces(length: int):
         size: dict[int, int] = {}
         whole: list = []
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                core = held[0][4]
-                ready.setdefault(core, []).extend(held)
-                size[core] = size.get(core, 0) + sum(len(x[5]) + 2 for x in held)
-                if size[core] >= PART and (out := settle(core, ready.pop(core))) is not None:
-                    yield out
-                size[core] = size[core] % PART if core in ready else 0
+        def take(row: tuple, held: list, known: dict) -> None:
+            if (first := known.setdefault(row[3:], row)) is row:
+                held.append(row)
+            elif first[1:3] != row[1:3]:  # the same bytes again: a repeat as a whole
+                whole.append((row[1], row[2], len(row[5]) + len(row[4]) - length + 1))
+
+        def close(held: list) -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            if len(centers := {x[4] for x in held}) > 1:  # keys that agree by chance
+                for c in sorted(centers):
+                    yield from close([x for x in held if x[4] == c])
+                return
+            core, own = len(held[0][4]), sum(len(x[5]) + 2 for x in held)
+            if own > MOST and core < length:  # longer keys, so that no suffix array is too large
+                rows = sorted(_longer_keys(held, length, 1), key=lambda x: x[:3])
+                for _, group in itertools.groupby(rows, key=lambda x: x[0]):
+                    part: list = []
+                    seen: dict = {}
+                    for row in group:
+                        take(row, part, seen)
+                    yield from close(part)
+                return
+            ready.setdefault(core, []).extend(held)
+            size[core] = size.get(core, 0) + own
+            if size[core] >= PART and (out := settle(core, ready.pop(core))) is not None:
+                yield out
+            size[core] = size[core] % PART if core in ready else 0
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "start", "left", "core", "piece"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "start", "left", "center", "piece"))):
                 if held and held[0][0] != row[0]:
-                    yield from close()
+                    yield from close(held)
                     held, known = [], {}
-                if (first := known.setdefault(row[3:], row)) is row:
-                    held.append(row)
-                elif first[1:3] != row[1:3]:  # the same bytes again: a repeat as a whole
-                    whole.append((row[1], row[2], len(row[5]) + row[4] - length + 1))
+                take(row, held, known)
             if whole:
                 yield batch_of(**dict(zip(("doc", "start", "windows"), map(np.array, zip(*whole)))))
-                whole = []
-        yield from close()
+                whole.clear()
+        yield from close(held)
+        if whole:
+            yield batch_of(**dict(zip(("doc", "start", "windows"), map(np.array, zip(*whole)))))
         for core, rows in ready.items():
             if (out := settle(core, rows)) is not None:
                 yield out
@@ -573,7 +602,7 @@ def _cut(length: int, keep_text: bool):
     return run
 
 
-_PIECES = "key long, doc long, start long, left long, core long, piece binary"
+_PIECES = "key long, doc long, start long, left long, center binary, piece binary"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, others: tuple[str, ...] = ()) -> DataFrame:

@@ -499,10 +499,13 @@ def test_suffix_dedup_against_plain(docs):
     assert got == plain_repeats(texts(docs), 100)
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(0, 1000), (1, 3), (2, 0), (3, 1)])
-def test_suffix_dedup_of_patchworks(spark, seed, hot, monkeypatch):
+@pytest.mark.parametrize(("seed", "hot", "most"), [(0, 8000, 1 << 18), (1, 3, 1 << 18), (2, 0, 50), (3, 8000, 100), (4, 1, 0)])
+def test_suffix_dedup_of_patchworks(spark, seed, hot, most, monkeypatch):
     """Short alphabets, shared passages with edits, periodic texts, texts over the slice size."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    if seed == 2:  # all keys agree by chance
+        monkeypatch.setattr(suffix_dedup, "_key", lambda center: b"same key")
     rng = random.Random(seed)
     passages = ["".join(rng.choice("abc ") for _ in range(rng.randint(5, 90))) for _ in range(12)] + ["ab" * 40, "z" * 70]
     rows = []
