@@ -1 +1,11 @@
-"""Feature selection on labelled tables, and operators for training corpora."""
+"""Selection and benchmarking of feature subsets on Spark.
+
+Functions that run on executors are pickled by value, so a cluster needs no copy
+of the package on its workers' import path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -149,12 +149,12 @@ def sfs_svm(matrix: Matrix | Rows, spark, k: int) -> list[int]:
             scores = {f: svm_accuracy(matrix, [*picks, f]) for f in range(matrix.p) if f not in picks}
             picks.append(min(scores, key=lambda f: (-round(scores[f], 12), f)))
         return picks
-    shared = spark.sparkContext.broadcast(matrix)
+    shared = spark.sparkContext.broadcast(matrix.parts)
     chosen: list[int] = []
     p = matrix.x.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Matrix(*shared.value)
         classes = np.unique(m.y)
         for batch in batches:
             ids, scores = batch.column("fid").to_pylist(), []

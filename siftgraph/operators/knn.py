@@ -230,6 +230,11 @@ class Matrix:
         x = np.asarray(flat.flatten(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
         return cls(x, labels, folds_, ids)
 
+    @property
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """What a matrix is made from: plain arrays, which a task can read without this module."""
+        return self.x, self.y, self.folds, self.ids
+
     def block(self, subset, at=slice(None)) -> Block:
         return Block(np.ascontiguousarray(self.x[at][:, list(subset)]), self.ids[at], self.y[at], self.folds[at])
 
@@ -302,10 +307,10 @@ def subset_accuracies(subsets: DataFrame, matrix: Matrix | Rows, k: int = 5, app
     if isinstance(matrix, Rows):
         found = [(r["key"], r["ids"], float((matrix.apparent if apparent else matrix.accuracy)(r["ids"], k))) for r in subsets.select("key", "ids").collect()]
         return subsets.sparkSession.createDataFrame(found, f"key {dict(subsets.dtypes)['key']}, ids array<int>, accuracy double")
-    shared = subsets.sparkSession.sparkContext.broadcast(matrix)
+    shared = subsets.sparkSession.sparkContext.broadcast(matrix.parts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = Matrix(*shared.value)
         for f in frames:
             yield f.assign(accuracy=[(m.apparent if apparent else m.accuracy)(ids, k) for ids in f["ids"]])
 

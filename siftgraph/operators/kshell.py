@@ -123,10 +123,11 @@ class Decoder:
 
 def decode_population(population: DataFrame, decoder: Decoder, weight: np.ndarray) -> DataFrame:
     """(ind_id, subset) of frames (ind_id, genes)."""
-    shared = population.sparkSession.sparkContext.broadcast((decoder, weight))
+    shared = population.sparkSession.sparkContext.broadcast(((decoder.p, decoder.src, decoder.dst, decoder.sim), weight))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, w = shared.value
+        own, w = shared.value
+        d = Decoder(*own)
         for f in frames:
             yield pd.DataFrame({"ind_id": f["ind_id"], "subset": [d.core(np.array(g), w).astype(np.int32).tolist() for g in f["genes"]]})
 

@@ -136,12 +136,12 @@ def separation(matrix: Matrix | Rows, subsets: list[np.ndarray], spark: SparkSes
         return np.array([_mean_ratio(extremes(matrix.part(s)), []).first()[0] if len(s) else 0.0 for s in subsets])
     if len(matrix.y) <= BLOCK:
         return np.array([_ratio(*far_and_near(b, [b])) if len(s) else 0.0 for s in subsets for b in [matrix.block(s)]])
-    shared = spark.sparkContext.broadcast(matrix)
+    shared = spark.sparkContext.broadcast(matrix.parts)
     places = range(0, len(matrix.y), BLOCK)
     jobs = spark.createDataFrame([(i, a, [int(f) for f in s]) for i, s in enumerate(subsets) if len(s) for a in places] or [], "subset int, start long, ids array<int>")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = Matrix(*shared.value)
         for f in frames:
             for i, a, ids in zip(f["subset"], f["start"], f["ids"]):
                 q = m.block(ids, slice(a, a + BLOCK))
