@@ -175,7 +175,7 @@ def learn(docs: DataFrame) -> Model:
 
 def _likelihoods(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             declared, rows, sizes = [], [], []
             for page in batch.column("html"):
@@ -199,7 +199,7 @@ def likelihoods(pages: DataFrame, model: Model) -> DataFrame:
     spark = session(pages)
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     kind = dict(pages.dtypes)["page_id"]
-    rows = base.mapInArrow(_likelihoods(spark.sparkContext.broadcast(model)), f"page_id {kind}, url string, declared string, n_trigrams long, p array<double>")
+    rows = base.mapInArrow(_likelihoods(spark.sparkContext.broadcast((model.langs, model.table, model.scale, model.power))), f"page_id {kind}, url string, declared string, n_trigrams long, p array<double>")
     parts = F.split("host", "\\.")
     rows = rows.withColumn("host", host_of(F.col("url"))).drop("url")
     domain = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), ".")
