@@ -481,7 +481,8 @@ def rfe_svm(spark, sf):
 
 @query()
 def sfs_forward(spark, sf):
-    return spark.createDataFrame(list(enumerate(embedded.sfs_svm(_matrix(spark, sf), spark, 3))), "step int, fid int")
+    matrix = _matrix(spark, sf)
+    return spark.createDataFrame(list(enumerate(embedded.sfs_svm(matrix, spark, max(1, round(0.1 * matrix.p))))), "step int, fid int")
 
 
 def _context(spark, sf, **changes):
