@@ -16,15 +16,16 @@ windows can repeat at all, and these are dealt out so that equal windows meet:
     compared by their bytes before the shuffle, which keeps very common passages
     small; every other one names the run before it among its equals, neighbouring runs
     are joined to passages, and the bytes of the passage named are sent to the
-    document and compared there. Anchors that occur over
-    different bytes leave one piece for each distinct run and half of it; only
-    windows of a piece can repeat in part.
+    document and compared there. Anchors that occur over different bytes leave one
+    piece for each distinct run and half of it; only windows of a piece can repeat
+    in part.
 3.  The pieces' bytes are dealt out by the anchor with the bytes on its left or
     on its right (half of what a window holds beside the anchor), whichever all
     the windows contain, so a common line with different surroundings splits.
     Keys of anchors with over HOT runs take half of the bytes left beside them as
     well, and so on, up to whole windows; a task does the same by itself where the
-    pieces of a key are over MOST symbols, which bounds its suffix arrays. Equal pieces collapse to the first, by their bytes. Each task concatenates the others
+    pieces of a key are over MOST symbols, which bounds its suffix arrays. Equal
+    pieces collapse to the first, by their bytes. Each task concatenates the others
     and builds their suffix array; windows that are equal stand together there, and
     all but the first occurrence are repeats. The bytes of the key, which all windows
     of a piece contain, are one symbol in it.
