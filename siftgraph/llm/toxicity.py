@@ -58,7 +58,7 @@ MISSPELLED, VARIANT = 0.1, 0.1
 _COUNTS = ("clean", "toxic", "clean_dense", "toxic_dense")
 WINDOW = 6
 CUT = 0.3
-_MEMO = 400_000
+_MEMO = 200_000
 
 _TOKEN = re.compile(r"[^\W_]+")
 _MARKED = re.compile(r"[^\W_]+|[\"“”„«»‹›]")

@@ -499,7 +499,7 @@ def test_suffix_dedup_against_plain(docs):
     assert got == plain_repeats(texts(docs), 100)
 
 
-@pytest.mark.parametrize(("seed", "hot", "most"), [(0, 8000, 1 << 18), (1, 3, 1 << 18), (2, 0, 50), (3, 8000, 100), (4, 1, 0)])
+@pytest.mark.parametrize(("seed", "hot", "most"), [(0, 8000, 1 << 17), (1, 3, 1 << 17), (2, 0, 50), (3, 8000, 100), (4, 1, 0)])
 def test_suffix_dedup_of_patchworks(spark, seed, hot, most, monkeypatch):
     """Short alphabets, shared passages with edits, periodic texts, texts over the slice size."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
