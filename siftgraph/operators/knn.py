@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .leaves import Leaves
+
 BLOCK = 2048
 #: Bytes of row blocks that a cell holds.
 CELL = 128 << 20
@@ -66,7 +68,7 @@ class Block:
         ids, labels, folds = (np.frombuffer(row[c], np.int64) for c in ("ids", "labels", "folds"))
         return cls(np.frombuffer(row["x"]).reshape(len(ids), -1), ids, labels, folds)
 
-    def part(self, at: slice) -> Block:
+    def part(self, at: slice | np.ndarray) -> Block:
         return Block(self.x[at], self.ids[at], self.labels[at], self.folds[at])
 
 
@@ -216,6 +218,7 @@ class Matrix:
         self.x, self.y, self.folds = x, y.astype(np.int64), folds.astype(np.int64)
         self.ids = np.arange(len(y)) if ids is None else ids
         self.p = self.x.shape[1] if self.x.ndim == 2 else 0
+        self._sent = None
 
     @classmethod
     def of(cls, wide: DataFrame, folds: DataFrame) -> Matrix | Rows:
@@ -235,6 +238,12 @@ class Matrix:
         """What a matrix is made from: plain arrays, which a task can read without this module."""
         return self.x, self.y, self.folds, self.ids
 
+    def shared(self, spark):
+        """Its parts, broadcast once."""
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(self.parts)
+        return self._sent
+
     def block(self, subset, at=slice(None)) -> Block:
         return Block(np.ascontiguousarray(self.x[at][:, list(subset)]), self.ids[at], self.y[at], self.folds[at])
 
@@ -243,17 +252,39 @@ class Matrix:
         subset = list(subset)
         if not subset or not len(self.y):
             return 0.0
-        hit = _hits(self.block(subset), k, other_fold=True)
-        return float(np.mean([hit[self.folds == f].mean() if (self.folds != f).any() else 0.0 for f in np.unique(self.folds)]))
+        return self.mean(self.hits(subset, k))
 
     def apparent(self, subset, k: int = 5) -> float:
         """Accuracy on the rows that vote themselves."""
         subset = list(subset)
-        return float(_hits(self.block(subset), k).mean()) if subset and len(self.y) else 0.0
+        return self.mean(self.hits(subset, k, True), True) if subset and len(self.y) else 0.0
+
+    def hits(self, subset, k: int = 5, apparent: bool = False, share: tuple[int, int] = (0, 1)) -> np.ndarray:
+        """By fold the rows whose vote is their label, of one of so many shares of the rows."""
+        names, fold = np.unique(self.folds, return_inverse=True)
+        return np.bincount(fold[_right(self.block(subset), k, not apparent, share)], minlength=len(names))
+
+    def mean(self, hits: np.ndarray, apparent: bool = False) -> float:
+        """The accuracy of all rows' hits."""
+        rows = np.unique(self.folds, return_counts=True)[1]
+        if apparent:
+            return float(hits.sum() / rows.sum())
+        return float(np.mean(hits / rows)) if len(rows) > 1 else 0.0
+
+
+def _right(rows: Block, k: int, other_fold: bool, share: tuple[int, int]) -> np.ndarray:
+    """Places of a share of the rows whose vote among the others is their label."""
+    if k < 1 or not np.isfinite(rows.x).all():
+        return np.flatnonzero(_hits(rows, k, other_fold)) if not share[0] else np.zeros(0, np.int64)
+    leaves = Leaves(rows.x, rows.ids, rows.folds if other_fold else np.zeros_like(rows.folds), k)
+    guess, seen = np.zeros_like(rows.labels), np.zeros(len(rows.ids), bool)
+    for at, i, j, d in leaves.nearest(share, other_fold):
+        guess[at], seen[at] = _voted(rows.part(at), (i, rows.ids[j], rows.labels[j], d)), True
+    return np.flatnonzero(seen[leaves.first] & (guess[leaves.first] == rows.labels))
 
 
 def _hits(rows: Block, k: int, other_fold: bool = False) -> np.ndarray:
-    """Whether each row's vote among the others is its label, block by block."""
+    """Whether each row's vote among the others is its label, block by block; for values that are not finite."""
     places = [slice(a, a + BLOCK) for a in range(0, len(rows.ids), BLOCK)]
     blocks = [rows.part(at) for at in places]
     return np.concatenate([_voted(q, nearest(q, blocks, k, other_fold)) == q.labels for q in blocks])
@@ -307,7 +338,7 @@ def subset_accuracies(subsets: DataFrame, matrix: Matrix | Rows, k: int = 5, app
     if isinstance(matrix, Rows):
         found = [(r["key"], r["ids"], float((matrix.apparent if apparent else matrix.accuracy)(r["ids"], k))) for r in subsets.select("key", "ids").collect()]
         return subsets.sparkSession.createDataFrame(found, f"key {dict(subsets.dtypes)['key']}, ids array<int>, accuracy double")
-    shared = subsets.sparkSession.sparkContext.broadcast(matrix.parts)
+    shared = matrix.shared(subsets.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Matrix(*shared.value)
@@ -318,6 +349,35 @@ def subset_accuracies(subsets: DataFrame, matrix: Matrix | Rows, k: int = 5, app
     return subsets.select("key", "ids").mapInPandas(run, f"key {kind}, ids array<int>, accuracy double")
 
 
+def dealt(subsets: list, rows: int, spark) -> list[tuple[int, int, int, list[int]]]:
+    """(number of the subset, share, shares, ids), the largest subsets first: as many shares of each as keep all tasks busy."""
+    shares = max(1, min(math.ceil(2 * spark.sparkContext.defaultParallelism / max(1, len(subsets))), math.ceil(rows / BLOCK)))
+    jobs = [(i, share, shares, [int(f) for f in ids]) for i, ids in enumerate(subsets) if len(ids) for share in range(shares)]
+    return sorted(jobs, key=lambda job: -len(job[3]))
+
+
+def accuracies(subsets: list, matrix: Matrix | Rows, spark, k: int = 5) -> list[float]:
+    """Accuracies of subsets at once; of few subsets each is settled by several tasks."""
+    if isinstance(matrix, Rows):
+        return [matrix.accuracy(s, k) for s in subsets]
+    jobs = dealt(subsets, len(matrix.y), spark)
+    if not jobs or not len(matrix.y):
+        return [0.0] * len(subsets)
+    shared = matrix.shared(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Matrix(*shared.value)
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                i, share, shares, ids = jobs[at]
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([m.hits(ids, k, share=(share, shares)).tolist()], pa.list_(pa.int64()))], names=["subset", "hits"])
+
+    hits: dict[int, np.ndarray] = {}
+    for r in spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "subset long, hits array<long>").collect():
+        hits[r["subset"]] = hits.get(r["subset"], 0) + np.array(r["hits"])
+    return [matrix.mean(hits[i]) if i in hits else 0.0 for i in range(len(subsets))]
+
+
 def single_accuracies(matrix: Matrix, spark, k: int = 5, apparent: bool = False) -> DataFrame:
     """(fid, accuracy) of every single feature."""
     p = matrix.p

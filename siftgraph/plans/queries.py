@@ -511,7 +511,7 @@ def rc_greedy_extend(spark, sf):
 def buddy_refine(spark, sf):
     c = _context(spark, sf)
     comp = c.comp_matrix(graph.knn_graph(c.sim))
-    found = search.buddy([0, 9, 33], comp, c.sim_matrix, lambda subsets: [c.matrix.accuracy(s) for s in subsets])
+    found = search.buddy([0, 9, 33], comp, c.sim_matrix, lambda subsets: knn.accuracies(subsets, c.matrix, spark))
     return spark.createDataFrame([(int(f),) for f in found], "fid int")
 
 
