@@ -184,6 +184,21 @@ def far_and_near(q: Block, rows: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     return far, near
 
 
+def ends(rows: Block, share: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
+    """far_and_near of a share of the rows among all of them."""
+    if not np.isfinite(rows.x).all():
+        places = range(0, len(rows.ids), BLOCK)
+        return far_and_near(rows.part(slice(share[0], None, share[1])), [rows.part(slice(a, a + BLOCK)) for a in places])
+    leaves = Leaves(rows.x, rows.ids, rows.labels, 1, pure=True)
+    far, near, seen = np.zeros(len(rows.ids)), np.full(len(rows.ids), np.inf), np.zeros(len(rows.ids), bool)
+    for at, d in leaves.farthest(share):
+        far[at], seen[at] = np.sqrt(d), True
+    for at, i, _, d in leaves.nearest(share):
+        near[at[i]] = np.sqrt(d)
+    mine = leaves.first[seen[leaves.first]]
+    return far[mine], near[mine]
+
+
 def votes(near: DataFrame) -> DataFrame:
     """(query_id, query_label, query_fold, predicted) by uniform votes."""
     counts = near.groupBy("query_id", "query_label", "query_fold", "row_label").agg(F.count("*").alias("c"))

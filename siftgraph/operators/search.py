@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .kshell import MODES, Decoder
-from .knn import BLOCK, Matrix, Rows, extremes, far_and_near, subset_accuracies
+from .knn import BLOCK, Matrix, Rows, accuracies, dealt, ends, extremes, far_and_near
 
 
 @dataclass(frozen=True)
@@ -129,29 +129,31 @@ def separation(matrix: Matrix | Rows, subsets: list[np.ndarray], spark: SparkSes
     """Mean over samples of nearest other-class over farthest same-class distance, each scaled over both; 0 for empty subsets.
 
     Ratios that are not finite count as missing. A matrix of one block is settled
-    here; of a larger one each task takes a block of samples of a subset, and rows
-    over the broadcast bound go through the grid, so no task holds all distances.
+    here; of a larger one each task takes a share of the samples of a subset, and
+    rows over the broadcast bound go through the grid, so no task holds all distances.
     """
     if isinstance(matrix, Rows):
         return np.array([_mean_ratio(extremes(matrix.part(s)), []).first()[0] if len(s) else 0.0 for s in subsets])
     if len(matrix.y) <= BLOCK:
         return np.array([_ratio(*far_and_near(b, [b])) if len(s) else 0.0 for s in subsets for b in [matrix.block(s)]])
-    shared = spark.sparkContext.broadcast(matrix.parts)
-    places = range(0, len(matrix.y), BLOCK)
-    jobs = spark.createDataFrame([(i, a, [int(f) for f in s]) for i, s in enumerate(subsets) if len(s) for a in places] or [], "subset int, start long, ids array<int>")
+    shared = matrix.shared(spark)
+    jobs = dealt(subsets, len(matrix.y), spark)
+    if not jobs:
+        return np.zeros(len(subsets))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Matrix(*shared.value)
         for f in frames:
-            for i, a, ids in zip(f["subset"], f["start"], f["ids"]):
-                q = m.block(ids, slice(a, a + BLOCK))
-                far, near = far_and_near(q, [m.block(ids, slice(b, b + BLOCK)) for b in places])
+            for at in f["id"]:
+                i, share, shares, ids = jobs[at]
+                far, near = ends(m.block(ids), (share, shares))
                 yield pd.DataFrame({"subset": i, "far": far, "near": near})
 
-    found = jobs.repartition(max(1, len(places))).mapInPandas(run, "subset int, far double, near double")
+    found = spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(run, "subset int, far double, near double").persist()
     out = np.zeros(len(subsets))
     for r in _mean_ratio(found, ["subset"]).collect():
         out[r["subset"]] = r["ratio"]
+    found.unpersist()
     return out
 
 
@@ -202,10 +204,7 @@ class Search:
         new = [s for s in dict.fromkeys(subsets) if s not in self.known]
         if not new:
             return
-        frame = self.spark.createDataFrame([(i, list(s)) for i, s in enumerate(new)], "key int, ids array<int>")
-        found = subset_accuracies(frame.repartition(min(len(new), 32)), self.matrix, self.settings.k).collect()
-        for r in found:
-            self.known[new[r["key"]]] = r["accuracy"]
+        self.known |= zip(new, accuracies(new, self.matrix, self.spark, self.settings.k))
 
     def evaluate(self, population: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Subsets and objectives of genomes; a genome without edges has infinite ones and all features."""

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from siftgraph.operators import knn
+from siftgraph.operators import knn, search
 from siftgraph.operators.leaves import Leaves
 
 
@@ -57,3 +57,16 @@ def test_subsets_are_dealt_out(spark):
     subsets = [[1, 2, 3], [], [0]]
     assert len(knn.dealt(subsets, 5000, spark)) > 2
     assert knn.accuracies(subsets, m, spark) == [m.accuracy(s) for s in subsets]
+
+
+def test_separation_takes_no_blocks_of_all_pairs(spark, monkeypatch):
+    """Each change of the node weights took all pairs of rows, twice, so evolve_enhanced ran out of time."""
+    rng = np.random.default_rng(5)
+    m = knn.Matrix(rng.random((3000, 5)), rng.integers(0, 3, 3000), rng.integers(0, 5, 3000))
+    subsets = [np.array([0, 2]), np.arange(5), np.array([], int)]
+    want = [search._ratio(*knn.far_and_near(b, [b])) if len(s) else 0.0 for s in subsets for b in [m.block(s)]]
+    parts = [knn.ends(m.block(subsets[0]), (i, 3)) for i in range(3)]
+    assert np.isclose(search._ratio(*(np.concatenate(v) for v in zip(*parts))), want[0])
+    monkeypatch.setattr(search, "far_and_near", lambda *_: pytest.fail("all pairs of rows"))
+    monkeypatch.setattr(knn, "far_and_near", lambda *_: pytest.fail("all pairs of rows"))
+    assert np.allclose(search.separation(m, subsets, spark), want)
