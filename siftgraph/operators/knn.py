@@ -406,6 +406,7 @@ def complementarity(pairs: DataFrame, singles: DataFrame, matrix: Matrix, k: int
     pairs = pairs.select(F.least("a", "b").cast("int").alias("i"), F.greatest("a", "b").cast("int").alias("j")).where(f"i != j and i >= 0 and j < {p}").distinct()
     subsets = pairs.select(F.struct("i", "j").alias("key"), F.array("i", "j").alias("ids")).repartition(32)
     both = subset_accuracies(subsets, matrix, k).select("key.i", "key.j", "accuracy")
+    singles = singles.sparkSession.createDataFrame(singles.select("fid", "accuracy").collect(), "fid int, accuracy double")  # once, not for each side
     one = singles.select(F.col("fid").alias("i"), F.col("accuracy").alias("ai"))
     two = singles.select(F.col("fid").alias("j"), F.col("accuracy").alias("aj"))
     return both.join(one, "i").join(two, "j").select("i", "j", F.greatest(F.lit(0.0), F.col("accuracy") - F.greatest("ai", "aj")).alias("comp"))

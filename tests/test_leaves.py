@@ -70,3 +70,21 @@ def test_separation_takes_no_blocks_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(search, "far_and_near", lambda *_: pytest.fail("all pairs of rows"))
     monkeypatch.setattr(knn, "far_and_near", lambda *_: pytest.fail("all pairs of rows"))
     assert np.allclose(search.separation(m, subsets, spark), want)
+
+
+def test_complementarity_takes_singles_once(spark):
+    """Both sides of a pair had the singles evaluated again."""
+    rng = np.random.default_rng(6)
+    m = knn.Matrix(rng.random((300, 3)), rng.integers(0, 3, 300), rng.integers(0, 5, 300))
+    taken = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            taken.add(len(f))
+            yield f
+
+    singles = knn.single_accuracies(m, spark).mapInPandas(seen, "fid int, accuracy double")
+    pairs = spark.createDataFrame([(0, 1), (2, 1)], "a int, b int")
+    one = [m.accuracy([f]) for f in range(3)]
+    found = {(r["i"], r["j"]): r["comp"] for r in knn.complementarity(pairs, singles, m).collect()}
+    assert found == {(i, j): max(0.0, m.accuracy([i, j]) - max(one[i], one[j])) for i, j in ((0, 1), (1, 2))} and taken.value == 3
