@@ -88,3 +88,16 @@ def test_complementarity_takes_singles_once(spark):
     one = [m.accuracy([f]) for f in range(3)]
     found = {(r["i"], r["j"]): r["comp"] for r in knn.complementarity(pairs, singles, m).collect()}
     assert found == {(i, j): max(0.0, m.accuracy([i, j]) - max(one[i], one[j])) for i, j in ((0, 1), (1, 2))} and taken.value == 3
+
+
+@pytest.mark.parametrize("p, share", [(1, 40), (2, 15)])
+def test_singles_and_pairs_of_hot_values_need_few_distances(monkeypatch, p, share):
+    """single_feature_accuracy and rc_greedy_extend took all pairs of rows, whatever the values."""
+    rng = np.random.default_rng(p)
+    x = rng.random((20000, p))
+    x[::3] = 0.5
+    seen = []
+    rough = Leaves._rough
+    monkeypatch.setattr(Leaves, "_rough", lambda self, q, squares, centre, at, *rest: (seen.append(len(q) * len(at)), rough(self, q, squares, centre, at, *rest))[1])
+    knn.Matrix(x, rng.integers(0, 3, 20000), rng.integers(0, 5, 20000)).accuracy(range(p))
+    assert 0 < sum(seen) < 20000**2 / share
