@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import finite
+from . import knn
 from .knn import Matrix, Rows
 
 
@@ -35,12 +37,109 @@ def l1_importance(wide: DataFrame, most: int = 200) -> DataFrame:
     return wide.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "fid int, score double")
 
 
-def forest_importance(wide: DataFrame, trees: int = 200, seed: int = 0) -> DataFrame:
-    """(fid, score): impurity importances of a random forest."""
-    from pyspark.ml.classification import RandomForestClassifier
+#: Bins of a feature's values, and cells of the histograms that a tree holds at once.
+BINS, CELLS = 32, 1 << 18
 
-    model = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=30).fit(_vectors(wide))
-    return wide.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(model.featureImportances.toArray())], "fid int, score double")
+
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Thresholds between a feature's values: all where there are few, else those nearest to even shares of the rows."""
+    values, counts = np.unique(x, return_counts=True)
+    if len(values) > BINS:
+        before = np.cumsum(counts)[:-1]
+        aims = len(x) * np.arange(1, BINS) / BINS
+        at = np.clip(np.searchsorted(before, aims), 0, len(before) - 1)
+        low = np.maximum(at - 1, 0)
+        at = np.unique(np.where(aims - before[low] < before[at] - aims, low, at))
+    else:
+        at = np.arange(len(values) - 1)
+    return values[at] / 2 + values[at + 1] / 2
+
+
+def _grown(bins: np.ndarray, y: np.ndarray, classes: int, deepest: int, tried: int, rng: np.random.Generator) -> np.ndarray:
+    """A tree's share of impurity taken away by each feature: rows weighted by Poisson(1), splits by Gini among `tried` features of each node.
+
+    As in pyspark.ml, a split whose children are leaves with one prediction is none.
+    """
+    p = bins.shape[1]
+    weight = rng.poisson(1.0, len(y)).astype(np.float64)
+    rows = np.flatnonzero(weight)
+    node, m, levels = np.zeros(len(rows), np.int64), 1, []
+    for depth in range(deepest + 1):
+        total = np.bincount(node * classes + y[rows], weight[rows], m * classes).reshape(m, classes)
+        n = total.sum(1)
+        gain, feature, cut = np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        open_ = np.flatnonzero(total.max(1) < n) if depth < deepest else np.zeros(0, np.int64)
+        ends = np.searchsorted(node, np.arange(m + 1))  # rows are sorted by node
+        size = max(1, CELLS // (tried * BINS * classes))
+        for a in range(0, len(open_), size):
+            own = open_[a : a + size]
+            at = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in own])
+            place = np.repeat(np.arange(len(own)), ends[own + 1] - ends[own])
+            ids = np.argpartition(rng.random((len(own), p)), tried - 1, axis=1)[:, :tried]
+            cell = ((place[:, None] * tried + np.arange(tried)) * BINS + bins[rows[at][:, None], ids[place]]) * classes + y[rows[at]][:, None]
+            h = np.bincount(cell.ravel(), np.repeat(weight[rows[at]], tried), len(own) * tried * BINS * classes).reshape(len(own), tried, BINS, classes)
+            left = h.cumsum(2)[:, :, :-1]
+            t, all_ = total[own], n[own][:, None, None]
+            nl = left.sum(3)
+            nr = all_ - nl
+            squares = np.einsum("mtbc,mtbc->mtb", left, left)
+            others = (t * t).sum(1)[:, None, None] - 2 * np.einsum("mtbc,mc->mtb", left, t) + squares
+            ok = (nl >= 1) & (nr >= 1)
+            score = np.where(ok, squares / np.maximum(nl, 1) + others / np.maximum(nr, 1), -np.inf).reshape(len(own), -1)
+            best = score.argmax(1)
+            gain[own] = score[np.arange(len(own)), best] / n[own] - ((t / n[own][:, None]) ** 2).sum(1)
+            feature[own], cut[own] = ids[np.arange(len(own)), best // (BINS - 1)], best % (BINS - 1)
+        split = gain > 1e-12
+        levels.append((split, np.where(split, gain * n, 0), feature, total.argmax(1)))
+        if not split.any():
+            break
+        keep = split[node]
+        rows, node = rows[keep], node[keep]
+        node = 2 * (np.cumsum(split) - 1)[node] + (bins[rows, feature[node]] > cut[node])
+        by = np.argsort(node, kind="stable")
+        rows, node, m = rows[by], node[by], 2 * int(split.sum())
+    out, leaf, guess = np.zeros(p), np.zeros(0, bool), np.zeros(0, np.int64)
+    for split, value, feature, own in reversed(levels):
+        at = np.flatnonzero(split)
+        alike = leaf[0::2] & leaf[1::2] & (guess[0::2] == guess[1::2])
+        np.add.at(out, feature[at[~alike]], value[at[~alike]])
+        leaf = ~split
+        leaf[at[alike]], guess = True, own
+    return out / out.sum() if out.sum() else out
+
+
+def forest_importance(wide: DataFrame, trees: int = 200, seed: int = 0, deepest: int = 30) -> DataFrame:
+    """(fid, score): impurity importances of a random forest with the settings of pyspark.ml.
+
+    Each tree grows in one task on the binned features, which are broadcast; over
+    BROADCAST, or with values that are not finite, the forest is that of pyspark.ml,
+    whose levels are passes over the rows.
+    """
+    spark = wide.sparkSession
+    rows = wide.select("sample_id", "label", "features")
+    size, odd = rows.agg(F.sum(8 * F.size("features")), F.max(F.exists("features", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | F.col("label").isNull())).first()
+    if not size or size > knn.BROADCAST or odd:
+        from pyspark.ml.classification import RandomForestClassifier
+
+        model = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=deepest).fit(_vectors(wide))
+        return spark.createDataFrame([(i, float(s)) for i, s in enumerate(model.featureImportances.toArray())], "fid int, score double")
+    found = rows.orderBy("sample_id").toArrow()
+    names, y = np.unique(found.column("label").to_numpy(), return_inverse=True)
+    x = np.asarray(found.column("features").combine_chunks().flatten(), np.float64).reshape(len(y), -1)
+    p = x.shape[1]
+    bins = np.stack([np.searchsorted(_cuts(c), c).astype(np.uint8) for c in x.T], axis=1)
+    shared = spark.sparkContext.broadcast((bins, y))
+    tried, classes = math.ceil(math.sqrt(p)) if trees > 1 else p, len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree in batch.column("id").to_pylist():
+                own = _grown(*shared.value, classes, deepest, tried, np.random.default_rng([seed, tree]))
+                yield pa.RecordBatch.from_arrays([pa.array([tree]), pa.array([own.tolist()], pa.list_(pa.float64()))], names=["tree", "scores"])
+
+    grown = spark.range(0, trees, 1, min(trees, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "tree long, scores array<double>").collect()
+    scores = np.sum([r["scores"] for r in sorted(grown)], axis=0)
+    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(scores / (scores.sum() or 1.0))], "fid int, score double")
 
 
 # Linear support vector machines with the squared hinge, one against the rest.

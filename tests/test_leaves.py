@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from siftgraph.operators import knn, search
+from siftgraph.operators import embedded, knn, search
 from siftgraph.operators.leaves import Leaves
 
 
@@ -101,3 +101,21 @@ def test_singles_and_pairs_of_hot_values_need_few_distances(monkeypatch, p, shar
     monkeypatch.setattr(Leaves, "_rough", lambda self, q, squares, centre, at, *rest: (seen.append(len(q) * len(at)), rough(self, q, squares, centre, at, *rest))[1])
     knn.Matrix(x, rng.integers(0, 3, 20000), rng.integers(0, 5, 20000)).accuracy(range(p))
     assert 0 < sum(seen) < 20000**2 / share
+
+
+def test_forest_grows_in_tasks(spark, monkeypatch):
+    """rf_importance passed over the rows for every level of its 200 trees; the forest is that of pyspark.ml up to its draws."""
+    import pyspark.ml.classification as ml
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 8))
+    x[:, 6], x[:, 7] = 1.0, rng.integers(0, 2, 500)
+    y = (x[:, 0] + 0.7 * x[:, 1] + 0.3 * rng.normal(size=500) > 0).astype(int) + (x[:, 2] > 1)
+    wide = spark.createDataFrame([(i, int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))], "sample_id long, label int, features array<double>").cache()
+    with monkeypatch.context() as m:
+        m.setattr(knn, "BROADCAST", 1)
+        want = np.array([r["score"] for r in embedded.forest_importance(wide, 60).orderBy("fid").collect()])
+    monkeypatch.setattr(ml, "RandomForestClassifier", lambda **_: pytest.fail("passes over the rows"))
+    one, two = (np.array([r["score"] for r in embedded.forest_importance(w, 60).orderBy("fid").collect()]) for w in (wide, wide.repartition(5)))
+    assert (one == two).all() and np.isclose(one.sum(), 1) and one[6] == 0
+    assert np.abs(one - want).max() < 0.05
