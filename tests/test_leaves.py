@@ -119,3 +119,14 @@ def test_forest_grows_in_tasks(spark, monkeypatch):
     one, two = (np.array([r["score"] for r in embedded.forest_importance(w, 60).orderBy("fid").collect()]) for w in (wide, wide.repartition(5)))
     assert (one == two).all() and np.isclose(one.sum(), 1) and one[6] == 0
     assert np.abs(one - want).max() < 0.05
+
+
+def test_a_search_sends_its_matrix_once(spark):
+    """evolve_baseline broadcast the matrix in every generation and left most tasks idle."""
+    rng = np.random.default_rng(8)
+    m = knn.Matrix(rng.random((5000, 3)), rng.integers(0, 3, 5000), rng.integers(0, 5, 5000))
+    one = search.Search(spark, None, m, np.ones(3), search.Settings(baseline=True))
+    one.accuracies([(0,), (0, 1)])
+    sent = m.shared(spark)
+    one.accuracies([(0,), (2,)])
+    assert m.shared(spark) is sent and one.known == {s: m.accuracy(s) for s in ((), (0,), (0, 1), (2,))}
