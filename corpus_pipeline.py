@@ -39,11 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = pieces.MODEL) -> DataFrame:
     """doc_id, ids of the best segmentation, n_pieces, the N best scores, and whether decoding the ids gives the text back."""
-    vocabulary = pieces.Vocabulary(*pieces.read_model(model))
-    encoded = pieces.encode(docs, vocabulary)
-    encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.transform("nbest", lambda x: x["score"]).alias("nbest_scores"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    back = pieces.decode(encoded, vocabulary, ("ids", "n_pieces", "nbest_scores", "text_sha256"))
-    return back.select("doc_id", "ids", "n_pieces", "nbest_scores", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    return pieces.coded(docs, pieces.Vocabulary(*pieces.read_model(model)))
 
 
 STAGES = [

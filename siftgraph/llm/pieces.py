@@ -452,6 +452,25 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, others: tuple[str, ...] =
     return encoded.select(*dict.fromkeys((*columns, "ids"))).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", decoded string")
 
 
+def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, ids, n_pieces, nbest_scores and whether decoding the ids gives the text back, of each row.
+
+    As encode and decode in turn, but a task needs one worker process with a vocabulary, not two.
+    """
+    session(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            offsets, flat, found = vocabulary.encode_many(texts)
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+            back = [vocabulary.decode(x.values.to_numpy().tolist()) == t for x, t in zip(ids, texts)]
+            yield batch_of(doc_id=batch.column("doc_id"), ids=ids, n_pieces=np.diff(offsets).astype(np.int64), nbest_scores=pa.array([[s for s, _ in x] for x in found], pa.list_(pa.float64())), round_trip=pa.array(back, pa.bool_()))
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces long, nbest_scores array<double>, round_trip boolean")
+
+
 def digest(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_pieces, ids_sha256, nbest_scores and whether decoding gives the text back, of each row."""
     encoded = encode(docs, vocabulary)

@@ -67,8 +67,8 @@ HOT = 8000
 SAMPLE, COMMON = 4096, 20
 #: Hot anchors up to which their sizes are broadcast (some MB); beyond, they are joined.
 FEW = 100_000
-#: Bytes that the anchor step and a suffix array take at once; longer texts go in overlapping slices.
-SLICE, PART = 1 << 20, 1 << 17
+#: Bytes that the anchor step and a suffix array take at once; longer texts go in overlapping slices. Of a slice some 100 times its bytes are held.
+SLICE, PART = 1 << 17, 1 << 17
 #: Symbols that the suffix array of one key takes at most; a task makes the keys of more of them longer by itself.
 MOST = 1 << 17
 _SPAN, _WHOLE, _DEALT = 16, 1 << 15, 1 << 14
