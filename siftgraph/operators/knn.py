@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import line
 from .leaves import Leaves
 
 BLOCK = 2048
@@ -274,6 +275,19 @@ class Matrix:
         subset = list(subset)
         return self.mean(self.hits(subset, k, True), True) if subset and len(self.y) else 0.0
 
+    def single(self, f: int, k: int = 5, apparent: bool = False) -> float:
+        """The accuracy, or apparent accuracy, of one feature."""
+        x = self.x[:, f]
+        if k < 1 or not len(x) or not np.isfinite(x).all():
+            return (self.apparent if apparent else self.accuracy)([f], k)
+        names, fold = np.unique(self.folds, return_inverse=True)
+        hits = np.zeros(len(names), np.int64)
+        for q, near in line.nearest(x, self.ids, fold, k, not apparent):
+            i, j = np.nonzero(near >= 0)
+            guess = _most(len(q), i, self.y[near[i, j]])
+            hits += np.bincount(fold[q[guess == self.y[q]]], minlength=len(names))
+        return self.mean(hits, apparent)
+
     def hits(self, subset, k: int = 5, apparent: bool = False, share: tuple[int, int] = (0, 1)) -> np.ndarray:
         """By fold the rows whose vote is their label, of one of so many shares of the rows."""
         names, fold = np.unique(self.folds, return_inverse=True)
@@ -308,10 +322,14 @@ def _hits(rows: Block, k: int, other_fold: bool = False) -> np.ndarray:
 def _voted(q: Block, found: tuple) -> np.ndarray:
     """The label with the most votes of each query, the smaller of ties; queries without neighbours get none (the least long)."""
     at, _, labels, _ = found
+    return _most(len(q.ids), at, labels)
+
+
+def _most(n: int, at: np.ndarray, labels: np.ndarray) -> np.ndarray:
     names, coded = np.unique(labels, return_inverse=True)
     if not len(names):
-        return np.full(len(q.ids), np.iinfo(np.int64).min)
-    counts = np.zeros((len(q.ids), len(names)), np.int64)
+        return np.full(n, np.iinfo(np.int64).min)
+    counts = np.zeros((n, len(names)), np.int64)
     np.add.at(counts, (at, coded), 1)
     return np.where(counts.any(1), names[counts.argmax(1)], np.iinfo(np.int64).min)
 
@@ -358,7 +376,7 @@ def subset_accuracies(subsets: DataFrame, matrix: Matrix | Rows, k: int = 5, app
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Matrix(*shared.value)
         for f in frames:
-            yield f.assign(accuracy=[(m.apparent if apparent else m.accuracy)(ids, k) for ids in f["ids"]])
+            yield f.assign(accuracy=[m.single(ids[0], k, apparent) if len(ids) == 1 else (m.apparent if apparent else m.accuracy)(ids, k) for ids in f["ids"]])
 
     kind = dict(subsets.dtypes)["key"]
     return subsets.select("key", "ids").mapInPandas(run, f"key {kind}, ids array<int>, accuracy double")
