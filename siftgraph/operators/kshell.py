@@ -67,17 +67,19 @@ def shell_representatives(shells: DataFrame) -> DataFrame:
     return shells.withColumn("rn", F.row_number().over(w)).withColumn("last", last).where("rn = 1 or shell = last").select("graph_id", "fid")
 
 
-def rc_greedy(core: np.ndarray, comp: np.ndarray, sim: np.ndarray, tau: float = 0.3, most: int = 5) -> np.ndarray:
+def rc_greedy(core: np.ndarray, comp: np.ndarray | Callable[[list[int]], np.ndarray], sim: np.ndarray, tau: float = 0.3, most: int = 5) -> np.ndarray:
     """core and up to `most` features of best comp(f, S) - tau * red(f, S), while that is over 0.
 
     comp is the best complementarity with a member, red the largest |1 - similarity| to a member.
+    comp may be a function that gives the columns of members: only these are ever looked at.
     """
-    chosen = list(core)
+    chosen = [int(f) for f in core]
+    columns = comp if callable(comp) else lambda members: comp[:, members]
     for _ in range(most):
-        rest = np.setdiff1d(np.arange(len(comp)), chosen)
+        rest = np.setdiff1d(np.arange(len(sim)), chosen)
         if not len(rest) or not chosen:
             break
-        value = comp[np.ix_(rest, chosen)].max(1) - tau * np.abs(1 - sim[np.ix_(rest, chosen)]).max(1)
+        value = columns(chosen)[rest].max(1) - tau * np.abs(1 - sim[np.ix_(rest, chosen)]).max(1)
         best = int(value.argmax())
         if value[best] <= 0:
             break

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -114,6 +115,22 @@ class Context:
             m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["comp"]
         return m
 
+    def comp_columns(self, edges: DataFrame) -> Callable[[list[int]], np.ndarray]:
+        """A function that gives columns of comp_matrix; pairs are evaluated when a feature of theirs is first asked for."""
+        pairs = {(min(r["src"], r["dst"]), max(r["src"], r["dst"])) for r in edges.select("src", "dst").collect() if r["src"] != r["dst"]}
+        m, known = np.zeros((self.p, self.p)), {}
+
+        def columns(members: list[int]) -> np.ndarray:
+            new = sorted(x for x in pairs if x not in known and not {*x}.isdisjoint(members))
+            if new:
+                subsets = [*dict.fromkeys([*((f,) for x in new for f in x if (f,) not in known), *new])]
+                known.update(zip(subsets, knn.accuracies(subsets, self.matrix, self.spark, self.config.k)))
+                for i, j in new:
+                    m[i, j] = m[j, i] = max(0.0, known[i, j] - max(known[i,], known[j,]))
+            return m[:, members]
+
+        return columns
+
     def redundancy(self, ids: list[int]) -> float:
         if len(ids) < 2:
             return 0.0

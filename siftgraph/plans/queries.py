@@ -502,7 +502,7 @@ def evolve_baseline(spark, sf):
 @query()
 def rc_greedy_extend(spark, sf):
     c = _context(spark, sf)
-    comp = c.comp_matrix(graph.knn_graph(c.sim))
+    comp = c.comp_columns(graph.knn_graph(c.sim))
     core = np.array([0, 9, 33])
     return spark.createDataFrame([(int(f), bool(f in core)) for f in kshell.rc_greedy(core, comp, c.sim_matrix)], "fid int, core boolean")
 
