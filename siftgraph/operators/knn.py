@@ -29,6 +29,8 @@ BLOCK = 2048
 CELL = 128 << 20
 #: Bytes of a training matrix up to which subset evaluation broadcasts it.
 BROADCAST = 64 << 20
+#: Features up to which boxes of leaves rule out most rows.
+PRUNED = 8
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -305,7 +307,8 @@ def _right(rows: Block, k: int, other_fold: bool, share: tuple[int, int]) -> np.
     """Places of a share of the rows whose vote among the others is their label."""
     if k < 1 or not np.isfinite(rows.x).all():
         return np.flatnonzero(_hits(rows, k, other_fold)) if not share[0] else np.zeros(0, np.int64)
-    leaves = Leaves(rows.x, rows.ids, rows.folds if other_fold else np.zeros_like(rows.folds), k)
+    pure = other_fold and rows.x.shape[1] > PRUNED  # a leaf of one fold passes over its fold
+    leaves = Leaves(rows.x, rows.ids, rows.folds if other_fold else np.zeros_like(rows.folds), k, pure)
     guess, seen = np.zeros_like(rows.labels), np.zeros(len(rows.ids), bool)
     for at, i, j, d in leaves.nearest(share, other_fold):
         guess[at], seen[at] = _voted(rows.part(at), (i, rows.ids[j], rows.labels[j], d)), True

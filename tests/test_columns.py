@@ -1,8 +1,9 @@
-"""Complementarities on demand."""
+"""Complementarities on demand, and leaves of one fold."""
 
 import numpy as np
 
 from siftgraph.operators import graph, knn, kshell
+from siftgraph.operators.leaves import Leaves
 from siftgraph.plans import pipeline
 
 
@@ -26,3 +27,15 @@ def test_rc_greedy_evaluates_pairs_of_its_members(spark, monkeypatch):
         found.append(kshell.rc_greedy(core, columns, c.sim_matrix, tau).tolist())
         assert found[-1] == kshell.rc_greedy(core, whole, c.sim_matrix, tau).tolist()
     assert len(found[0]) == 7 and (columns(list(range(12))) == whole).all() and len(taken) == len(set(taken))
+
+
+def test_votes_pass_over_their_fold(monkeypatch):
+    """Searches took all pairs of rows for each subset of many features, those of one fold as well."""
+    rng = np.random.default_rng(2)
+    n = 15000
+    m = knn.Matrix(rng.random((n, 24)), rng.integers(0, 3, n), rng.integers(0, 5, n))
+    seen, rough = [], Leaves._rough
+    monkeypatch.setattr(Leaves, "_rough", lambda self, q, squares, centre, at, *rest: (seen.append(len(q) * len(at)), rough(self, q, squares, centre, at, *rest))[1])
+    got = m.hits(range(24), share=(0, 4)).sum() + sum(m.hits(range(24), share=(i, 4)).sum() for i in (1, 2, 3))
+    assert sum(seen) < 0.85 * n * n
+    assert got == knn._hits(m.block(range(24)), 5, True).sum()
